@@ -104,11 +104,13 @@ def extension_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/\\]\.([^./\\]+)\z", 1))
 
 
+def constant_map(entries: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(part) for entry in entries.items() for part in entry])
+
+
 def _lookup(extension: Column, table: dict[str, tuple[str, ...]]) -> Column:
-    name = F.lit(None).cast("string")
-    for key, extensions in reversed(table.items()):
-        name = F.when(extension.isin(*extensions), F.lit(key)).otherwise(name)
-    return name
+    by_extension = {ext: name for name, extensions in table.items() for ext in extensions}
+    return F.element_at(constant_map(by_extension), extension)
 
 
 def category_of(path: Column) -> Column:

@@ -182,21 +182,25 @@ def code_result(
     patterns: dict[str, str] = DEFINITION_PATTERNS,
 ) -> Column:
     """Definitions where the language's pattern finds any, else slices of fixed size."""
-    pattern = F.lit(None).cast("string")
-    for name, regex in reversed(patterns.items()):
-        pattern = F.when(language == name, F.lit(compiled_pattern(regex))).otherwise(pattern)
+    by_language = tx.constant_map({name: compiled_pattern(p) for name, p in patterns.items()})
+    pattern = F.element_at(by_language, language)
     found = F.struct(
+        language.alias("language"),
         F.regexp_extract_all(content, pattern, F.lit(0)).alias("headers"),
         F.split(content, pattern).alias("parts"),
     )
 
     def cut(f: Column) -> Column:
-        return F.when(
-            F.size(f["headers"]) > 0,
-            _definitions(content, language, f["headers"], f["parts"], cap),
-        ).otherwise(fixed_size_result(content, language, cap))
+        return (
+            F.when(f["headers"].isNull() | (content == ""), empty_result())
+            .when(
+                F.size(f["headers"]) > 0,
+                _definitions(content, f["language"], f["headers"], f["parts"], cap),
+            )
+            .otherwise(fixed_size_result(content, f["language"], cap))
+        )
 
-    return F.when(pattern.isNull() | (content == ""), empty_result()).otherwise(let(found, cut))
+    return let(found, cut)
 
 
 # Category -> Column builder (content, path) -> struct<gist, chunks>. Categories whose contents
@@ -231,16 +235,16 @@ def extract(files: DataFrame, content: str = "content") -> DataFrame:
 
     ``error`` names what went wrong: a category without a chunker.
     """
-    result = F.lit(None).cast(f"struct<gist:string,chunks:array<{CHUNK_STRUCT.simpleString()}>>")
-    for category, chunker in reversed(all_chunkers()):
+    result = F.when(F.lit(False), empty_result())
+    for category, chunker in all_chunkers():
         built = chunker(F.col(content), F.col("path"))
-        result = F.when(F.col("file_type") == category, built).otherwise(result)
-    return (
-        files.withColumn("_result", result)
-        .withColumn("gist", F.col("_result.gist"))
-        .withColumn("chunks", F.col("_result.chunks"))
-        .withColumn("error", F.when(F.col("_result").isNull(), F.lit("no_extractor")))
-        .drop("_result")
+        result = result.when(F.col("file_type") == category, built)
+    known = F.col("file_type").isin(*[category for category, _ in all_chunkers()])
+    return files.select("*", result.alias("_result")).select(
+        *files.columns,
+        F.col("_result.gist").alias("gist"),
+        F.col("_result.chunks").alias("chunks"),
+        F.when(~F.coalesce(known, F.lit(False)), F.lit("no_extractor")).alias("error"),
     )
 
 
@@ -302,11 +306,40 @@ def extract_pages(
     )
 
 
+def extract_all(
+    files: DataFrame, pages: DataFrame | None = None, content: str = "content"
+) -> DataFrame:
+    """One row per file with gist and chunks, each file cut as its category asks.
+
+    Paged files take their texts from ``pages`` (file_id, page_no, page_text); without any they
+    have an empty gist and no chunks. Contents are dropped here: nothing after needs them.
+    """
+    is_paged = F.col("file_type").eqNullSafe("pdf")
+    in_row = extract(files.filter(~is_paged), content).drop(content)
+    paged = files.filter(is_paged).drop(content)
+    if pages is None:
+        read = paged.withColumn("gist", F.lit("")).withColumn("chunks", _no_chunks())
+    else:
+        cut = extract_pages(pages, doc="file_id")
+        read = (
+            paged.join(cut, "file_id", "left")
+            .withColumn("gist", F.coalesce("gist", F.lit("")))
+            .withColumn("chunks", F.coalesce("chunks", _no_chunks()))
+        )
+    return in_row.unionByName(read.withColumn("error", F.lit(None).cast("string")))
+
+
 def explode_chunks(extracted: DataFrame, file_id: str = "file_id") -> DataFrame:
-    """Rows with a ``chunks`` array to chunk rows; ids follow from the file and the order."""
-    return extracted.select(
-        F.col(file_id).cast("long").alias("file_id"), F.posexplode("chunks").alias("ord", "c")
-    ).select(
+    """Rows with a ``chunks`` array to chunk rows; ids follow from the file and the order.
+
+    The outer form of explode, since for the inner one Catalyst adds a filter on the size of the
+    array, which computes the array, and so the whole cutting, again.
+    """
+    exploded = extracted.select(
+        F.col(file_id).cast("long").alias("file_id"),
+        F.posexplode_outer("chunks").alias("ord", "c"),
+    )
+    return exploded.filter(F.col("ord").isNotNull()).select(
         (F.col("file_id") * CHUNK_ID_STRIDE + F.col("ord")).alias("chunk_id"),
         "file_id",
         "ord",
