@@ -11,13 +11,14 @@ gathers more than one chunk's rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.tokens import tokenize
 from docloom.schemas import TOP_K
-from docloom.sources.sizes import broadcast_if_small, hint_for, written
+from docloom.sources.sizes import Settled, settled, written
 
 # Fixed values of the ranking function.
 K1 = 1.2
@@ -31,6 +32,15 @@ SCORE_DIGITS = 9
 TERM_BUCKETS = 64
 
 
+@dataclass(frozen=True)
+class Index:
+    """What a keyword search reads: postings, document frequencies and corpus statistics."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+
+
 def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -70,6 +80,35 @@ def term_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def build_index(chunks: DataFrame) -> Index:
+    """The index of a chunk table; write its tables before searching more than once."""
+    rows = postings(chunks)
+    return Index(rows, term_stats(rows), corpus_stats(chunks))
+
+
+def in_folders(table: DataFrame) -> DataFrame:
+    """Rows by term, ready to be written in folders by term bucket.
+
+    Rebalancing splits the bucket of a frequent word over as many files as its size asks for.
+    """
+    return (
+        table.withColumn("term_bucket", term_bucket(F.col("term")))
+        .hint("rebalance", "term_bucket")
+        .sortWithinPartitions("term_bucket", "term")
+    )
+
+
+def written_index(chunks: DataFrame) -> Index:
+    """The index of a chunk table, written to the shared folder."""
+    folders = ("term_bucket",)
+    rows = written(in_folders(postings(chunks)), "postings", folders)
+    return Index(
+        rows,
+        written(in_folders(term_stats(rows)), "vocabulary", folders),
+        written(corpus_stats(chunks), "stats"),
+    )
+
+
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """Query strings to single-token phrases, all of which must match. Blank queries give none."""
     return (
@@ -88,61 +127,67 @@ def query_phrase(queries: DataFrame, text: str = "text") -> DataFrame:
     ).filter(F.col("phrase") != "")
 
 
-def _postings_of(
-    index: DataFrame, wanted: DataFrame, hint: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Postings joined with ``wanted`` on term, reading only the folders of its terms."""
-    keys = ["term"]
-    if "term_bucket" in index.columns:
-        keys = ["term_bucket", "term"]
-        wanted = wanted.withColumn("term_bucket", term_bucket(F.col("term")))
-    return index.join(hint(wanted.filter(F.col("term") != "")), keys)
+def _by_term(table: DataFrame, wanted: Settled, rows: DataFrame) -> DataFrame:
+    """``table`` joined with ``rows``, no more than ``wanted`` has, on term.
+
+    Where the table is kept in folders by term, only the folders of the wanted terms are read.
+    """
+    if "term_bucket" not in table.columns:
+        return table.join(wanted.hint(rows), "term")
+    folders = wanted.distinct("term_bucket")
+    if folders is not None:
+        table = table.filter(F.col("term_bucket").isin(*folders) if folders else F.lit(False))
+    rows = rows.withColumn("term_bucket", term_bucket(F.col("term")))
+    return table.join(wanted.hint(rows), ["term_bucket", "term"]).drop("term_bucket")
+
+
+def _wanted_terms(terms: DataFrame, name: str) -> Settled:
+    return settled(terms.withColumn("term_bucket", term_bucket(F.col("term"))), name)
 
 
 _HIT = ["phrase", "chunk_id", "file_id", "chunk_len", "starts", "tf"]
 
 
-def term_hits(phrases: DataFrame, index: DataFrame) -> DataFrame:
+def term_hits(phrases: DataFrame, index: Index) -> DataFrame:
     """Hits of single-token phrases."""
-    wanted = phrases.select(F.col("phrase").alias("term")).distinct()
+    wanted = _wanted_terms(phrases.select(F.col("phrase").alias("term")).distinct(), "terms")
     return (
-        _postings_of(index, wanted, hint_for(wanted))
+        _by_term(index.postings, wanted, wanted.df.select("term"))
         .withColumnRenamed("term", "phrase")
         .withColumnRenamed("positions", "starts")
         .select(*_HIT)
     )
 
 
-def phrase_hits(phrases: DataFrame, index: DataFrame) -> DataFrame:
+def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
     """Hits of phrases of any length: adjacent tokens in order.
 
     The rarest token of a phrase proposes the places, the other tokens must confirm them.
     """
-    distinct = phrases.select("phrase").distinct()
-    tokens = distinct.select(
-        "phrase",
-        F.size(F.split("phrase", " ")).alias("n"),
-        F.posexplode(F.split("phrase", " ")).alias("i", "term"),
-    )
-    # Everything below that is joined with the postings has at most a row per token of a phrase.
-    hint = hint_for(tokens)
-    frequency = (
-        _postings_of(index, tokens.select("term").distinct(), hint)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    # A phrase with a token that occurs nowhere has no hits: the inner join and the count drop it.
-    pivot = (
-        tokens.join(hint(frequency), "term")
-        .groupBy("phrase", "n")
-        .agg(
-            F.min(F.struct("df", "i", "term")).alias("rarest"),
-            F.count(F.lit(1)).alias("known"),
-        )
-        .filter(F.col("known") == F.col("n"))
-        .select("phrase", "n", F.col("rarest.i").alias("pivot_i"), F.col("rarest.term").alias("term"))
+    split = F.split("phrase", " ")
+    tokens = _wanted_terms(
+        phrases.select("phrase")
+        .distinct()
+        .select("phrase", F.size(split).alias("n"), F.posexplode(split).alias("i", "term")),
+        "phrase-tokens",
+    )
+    # A token that occurs nowhere is missing from the vocabulary, and its phrases with it.
+    known = _by_term(index.vocabulary, tokens, tokens.df.select("phrase", "n", "i", "term"))
+    per_phrase = known.groupBy("phrase", "n").agg(
+        F.min(F.struct("df", "i", "term")).alias("rarest"),
+        F.count(F.lit(1)).alias("known"),
+    )
+    pivots = settled(
+        per_phrase.filter(F.col("known") == F.col("n")).select(
+            "phrase",
+            "n",
+            F.col("rarest.i").alias("pivot_i"),
+            F.col("rarest.term").alias("term"),
+            term_bucket(F.col("rarest.term")).alias("term_bucket"),
+        ),
+        "phrase-pivots",
     )
-    places = _postings_of(index, pivot, hint).select(
+    places = _by_term(index.postings, pivots, pivots.df.drop("term_bucket")).select(
         "phrase",
         "n",
         "pivot_i",
@@ -156,14 +201,13 @@ def phrase_hits(phrases: DataFrame, index: DataFrame) -> DataFrame:
     single = places.filter(F.col("n") == 1).withColumn("tf", F.size("starts"))
     others = (
         places.filter((F.col("n") > 1) & (F.size("starts") > 0))
-        .join(hint(tokens.filter(F.col("n") > 1).drop("n")), "phrase")
+        .join(tokens.hint(tokens.df.select("phrase", "i", "term")), "phrase")
         .filter(F.col("i") != F.col("pivot_i"))
     )
-    wanted_postings = _postings_of(
-        index, tokens.filter(F.col("n") > 1).select("term").distinct(), hint
-    )
+    other_terms = tokens.df.filter(F.col("n") > 1).select("term").distinct()
+    other_postings = _by_term(index.postings, tokens, other_terms)
     confirmed = (
-        others.join(wanted_postings.select("term", "chunk_id", "positions"), ["term", "chunk_id"])
+        others.join(other_postings.select("term", "chunk_id", "positions"), ["term", "chunk_id"])
         .withColumn(
             "kept",
             F.filter("starts", lambda s: F.array_contains(F.col("positions"), s + F.col("i"))),
@@ -181,25 +225,20 @@ def phrase_hits(phrases: DataFrame, index: DataFrame) -> DataFrame:
     return single.select(*_HIT).unionByName(confirmed.select(*_HIT))
 
 
-def prefix_hits(phrases: DataFrame, index: DataFrame) -> DataFrame:
+def prefix_hits(phrases: DataFrame, index: Index) -> DataFrame:
     """Hits of token prefixes: the occurrences of every term that starts with one.
 
     The vocabulary, not the postings, is expanded to its prefixes, and meets the wanted ones in an
     equi-join; no term is compared with every prefix.
     """
-    wanted = phrases.select("phrase").distinct()
-    vocabulary = index.select("term").distinct()
+    wanted = settled(phrases.select("phrase").distinct(), "prefixes")
     prefixes = F.transform(
         F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n)
     )
-    expanded = written(
-        vocabulary.select("term", F.explode(prefixes).alias("phrase")).join(
-            broadcast_if_small(wanted), "phrase"
-        ),
-        "prefix-terms",
-    )
+    expanded = index.vocabulary.select("term", F.explode(prefixes).alias("phrase"))
+    matching = _wanted_terms(expanded.join(wanted.hint(wanted.df), "phrase"), "prefix-terms")
     return (
-        _postings_of(index, expanded, hint_for(expanded))
+        _by_term(index.postings, matching, matching.df.select("phrase", "term"))
         .groupBy("phrase", "chunk_id", "file_id", "chunk_len")
         .agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("starts"))
         .withColumn("tf", F.size("starts"))
@@ -238,6 +277,7 @@ def near_hits(pairs: DataFrame, hits: DataFrame) -> DataFrame:
 
         return F.filter(own, within)
 
+    wanted = settled(pairs, "near-pairs")
     left = hits.select(
         F.col("phrase").alias("left"),
         "chunk_id",
@@ -249,7 +289,7 @@ def near_hits(pairs: DataFrame, hits: DataFrame) -> DataFrame:
         F.col("phrase").alias("right"), "chunk_id", F.col("starts").alias("right_starts")
     )
     both = (
-        left.join(broadcast_if_small(pairs), "left")
+        left.join(wanted.hint(wanted.df), "left")
         .join(right, ["right", "chunk_id"])
         .withColumn(
             "left_kept", taking_part("left_starts", length("left"), "right_starts", length("right"))
@@ -275,9 +315,9 @@ def document_frequency(hits: DataFrame) -> DataFrame:
 
 def _phrase_score(stats: DataFrame) -> Column:
     """A phrase's share of BM25, from columns n_times, df, tf and chunk_len."""
-    total = stats.select("n_chunks").scalar()
-    average = stats.select("avg_len").scalar()
-    idf = F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    corpus = stats.select("n_chunks", "avg_len").first()
+    average = F.lit(corpus.avg_len).cast("double")
+    idf = F.log((corpus.n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF))
     norm = K1 * ((1 - B) + B * F.col("chunk_len") / average)
     return -F.col("n_times") * weight * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
@@ -286,26 +326,24 @@ def _phrase_score(stats: DataFrame) -> Column:
 _MATCH = ["query_id", "chunk_id", "file_id", "chunk_len", "n_times", "df", "tf"]
 
 
-def _match_aggregates() -> list[Column]:
-    return [
-        F.count(F.lit(1)).cast("int").alias("n_matched"),
-        F.round(F.sum("share"), SCORE_DIGITS).alias("bm25"),
-    ]
+def _scored(matches: DataFrame, stats: DataFrame) -> DataFrame:
+    return (
+        matches.withColumn("share", _phrase_score(stats))
+        .groupBy("query_id", "chunk_id", "file_id")
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("n_matched"),
+            F.round(F.sum("share"), SCORE_DIGITS).alias("bm25"),
+        )
+    )
 
 
 def match_any(
     terms: DataFrame, hits: DataFrame, stats: DataFrame, frequency: DataFrame | None = None
 ) -> DataFrame:
     """OR: chunks with at least one phrase of the query, scored by those they have."""
-    hint = hint_for(terms)
     frequency = document_frequency(hits) if frequency is None else frequency
-    wanted = terms.join(hint(frequency), "phrase")
-    return (
-        hits.join(hint(wanted), "phrase")
-        .withColumn("share", _phrase_score(stats))
-        .groupBy("query_id", "chunk_id", "file_id")
-        .agg(*_match_aggregates())
-    )
+    wanted = settled(terms.join(frequency, "phrase"), "any-terms")
+    return _scored(hits.join(wanted.hint(wanted.df), "phrase").select(*_MATCH), stats)
 
 
 def match_all(
@@ -320,37 +358,34 @@ def match_all(
     ``restrict`` keeps the rows whose file may be found; frequencies stay those of the whole
     corpus.
     """
-    # Everything below but the hits has at most a row per phrase of a query.
-    hint = hint_for(terms)
     frequency = document_frequency(hits) if frequency is None else frequency
-    known = terms.join(hint(frequency), "phrase", "left")
-    per_query = (
-        known.groupBy("query_id")
-        .agg(
-            F.min(F.struct("df", "phrase")).alias("rarest"),
-            F.count(F.lit(1)).cast("int").alias("n"),
-            F.count("df").alias("n_known"),
-        )
-        .filter(F.col("n") == F.col("n_known"))
-        .select("query_id", F.col("rarest.phrase").alias("pivot"), "n")
-    )
-    wanted = known.join(hint(per_query), "query_id")
-    pivots = wanted.filter(F.col("phrase") == F.col("pivot"))
-    others = wanted.filter(F.col("phrase") != F.col("pivot"))
-    found = hits.join(hint(pivots), "phrase").select(*_MATCH, "n")
+    of_query = Window.partitionBy("query_id")
+    known = terms.join(frequency, "phrase", "left").select(
+        *terms.columns,
+        "df",
+        F.count(F.lit(1)).over(of_query).cast("int").alias("n"),
+        F.count("df").over(of_query).alias("n_known"),
+        F.min(F.struct("df", "phrase")).over(of_query)["phrase"].alias("pivot"),
+    )
+    # At most a row per phrase of a query; a query with a phrase found nowhere has no matches.
+    wanted = settled(known.filter(F.col("n") == F.col("n_known")), "all-terms")
+    pivots = wanted.df.filter(F.col("phrase") == F.col("pivot"))
+    others = wanted.df.filter(F.col("phrase") != F.col("pivot"))
+    found = hits.join(wanted.hint(pivots), "phrase").select(*_MATCH, "n")
     if restrict is not None:
         found = restrict(found)
     open_places = (
         found.filter(F.col("n") > 1)
-        .select("query_id", "chunk_id", "n")
-        .join(hint(others.drop("pivot", "n")), "query_id")
+        .select("query_id", "chunk_id")
+        .join(wanted.hint(others), "query_id")
     )
-    other_hits = hits.join(hint(others.select("phrase").distinct()), "phrase", "left_semi")
-    confirmed = open_places.join(other_hits, ["phrase", "chunk_id"]).select(*_MATCH, "n")
-    scored = found.unionByName(confirmed).withColumn("share", _phrase_score(stats))
+    other_hits = hits.join(wanted.hint(others.select("phrase").distinct()), "phrase", "left_semi")
+    confirmed = open_places.join(other_hits, ["phrase", "chunk_id"])
+    every = found.select(*_MATCH).unionByName(confirmed.select(*_MATCH))
+    lengths = wanted.hint(pivots.select("query_id", "n"))
     return (
-        scored.groupBy("query_id", "chunk_id", "file_id", "n")
-        .agg(*_match_aggregates())
+        _scored(every, stats)
+        .join(lengths, "query_id")
         .filter(F.col("n_matched") == F.col("n"))
         .drop("n")
     )
@@ -363,6 +398,16 @@ def match_not(matches: DataFrame, excluded: DataFrame) -> DataFrame:
     )
 
 
+def match_near(pairs: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame:
+    """Chunks where both phrases of a pair stand near each other, scored by BM25.
+
+    Occurrences taking part are counted, but a phrase is as frequent as it is on its own.
+    """
+    near = near_hits(pairs, hits).withColumn("n_times", F.lit(1))
+    frequency = settled(document_frequency(hits), "near-frequency")
+    return _scored(near.join(frequency.hint(frequency.df), "phrase").select(*_MATCH), stats)
+
+
 def top_matches(matches: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """The best ``top_k`` matches per query: lowest bm25, then lowest chunk id.
 
@@ -377,44 +422,37 @@ def top_matches(matches: DataFrame, top_k: int = TOP_K) -> DataFrame:
 
 def bm25_search(
     queries: DataFrame,
-    index: DataFrame,
-    stats: DataFrame,
+    index: Index,
     top_k: int = TOP_K,
     restrict: Callable[[DataFrame], DataFrame] | None = None,
-    frequency: DataFrame | None = None,
 ) -> DataFrame:
     """Query strings to their best chunks: every token must occur, ranked by BM25.
 
     Queries with the same tokens are matched once, so that repeating a query of frequent words
     costs nothing but its own answer.
     """
-    terms = query_terms(queries)
-    hint = hint_for(terms)
-    sets = terms.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("phrase", "n_times"))).alias("terms")
+    sets = (
+        query_terms(queries)
+        .groupBy("query_id")
+        .agg(F.sort_array(F.collect_list(F.struct("phrase", "n_times"))).alias("terms"))
     )
     leads = sets.groupBy("terms").agg(F.min("query_id").alias("lead"))
-    asked = sets.join(hint(leads), "terms").select("query_id", "lead")
-    wanted = terms.join(
-        hint(leads.select(F.col("lead").alias("query_id"))), "query_id", "left_semi"
+    is_lead = F.col("query_id") == F.col("lead")
+    asked = settled(
+        sets.join(leads, "terms").select(
+            "query_id", "lead", F.when(is_lead, F.col("terms")).alias("terms")
+        ),
+        "queries",
+    )
+    terms = asked.df.filter(is_lead).select("query_id", F.inline("terms"))
+    wanted = _wanted_terms(terms.withColumnRenamed("phrase", "term"), "query-terms")
+    frequency = _by_term(index.vocabulary, wanted, wanted.df.select("term").distinct()).select(
+        F.col("term").alias("phrase"), "df"
     )
-    matches = match_all(wanted, term_hits(wanted, index), stats, restrict, frequency)
+    terms = wanted.df.withColumnRenamed("term", "phrase").drop("term_bucket")
+    matches = match_all(terms, term_hits(terms, index), index.stats, restrict, frequency)
     best = top_matches(matches, top_k).withColumnRenamed("query_id", "lead")
-    return hint(asked).join(best, "lead").select(
+    every_query = asked.hint(asked.df.select("lead", "query_id"))
+    return best.join(every_query, "lead").select(
         "query_id", "chunk_id", "file_id", "bm25", "rank"
     )
-
-
-def match_near(pairs: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame:
-    """Chunks where both phrases of a pair stand near each other, scored by BM25.
-
-    Occurrences taking part are counted, but a phrase is as frequent as it is on its own.
-    """
-    near = near_hits(pairs, hits).withColumn("n_times", F.lit(1))
-    frequency = document_frequency(hits)
-    return (
-        near.join(hint_for(pairs)(frequency), "phrase")
-        .withColumn("share", _phrase_score(stats))
-        .groupBy("query_id", "chunk_id", "file_id")
-        .agg(*_match_aggregates())
-    )

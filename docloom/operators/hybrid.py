@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import keyword_score, vector_score
 from docloom.operators.filters import Restriction
-from docloom.operators.fulltext import bm25_search
+from docloom.operators.fulltext import Index, bm25_search
 from docloom.operators.nearest import vector_topk
 from docloom.schemas import KEYWORD_WEIGHT, TOP_K, VECTOR_WEIGHT
 from docloom.sources.sizes import MAX_BROADCAST_ROWS, fits
@@ -76,14 +76,12 @@ def hybrid_search(
     queries: DataFrame,
     chunks: DataFrame,
     files: DataFrame,
-    index: DataFrame,
-    stats: DataFrame,
+    index: Index,
     *,
     vector_weight: float = VECTOR_WEIGHT,
     keyword_weight: float = KEYWORD_WEIGHT,
     top_k: int = TOP_K,
     restrict: Restriction = lambda rows: rows,
-    frequency: DataFrame | None = None,
 ) -> DataFrame:
     """Many queries (query_id, text, embedding) against the index, ``top_k`` hits each.
 
@@ -91,6 +89,6 @@ def hybrid_search(
     by keywords alone, one without words by its vector alone.
     """
     vector_leg = vector_topk(queries, restrict(chunks), top_k)
-    keyword_leg = bm25_search(queries, index, stats, top_k, restrict, frequency)
+    keyword_leg = bm25_search(queries, index, top_k, restrict)
     hits = fuse(vector_leg, keyword_leg, vector_weight, keyword_weight, top_k)
     return describe_hits(hits, queries, chunks, files, top_k)

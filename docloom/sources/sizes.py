@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,6 @@ def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def hint_for(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
-    """A broadcast hint when ``df`` is small, else nothing: for tables known to be no larger."""
-    return F.broadcast if fits(df, max_rows) else lambda other: other
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcasting when its size has been checked, else leave the join to Spark."""
     return F.broadcast(df) if fits(df, max_rows) else df
@@ -61,3 +57,28 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+@dataclass(frozen=True)
+class Settled:
+    """A table computed once: local rows when it is small, else written to the shared folder."""
+
+    df: DataFrame
+    small: bool
+    rows: pa.Table | None
+
+    def hint(self, other: DataFrame) -> DataFrame:
+        """A broadcast hint for a table known to have no more rows than this one, if small."""
+        return F.broadcast(other) if self.small else other
+
+    def distinct(self, column: str) -> list | None:
+        """Distinct values of a column, if small."""
+        return sorted(set(self.rows[column].to_pylist())) if self.small else None
+
+
+def settled(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> Settled:
+    """Compute ``df`` once, reading no more than ``max_rows`` (and one) rows to find its size."""
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return Settled(written(df, name), False, None)
+    return Settled(df.sparkSession.createDataFrame(rows, df.schema), True, rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from docloom.operators import chunking, fulltext
 from docloom.sources.sizes import spread, written
 from registry.sqltext import EXTENSIONS
 
-_INDEX: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_CORPORA: dict[tuple[str, str], Corpus] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,27 +96,32 @@ def cut_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.explode_chunks(chunking.extract(paragraphs(spark, sf_dir)))
 
 
-def index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The written index: chunks (the first of a document carries the document's vector, where
-    there is one), postings and corpus statistics. Built once per session and folder."""
+@dataclass(frozen=True)
+class Corpus:
+    """A written index."""
+
+    chunks: DataFrame
+    files: DataFrame
+    text: fulltext.Index
+
+
+def index(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The whole index, written: chunks (the first of a document carries the document's vector,
+    where there is one), files, postings, vocabulary and statistics. Once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEX:
+    if key not in _CORPORA:
         vectors = table(spark, sf_dir, "embeddings").select(
             F.col("vec_id").alias("file_id"), F.lit(0).alias("ord"), "embedding"
         )
         chunks = written(
             cut_chunks(spark, sf_dir).join(vectors, ["file_id", "ord"], "left"), "chunks"
         )
-        postings = fulltext.postings(chunks).withColumn(
-            "term_bucket", fulltext.term_bucket(F.col("term"))
+        _CORPORA[key] = Corpus(
+            chunks,
+            written(files(spark, sf_dir).withColumn("gist", F.lit("")), "files"),
+            fulltext.written_index(chunks),
         )
-        _INDEX[key] = {
-            "chunks": chunks,
-            "files": written(files(spark, sf_dir).withColumn("gist", F.lit("")), "files"),
-            "postings": written(postings, "postings", ("term_bucket",)),
-            "stats": written(fulltext.corpus_stats(chunks), "stats"),
-        }
-    return _INDEX[key]
+    return _CORPORA[key]
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,9 +119,9 @@ def postings(spark, sf_dir):
         FROM postings, corpus GROUP BY ALL""",
 )
 def bm25_stats(spark, sf_dir):
-    index = inputs.index(spark, sf_dir)
-    stats = index["stats"]
-    return fulltext.term_stats(index["postings"]).select(
+    index = inputs.index(spark, sf_dir).text
+    stats = index.stats
+    return fulltext.term_stats(index.postings).select(
         "term",
         "df",
         "cf",
@@ -137,8 +137,8 @@ def bm25_stats(spark, sf_dir):
         {_all_matches()} {_TOP}""",
 )
 def bm25_search(spark, sf_dir):
-    index = inputs.index(spark, sf_dir)
-    return _rounded(fulltext.bm25_search(searches(spark), index["postings"], index["stats"]))
+    index = inputs.index(spark, sf_dir).text
+    return _rounded(fulltext.bm25_search(searches(spark), index))
 
 
 @query(
@@ -148,10 +148,8 @@ def bm25_search(spark, sf_dir):
 )
 def bm25_search_batch(spark, sf_dir):
     """Every clause of every benchmark item as a query."""
-    index = inputs.index(spark, sf_dir)
-    return _rounded(
-        fulltext.bm25_search(inputs.segments(spark, sf_dir), index["postings"], index["stats"])
-    )
+    index = inputs.index(spark, sf_dir).text
+    return _rounded(fulltext.bm25_search(inputs.segments(spark, sf_dir), index))
 
 
 @query(
@@ -161,10 +159,10 @@ def bm25_search_batch(spark, sf_dir):
         SELECT query_id, chunk_id, file_id, n_matched, round(bm25, 6) AS bm25 FROM matches""",
 )
 def match_any(spark, sf_dir):
-    index = inputs.index(spark, sf_dir)
+    index = inputs.index(spark, sf_dir).text
     terms = fulltext.query_terms(searches(spark))
-    hits = fulltext.term_hits(terms, index["postings"])
-    return _rounded(fulltext.match_any(terms, hits, index["stats"]))
+    hits = fulltext.term_hits(terms, index)
+    return _rounded(fulltext.match_any(terms, hits, index.stats))
 
 
 _EXCLUDED_ROWS = (
@@ -184,9 +182,9 @@ _EXCLUDED_ROWS = (
 )
 def match_not(spark, sf_dir):
     """Any word of the search, but not the excluded one."""
-    index = inputs.index(spark, sf_dir)
+    index = inputs.index(spark, sf_dir).text
     excluded = spark.createDataFrame(list(enumerate(EXCLUDED)), "query_id long, phrase string")
-    unwanted = fulltext.term_hits(excluded, index["postings"]).join(F.broadcast(excluded), "phrase")
+    unwanted = fulltext.term_hits(excluded, index).join(F.broadcast(excluded), "phrase")
     return fulltext.match_not(match_any(spark, sf_dir), unwanted)
 
 
@@ -204,10 +202,10 @@ terms AS (
 )
 def match_phrase(spark, sf_dir):
     """Every clause of every benchmark item as a phrase."""
-    index = inputs.index(spark, sf_dir)
+    index = inputs.index(spark, sf_dir).text
     phrases = fulltext.query_phrase(inputs.segments(spark, sf_dir))
-    hits = written(fulltext.phrase_hits(phrases, index["postings"]), "phrase-hits")
-    return _rounded(fulltext.match_all(phrases, hits, index["stats"]))
+    hits = written(fulltext.phrase_hits(phrases, index), "phrase-hits")
+    return _rounded(fulltext.match_all(phrases, hits, index.stats))
 
 
 @query(
@@ -219,14 +217,14 @@ def match_phrase(spark, sf_dir):
 )
 def match_first(spark, sf_dir):
     """Phrases that a chunk starts with; frequencies are those of the phrase anywhere."""
-    index = inputs.index(spark, sf_dir)
+    index = inputs.index(spark, sf_dir).text
     phrases = fulltext.query_phrase(searches(spark))
-    hits = written(fulltext.phrase_hits(phrases, index["postings"]), "first-hits")
+    hits = written(fulltext.phrase_hits(phrases, index), "first-hits")
     return _rounded(
         fulltext.match_all(
             phrases,
             fulltext.first_token_hits(hits),
-            index["stats"],
+            index.stats,
             frequency=fulltext.document_frequency(hits),
         )
     )
@@ -246,12 +244,12 @@ def match_first(spark, sf_dir):
                round(bm25, 6) AS bm25 FROM matches""",
 )
 def match_prefix(spark, sf_dir):
-    index = inputs.index(spark, sf_dir)
+    index = inputs.index(spark, sf_dir).text
     prefixes = fulltext.query_phrase(
         spark.createDataFrame(list(enumerate(PREFIXES)), "query_id long, text string")
     )
-    hits = fulltext.prefix_hits(prefixes, index["postings"])
-    return _rounded(fulltext.match_any(prefixes, hits, index["stats"]))
+    hits = fulltext.prefix_hits(prefixes, index)
+    return _rounded(fulltext.match_any(prefixes, hits, index.stats))
 
 
 def _taking_part(own: str, own_len: str, other: str, other_len: str) -> str:
@@ -288,14 +286,14 @@ def _taking_part(own: str, own_len: str, other: str, other_len: str) -> str:
         FROM near JOIN frequency USING (phrase), corpus GROUP BY ALL""",
 )
 def match_near(spark, sf_dir):
-    index = inputs.index(spark, sf_dir)
+    index = inputs.index(spark, sf_dir).text
     pairs = spark.createDataFrame(
         [(i, *p) for i, p in enumerate(NEAR_PAIRS)],
         "query_id long, left string, right string, distance int",
     )
     phrases = pairs.select(F.explode(F.array("left", "right")).alias("phrase")).distinct()
-    hits = written(fulltext.phrase_hits(phrases, index["postings"]), "near-hits")
-    return fulltext.match_near(pairs, hits, index["stats"]).withColumn("bm25", F.round("bm25", 6))
+    hits = written(fulltext.phrase_hits(phrases, index), "near-hits")
+    return fulltext.match_near(pairs, hits, index.stats).withColumn("bm25", F.round("bm25", 6))
 
 
 LOCATION_IDS = list(range(12))
@@ -396,7 +394,7 @@ def _search(spark, sf_dir, queries, restrict=None):
     index = inputs.index(spark, sf_dir)
     extra = {"restrict": restrict} if restrict else {}
     hits = hybrid.hybrid_search(
-        queries, index["chunks"], index["files"], index["postings"], index["stats"], **extra
+        queries, index.chunks, index.files, index.text, **extra
     )
     return hits.select(
         "query_id", "rank", "chunk_id", "file_id", "path", "file_type", "snippet", "mtime",
@@ -409,7 +407,7 @@ def _search(spark, sf_dir, queries, restrict=None):
 @query("hybrid_search", _hybrid_sql(_FINDABLE + ",", vectors=True, blank=False))
 def hybrid_search(spark, sf_dir):
     """Filtered hybrid search of all search strings at once."""
-    flagged = _flagged(spark, sf_dir, inputs.index(spark, sf_dir)["files"])
+    flagged = _flagged(spark, sf_dir, inputs.index(spark, sf_dir).files)
     return _search(
         spark, sf_dir, _hybrid_queries(spark, sf_dir), filters.restriction(flagged)
     )
