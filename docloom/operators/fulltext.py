@@ -39,6 +39,7 @@ class Index:
     postings: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
+    term_buckets: int = TERM_BUCKETS
 
 
 def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
@@ -65,12 +66,16 @@ def postings(chunks: DataFrame, snippet: str = "snippet") -> DataFrame:
     )
 
 
-def corpus_stats(chunks: DataFrame, snippet: str = "snippet") -> DataFrame:
-    """One row: number of chunks, of tokens, and the average chunk length, over all chunks."""
+def corpus_counts(snippet: str = "snippet") -> list[Column]:
+    """Aggregates: number of chunks and of tokens."""
     n_tokens = F.coalesce(F.sum(F.size(tokenize(F.col(snippet))).cast("long")), F.lit(0))
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), n_tokens.alias("n_tokens")).withColumn(
-        "avg_len", F.col("n_tokens") / F.nullif(F.col("n_chunks"), F.lit(0))
-    )
+    return [F.count(F.lit(1)).alias("n_chunks"), n_tokens.alias("n_tokens")]
+
+
+def corpus_stats(chunks: DataFrame) -> DataFrame:
+    """One row: number of chunks, of tokens, and the average chunk length, over all chunks."""
+    average = F.col("n_tokens") / F.nullif(F.col("n_chunks"), F.lit(0))
+    return chunks.agg(*corpus_counts()).withColumn("avg_len", average)
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def query_phrase(queries: DataFrame, text: str = "text") -> DataFrame:
     ).filter(F.col("phrase") != "")
 
 
-def _by_term(table: DataFrame, wanted: Settled, rows: DataFrame) -> DataFrame:
+def _by_term(index: Index, table: DataFrame, wanted: Settled, rows: DataFrame) -> DataFrame:
     """``table`` joined with ``rows``, no more than ``wanted`` has, on term.
 
     Where the table is kept in folders by term, only the folders of the wanted terms are read.
@@ -137,12 +142,13 @@ def _by_term(table: DataFrame, wanted: Settled, rows: DataFrame) -> DataFrame:
     folders = wanted.distinct("term_bucket")
     if folders is not None:
         table = table.filter(F.col("term_bucket").isin(*folders) if folders else F.lit(False))
-    rows = rows.withColumn("term_bucket", term_bucket(F.col("term")))
+    rows = rows.withColumn("term_bucket", term_bucket(F.col("term"), index.term_buckets))
     return table.join(wanted.hint(rows), ["term_bucket", "term"]).drop("term_bucket")
 
 
-def _wanted_terms(terms: DataFrame, name: str) -> Settled:
-    return settled(terms.withColumn("term_bucket", term_bucket(F.col("term"))), name)
+def _wanted_terms(index: Index, terms: DataFrame, name: str) -> Settled:
+    bucket = term_bucket(F.col("term"), index.term_buckets)
+    return settled(terms.withColumn("term_bucket", bucket), name)
 
 
 _HIT = ["phrase", "chunk_id", "file_id", "chunk_len", "starts", "tf"]
@@ -150,9 +156,9 @@ _HIT = ["phrase", "chunk_id", "file_id", "chunk_len", "starts", "tf"]
 
 def term_hits(phrases: DataFrame, index: Index) -> DataFrame:
     """Hits of single-token phrases."""
-    wanted = _wanted_terms(phrases.select(F.col("phrase").alias("term")).distinct(), "terms")
+    wanted = _wanted_terms(index, phrases.select(F.col("phrase").alias("term")).distinct(), "terms")
     return (
-        _by_term(index.postings, wanted, wanted.df.select("term"))
+        _by_term(index, index.postings, wanted, wanted.df.select("term"))
         .withColumnRenamed("term", "phrase")
         .withColumnRenamed("positions", "starts")
         .select(*_HIT)
@@ -166,13 +172,14 @@ def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
     """
     split = F.split("phrase", " ")
     tokens = _wanted_terms(
+        index,
         phrases.select("phrase")
         .distinct()
         .select("phrase", F.size(split).alias("n"), F.posexplode(split).alias("i", "term")),
         "phrase-tokens",
     )
     # A token that occurs nowhere is missing from the vocabulary, and its phrases with it.
-    known = _by_term(index.vocabulary, tokens, tokens.df.select("phrase", "n", "i", "term"))
+    known = _by_term(index, index.vocabulary, tokens, tokens.df.select("phrase", "n", "i", "term"))
     per_phrase = known.groupBy("phrase", "n").agg(
         F.min(F.struct("df", "i", "term")).alias("rarest"),
         F.count(F.lit(1)).alias("known"),
@@ -183,11 +190,11 @@ def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
             "n",
             F.col("rarest.i").alias("pivot_i"),
             F.col("rarest.term").alias("term"),
-            term_bucket(F.col("rarest.term")).alias("term_bucket"),
+            term_bucket(F.col("rarest.term"), index.term_buckets).alias("term_bucket"),
         ),
         "phrase-pivots",
     )
-    places = _by_term(index.postings, pivots, pivots.df.drop("term_bucket")).select(
+    places = _by_term(index, index.postings, pivots, pivots.df.drop("term_bucket")).select(
         "phrase",
         "n",
         "pivot_i",
@@ -205,7 +212,7 @@ def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
         .filter(F.col("i") != F.col("pivot_i"))
     )
     other_terms = tokens.df.filter(F.col("n") > 1).select("term").distinct()
-    other_postings = _by_term(index.postings, tokens, other_terms)
+    other_postings = _by_term(index, index.postings, tokens, other_terms)
     confirmed = (
         others.join(other_postings.select("term", "chunk_id", "positions"), ["term", "chunk_id"])
         .withColumn(
@@ -236,9 +243,9 @@ def prefix_hits(phrases: DataFrame, index: Index) -> DataFrame:
         F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n)
     )
     expanded = index.vocabulary.select("term", F.explode(prefixes).alias("phrase"))
-    matching = _wanted_terms(expanded.join(wanted.hint(wanted.df), "phrase"), "prefix-terms")
+    matching = _wanted_terms(index, expanded.join(wanted.hint(wanted.df), "phrase"), "prefix-terms")
     return (
-        _by_term(index.postings, matching, matching.df.select("phrase", "term"))
+        _by_term(index, index.postings, matching, matching.df.select("phrase", "term"))
         .groupBy("phrase", "chunk_id", "file_id", "chunk_len")
         .agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("starts"))
         .withColumn("tf", F.size("starts"))
@@ -445,8 +452,8 @@ def bm25_search(
         "queries",
     )
     terms = asked.df.filter(is_lead).select("query_id", F.inline("terms"))
-    wanted = _wanted_terms(terms.withColumnRenamed("phrase", "term"), "query-terms")
-    frequency = _by_term(index.vocabulary, wanted, wanted.df.select("term").distinct()).select(
+    wanted = _wanted_terms(index, terms.withColumnRenamed("phrase", "term"), "query-terms")
+    frequency = _by_term(index, index.vocabulary, wanted, wanted.df.select("term").distinct()).select(
         F.col("term").alias("phrase"), "df"
     )
     terms = wanted.df.withColumnRenamed("term", "phrase").drop("term_bucket")

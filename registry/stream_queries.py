@@ -1 +1,194 @@
+"""The change feed: user events as events about files."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from docloom.plans.indexing import index_batch
+from docloom.operators import maintenance
+from docloom.sources.index_tables import IndexTables
+from docloom.sources.seeds import file_type_settings
+from docloom.sources.sizes import shared_folder
+from docloom.streaming import changes
+from registry import inputs, sqltext
+from registry.base import query
+from registry.search_queries import locations
+
+
+def _as_changes(events):
+    kind = F.col("event_type")
+    path = F.concat(F.lit("/u/"), F.col("user_id").cast("string"))
+    return events.select(
+        "event_id",
+        "ts",
+        F.when(kind == "signup", "created")
+        .when(kind == "click", "modified")
+        .when(kind == "purchase", "moved")
+        .when(kind == "error", "deleted")
+        .otherwise("created")
+        .alias("action"),
+        F.concat(path, F.lit(".md")).alias("path"),
+        F.when(kind == "purchase", F.concat(path, F.lit(".py"))).alias("dest_path"),
+        (kind == "view").alias("is_directory"),
+    )
+
+
+def change_feed(spark, sf_dir):
+    return _as_changes(inputs.table(spark, sf_dir, "events"))
+
+
+def change_stream(spark, sf_dir):
+    schema = inputs.table(spark, sf_dir, "events").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return _as_changes(reader.parquet(sf_dir))
+
+
+JOBS = """
+jobs AS (
+  SELECT event_id, ts, '/u/' || user_id || CASE event_type WHEN 'purchase' THEN '.py' ELSE '.md' END AS path,
+         CASE event_type WHEN 'purchase' THEN 'code' ELSE 'text' END AS file_type,
+         CAST(CASE event_type WHEN 'click' THEN 2 ELSE 1 END AS INTEGER) AS priority
+  FROM events WHERE event_type IN ('signup', 'click', 'purchase'))"""
+
+_FIRST = """
+first_jobs AS (
+  SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY path ORDER BY event_id) = 1)"""
+
+
+def _jobs(spark, sf_dir):
+    return changes.change_jobs(change_feed(spark, sf_dir), file_type_settings(spark))
+
+
+@query("change_events", f"WITH {JOBS} SELECT event_id, ts, path, file_type, priority FROM jobs")
+def change_events(spark, sf_dir):
+    return _jobs(spark, sf_dir)
+
+
+@query(
+    "change_coalesce",
+    f"WITH {JOBS}, {_FIRST} SELECT event_id, path, file_type, priority FROM first_jobs",
+)
+def change_coalesce(spark, sf_dir):
+    """Run as a stream: every micro-batch is coalesced and appended."""
+    folder = f"{shared_folder(spark)}/coalesce-{uuid.uuid4().hex}"
+    jobs = changes.change_jobs(change_stream(spark, sf_dir), file_type_settings(spark))
+
+    def append(batch, batch_id):
+        changes.coalesce_jobs(batch).write.mode("overwrite").parquet(f"{folder}/jobs/batch={batch_id}")
+
+    stream = (
+        jobs.writeStream.foreachBatch(append)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(f"{folder}/jobs").select("event_id", "path", "file_type", "priority")
+
+
+@query(
+    "change_order",
+    f"""WITH {JOBS}, {_FIRST}
+        SELECT event_id, path, priority FROM first_jobs ORDER BY priority DESC, ts, event_id""",
+)
+def change_order(spark, sf_dir):
+    jobs = changes.coalesce_jobs(_jobs(spark, sf_dir))
+    return changes.job_order(jobs).select("event_id", "path", "priority")
+
+
+@query(
+    "change_batch",
+    f"""WITH {JOBS}, {_FIRST}
+        SELECT event_id, path, priority FROM first_jobs ORDER BY priority DESC, ts, event_id LIMIT 24""",
+)
+def change_batch(spark, sf_dir):
+    """The next bounded batch of jobs."""
+    jobs = changes.coalesce_jobs(_jobs(spark, sf_dir))
+    return changes.first_jobs(jobs, 24).select("event_id", "path", "priority")
+
+
+@query(
+    "change_stats",
+    f"""WITH {JOBS},
+        states AS (
+          SELECT CASE WHEN value > 30 THEN 'failed' WHEN value > 15 THEN 'done'
+                      WHEN value > 10 THEN 'running' ELSE 'pending' END AS state
+          FROM jobs JOIN events USING (event_id))
+        SELECT count(*) AS enqueued, count(*) FILTER (state = 'pending') AS pending,
+               count(*) FILTER (state = 'running') AS in_flight,
+               count(*) FILTER (state = 'done') AS completed,
+               count(*) FILTER (state = 'failed') AS failed,
+               count(*) FILTER (state = 'pending') AS depth
+        FROM states""",
+)
+def change_stats(spark, sf_dir):
+    value = F.col("value")
+    state = F.when(value > 30, "failed").when(value > 15, "done").when(value > 10, "running")
+    outcomes = (
+        inputs.table(spark, sf_dir, "events")
+        .select("event_id", state.alias("state"))
+        .filter(F.col("state").isNotNull())
+    )
+    return changes.change_stats(_jobs(spark, sf_dir), outcomes)
+
+
+@query(
+    "retry_errors",
+    f"""WITH {sqltext.FILES} SELECT file_id, path, file_type, CAST(2 AS INTEGER) AS priority
+        FROM files WHERE status = 'error'""",
+)
+def retry_errors(spark, sf_dir):
+    return changes.retry_jobs(inputs.files(spark, sf_dir))
+
+
+@query(
+    "stream_apply",
+    f"""WITH {sqltext.chunks()},
+        counted AS (SELECT file_id, count(*) AS n_chunks FROM chunks GROUP BY file_id),
+        users AS (
+          SELECT doc_id, '/u/' || doc_id || '.md' AS path,
+                 row_number() OVER (ORDER BY substr(md5('/u/' || doc_id || '.md'), 1, 3),
+                                             '/u/' || doc_id || '.md') AS new_id
+          FROM documents)
+        SELECT new_id AS file_id, path, 'indexed' AS status, coalesce(n_chunks, 0) AS n_chunks
+        FROM users LEFT JOIN counted ON file_id = doc_id
+        WHERE NOT (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+                   AND doc_id IN (SELECT user_id FROM events WHERE event_type <> 'view'))""",
+)
+def stream_apply(spark, sf_dir):
+    """All documents are indexed; then the toxic ones disappear, which the index learns of only
+    where an event mentions them."""
+    home, where = file_type_settings(spark), locations(spark, sf_dir)
+    present = inputs.documents(spark, sf_dir).select(
+        "doc_id",
+        F.concat(F.lit("/u/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+        F.lit(0.0).alias("mtime"),
+        F.octet_length("text").cast("long").alias("size_bytes"),
+        F.replace("text", F.lit("\n"), F.lit("\n\n")).cast("binary").alias("content"),
+    )
+    toxic = inputs.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    left = present.join(toxic, "doc_id", "left_anti").drop("doc_id")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    tables = IndexTables(spark, f"{folder}/index", 8, 4)
+    tables.create()
+    tables.apply(index_batch(present.drop("doc_id"), tables.files(), where, home, now=0.0))
+    changes.stream_apply(
+        change_stream(spark, sf_dir),
+        tables,
+        lambda: left,
+        where,
+        home,
+        f"{folder}/checkpoint",
+        now=lambda: 1.0,
+    ).awaitTermination()
+    counts = maintenance.chunk_counts(tables.chunks())
+    return (
+        tables.files()
+        .join(counts, "file_id", "left")
+        .select(
+            "file_id", "path", "status",
+            F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"),
+        )
+    )
