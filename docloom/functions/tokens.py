@@ -11,16 +11,21 @@ TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
 def _accent_map() -> tuple[str, str]:
-    """Accented Latin letters with one mark, by Unicode decomposition, and their plain letters.
+    """Lower-case letters that fold to another one, and that other one, by Unicode's own tables.
 
+    These are Latin letters with one mark, and letters whose case folding is not their lower case.
     Combining marks standing on their own are dropped: they come last and have no counterpart.
     """
     accented, plain = [], []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) == 2 and parts[0].isascii() and parts[0].islower():
-            accented.append(chr(code))
-            plain.append(parts[0])
+    for code in (*range(0xB5, 0x530), *range(0x1E00, 0x1F00)):
+        letter = chr(code)
+        folded = letter.casefold() if len(letter.casefold()) == 1 else letter
+        base, *marks = unicodedata.normalize("NFD", folded)
+        if len(marks) == 1 and base.isascii() and base.islower():
+            folded = base
+        if letter.islower() and folded != letter:
+            accented.append(letter)
+            plain.append(folded)
     marks = "".join(map(chr, range(0x300, 0x370)))
     return "".join(accented) + marks, "".join(plain)
 

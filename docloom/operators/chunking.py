@@ -226,7 +226,8 @@ def all_chunkers() -> list[tuple[str, Chunker]]:
 
 register_chunker("text", lambda content, path: paragraph_result(content))
 register_chunker("code", lambda content, path: code_result(content, tx.language_of(path)))
-for _category in ("office", "image", "video"):
+# The pages of a paged file are rows of their own, see extract_all.
+for _category in ("pdf", "office", "image", "video"):
     register_chunker(_category, lambda content, path: empty_result())
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.vectors import DISTANCE_DIGITS
@@ -113,17 +113,20 @@ def _against_grid(queries: DataFrame, chunks: DataFrame, max_queries: int, k: in
     query_blocks = -(-2 * queries.count() // max_queries)
     chunk_blocks = max(1, -(-chunks.count() // CHUNKS_PER_BLOCK))
 
-    def block(column: str, n: int):
+    def block(column: str, n: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n))
 
+    def every_block(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+
     left = queries.select(
         block("query_id", query_blocks).alias("query_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))).cast("long").alias("chunk_block"),
+        every_block(chunk_blocks).alias("chunk_block"),
         "query_id",
         "embedding",
     )
     right = chunks.select(
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long").alias("query_block"),
+        every_block(query_blocks).alias("query_block"),
         block("chunk_id", chunk_blocks).alias("chunk_block"),
         "chunk_id",
         "file_id",

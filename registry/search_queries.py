@@ -210,24 +210,19 @@ def match_phrase(spark, sf_dir):
 
 @query(
     "match_first",
-    f"""WITH {_CHUNKS_AND_TOKENS}, {SEARCH_ROWS.replace("searches AS", "queries AS")}, {_PHRASES}, {_PHRASE_HITS},
+    f"""WITH {_CHUNKS_AND_TOKENS}, {SEARCH_ROWS.replace("searches AS", "queries AS")}, {_PHRASES},
+        {_PHRASE_HITS.replace("frequency AS", "anywhere AS")},
         opening AS (SELECT phrase, chunk_id, file_id, chunk_len, 1 AS tf FROM hits WHERE starts[1] = 0),
+        frequency AS (SELECT phrase, count(*) AS df FROM opening GROUP BY phrase),
         {_matches('matches', '', 'opening')}
         SELECT query_id, chunk_id, file_id, n_matched, round(bm25, 6) AS bm25 FROM matches""",
 )
 def match_first(spark, sf_dir):
-    """Phrases that a chunk starts with; frequencies are those of the phrase anywhere."""
+    """Phrases that a chunk starts with."""
     index = inputs.index(spark, sf_dir).text
     phrases = fulltext.query_phrase(searches(spark))
-    hits = written(fulltext.phrase_hits(phrases, index), "first-hits")
-    return _rounded(
-        fulltext.match_all(
-            phrases,
-            fulltext.first_token_hits(hits),
-            index.stats,
-            frequency=fulltext.document_frequency(hits),
-        )
-    )
+    hits = written(fulltext.first_token_hits(fulltext.phrase_hits(phrases, index)), "first-hits")
+    return _rounded(fulltext.match_all(phrases, hits, index.stats))
 
 
 @query(
