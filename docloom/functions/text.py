@@ -166,9 +166,11 @@ def percent_score(score: Column) -> Column:
     return F.format_string("%.0f%%", score * 100)
 
 
+# ``greatest`` passes over NULLs, so a missing distance or score is kept apart.
 def vector_score(distance: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1.0 - distance / 2.0)
+    return F.when(distance.isNotNull(), F.greatest(F.lit(0.0), 1.0 - distance / 2.0))
 
 
 def keyword_score(bm25: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1.0 / (1.0 + F.greatest(F.lit(0.0), bm25)))
+    score = F.greatest(F.lit(0.0), 1.0 / (1.0 + F.greatest(F.lit(0.0), bm25)))
+    return F.when(bm25.isNotNull(), score)

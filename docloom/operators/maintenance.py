@@ -20,6 +20,11 @@ ID_GROUP_DIGITS = 3
 MTIME_TOLERANCE = 1.0
 
 
+def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in ``gone``; columns keep their order."""
+    return table.join(gone.select(key), key, "left_anti").select(*table.columns)
+
+
 def detect_changes(scan: DataFrame, files: DataFrame) -> DataFrame:
     """Compare a scan (path, mtime, size_bytes, content_hash) with the known files.
 
@@ -138,7 +143,7 @@ def upsert_by_key(
 ) -> DataFrame:
     """Insert or replace rows by a unique key; the last version wins and an old row keeps its id."""
     latest = with_ids(latest_per_key(changes, key, version), base, key, id_col)
-    kept = base.join(latest.select(key), key, "left_anti")
+    kept = without(base, latest, key)
     return kept.unionByName(latest.select(*base.columns))
 
 
@@ -151,7 +156,7 @@ def replace_by_owner(
     which holds the vectors, is not shuffled.
     """
     gone = broadcast_if_small(owners.select(owner).distinct())
-    return base.join(gone, owner, "left_anti").unionByName(new, allowMissingColumns=True)
+    return without(base, gone, owner).unionByName(new, allowMissingColumns=True)
 
 
 def remove_location(
@@ -163,7 +168,7 @@ def remove_location(
     gone = broadcast_if_small(files.filter(leaving).select("file_id"))
     return (
         files.filter(~leaving),
-        chunks.join(gone, "file_id", "left_anti"),
+        without(chunks, gone, "file_id"),
         locations.filter(~leaving),
     )
 
@@ -174,7 +179,7 @@ def purge_missing(
     """Remove files that a scan no longer finds, with their chunks."""
     present = scan.select("path")
     gone = broadcast_if_small(files.join(present, "path", "left_anti").select("file_id"))
-    return files.join(gone, "file_id", "left_anti"), chunks.join(gone, "file_id", "left_anti")
+    return without(files, gone, "file_id"), without(chunks, gone, "file_id")
 
 
 def remove_paths(
@@ -182,7 +187,7 @@ def remove_paths(
 ) -> tuple[DataFrame, DataFrame]:
     """Remove the files with the given paths, with their chunks."""
     gone = broadcast_if_small(files.join(paths.select("path"), "path", "left_semi").select("file_id"))
-    return files.join(gone, "file_id", "left_anti"), chunks.join(gone, "file_id", "left_anti")
+    return without(files, gone, "file_id"), without(chunks, gone, "file_id")
 
 
 def set_attribute(table: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import content_hash, decode_text
+from docloom.functions.text import category_of, content_hash, decode_text
 from docloom.operators.chunking import explode_chunks, extract_all
 from docloom.operators.embedding import EmbedFn, embed, hash_embed
 from docloom.operators.filters import indexable_files
@@ -38,19 +39,22 @@ def index_batch(
     settings: DataFrame,
     *,
     now: float,
+    read: Callable[[DataFrame], DataFrame] | None = None,
     pages: DataFrame | None = None,
     embed_fn: EmbedFn = hash_embed,
     dim: int = EMBED_DIM,
 ) -> Batch:
     """Turn scanned files (path, mtime, size_bytes, content) into file and chunk rows.
 
-    Only new, changed and unfinished files are read again. What decides that is a join of paths
-    and hashes; the list of files to read is written, and sent to the scan when it is short, so
-    that contents are not shuffled. ``pages`` (path, page_no, page_text) holds the texts of paged
-    files. Vectors are computed last and pass through no further join.
+    ``read`` adds the contents where the scan is a mere listing. All contents are hashed, but only
+    new, changed and unfinished files are cut and embedded. What decides that is a join of paths
+    and hashes; the list of files due is written, and sent to the scan when it is short, so that
+    contents are not shuffled. ``pages`` (path, page_no, page_text) holds the texts of paged files.
+    Vectors are computed last and pass through no further join.
     """
+    with_contents = read or (lambda rows: rows)
     indexable = indexable_files(scan, settings)
-    seen = indexable.select(
+    seen = with_contents(indexable).withColumn("file_type", category_of(F.col("path"))).select(
         "path",
         "file_type",
         "mtime",
@@ -64,7 +68,12 @@ def index_batch(
         assign_location(with_ids(due, files, "path", "file_id"), locations), "files-to-read"
     )
     readable = broadcast_if_small(todo.filter(~F.col("too_large")).select("path", "file_id"))
-    texts = indexable.select("path", "file_type", decode_text(F.col("content")).alias("content"))
+    due_files = with_contents(indexable.join(readable.select("path"), "path", "left_semi"))
+    texts = due_files.select(
+        "path",
+        category_of(F.col("path")).alias("file_type"),
+        decode_text(F.col("content")).alias("content"),
+    )
     if pages is not None:
         pages = pages.join(readable, "path").select("file_id", "page_no", "page_text")
     extracted = written(extract_all(texts.join(readable, "path"), pages), "extracted")

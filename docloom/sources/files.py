@@ -1,34 +1,99 @@
-"""Scanning folder trees."""
+"""Scanning folder trees.
+
+Spark's own file listing leaves out empty files and every name that starts with an underscore or a
+dot, and with them each ``__init__.py``. Here tasks list the folders, one level of the tree after
+the other, and read the files; the driver sees neither.
+"""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.sizes import written
+
 # A row holds a whole file; larger files are listed without their contents.
 MAX_FILE_BYTES = 256 * 1024 * 1024
+# Contents handed over at a time.
+BATCH_BYTES = 64 * 1024 * 1024
+
+_LISTED = "path string, is_folder boolean, mtime double, size_bytes long"
+_READ = "path string, mtime double, size_bytes long, content binary"
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder in batch["path"].to_pylist():
+            system, inner = fs.FileSystem.from_uri(folder)
+            prefix = folder[: len(folder) - len(inner)]
+            found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+            # A link to a folder may lead back up the tree; files behind links are read.
+            kept = [
+                info
+                for info in found
+                if info.is_file or (info.type == fs.FileType.Directory and not os.path.islink(info.path))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([prefix + info.path for info in kept], pa.string()),
+                    pa.array([not info.is_file for info in kept], pa.bool_()),
+                    pa.array([(info.mtime_ns or 0) / 1e9 for info in kept], pa.float64()),
+                    pa.array([info.size or 0 for info in kept], pa.int64()),
+                ],
+                names=["path", "is_folder", "mtime", "size_bytes"],
+            )
+
+
+def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Every file below the roots: path, mtime, size_bytes. One small job per level of the tree."""
+    tasks = spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([(root.rstrip("/") or "/",) for root in set(roots)], "path string")
+    files = spark.createDataFrame([], _LISTED)
+    while not level.isEmpty():
+        listed = written(level.repartition(tasks).mapInArrow(_list_folders, _LISTED), "listing")
+        files = files.unionByName(listed.filter(~F.col("is_folder")))
+        level = listed.filter("is_folder").select("path")
+    # Roots may lie inside one another.
+    return files.drop("is_folder").dropDuplicates(["path"])
+
+
+def _reader(max_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def read(path: str) -> bytes:
+        system, inner = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(inner) as stream:
+            return stream.read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents, start, held = [], 0, 0
+            sizes = batch["size_bytes"].to_pylist()
+            for i, (path, size) in enumerate(zip(batch["path"].to_pylist(), sizes, strict=True)):
+                contents.append(read(path) if size <= max_bytes else None)
+                held += len(contents[-1] or b"")
+                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(start, len(contents))
+                    yield part.append_column("content", pa.array(contents, pa.binary()))
+                    contents, start, held = [], i + 1, 0
+
+    return run
+
+
+def read_contents(listing: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Add ``content`` to listed files; NULL for one of more than ``max_bytes``."""
+    rows = listing.select("path", "mtime", "size_bytes")
+    return rows.mapInArrow(_reader(max_bytes), _READ)
 
 
 def scan_files(
     spark: SparkSession, roots: list[str], max_bytes: int = MAX_FILE_BYTES
 ) -> DataFrame:
-    """Every file below the roots: path, mtime, size_bytes, content.
-
-    Both branches push their size condition to the scan; the second reads no contents at all.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-
-    def rows(part: DataFrame, content) -> DataFrame:
-        return part.select(
-            F.regexp_replace("path", r"^file:/*", "/").alias("path"),
-            (F.unix_micros("modificationTime") / 1e6).alias("mtime"),
-            F.col("length").alias("size_bytes"),
-            content.alias("content"),
-        )
-
-    return rows(found.filter(F.col("length") <= max_bytes), F.col("content")).unionByName(
-        rows(found.filter(F.col("length") > max_bytes), F.lit(None).cast("binary"))
-    )
+    """Every file below the roots: path, mtime, size_bytes, content."""
+    return read_contents(list_files(spark, roots), max_bytes)
 
 
 def enabled_roots(locations: DataFrame) -> list[str]:

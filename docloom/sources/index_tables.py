@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from docloom.operators import fulltext
+from docloom.operators.maintenance import without
 from docloom.plans.indexing import Batch
 from docloom.schemas import CHUNKS, FILES, POSTINGS
 from docloom.sources.sizes import broadcast_if_small, written
@@ -104,7 +105,7 @@ class IndexTables:
             if fresh:
                 return new
             kept = self.read(table).filter(F.col("bucket").isin(touched))
-            rows = kept.join(gone, "file_id", "left_anti").unionByName(new)
+            rows = without(kept, gone, "file_id").unionByName(new)
             # Computed and written before the folders it was read from are replaced.
             return written(rows, table)
 

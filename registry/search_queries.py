@@ -372,9 +372,11 @@ vector_leg AS (
 fused AS (
   SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id,
          coalesce(v.file_id, k.file_id) AS file_id, distance, bm25, vector_rank, keyword_rank,
-         coalesce(greatest(0.0::DOUBLE, 1 - distance / 2) * 0.6::DOUBLE, 0.0::DOUBLE)
-           + coalesce(greatest(0.0::DOUBLE, 1 / (1 + greatest(0.0::DOUBLE, bm25))) * 0.4::DOUBLE,
-                      0.0::DOUBLE) AS score
+         CASE WHEN distance IS NULL THEN 0.0::DOUBLE
+              ELSE greatest(0.0::DOUBLE, 1 - distance / 2) * 0.6::DOUBLE END
+           + CASE WHEN bm25 IS NULL THEN 0.0::DOUBLE
+                  ELSE greatest(0.0::DOUBLE, 1 / (1 + greatest(0.0::DOUBLE, bm25))) * 0.4::DOUBLE
+             END AS score
   FROM vector_leg v FULL JOIN keyword_leg k
     ON v.query_id = k.query_id AND v.chunk_id = k.chunk_id),
 ranked AS (
