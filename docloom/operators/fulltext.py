@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.tokens import tokenize
 from docloom.schemas import TOP_K
-from docloom.sources.sizes import Settled, settled, written
+from docloom.sources.sizes import MAX_BROADCAST_ROWS, Settled, settled, written
 
 # Fixed values of the ranking function.
 K1 = 1.2
@@ -165,6 +165,19 @@ def term_hits(phrases: DataFrame, index: Index) -> DataFrame:
     )
 
 
+def _streamed(table: DataFrame, places: DataFrame, pivots: Settled) -> DataFrame:
+    """Join open places with the postings or hits that may confirm them.
+
+    The rarest phrase or token proposed the places, so its frequency bounds their number before
+    anything is read. Few places are broadcast, and the long lists of frequent words are read past
+    them without a shuffle; otherwise both sides are shuffled by phrase or term *and* chunk.
+    """
+    keys = [c for c in ("term", "phrase") if c in table.columns]
+    if pivots.bound("n_open") <= MAX_BROADCAST_ROWS:
+        places = F.broadcast(places)
+    return table.join(places, [*keys, "chunk_id"])
+
+
 def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
     """Hits of phrases of any length: adjacent tokens in order.
 
@@ -191,10 +204,13 @@ def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
             F.col("rarest.i").alias("pivot_i"),
             F.col("rarest.term").alias("term"),
             term_bucket(F.col("rarest.term"), index.term_buckets).alias("term_bucket"),
+            (F.col("rarest.df") * (F.col("n") - 1)).alias("n_open"),
         ),
         "phrase-pivots",
     )
-    places = _by_term(index, index.postings, pivots, pivots.df.drop("term_bucket")).select(
+    places = _by_term(
+        index, index.postings, pivots, pivots.df.drop("term_bucket", "n_open")
+    ).select(
         "phrase",
         "n",
         "pivot_i",
@@ -214,7 +230,7 @@ def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
     other_terms = tokens.df.filter(F.col("n") > 1).select("term").distinct()
     other_postings = _by_term(index, index.postings, tokens, other_terms)
     confirmed = (
-        others.join(other_postings.select("term", "chunk_id", "positions"), ["term", "chunk_id"])
+        _streamed(other_postings.select("term", "chunk_id", "positions"), others, pivots)
         .withColumn(
             "kept",
             F.filter("starts", lambda s: F.array_contains(F.col("positions"), s + F.col("i"))),
@@ -374,10 +390,14 @@ def match_all(
         F.count("df").over(of_query).alias("n_known"),
         F.min(F.struct("df", "phrase")).over(of_query)["phrase"].alias("pivot"),
     )
+    is_pivot = F.col("phrase") == F.col("pivot")
+    n_open = F.when(is_pivot, F.col("df") * (F.col("n") - 1)).otherwise(0)
     # At most a row per phrase of a query; a query with a phrase found nowhere has no matches.
-    wanted = settled(known.filter(F.col("n") == F.col("n_known")), "all-terms")
-    pivots = wanted.df.filter(F.col("phrase") == F.col("pivot"))
-    others = wanted.df.filter(F.col("phrase") != F.col("pivot"))
+    wanted = settled(
+        known.filter(F.col("n") == F.col("n_known")).withColumn("n_open", n_open), "all-terms"
+    )
+    pivots = wanted.df.filter(is_pivot).drop("n_open")
+    others = wanted.df.filter(~is_pivot).drop("n_open")
     found = hits.join(wanted.hint(pivots), "phrase").select(*_MATCH, "n")
     if restrict is not None:
         found = restrict(found)
@@ -387,7 +407,7 @@ def match_all(
         .join(wanted.hint(others), "query_id")
     )
     other_hits = hits.join(wanted.hint(others.select("phrase").distinct()), "phrase", "left_semi")
-    confirmed = open_places.join(other_hits, ["phrase", "chunk_id"])
+    confirmed = _streamed(other_hits, open_places, wanted)
     every = found.select(*_MATCH).unionByName(confirmed.select(*_MATCH))
     lengths = wanted.hint(pivots.select("query_id", "n"))
     return (

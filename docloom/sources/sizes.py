@@ -71,6 +71,10 @@ class Settled:
         """A broadcast hint for a table known to have no more rows than this one, if small."""
         return F.broadcast(other) if self.small else other
 
+    def bound(self, column: str) -> float:
+        """Sum of a column of row counts, if small; else unbounded."""
+        return sum(self.rows[column].to_pylist()) if self.small else float("inf")
+
     def distinct(self, column: str) -> list | None:
         """Distinct values of a column, if small."""
         return sorted(set(self.rows[column].to_pylist())) if self.small else None
