@@ -8,6 +8,7 @@ own, is grouped, and only after each document has been cut down to the pages tha
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,16 +232,26 @@ for _category in ("pdf", "office", "image", "video"):
     register_chunker(_category, lambda content, path: empty_result())
 
 
+@lru_cache(maxsize=16)
+def _dispatch(application: str, content: str, chunkers: tuple[tuple[str, Chunker], ...]) -> Column:
+    """The result column over all categories. It names columns only, so that the many small
+    batches of a stream need not build the large expression anew; ``application`` ties it to its
+    Spark application."""
+    result = F.when(F.lit(False), empty_result())
+    for category, chunker in chunkers:
+        built = chunker(F.col(content), F.col("path"))
+        result = result.when(F.col("file_type") == category, built)
+    return result
+
+
 def extract(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``gist`` and ``chunks`` to rows of (path, file_type, content) in one pass.
 
     ``error`` names what went wrong: a category without a chunker.
     """
-    result = F.when(F.lit(False), empty_result())
-    for category, chunker in all_chunkers():
-        built = chunker(F.col(content), F.col("path"))
-        result = result.when(F.col("file_type") == category, built)
-    known = F.col("file_type").isin(*[category for category, _ in all_chunkers()])
+    chunkers = tuple(all_chunkers())
+    result = _dispatch(files.sparkSession.sparkContext.applicationId, content, chunkers)
+    known = F.col("file_type").isin(*[category for category, _ in chunkers])
     return files.select("*", result.alias("_result")).select(
         *files.columns,
         F.col("_result.gist").alias("gist"),

@@ -165,17 +165,18 @@ def term_hits(phrases: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def _streamed(table: DataFrame, places: DataFrame, pivots: Settled) -> DataFrame:
+def _streamed(
+    table: DataFrame, places: DataFrame, keys: list[str], pivots: Settled
+) -> DataFrame:
     """Join open places with the postings or hits that may confirm them.
 
     The rarest phrase or token proposed the places, so its frequency bounds their number before
     anything is read. Few places are broadcast, and the long lists of frequent words are read past
     them without a shuffle; otherwise both sides are shuffled by phrase or term *and* chunk.
     """
-    keys = [c for c in ("term", "phrase") if c in table.columns]
     if pivots.bound("n_open") <= MAX_BROADCAST_ROWS:
         places = F.broadcast(places)
-    return table.join(places, [*keys, "chunk_id"])
+    return table.join(places, keys)
 
 
 def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
@@ -230,7 +231,12 @@ def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
     other_terms = tokens.df.filter(F.col("n") > 1).select("term").distinct()
     other_postings = _by_term(index, index.postings, tokens, other_terms)
     confirmed = (
-        _streamed(other_postings.select("term", "chunk_id", "positions"), others, pivots)
+        _streamed(
+            other_postings.select("term", "chunk_id", "positions"),
+            others,
+            ["term", "chunk_id"],
+            pivots,
+        )
         .withColumn(
             "kept",
             F.filter("starts", lambda s: F.array_contains(F.col("positions"), s + F.col("i"))),
@@ -278,10 +284,11 @@ def first_token_hits(hits: DataFrame) -> DataFrame:
     )
 
 
-def near_hits(pairs: DataFrame, hits: DataFrame) -> DataFrame:
+def near_hits(pairs: DataFrame, hits: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
     """NEAR: chunks where two phrases occur with at most ``distance`` tokens between them.
 
-    ``pairs`` has (query_id, left, right, distance). Returns two rows per query and chunk, one per
+    ``pairs`` has (query_id, left, right, distance); the rarer phrase of each proposes the chunks.
+    Returns two rows per query and chunk, one per
     phrase, whose ``starts`` are its occurrences that take part. An occurrence takes part when the
     other phrase occurs within reach, not before the preceding occurrence of its own phrase.
     """
@@ -300,7 +307,24 @@ def near_hits(pairs: DataFrame, hits: DataFrame) -> DataFrame:
 
         return F.filter(own, within)
 
-    wanted = settled(pairs, "near-pairs")
+    frequency = document_frequency(hits) if frequency is None else frequency
+
+    def of_side(side: str) -> DataFrame:
+        return frequency.select(F.col("phrase").alias(side), F.col("df").alias(f"{side}_df"))
+
+    swap = F.col("right_df") < F.col("left_df")
+    wanted = settled(
+        pairs.join(of_side("left"), "left")
+        .join(of_side("right"), "right")
+        .select(
+            "query_id",
+            "distance",
+            F.when(swap, F.col("right")).otherwise(F.col("left")).alias("left"),
+            F.when(swap, F.col("left")).otherwise(F.col("right")).alias("right"),
+            F.least("left_df", "right_df").alias("n_open"),
+        ),
+        "near-pairs",
+    )
     left = hits.select(
         F.col("phrase").alias("left"),
         "chunk_id",
@@ -312,8 +336,12 @@ def near_hits(pairs: DataFrame, hits: DataFrame) -> DataFrame:
         F.col("phrase").alias("right"), "chunk_id", F.col("starts").alias("right_starts")
     )
     both = (
-        left.join(wanted.hint(wanted.df), "left")
-        .join(right, ["right", "chunk_id"])
+        _streamed(
+            right,
+            left.join(wanted.hint(wanted.df.drop("n_open")), "left"),
+            ["right", "chunk_id"],
+            wanted,
+        )
         .withColumn(
             "left_kept", taking_part("left_starts", length("left"), "right_starts", length("right"))
         )
@@ -407,7 +435,7 @@ def match_all(
         .join(wanted.hint(others), "query_id")
     )
     other_hits = hits.join(wanted.hint(others.select("phrase").distinct()), "phrase", "left_semi")
-    confirmed = _streamed(other_hits, open_places, wanted)
+    confirmed = _streamed(other_hits, open_places, ["phrase", "chunk_id"], wanted)
     every = found.select(*_MATCH).unionByName(confirmed.select(*_MATCH))
     lengths = wanted.hint(pivots.select("query_id", "n"))
     return (
@@ -430,8 +458,8 @@ def match_near(pairs: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame
 
     Occurrences taking part are counted, but a phrase is as frequent as it is on its own.
     """
-    near = near_hits(pairs, hits).withColumn("n_times", F.lit(1))
     frequency = settled(document_frequency(hits), "near-frequency")
+    near = near_hits(pairs, hits, frequency.df).withColumn("n_times", F.lit(1))
     return _scored(near.join(frequency.hint(frequency.df), "phrase").select(*_MATCH), stats)
 
 

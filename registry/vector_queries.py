@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vectors as vec
 from docloom.operators import embedding, nearest
+from docloom.sources.sizes import broadcast_if_small
 from registry import inputs, sqltext
 from registry.base import query
 
@@ -45,7 +46,7 @@ def cosine_distance(spark, sf_dir):
     means = centroids(spark, sf_dir).select(
         F.col("query_id").alias("label"), F.col("embedding").alias("centroid")
     )
-    rows = inputs.table(spark, sf_dir, "embeddings").join(means, "label")
+    rows = inputs.table(spark, sf_dir, "embeddings").join(broadcast_if_small(means), "label")
     distance = vec.cosine_distance(F.col("embedding"), F.col("centroid"))
     return rows.select("vec_id", "label", F.round(distance, 6).alias("distance"))
 
@@ -148,13 +149,17 @@ _SEED = "CAST('0x' || " + " || ".join(f"substr(md5(snippet), {i}, 2)" for i in r
 def hash_embed(spark, sf_dir):
     """The vector of every snippet, told by the signs of its 384 components and its length."""
     embedded = embedding.embed(inputs.cut_chunks(spark, sf_dir).select("chunk_id", "snippet"))
-    positive = F.filter(
-        F.transform("embedding", lambda x, i: F.when(x > 0, i + 1)), lambda i: i.isNotNull()
-    )
+    # The number of a dimension where the vector is positive, else 0.
+    numbers = F.transform("embedding", lambda x, i: F.when(x > 0, i + 1).otherwise(0))
     return embedded.select(
         "chunk_id",
         F.size("embedding").alias("n_dims"),
-        F.size(positive).alias("n_positive"),
-        F.aggregate(positive, F.lit(0).cast("long"), lambda a, i: a + i).alias("positive_dims"),
         F.round(vec.l2_norm(F.col("embedding")), 4).alias("norm"),
+        numbers.alias("numbers"),
+    ).select(
+        "chunk_id",
+        "n_dims",
+        F.size(F.array_remove("numbers", 0)).alias("n_positive"),
+        F.aggregate("numbers", F.lit(0).cast("long"), lambda a, i: a + i).alias("positive_dims"),
+        "norm",
     )
