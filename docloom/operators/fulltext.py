@@ -166,7 +166,7 @@ def term_hits(phrases: DataFrame, index: Index) -> DataFrame:
 
 
 def _streamed(
-    table: DataFrame, places: DataFrame, keys: list[str], pivots: Settled
+    table: DataFrame, places: DataFrame, keys: list[str], bound: float
 ) -> DataFrame:
     """Join open places with the postings or hits that may confirm them.
 
@@ -174,7 +174,7 @@ def _streamed(
     anything is read. Few places are broadcast, and the long lists of frequent words are read past
     them without a shuffle; otherwise both sides are shuffled by phrase or term *and* chunk.
     """
-    if pivots.bound("n_open") <= MAX_BROADCAST_ROWS:
+    if bound <= MAX_BROADCAST_ROWS:
         places = F.broadcast(places)
     return table.join(places, keys)
 
@@ -235,7 +235,7 @@ def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
             other_postings.select("term", "chunk_id", "positions"),
             others,
             ["term", "chunk_id"],
-            pivots,
+            pivots.bound("n_open"),
         )
         .withColumn(
             "kept",
@@ -340,7 +340,7 @@ def near_hits(pairs: DataFrame, hits: DataFrame, frequency: DataFrame | None = N
             right,
             left.join(wanted.hint(wanted.df.drop("n_open")), "left"),
             ["right", "chunk_id"],
-            wanted,
+            wanted.bound("n_open"),
         )
         .withColumn(
             "left_kept", taking_part("left_starts", length("left"), "right_starts", length("right"))
@@ -416,33 +416,61 @@ def match_all(
         "df",
         F.count(F.lit(1)).over(of_query).cast("int").alias("n"),
         F.count("df").over(of_query).alias("n_known"),
-        F.min(F.struct("df", "phrase")).over(of_query)["phrase"].alias("pivot"),
+        F.row_number().over(of_query.orderBy("df", "phrase")).alias("turn"),
     )
-    is_pivot = F.col("phrase") == F.col("pivot")
-    n_open = F.when(is_pivot, F.col("df") * (F.col("n") - 1)).otherwise(0)
     # At most a row per phrase of a query; a query with a phrase found nowhere has no matches.
+    first_turn = F.col("turn") == 1
     wanted = settled(
-        known.filter(F.col("n") == F.col("n_known")).withColumn("n_open", n_open), "all-terms"
+        known.filter(F.col("n") == F.col("n_known"))
+        .withColumn("n_second", F.when(first_turn & (F.col("n") > 1), F.col("df")).otherwise(0))
+        .withColumn("n_rest", F.when(first_turn & (F.col("n") > 2), F.col("df") * (F.col("n") - 2)).otherwise(0)),
+        "all-terms",
+    )
+    phrases = wanted.df.select("query_id", "phrase", "n_times", "df", "n", "turn")
+    share = _phrase_score(stats)
+    occurrences = hits.select("phrase", "chunk_id", "file_id", "chunk_len", "tf")
+
+    def confirmed(places: DataFrame, turns: Column, bound: float) -> DataFrame:
+        """Places joined with the occurrences of the phrases whose turn it is."""
+        these = phrases.filter(turns).drop("n", "turn")
+        looked_up = occurrences.drop("file_id").join(
+            wanted.hint(these.select("phrase").distinct()), "phrase", "left_semi"
+        )
+        asked = places.join(wanted.hint(these), "query_id")
+        return _streamed(looked_up, asked, ["phrase", "chunk_id"], bound)
+
+    place = ["query_id", "chunk_id", "file_id", "n", "score"]
+    first = (
+        occurrences.join(wanted.hint(phrases.filter(first_turn)), "phrase")
+        .withColumn("score", share)
+        .select(*place)
     )
-    pivots = wanted.df.filter(is_pivot).drop("n_open")
-    others = wanted.df.filter(~is_pivot).drop("n_open")
-    found = hits.join(wanted.hint(pivots), "phrase").select(*_MATCH, "n")
     if restrict is not None:
-        found = restrict(found)
-    open_places = (
-        found.filter(F.col("n") > 1)
-        .select("query_id", "chunk_id")
-        .join(wanted.hint(others), "query_id")
-    )
-    other_hits = hits.join(wanted.hint(others.select("phrase").distinct()), "phrase", "left_semi")
-    confirmed = _streamed(other_hits, open_places, ["phrase", "chunk_id"], wanted)
-    every = found.select(*_MATCH).unionByName(confirmed.select(*_MATCH))
-    lengths = wanted.hint(pivots.select("query_id", "n"))
-    return (
-        _scored(every, stats)
-        .join(lengths, "query_id")
-        .filter(F.col("n_matched") == F.col("n"))
-        .drop("n")
+        first = restrict(first)
+    # The second rarest phrase leaves few of the places; only those are asked for the others.
+    second = (
+        confirmed(first.filter(F.col("n") > 1), F.col("turn") == 2, wanted.bound("n_second"))
+        .withColumn("score", F.col("score") + share)
+        .select(*place)
+    )
+    rest = (
+        confirmed(second.filter(F.col("n") > 2), F.col("turn") > 2, wanted.bound("n_rest"))
+        .withColumn("share", share)
+        .groupBy(*place)
+        .agg(F.count(F.lit(1)).alias("n_more"), F.sum("share").alias("more"))
+        .filter(F.col("n_more") == F.col("n") - 2)
+        .withColumn("score", F.col("score") + F.col("more"))
+        .select(*place)
+    )
+    complete = (
+        first.filter(F.col("n") == 1).unionByName(second.filter(F.col("n") == 2)).unionByName(rest)
+    )
+    return complete.select(
+        "query_id",
+        "chunk_id",
+        "file_id",
+        F.col("n").alias("n_matched"),
+        F.round("score", SCORE_DIGITS).alias("bm25"),
     )
 
 
