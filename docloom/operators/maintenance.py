@@ -147,6 +147,18 @@ def upsert_by_key(
     return kept.unionByName(latest.select(*base.columns))
 
 
+def add_locations(locations: DataFrame, new: DataFrame, now: float) -> DataFrame:
+    """Add locations (path, enabled); a path that is one already stays as it is."""
+    fresh = new.select("path", "enabled").dropDuplicates(["path"])
+    fresh = fresh.join(locations.select("path"), "path", "left_anti")
+    rows = with_ids(fresh, locations, "path", "location_id").withColumn("added_at", F.lit(now))
+    return locations.unionByName(rows.select(*locations.columns))
+
+
+def list_locations(locations: DataFrame) -> DataFrame:
+    return locations.orderBy("added_at", "location_id")
+
+
 def replace_by_owner(
     base: DataFrame, new: DataFrame, owners: DataFrame, owner: str = "file_id"
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.maintenance import list_locations
 from docloom.sources.sizes import written
 
 # A row holds a whole file; larger files are listed without their contents.
@@ -98,5 +99,5 @@ def scan_files(
 
 def enabled_roots(locations: DataFrame) -> list[str]:
     """Paths of the enabled locations, in the order they were added."""
-    rows = locations.filter("enabled").orderBy("added_at", "location_id").select("path").collect()
+    rows = list_locations(locations.filter("enabled")).select("path").collect()
     return [row.path for row in rows]

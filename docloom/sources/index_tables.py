@@ -16,7 +16,8 @@ from pyspark.sql.utils import AnalysisException
 from docloom.operators import fulltext
 from docloom.operators.maintenance import without
 from docloom.plans.indexing import Batch
-from docloom.schemas import CHUNKS, FILES, POSTINGS
+from docloom.schemas import CHUNKS, FILE_TYPE_SETTINGS, FILES, LOCATIONS, POSTINGS
+from docloom.sources.seeds import file_type_settings
 from docloom.sources.sizes import broadcast_if_small, written
 
 BUCKETS = 64
@@ -52,19 +53,46 @@ class IndexTables:
         return T.StructType([*_SCHEMAS[table].fields, *folders])
 
     def create(self, reset: bool = False) -> None:
-        """Make empty tables; existing ones stay unless ``reset``."""
-        for table in _SCHEMAS:
+        """Make empty tables and the default settings; existing ones stay unless ``reset``."""
+        first = {name: self.spark.createDataFrame([], s) for name, s in _SCHEMAS.items()}
+        first["locations"] = self.spark.createDataFrame([], LOCATIONS)
+        first["settings"] = file_type_settings(self.spark)
+        for table, rows in first.items():
             if reset or not self._exists(table):
-                empty = self.spark.createDataFrame([], _SCHEMAS[table])
-                empty.write.mode("overwrite").parquet(self._path(table))
+                rows.write.mode("overwrite").parquet(self._path(table))
 
     def _exists(self, table: str) -> bool:
         try:
-            self.spark.read.schema(self._schema(table)).parquet(self._path(table))
+            self.spark.read.parquet(self._path(table))
         except AnalysisException:
             return False
         return True
 
+    def locations(self) -> DataFrame:
+        return self.spark.read.schema(LOCATIONS).parquet(self._path("locations"))
+
+    def settings(self) -> DataFrame:
+        return self.spark.read.schema(FILE_TYPE_SETTINGS).parquet(self._path("settings"))
+
+    def save_locations(self, rows: DataFrame) -> None:
+        written(rows, "locations").write.mode("overwrite").parquet(self._path("locations"))
+
+    def save_settings(self, rows: DataFrame) -> None:
+        written(rows, "settings").write.mode("overwrite").parquet(self._path("settings"))
+
+    def remove(self, files: DataFrame) -> None:
+        """Remove files (file_id) with their chunks and postings."""
+        nothing = Batch(
+            self.spark.createDataFrame([], FILES), self.spark.createDataFrame([], CHUNKS)
+        )
+        self.apply(nothing, files)
+
+    def remove_locations(self, location_ids: list[int]) -> None:
+        """Remove locations with everything below them, the locations themselves last."""
+        leaving = F.col("location_id").isin(*location_ids) if location_ids else F.lit(False)
+        self.remove(self.files().filter(leaving).select("file_id"))
+        self.save_locations(self.locations().filter(~leaving))
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.schema(self._schema(table)).parquet(self._path(table))
 

@@ -175,6 +175,23 @@ def _left_over(files, chunks):
     return _ids(files, "file", "file_id").unionByName(_ids(chunks, "chunk", "chunk_id"))
 
 
+@query(
+    "add_location",
+    f"""WITH {_NESTED},
+        fresh AS (SELECT DISTINCT path || '/' AS path, enabled FROM nested WHERE location_id >= 1000)
+        SELECT location_id, path, enabled, added_at FROM locations
+        UNION ALL
+        SELECT (SELECT max(location_id) FROM locations)
+                 + row_number() OVER (ORDER BY substr(md5(path), 1, 3), path),
+               path, enabled, 99.0::DOUBLE FROM fresh""",
+)
+def add_location(spark, sf_dir):
+    """The inner folders become locations; the sources are locations already."""
+    return maintenance.list_locations(
+        maintenance.add_locations(locations(spark, sf_dir), nested_locations(spark, sf_dir), 99.0)
+    )
+
+
 REMOVED = [0, 5, 10, 19]
 
 

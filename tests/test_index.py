@@ -3,6 +3,7 @@ import os
 import pytest
 
 from docloom.operators import fulltext
+from docloom.operators.maintenance import add_locations, set_attribute
 from docloom.plans.indexing import apply_batch, index_batch, refresh
 from docloom.plans.searching import search
 from docloom.schemas import CHUNKS, FILES, LOCATIONS
@@ -153,3 +154,44 @@ def test_tables_on_disk(spark, tree, world, tmp_path):
     assert tables.files().count() == 4
     tables.create(reset=True)
     assert snapshot(tables) == ([], [], [], (0, 0, None))
+
+
+def test_locations_and_settings_on_disk(spark, tree, tmp_path):
+    tables = IndexTables(spark, str(tmp_path / "index"), buckets=4, term_buckets=2)
+    tables.create()
+    assert tables.locations().count() == 0
+    assert sorted(r.category for r in tables.settings().filter("enabled").collect()) == ["code", "pdf", "text"]
+    new = spark.createDataFrame([(str(tree), True), (str(tree / "sub"), True)], "path string, enabled boolean")
+    tables.save_locations(add_locations(tables.locations(), new, 1.0))
+    tables.save_locations(add_locations(tables.locations(), new, 2.0))
+    ids = {r.path: r.location_id for r in tables.locations().collect()}
+    assert sorted(ids.values()) == [1, 2]
+    off = spark.createDataFrame([("pdf", False)], "category string, enabled boolean")
+    tables.save_settings(set_attribute(tables.settings(), off, "category", "enabled"))
+    tables.create()
+
+    listing = list_files(spark, enabled_roots(tables.locations()))
+    batch = index_batch(
+        listing, tables.files(), tables.locations(), tables.settings(), now=1.0, read=read_contents
+    )
+    tables.apply(batch)
+    assert set(rows_of(tables.files())) == {"a.md", "b.py", "bad.txt", "empty.txt", "__init__.py"}
+
+    queries = spark.createDataFrame([(1, "foo"), (2, "hello")], "query_id long, text string")
+
+    def found():
+        hits = search(
+            queries, tables.files(), tables.chunks(), tables.index(), tables.locations(), tables.settings()
+        )
+        return {(h.query_id, os.path.basename(h.path)) for h in hits.collect() if h.bm25 is not None}
+
+    assert found() == {(1, "b.py"), (2, "a.md")}
+    off = spark.createDataFrame([(ids[str(tree)], False)], "location_id long, enabled boolean")
+    tables.save_locations(set_attribute(tables.locations(), off, "location_id", "enabled"))
+    assert found() == {(1, "b.py")}
+    tables.remove_locations([ids[str(tree / "sub")]])
+    assert found() == set()
+    assert set(rows_of(tables.files())) == {"a.md", "bad.txt", "empty.txt"}
+    assert [r.path for r in tables.locations().collect()] == [str(tree)]
+    tables.remove_locations([])
+    assert tables.files().count() == 3
