@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, secrets, url_filter
-from docloom.llm.columns import table
+from docloom.llm import line_dedup, quality, secrets, simhash, url_filter
+from docloom.llm.columns import once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_simhash_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 URL_RULES = (
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -58,6 +64,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), index, "page_id", "url")
 
 
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = once(quality.with_measures(docs, keep=["doc_id", "lang"]), "measured")
+    return quality.judge(measured).select(
+        "doc_id",
+        *[F.col(f"_quality.{c}").alias(c) for c in quality.COUNTS],
+        F.col("_base_failed").alias("base_failed"),
+        F.col("_kept").alias("kept"),
+        *[F.col(f"_quality.{c}").alias(c) for c in quality.SHARES],
+    )
+
+
 @query(
     "op8_line_dedup",
     r"""
