@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, quality, secrets, simhash, url_filter
+from docloom.llm import contamination, line_dedup, quality, secrets, simhash, url_filter
 from docloom.llm.columns import once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,50 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query(
+    "op2_decontaminate",
+    r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS row_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+item_words AS (
+  SELECT item_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+places AS (
+  SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p
+  FROM item_words WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(w, p, p + size - 1), ' ') AS win FROM places),
+sizes AS (SELECT DISTINCT size FROM windows),
+starts AS (SELECT row_id, size, unnest(range(1, len(w) - size + 2)) AS p FROM words, sizes WHERE len(w) >= size),
+found AS (
+  SELECT s.row_id, s.size, s.p, item_id
+  FROM starts s JOIN words d USING (row_id)
+  JOIN windows i ON i.size = s.size AND i.win = array_to_string(list_slice(d.w, s.p, s.p + s.size - 1), ' ')),
+hits AS (SELECT row_id, count(DISTINCT q) AS n FROM (
+  SELECT row_id, unnest(range(p, p + size)) AS q FROM found) GROUP BY row_id),
+items AS (SELECT row_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (
+  SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits h USING (row_id) LEFT JOIN items i USING (row_id)""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.with_findings(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    hits = contamination.n_hit(F.col("_found.spans"))
+    return found.select(
+        "doc_id",
+        F.col("_found.n_words").alias("n_words"),
+        hits.alias("n_hit"),
+        F.size("_found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("_found.items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (hits > 0).alias("contaminated"),
+    )
+
+
 URL_RULES = (
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
