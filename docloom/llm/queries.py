@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import contamination, line_dedup, packing, quality, secrets, simhash, url_filter
+from docloom.llm import contamination, line_dedup, packing, quality, secrets, simhash, token_files, url_filter
 from docloom.llm.columns import once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read(token_files.write(docs, token_files.new_folder(spark)))
+
+
 @query(
     "op8_line_dedup",
     r"""
