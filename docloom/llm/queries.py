@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import contamination, line_dedup, maxent, packing, quality, secrets, simhash, token_files, url_filter
+from docloom.llm import chat, contamination, line_dedup, maxent, packing, quality, secrets, simhash, token_files, url_filter
 from docloom.llm.columns import once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(docs, token_files.new_folder(spark)))
 
 
+@query("op7_chat_format")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = chat.repair(table(spark, sf_dir, "conversations"))
+    return repaired.select(
+        "conv_id", "turn", "role", F.col("_done").alias("done"), F.col("_new_role").alias("new_role"),
+        F.col("_inserted").alias("n_inserted"), F.col("_cost").alias("cost"), F.col("_piece").alias("rendered"),
+    )
+
+
 @query(
     "op8_line_dedup",
     r"""
