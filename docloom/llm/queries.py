@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", simhash.as_hex(F.col("_fp0")).alias("fingerprint"), "component_id")
 
 
 @query(

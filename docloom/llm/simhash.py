@@ -1,9 +1,10 @@
 """SimHash near-duplicates: fingerprints, all pairs within a radius by tiled exact comparison, connected components.
 
 A text's fingerprint has a bit for each of 64 positions: 1 if more than half of its word shingles' XXH64 hashes have
-it. Equal fingerprints are one class, so copies cost nothing more. Classes are dealt to tiles by the vector of population counts
-of the fingerprint's quarters: two fingerprints within ``radius`` bits have vectors whose absolute differences sum to at
-most ``radius``. Every class stays in its own tile and visits the neighbouring tiles that can hold a partner, from one side only;
+it; a second word of 64 bits, from the hashes mixed once more, can be added where 64 bits are too few to tell many unrelated texts
+from similar ones. Equal fingerprints are one class, so copies cost nothing more. Classes are dealt to tiles by the vector of
+population counts of the first word's parts (or by the count of all bits, with one lane): two fingerprints within ``radius``
+bits have vectors whose absolute differences sum to at most ``radius``. Every class stays in its own tile and visits the neighbouring tiles that can hold a partner, from one side only;
 tile pairs further apart are never formed. Inside a tile numpy compares all residents with each other and with the visitors
 (exclusive or, bit counts), exactly and without a limit on partners.
 
@@ -36,6 +37,11 @@ LANES = 4
 WORDS_AT_ONCE = 500_000
 TILE_ROWS = 16_384
 VISITORS = 262_144
+#: Of 128 bits: nearly all texts that share 0.8 of their 5-word shingles are this near (21 bits at most, as measured), and of 10^14
+#: pairs of unrelated texts less than one is expected to be.
+WIDE_RADIUS = 20
+WIDE_TILE_ROWS = 262_144
+WIDE_VISITORS = 65_536
 
 
 def _hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
@@ -61,17 +67,28 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view(np.uint64)
 
 
-def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
+def _second(hashes: np.ndarray) -> np.ndarray:
+    x = hashes * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, size: int, words: int = 1) -> np.ndarray:
+    """(texts, words) array of 64-bit words."""
     raw, n = data.tobytes(), len(offsets) - 1
-    counts, totals = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+    counts, totals = np.zeros((n, 64 * words), np.int64), np.zeros(n, np.int64)
     waiting, owners, held = [], [], 0
 
     def settle() -> None:
         nonlocal waiting, owners, held
         if waiting:
             lengths = np.array([len(h) for h in waiting])
-            sums = np.add.reduceat(_votes(np.concatenate(waiting)), np.cumsum(lengths) - lengths, axis=0, dtype=np.int32)
-            np.add.at(counts, owners, sums)
+            hashes = np.concatenate(waiting)
+            for k in range(words):
+                votes = _votes(_second(hashes) if k else hashes)
+                sums = np.add.reduceat(votes, np.cumsum(lengths) - lengths, axis=0, dtype=np.int32)
+                np.add.at(counts[:, 64 * k : 64 * k + 64], owners, sums)
             np.add.at(totals, owners, lengths)
         waiting, owners, held = [], [], 0
 
@@ -83,37 +100,50 @@ def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, size: int) -> np.nd
             if held > 200_000:
                 settle()
     settle()
-    return _pack(2 * counts > totals[:, None]) if n else np.empty(0, np.uint64)
+    return _pack(2 * counts > totals[:, None]).reshape(n, words) if n else np.empty((0, words), np.uint64)
+
+
+def fp_columns(words: int) -> list[str]:
+    return [f"_fp{k}" for k in range(words)]
 
 
-def with_fingerprints(docs: DataFrame, text_column: str = "text", size: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) and _fp, the fingerprint as a signed long."""
+def with_fingerprints(
+    docs: DataFrame, text_column: str = "text", size: int = SHINGLE, words: int = 1, keep: list[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) and _fp0, _fp1, ...: the fingerprint's words as signed longs."""
     kept = docs.columns if keep is None else keep
     source = docs.select(*[F.col(c) for c in kept], F.col(text_column).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "_text"):
-                fps = fingerprint_texts(data, offsets, size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(fps)], names=[*kept, "_fp"])
+                fps = fingerprint_texts(data, offsets, size, words).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names=[*kept, *fp_columns(words)])
 
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("_fp", T.LongType())])
-    return source.mapInArrow(run, schema)
+    added = [T.StructField(c, T.LongType()) for c in fp_columns(words)]
+    return source.mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], *added]))
 
 
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _cell(fp: Column, lanes: int) -> Column:
-    width = 64 // lanes
-    cell = F.lit(0)
+def _cell(words: int, lanes: int) -> Column:
+    if lanes == 1:
+        return sum((F.bit_count(c) for c in fp_columns(words)), F.lit(0))
+    width, cell = 64 // lanes, F.lit(0)
     for k in range(lanes):
-        part = F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1 if lanes > 1 else -1))
+        part = F.shiftrightunsigned("_fp0", width * k).bitwiseAND(F.lit((1 << width) - 1))
         cell = cell * (width + 1) + F.bit_count(part)
     return cell
 
 
+def _side(words: int, lanes: int) -> int:
+    """How many population counts a lane can have."""
+    return 64 * words + 1 if lanes == 1 else 64 // lanes + 1
+
+
 def _neighbours(lanes: int, radius: int) -> np.ndarray:
     """Difference vectors of sum 1 to ``radius`` whose first entry that is not 0 is positive."""
     side = np.arange(-radius, radius + 1)
@@ -124,9 +154,8 @@ def _neighbours(lanes: int, radius: int) -> np.ndarray:
     return grid[first > 0]
 
 
-def _plan(counts: np.ndarray, lanes: int, radius: int, tile_rows: int, visitors: int):
+def _plan(counts: np.ndarray, side: int, lanes: int, radius: int, tile_rows: int, visitors: int):
     """Parts of every cell's residents and of its visitors."""
-    side = 64 // lanes + 1
     cube = counts.reshape([side] * lanes)
     coming = np.zeros_like(cube)
     for d in _neighbours(lanes, radius):
@@ -145,47 +174,48 @@ def _mix(values: np.ndarray, salt: int) -> np.ndarray:
     return (x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
 
 
-def _deal(counts: np.ndarray, lanes: int, radius: int, tile_rows: int, visitors: int):
-    """Batches of (fp, cell) to rows (cell, part, share, visits, fp)."""
-    parts, shares = _plan(counts, lanes, radius, tile_rows, visitors)
-    side = 64 // lanes + 1
+def _deal(counts: np.ndarray, side: int, words: int, lanes: int, radius: int, tile_rows: int, visitors: int):
+    """Batches of (node, cell, words) to rows (cell, part, share, visits, node, words)."""
+    parts, shares = _plan(counts, side, lanes, radius, tile_rows, visitors)
     powers = side ** np.arange(lanes - 1, -1, -1)
     steps = _neighbours(lanes, radius)
 
-    def rows(cell, part, share, visits, fp):
-        return pa.RecordBatch.from_pydict({
-            "cell": pa.array(cell.astype(np.int32)), "part": pa.array(part.astype(np.int32)),
-            "share": pa.array(share.astype(np.int32)), "visits": pa.array(np.full(len(fp), visits)), "fp": pa.array(fp),
-        })
+    def rows(piece: pa.RecordBatch, who: np.ndarray, cell, part, share, visits: bool) -> pa.RecordBatch:
+        chosen = piece.take(pa.array(who))
+        place = {"cell": cell, "part": part, "share": share}
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array(x.astype(np.int32)) for x in place.values()], pa.array(np.full(len(who), visits)), chosen["node"],
+             *[chosen[c] for c in fp_columns(words)]],
+            names=[*place, "visits", "node", *fp_columns(words)],
+        )
 
-    def call(fp, cell, part):
-        """Visits to all given (cell, part) in the share that the fingerprint belongs to."""
-        return rows(cell, part, _mix(fp, 2) % shares[cell].astype(np.uint64), True, fp)
+    def all_parts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every entry i the numbers 0 to n[i] - 1: entries and numbers."""
+        return np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 piece = batch.slice(at, 20_000)
-                fp, cell = piece["fp"].to_numpy(), piece["cell"].to_numpy().astype(np.int64)
-                own = (_mix(fp, 1) % parts[cell].astype(np.uint64)).astype(np.int64)
-                n = shares[cell]
-                share = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield rows(np.repeat(cell, n), np.repeat(own, n), share, False, np.repeat(fp, n))
-                # Earlier parts of the own cell.
-                if own.any():
-                    part = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-                    yield call(np.repeat(fp, own), np.repeat(cell, own), part)
+                node, cell = piece["node"].to_numpy(), piece["cell"].to_numpy().astype(np.int64)
+                own = (_mix(node, 1) % parts[cell].astype(np.uint64)).astype(np.int64)
+                turn = _mix(node, 2)
+                who, share = all_parts(shares[cell])
+                yield rows(piece, who, cell[who], own[who], share, False)
+                if own.any():  # earlier parts of the own cell
+                    who, part = all_parts(own)
+                    yield rows(piece, who, cell[who], part, turn[who] % shares[cell[who]].astype(np.uint64), True)
                 vector = cell[:, None] // powers % side
                 for d in steps:
                     to = vector - d
-                    inside = ((to >= 0) & (to < side)).all(1)
-                    to = to[inside] @ powers
-                    live = parts[to] > 0
-                    to, who = to[live], fp[inside][live]
-                    if len(to):
-                        n = parts[to]
-                        part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                        yield call(np.repeat(who, n), np.repeat(to, n), part)
+                    inside = np.flatnonzero(((to >= 0) & (to < side)).all(1))
+                    target = to[inside] @ powers
+                    live = parts[target] > 0
+                    inside, target = inside[live], target[live]
+                    if len(target):
+                        k, part = all_parts(parts[target])
+                        who = inside[k]
+                        yield rows(piece, who, target[k], part, turn[who] % shares[target[k]].astype(np.uint64), True)
 
     return run
 
@@ -210,83 +240,101 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return out_a, out_b
 
 
-def _close(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
-    i, j = np.nonzero(near)
-    return a[i], b[j]
+Tile = tuple[np.ndarray, list[np.ndarray]]  # nodes, and the words of their fingerprints
 
 
-def _compare(radius: int):
-    """Rows sorted by tile, residents first, to links."""
-    block = 1024
+def _near(a: list[np.ndarray], b: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    apart = np.bitwise_count(a[0][:, None] ^ b[0][None, :])
+    for x, y in zip(a[1:], b[1:], strict=True):
+        apart += np.bitwise_count(x[:, None] ^ y[None, :])
+    return np.nonzero(apart <= radius)
 
-    def links(residents: np.ndarray, others: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
-        found: tuple[list[int], list[int]] = ([], [])
 
-        def out():
-            return pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+def _part(tile: Tile, at: slice) -> Tile:
+    return tile[0][at], [w[at] for w in tile[1]]
+
 
-        for i in range(0, len(residents), block):
-            for j in range(i if own else 0, len(others), block):
-                a, b = _close(residents[i : i + block], others[j : j + block], radius)
+def _joined(tiles: list[Tile]) -> Tile:
+    return np.concatenate([t[0] for t in tiles]), [np.concatenate(w) for w in zip(*[t[1] for t in tiles], strict=True)]
+
+
+def _compare(words: int, radius: int):
+    """Rows sorted by tile, residents first, to links."""
+    high, wide = 256, 2048
+
+    def links(residents: Tile, others: Tile, own: bool) -> Iterator[pa.RecordBatch]:
+        found: tuple[list[int], list[int]] = ([], [])
+        for i in range(0, len(residents[0]), high):
+            nodes, fps = _part(residents, slice(i, i + high))
+            for j in range(i // wide * wide if own else 0, len(others[0]), wide):
+                other_nodes, other_fps = _part(others, slice(j, j + wide))
+                k, m = _near(fps, other_fps, radius)
                 if own:
-                    later = a < b
-                    a, b = (a[later], b[later]) if i == j else (a, b)
-                if len(a):
-                    found = _forest(np.concatenate([np.array(found[0], np.int64), a]), np.concatenate([np.array(found[1], np.int64), b]))
+                    later = i + k < j + m
+                    k, m = k[later], m[later]
+                if len(k):
+                    a = np.concatenate([np.array(found[0], np.int64), nodes[k]])
+                    found = _forest(a, np.concatenate([np.array(found[1], np.int64), other_nodes[m]]))
         if found[0]:
-            yield out()
+            yield pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, residents, visitors = None, np.empty(0, np.int64), []
+        place, residents, visitors = None, [], []
 
         def settle(ended: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal visitors
-            if visitors and len(residents):
-                yield from links(residents, np.concatenate(visitors), False)
+            nonlocal residents, visitors
+            residents = [_joined(residents)] if residents else []
+            if residents and visitors:
+                yield from links(residents[0], _joined(visitors), False)
             visitors = []
-            if ended and len(residents) > 1 and tile[2] == 0:
-                yield from links(residents, residents, True)
+            if ended and residents and place[2] == 0:
+                yield from links(residents[0], residents[0], True)
 
         for batch in batches:
             key = [batch[c].to_numpy() for c in ("cell", "part", "share")]
             visits = batch["visits"].to_numpy(zero_copy_only=False)
-            fp = batch["fp"].to_numpy()
+            tile = batch["node"].to_numpy(), [batch[c].to_numpy() for c in fp_columns(words)]
             change = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
             bounds = [0, *change.tolist(), batch.num_rows]
             for lo, hi in zip(bounds, bounds[1:], strict=False):
                 if lo == hi:
                     continue
                 here = (int(key[0][lo]), int(key[1][lo]), int(key[2][lo]))
-                if here != tile:
-                    yield from settle(True) if tile is not None else ()
-                    tile, residents = here, np.empty(0, np.int64)
+                if here != place:
+                    if place is not None:
+                        yield from settle(True)
+                    place, residents = here, []
                 split = lo + int(np.searchsorted(visits[lo:hi], True))
                 if split > lo:
-                    residents = np.concatenate([residents, fp[lo:split]])
+                    residents.append(_part(tile, slice(lo, split)))
                 if hi > split:
-                    visitors.append(fp[split:hi])
+                    visitors.append(_part(tile, slice(split, hi)))
             # Visitors are met as they come; only the residents are held.
-            yield from settle(False) if sum(map(len, visitors)) > 65_536 else ()
-        if tile is not None:
+            if sum(len(v[0]) for v in visitors) > 65_536:
+                yield from settle(False)
+        if place is not None:
             yield from settle(True)
 
     return run
 
 
-def links(classes: DataFrame, radius: int = RADIUS, lanes: int = LANES, tile_rows: int = TILE_ROWS, visitors: int = VISITORS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that join all that lie within ``radius`` bits.
+def links(
+    classes: DataFrame, words: int = 1, radius: int = RADIUS, lanes: int = LANES, tile_rows: int = TILE_ROWS, visitors: int = VISITORS
+) -> DataFrame:
+    """Links (a, b) between nodes with distinct fingerprints that join all that lie within ``radius`` bits.
 
     The links are a part of all pairs, but connect exactly what all pairs connect."""
-    placed = classes.select("fp", _cell(F.col("fp"), lanes).alias("cell"))
-    counts = np.zeros((64 // lanes + 1) ** lanes, np.int64)
+    placed = classes.select("node", *fp_columns(words), _cell(words, lanes).alias("cell"))
+    side = _side(words, lanes)
+    counts = np.zeros(side**lanes, np.int64)
     for row in placed.groupBy("cell").count().collect():  # 17^4 rows at most
         counts[row["cell"]] = row["count"]
+    fps = ", ".join(f"{c} long" for c in fp_columns(words))
     dealt = placed.mapInArrow(
-        _deal(counts, lanes, radius, tile_rows, visitors), "cell int, part int, share int, visits boolean, fp long"
+        _deal(counts, side, words, lanes, radius, tile_rows, visitors), f"cell int, part int, share int, visits boolean, node long, {fps}"
     )
     tiles = dealt.repartition("cell", "part", "share").sortWithinPartitions("cell", "part", "share", "visits")
-    return tiles.mapInArrow(_compare(radius), "a long, b long")
+    return tiles.mapInArrow(_compare(words, radius), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -315,17 +363,47 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def grouped(rows: DataFrame, id_column: str, words: int = 1, radius: int = RADIUS, lanes: int = LANES, **tiles: int) -> DataFrame:
+    """``rows`` (written; with an id and fingerprint columns) with component_id, the smallest id that links reach, and root, which names
+    the group even if no id does."""
+    fps = fp_columns(words)
+    node = F.col(fps[0]) if words == 1 else F.xxhash64(*fps)
+    classes = once(rows.groupBy(*fps).agg(F.min(id_column).alias("low")).withColumn("node", node), "classes")
+    roots = components(links(classes, words, radius, lanes, **tiles)).withColumnRenamed("node", "linked")
+    # A root is its own group; so is a class without links.
+    named = classes.join(roots, classes["node"] == roots["linked"], "left").select(
+        *fps, "low", F.coalesce("root", "node").alias("root")
+    )
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.join(named.join(lowest, "root").select(*fps, "component_id", "root"), fps)
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, radius: int = RADIUS,
 ) -> DataFrame:
-    """(id, fp, component_id) for every row: component_id is the smallest id among the documents that links reach."""
-    rows = once(with_fingerprints(docs, text_column, size, [id_column]), "fingerprints")
-    classes = once(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_column).alias("low")), "classes")
-    roots = components(links(classes, radius))
-    # A root is its own group; so is a class without links.
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = grouped.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, rows["_fp"] == named["fp"]).select(F.col(id_column), "fp", "component_id")
+    """(id, _fp0, component_id) for every row, with 64-bit fingerprints."""
+    rows = once(with_fingerprints(docs, text_column, size, 1, [id_column]), "fingerprints")
+    return grouped(rows, id_column, 1, radius).select(id_column, "_fp0", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, radius: int = WIDE_RADIUS,
+) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of near-duplicates, by 128-bit fingerprints: the smallest id stays.
+
+    Rows that repeat the id and the text of one that stays are repeats, too, and only one of them stays."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    keyed = docs.select(F.col(id_column).alias("_id"), text.alias("_t"), F.xxhash64(text).alias("_h"))
+    rows = once(with_fingerprints(keyed, "_t", size, 2, ["_id", "_h"]), "fingerprints")
+    found = grouped(rows, "_id", 2, radius, 1, tile_rows=WIDE_TILE_ROWS, visitors=WIDE_VISITORS)
+    # Ids that repeat with other texts: the smallest hash stays, so that one row is left of a group.
+    best = found.filter(F.col("_id").eqNullSafe(F.col("component_id")))
+    stay = once(best.groupBy("root", "_id").agg(F.min("_h").alias("_h"), F.count(F.lit(1)).alias("n")), "stay")
+    same = docs[id_column].eqNullSafe(stay["_id"]) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == stay["_h"])
+    kept = docs.join(stay, same, "left_semi")
+    if stay.filter("n > 1").isEmpty():
+        return kept
+    # One row of each id: a struct with all columns, the first in order.
+    return kept.groupBy(F.col(id_column).alias("_id"), F.xxhash64(F.coalesce(text_column, F.lit(""))).alias("_h")).agg(
+        F.first(F.struct(*docs.columns)).alias("row")
+    ).select("row.*")
