@@ -37,9 +37,9 @@ LANES = 4
 WORDS_AT_ONCE = 500_000
 TILE_ROWS = 16_384
 VISITORS = 262_144
-#: Of 128 bits: nearly all texts that share 0.8 of their 5-word shingles are this near (21 bits at most, as measured), and of 10^14
-#: pairs of unrelated texts less than one is expected to be.
-WIDE_RADIUS = 20
+#: Of 128 bits: texts that share 0.8 of their 5-word shingles are 15 bits apart, give or take 4, short ones more; of 10^14
+#: pairs of unrelated texts some ten are expected this near.
+WIDE_RADIUS = 24
 WIDE_TILE_ROWS = 262_144
 WIDE_VISITORS = 65_536
 
@@ -293,7 +293,8 @@ def _compare(words: int, radius: int):
         for batch in batches:
             key = [batch[c].to_numpy() for c in ("cell", "part", "share")]
             visits = batch["visits"].to_numpy(zero_copy_only=False)
-            tile = batch["node"].to_numpy(), [batch[c].to_numpy() for c in fp_columns(words)]
+            # Unsigned, as numpy counts the bits of a negative number's absolute value.
+            tile = batch["node"].to_numpy(), [batch[c].to_numpy().view(np.uint64) for c in fp_columns(words)]
             change = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
             bounds = [0, *change.tolist(), batch.num_rows]
             for lo, hi in zip(bounds, bounds[1:], strict=False):
