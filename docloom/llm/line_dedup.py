@@ -58,11 +58,13 @@ def drop_positions(docs: DataFrame, id_column: str, text_column: str, min_chars:
         "first", (F.row_number().over(within) == 1) | ~F.col("doc").eqNullSafe(F.lag("doc").over(within))
     )
     stream = once(stream, "line-stream")
-    shared = (
+    # Written, so that both sides of the join are plain shuffles, whose hot partitions Spark can split.
+    shared = once(
         stream.groupBy("h1", "h2")
         .agg(F.sum(F.col("first").cast("long")).alias("n"), F.max("doc").alias("owner"))
         .filter((F.col("n") >= min_documents) & F.col("owner").isNotNull())
-        .select("h1", "h2", "owner")
+        .select("h1", "h2", "owner"),
+        "shared-lines",
     )
     return (
         stream.join(shared, ["h1", "h2"])
