@@ -319,16 +319,19 @@ def extract_pages(
 
 
 def extract_all(
-    files: DataFrame, pages: DataFrame | None = None, content: str = "content"
+    files: DataFrame, pages: DataFrame | None = None, content: str = "content", paged: DataFrame | None = None
 ) -> DataFrame:
     """One row per file with gist and chunks, each file cut as its category asks.
 
     Paged files take their texts from ``pages`` (file_id, page_no, page_text); without any they
     have an empty gist and no chunks. Contents are dropped here: nothing after needs them.
+
+    Where reading the contents costs, give the paged files, which need none, as ``paged``; else ``files`` holds both kinds.
     """
-    is_paged = F.col("file_type").eqNullSafe("pdf")
-    in_row = extract(files.filter(~is_paged), content).drop(content)
-    paged = files.filter(is_paged).drop(content)
+    if paged is None:
+        is_paged = F.col("file_type").eqNullSafe("pdf")
+        files, paged = files.filter(~is_paged), files.filter(is_paged).drop(content)
+    in_row = extract(files, content).drop(content)
     if pages is None:
         read = paged.withColumn("gist", F.lit("")).withColumn("chunks", _no_chunks())
     else:
@@ -341,6 +344,13 @@ def extract_all(
     return in_row.unionByName(read.withColumn("error", F.lit(None).cast("string")))
 
 
+def chunk_id(file_id: Column, ord_: Column) -> Column:
+    """The key of a file's chunk."""
+    return F.when(ord_ < CHUNK_ID_STRIDE, file_id * CHUNK_ID_STRIDE + ord_).otherwise(
+        F.raise_error(F.lit(f"a file has more than {CHUNK_ID_STRIDE} chunks")).cast("long")
+    )
+
+
 def explode_chunks(extracted: DataFrame, file_id: str = "file_id") -> DataFrame:
     """Rows with a ``chunks`` array to chunk rows; ids follow from the file and the order.
 
@@ -352,7 +362,7 @@ def explode_chunks(extracted: DataFrame, file_id: str = "file_id") -> DataFrame:
         F.posexplode_outer("chunks").alias("ord", "c"),
     )
     return exploded.filter(F.col("ord").isNotNull()).select(
-        (F.col("file_id") * CHUNK_ID_STRIDE + F.col("ord")).alias("chunk_id"),
+        chunk_id(F.col("file_id"), F.col("ord")).alias("chunk_id"),
         "file_id",
         "ord",
         F.col("c.chunk_type").alias("chunk_type"),

@@ -16,6 +16,9 @@ from docloom.sources.sizes import broadcast_if_small
 # New ids are counted within this many groups of keys, by the first hex digits of their MD5.
 ID_GROUP_DIGITS = 3
 
+# Priorities of jobs.
+LOW, NORMAL, HIGH = 0, 1, 2
+
 # A file counts as untouched when its time moved by less than this.
 MTIME_TOLERANCE = 1.0
 
@@ -69,12 +72,19 @@ def _roots(locations: DataFrame) -> DataFrame:
     )
 
 
+# Up to so many locations are looked up in the row itself.
+MAX_LOCATIONS_IN_ROW = 200
+
+
 def assign_location(paths: DataFrame, locations: DataFrame) -> DataFrame:
     """Add the ``location_id`` of the innermost location a path lies under; NULL if none.
 
-    A path meets the locations through the list of its own ancestors, so this is an equi-join
-    however many locations there are, and a location with a third of all files is no hot key.
+    A path meets the locations through the list of its own ancestors. A few locations are a map in the
+    row and need no join; more are an equi-join, in which a location with a third of all files is no hot key.
     """
+    few = _roots(locations).limit(MAX_LOCATIONS_IN_ROW + 1).collect()
+    if len(few) <= MAX_LOCATIONS_IN_ROW:
+        return paths.drop("location_id").withColumn("location_id", _innermost(few))
     roots = broadcast_if_small(_roots(locations))
     owner = F.max_by("location_id", F.when(F.col("location_id").isNotNull(), F.length("_root")))
     found = (
@@ -87,6 +97,17 @@ def assign_location(paths: DataFrame, locations: DataFrame) -> DataFrame:
     return paths.drop("location_id").join(found, "path")
 
 
+def _innermost(roots: list) -> Column:
+    """The id of the longest of the given roots that is an ancestor of the column ``path``."""
+    if not roots:
+        return F.lit(None).cast("long")
+    roots = {root["_root"]: root for root in roots}.values()  # a map has a key once
+    pairs = [(F.lit(root["_root"]), F.lit(root["location_id"]).cast("long")) for root in roots]
+    known = F.create_map(*[column for pair in pairs for column in pair])
+    ids = F.transform(path_ancestors(F.col("path")), lambda folder: F.try_element_at(known, folder))
+    return F.try_element_at(F.filter(ids, lambda i: i.isNotNull()), F.lit(-1))
+
+
 def paths_in_scope(paths: DataFrame, locations: DataFrame) -> DataFrame:
     """Paths under an enabled location."""
     inside = assign_location(paths.select("path").distinct(), locations.filter("enabled"))
@@ -185,13 +206,25 @@ def remove_location(
     )
 
 
+def missing_paths(files: DataFrame, scan: DataFrame, locations: DataFrame) -> DataFrame:
+    """Paths of known files that should have been found and were not.
+
+    A scan covers the enabled locations: what lies elsewhere was not looked for and is not missing. Nor is what lies below
+    a folder that could not be listed, which a scan reports as a row with an ``error``."""
+    unseen = files.select("path").join(scan.select("path"), "path", "left_anti")
+    missing = paths_in_scope(unseen, locations)
+    if "error" not in scan.columns:
+        return missing
+    closed = broadcast_if_small(scan.filter("error IS NOT NULL").select(F.col("path").alias("_folder")).distinct())
+    below = missing.select("path", F.explode(path_ancestors(F.col("path"))).alias("_folder")).join(closed, "_folder", "left_semi")
+    return missing.join(below.select("path").distinct(), "path", "left_anti")
+
+
 def purge_missing(
-    files: DataFrame, chunks: DataFrame, scan: DataFrame
+    files: DataFrame, chunks: DataFrame, scan: DataFrame, locations: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Remove files that a scan no longer finds, with their chunks."""
-    present = scan.select("path")
-    gone = broadcast_if_small(files.join(present, "path", "left_anti").select("file_id"))
-    return without(files, gone, "file_id"), without(chunks, gone, "file_id")
+    """Remove files that a scan of the enabled locations no longer finds, with their chunks."""
+    return remove_paths(files, chunks, missing_paths(files, scan, locations))
 
 
 def remove_paths(
@@ -221,6 +254,13 @@ def index_status(exists: Column, category: Column, error: Column) -> Column:
     )
 
 
+def retry_jobs(files: DataFrame) -> DataFrame:
+    """Jobs at high priority for the files whose indexing failed."""
+    return files.filter(F.col("status") == "error").select(
+        "file_id", "path", "file_type", F.lit(HIGH).alias("priority")
+    )
+
+
 def category_status(settings: DataFrame, files: DataFrame) -> DataFrame:
     """Every category by name: enabled, supported, and how many files it has."""
     counts = files.groupBy("file_type").agg(F.count(F.lit(1)).alias("n_files"))

@@ -16,14 +16,20 @@ from docloom.operators.maintenance import (
     assign_location,
     detect_changes,
     index_status,
+    missing_paths,
     remove_paths,
     replace_by_owner,
+    retry_jobs,
     with_ids,
 )
 from docloom.schemas import CHUNKS, EMBED_DIM, FILES
 from docloom.sources.sizes import broadcast_if_small, written
 
 
+#: From listed files to the same with contents, or with hashes.
+ReadFn = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Batch:
     """The rows a batch adds or replaces, and the files they belong to."""
@@ -32,6 +38,25 @@ class Batch:
     chunks: DataFrame
 
 
+def _seen(indexable: DataFrame, read: ReadFn | None, hashes: ReadFn | None) -> DataFrame:
+    """Path, times and hash of every file, and what went wrong with it."""
+    if hashes is not None:
+        rows = hashes(indexable)
+    else:
+        rows = read(indexable) if read is not None else indexable
+        rows = rows.withColumn("content_hash", content_hash(F.col("content")))
+    error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    unread = F.when(F.col("content_hash").isNull(), F.lit("too_large"))
+    return rows.select(
+        "path",
+        category_of(F.col("path")).alias("file_type"),
+        "mtime",
+        "size_bytes",
+        F.coalesce("content_hash", F.lit("")).alias("content_hash"),
+        F.coalesce(error, unread).alias("failure"),
+    )
+
+
 def index_batch(
     scan: DataFrame,
     files: DataFrame,
@@ -39,63 +64,77 @@ def index_batch(
     settings: DataFrame,
     *,
     now: float,
-    read: Callable[[DataFrame], DataFrame] | None = None,
+    read: ReadFn | None = None,
+    hashes: ReadFn | None = None,
     pages: DataFrame | None = None,
     embed_fn: EmbedFn = hash_embed,
     dim: int = EMBED_DIM,
 ) -> Batch:
     """Turn scanned files (path, mtime, size_bytes, content) into file and chunk rows.
 
-    ``read`` adds the contents where the scan is a mere listing. All contents are hashed, but only
-    new, changed and unfinished files are cut and embedded. What decides that is a join of paths
-    and hashes; the list of files due is written, and sent to the scan when it is short, so that
-    contents are not shuffled. ``pages`` (path, page_no, page_text) holds the texts of paged files.
-    Vectors are computed last and pass through no further join.
+    ``read`` adds the contents where the scan is a mere listing, ``hashes`` their hashes alone. Every file is hashed
+    once, and what came of it is written; only new, changed and unfinished files are read again, cut and embedded.
+    What decides that is a join of paths and hashes; the list of files due is written, and sent to
+    the scan when it is short, so that contents are not shuffled. ``pages`` (path, page_no, page_text) holds the
+    texts of paged files. Vectors are computed last and pass through no further join.
+
+    A file that fails is a row of status ``error``; one that has vanished is ``skipped`` if it was known.
     """
-    with_contents = read or (lambda rows: rows)
+    if "error" in scan.columns and "content" not in scan.columns:
+        scan = scan.filter("error IS NULL").drop("error")  # folders that could not be listed
     indexable = indexable_files(scan, settings)
-    seen = with_contents(indexable).withColumn("file_type", category_of(F.col("path"))).select(
-        "path",
-        "file_type",
-        "mtime",
-        "size_bytes",
-        F.coalesce(content_hash(F.col("content")), F.lit("")).alias("content_hash"),
-        F.col("content").isNull().alias("too_large"),
-    )
+    seen = written(_seen(indexable, read, hashes), "seen-files")
     states = detect_changes(seen, files.select("path", "file_id", "content_hash", "mtime", "status"))
-    due = states.filter(F.col("state") != "unchanged").drop("state")
+    vanished = F.col("failure").eqNullSafe("file_not_found")
+    due = states.filter((F.col("state") != "unchanged") & ~(vanished & F.col("file_id").isNull())).drop("state")
     todo = written(
         assign_location(with_ids(due, files, "path", "file_id"), locations), "files-to-read"
     )
-    readable = broadcast_if_small(todo.filter(~F.col("too_large")).select("path", "file_id"))
-    due_files = with_contents(indexable.join(readable.select("path"), "path", "left_semi"))
+    readable = broadcast_if_small(todo.filter(F.col("failure").isNull()).select("path", "file_id"))
+    due_files = indexable.join(readable.select("path"), "path", "left_semi")
+    is_paged = category_of(F.col("path")).eqNullSafe("pdf")
+    paged = due_files.filter(is_paged).select("path", category_of(F.col("path")).alias("file_type"), F.lit(None).cast("string").alias("late"))
+    due_files = due_files.filter(~is_paged)
+    if read is not None:
+        due_files = read(due_files)
+    unreadable = F.col("content").isNull()
+    late = F.col("error") if "error" in due_files.columns else F.lit(None).cast("string")
     texts = due_files.select(
         "path",
         category_of(F.col("path")).alias("file_type"),
-        decode_text(F.col("content")).alias("content"),
+        F.coalesce(decode_text(F.col("content")), F.lit("")).alias("content"),
+        F.when(unreadable, F.coalesce(late, F.lit("too_large"))).alias("late"),
     )
     if pages is not None:
         pages = pages.join(readable, "path").select("file_id", "page_no", "page_text")
-    extracted = written(extract_all(texts.join(readable, "path"), pages), "extracted")
+    extracted = written(
+        extract_all(texts.join(readable, "path"), pages, paged=paged.join(readable, "path")), "extracted"
+    )
 
-    done = todo.join(extracted.select("path", "gist", "error"), "path", "left")
-    error = F.when(F.col("too_large"), "too_large").otherwise(F.col("error"))
+    done = todo.join(extracted.select("path", "gist", "error", "late"), "path", "left")
+    error = F.coalesce("failure", "late", "error")
     file_rows = done.select(
         "file_id",
         "path",
-        F.coalesce("location_id", F.lit(0).cast("long")).alias("location_id"),
+        "location_id",
         "file_type",
         "content_hash",
         "mtime",
         "size_bytes",
         "gist",
         F.lit(now).alias("indexed_at"),
-        index_status(F.lit(True), F.col("file_type"), error).alias("status"),
+        index_status(~error.eqNullSafe("file_not_found"), F.col("file_type"), error).alias("status"),
     )
-    chunk_rows = embed(explode_chunks(extracted), "snippet", embed_fn, dim)
+    chunk_rows = embed(explode_chunks(extracted.filter("late IS NULL")), "snippet", embed_fn, dim)
     return Batch(file_rows.select(*FILES.fieldNames()), chunk_rows.select(*CHUNKS.fieldNames()))
 
 
+def retry_batch(files: DataFrame, locations: DataFrame, settings: DataFrame, **options) -> Batch:
+    """Index the files again whose indexing failed; ``read`` is needed among the options."""
+    known = files.select("path", "mtime", "size_bytes")
+    return index_batch(known.join(retry_jobs(files).select("path"), "path", "left_semi"), files, locations, settings, **options)
+
+
 def apply_batch(
     batch: Batch, files: DataFrame, chunks: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -115,8 +154,9 @@ def refresh(
     settings: DataFrame,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Bring both tables to the state of a full scan: read what is due, remove what is gone."""
+    """Bring both tables to the state of a scan of the enabled locations: read what is due, remove what is gone.
+
+    Files of disabled locations stay: these are left out of searches, not of the index."""
     batch = index_batch(scan, files, locations, settings, **options)
     new_files, new_chunks = apply_batch(batch, files, chunks)
-    missing = files.select("path").join(scan.select("path"), "path", "left_anti")
-    return remove_paths(new_files, new_chunks, missing)
+    return remove_paths(new_files, new_chunks, missing_paths(files, scan, locations))

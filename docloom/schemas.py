@@ -15,8 +15,9 @@ KEYWORD_WEIGHT = 0.4
 TOP_K = 50
 EMBED_DIM = 384
 
-# chunk_id = file_id * CHUNK_ID_STRIDE + ord; a file has at most 200 chunks.
-CHUNK_ID_STRIDE = 1000
+# chunk_id = file_id * CHUNK_ID_STRIDE + ord: room for 16 million chunks of each of 500 billion files. A registered
+# chunker that gives a file more is an error, never a collision.
+CHUNK_ID_STRIDE = 1 << 24
 
 STATUSES = ("pending", "indexed", "skipped", "error")
 

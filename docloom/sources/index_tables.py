@@ -27,6 +27,9 @@ _STATS = T.StructType(
     [T.StructField("n_chunks", T.LongType()), T.StructField("n_tokens", T.LongType())]
 )
 _SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "stats": _STATS}
+_META = T.StructType(
+    [T.StructField("buckets", T.IntegerType()), T.StructField("term_buckets", T.IntegerType())]
+)
 _FOLDERS = {
     "files": ["bucket"],
     "chunks": ["bucket"],
@@ -36,11 +39,20 @@ _FOLDERS = {
 
 
 class IndexTables:
+    """The tables below ``root``. The numbers of buckets are chosen when the tables are created and kept with
+    them; opening an index with other numbers than its own is an error."""
+
     def __init__(
-        self, spark: SparkSession, root: str, buckets: int = BUCKETS, term_buckets: int = TERM_BUCKETS
+        self, spark: SparkSession, root: str, buckets: int | None = None, term_buckets: int | None = None
     ):
         self.spark, self.root = spark, root
-        self.buckets, self.term_buckets = buckets, term_buckets
+        self.buckets, self.term_buckets = buckets or BUCKETS, term_buckets or TERM_BUCKETS
+        if self._exists("meta"):
+            stored = self.spark.read.schema(_META).parquet(self._path("meta")).first()
+            for name, asked in (("buckets", buckets), ("term_buckets", term_buckets)):
+                if asked is not None and asked != stored[name]:
+                    raise ValueError(f"the index has {stored[name]} {name}, not {asked}")
+            self.buckets, self.term_buckets = stored["buckets"], stored["term_buckets"]
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -57,6 +69,7 @@ class IndexTables:
         first = {name: self.spark.createDataFrame([], s) for name, s in _SCHEMAS.items()}
         first["locations"] = self.spark.createDataFrame([], LOCATIONS)
         first["settings"] = file_type_settings(self.spark)
+        first["meta"] = self.spark.createDataFrame([(self.buckets, self.term_buckets)], _META).coalesce(1)
         for table, rows in first.items():
             if reset or not self._exists(table):
                 rows.write.mode("overwrite").parquet(self._path(table))

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.functions.text import category_of
+from docloom.operators.maintenance import HIGH, NORMAL, retry_jobs  # noqa: F401
 from docloom.plans.indexing import index_batch
 from docloom.sources.index_tables import IndexTables
 from docloom.sources.sizes import broadcast_if_small, written
 
-# Priorities of jobs.
-LOW, NORMAL, HIGH = 0, 1, 2
+PENDING = "event_id long, ts timestamp, path string, file_type string, priority int, batch long"
 PRIORITY_OF_ACTION = {"created": NORMAL, "modified": HIGH, "moved": NORMAL}
 
 
@@ -64,6 +64,30 @@ def coalesce_stream(jobs: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return jobs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["path"])
 
 
+def pending_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The jobs that ``stream_pending`` has written, one for each path; none before its first batch."""
+    return spark.read.schema(PENDING).option("ignoreMissingFiles", True).parquet(folder)
+
+
+def stream_pending(jobs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream of jobs below ``folder``, coalesced across micro-batches: a path that has a
+    pending job, of this batch or an earlier one, gets no other. A batch that is run again after a failure replaces its own rows."""
+    spark = jobs.sparkSession
+    spark.createDataFrame([], PENDING).drop("batch").write.mode("append").parquet(f"{folder}/batch=-1")
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        earlier = pending_jobs(spark, folder).filter(F.col("batch") < batch_id).select("path")
+        fresh = coalesce_jobs(batch).join(earlier, "path", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return (
+        jobs.writeStream.foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def job_order(jobs: DataFrame) -> DataFrame:
     """Jobs by priority, highest first, then by age."""
     return jobs.orderBy(F.col("priority").desc(), "ts", "event_id")
@@ -96,13 +120,6 @@ def change_stats(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     ).withColumn("depth", F.col("pending"))
 
 
-def retry_jobs(files: DataFrame) -> DataFrame:
-    """Jobs at high priority for the files whose indexing failed."""
-    return files.filter(F.col("status") == "error").select(
-        "file_id", "path", "file_type", F.lit(HIGH).alias("priority")
-    )
-
-
 def apply_events(
     events: DataFrame,
     tables: IndexTables,

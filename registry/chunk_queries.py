@@ -106,10 +106,10 @@ fixed AS (
   FROM found WHERE len(headers) = 0),
 numbered AS (
   SELECT doc_id, generate_subscripts(c, 1) - 1 AS ord, unnest(c) AS k FROM {last})
-SELECT doc_id * 1000 + ord AS chunk_id, doc_id AS file_id, CAST(ord AS INTEGER) AS ord,
+SELECT doc_id * 16777216 + ord AS chunk_id, doc_id AS file_id, CAST(ord AS INTEGER) AS ord,
        'text' AS chunk_type, k.snippet AS snippet, k.meta AS position_meta FROM numbered
 UNION ALL
-SELECT doc_id * 1000 + ord, doc_id, CAST(ord AS INTEGER), 'text', {sqltext.truncate('s.b', 150)},
+SELECT doc_id * 16777216 + ord, doc_id, CAST(ord AS INTEGER), 'text', {sqltext.truncate('s.b', 150)},
        '{{"language":"python","offset":' || s.o || '}}' FROM fixed"""
 
 
@@ -136,7 +136,7 @@ _FIXED = "list_transform(range(0, length(text), 1000), lambda o: substr(text, o
           SELECT doc_id, list_filter(list_transform({_FIXED}, lambda p, i: {{'b': p, 'o': (i - 1) * 1000}}),
                    lambda s: {sqltext.strip('s.b')} <> '')[1:150] AS c FROM documents),
         numbered AS (SELECT doc_id, generate_subscripts(c, 1) - 1 AS ord, unnest(c) AS s FROM cut)
-        SELECT doc_id * 1000 + ord AS chunk_id, doc_id AS file_id, CAST(ord AS INTEGER) AS ord,
+        SELECT doc_id * 16777216 + ord AS chunk_id, doc_id AS file_id, CAST(ord AS INTEGER) AS ord,
                'text' AS chunk_type, {sqltext.truncate('s.b', 150)} AS snippet,
                '{{"language":"python","offset":' || s.o || '}}' AS position_meta FROM numbered""",
 )
@@ -173,7 +173,7 @@ first_chunks AS (
 @query(
     "chunk_pages",
     f"""WITH {_PAGES}
-        SELECT doc_id * 1000 + ord AS chunk_id, doc_id AS file_id, CAST(ord AS INTEGER) AS ord,
+        SELECT doc_id * 16777216 + ord AS chunk_id, doc_id AS file_id, CAST(ord AS INTEGER) AS ord,
                'text' AS chunk_type, snippet, meta AS position_meta FROM first_chunks""",
 )
 def chunk_pages(spark, sf_dir):

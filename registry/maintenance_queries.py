@@ -5,15 +5,18 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from docloom.functions.text import category_of
 from docloom.operators import filters, maintenance
-from docloom.plans.indexing import index_batch
-from docloom.sources.files import scan_files
+from docloom.operators.chunking import chunk_id
+from docloom.plans.indexing import index_batch, refresh
+from docloom.schemas import CHUNKS, FILES
+from docloom.sources.files import list_files, read_contents, read_hashes
 from docloom.sources.index_tables import IndexTables
 from docloom.sources.seeds import file_type_settings
-from docloom.sources.sizes import shared_folder
+from docloom.sources.sizes import shared_folder, written
 from registry import inputs, sqltext
 from registry.base import query
 from registry.search_queries import LOCATIONS, locations
@@ -152,13 +155,13 @@ owners AS (SELECT file_id FROM states WHERE state = 'changed')"""
         SELECT chunk_id, file_id, ord, snippet FROM chunks
         WHERE file_id NOT IN (SELECT file_id FROM owners)
         UNION ALL
-        SELECT file_id * 1000, file_id, CAST(0 AS INTEGER), 'replaced ' || file_id FROM owners""",
+        SELECT file_id * 16777216, file_id, CAST(0 AS INTEGER), 'replaced ' || file_id FROM owners""",
 )
 def replace_chunks(spark, sf_dir):
     """Chunks of changed files give way to one new chunk each."""
     owners = detect_changes(spark, sf_dir).filter(F.col("state") == "changed").select("file_id")
     new = owners.select(
-        (F.col("file_id") * 1000).alias("chunk_id"),
+        chunk_id(F.col("file_id"), F.lit(0)).alias("chunk_id"),
         "file_id",
         F.lit(0).alias("ord"),
         F.concat(F.lit("replaced "), F.col("file_id").cast("string")).alias("snippet"),
@@ -214,16 +217,18 @@ def remove_location(spark, sf_dir):
 
 @query(
     "purge_missing",
-    f"""WITH {sqltext.FILES}, {sqltext.chunks()},
-        staying AS (SELECT file_id FROM files WHERE file_id IN (SELECT doc_id FROM labels))
+    f"""WITH {sqltext.FILES}, {LOCATIONS}, {sqltext.chunks()},
+        staying AS (
+          SELECT file_id FROM files JOIN locations USING (location_id)
+          WHERE NOT enabled OR file_id IN (SELECT doc_id FROM labels))
         SELECT 'file' AS kind, file_id AS id FROM staying
         UNION ALL SELECT 'chunk', chunk_id FROM chunks WHERE file_id IN (SELECT file_id FROM staying)""",
 )
 def purge_missing(spark, sf_dir):
-    """A scan that finds the labelled documents only."""
+    """A scan of the enabled locations that finds the labelled documents only."""
     index = inputs.index(spark, sf_dir)
     return _left_over(
-        *maintenance.purge_missing(index.files, index.chunks, old_files(spark, sf_dir))
+        *maintenance.purge_missing(index.files, index.chunks, old_files(spark, sf_dir), locations(spark, sf_dir))
     )
 
 
@@ -310,16 +315,101 @@ def files_by_location(spark, sf_dir):
     return filters.files_by_location(inputs.files(spark, sf_dir), 3)
 
 
-@query("scan_files")
-def scan_index_files(spark, sf_dir):
-    """The table files themselves, as a folder tree."""
-    found = scan_files(spark, [sf_dir])
-    return found.select(
-        F.regexp_extract("path", r"[^/]+\z", 0).alias("name"),
-        "size_bytes",
-        F.sha2("content", 256).alias("content_hash"),
-        category_of(F.col("path")).alias("category"),
+def _plant(folder: str):
+    """Write each row's content under its path below the folder; rows pass through."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                system, place = fs.FileSystem.from_uri(folder + path)
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(place) as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    return run
+
+
+@query(
+    "scan_files",
+    f"""WITH {sqltext.FILES},
+        planted AS (
+          SELECT regexp_replace(path, '/d([0-9]+[.])', CASE WHEN file_id % 50 = 7 THEN '/_d' WHEN file_id % 50 = 11
+                   THEN '/.d' ELSE '/d' END || '\\1') AS path, file_type AS category,
+                 CASE WHEN file_id % 97 = 0 THEN '' ELSE text END AS content
+          FROM files JOIN documents ON doc_id = file_id)
+        SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes, sha256(content) AS content_hash,
+               sha256(content) AS streamed_hash, category FROM planted""",
+)
+def scan_document_files(spark, sf_dir):
+    """Documents as a tree of files, some of them empty or with names that Spark's own listing leaves out."""
+    folder = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    mark = F.when(F.col("file_id") % 50 == 7, "/_d").when(F.col("file_id") % 50 == 11, "/.d").otherwise("/d")
+    text = F.when(F.col("file_id") % 97 == 0, "").otherwise(F.col("text"))
+    planted = (
+        inputs.files(spark, sf_dir)
+        .select("file_id", "path")
+        .join(inputs.documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "text"), "file_id")
+        .select(
+            F.regexp_replace("path", F.lit("/d([0-9]+[.])"), F.concat(mark, F.lit("$1"))).alias("path"),
+            text.cast("binary").alias("content"),
+        )
     )
+    planted.mapInArrow(_plant(folder), "path string").write.format("noop").mode("overwrite").save()
+    listing = list_files(spark, [folder])
+    hashes = read_hashes(listing).select("path", F.col("content_hash").alias("streamed_hash"))
+    return (
+        read_contents(listing)
+        .join(hashes, "path")
+        .select(
+            F.replace("path", F.lit(folder), F.lit("")).alias("path"),
+            "size_bytes",
+            F.sha2("content", 256).alias("content_hash"),
+            "streamed_hash",
+            category_of(F.col("path")).alias("category"),
+        )
+    )
+
+
+@query(
+    "refresh_scope",
+    f"""WITH {sqltext.FILES}, {LOCATIONS},
+        known AS (
+          SELECT files.*, enabled, text, coalesce(toxic, 0) = 1 AS gone, coalesce(quality, 1) = 0 AS changed
+          FROM files JOIN locations USING (location_id) JOIN documents d ON d.doc_id = file_id
+          LEFT JOIN labels l ON l.doc_id = file_id)
+        SELECT file_id, path, location_id,
+               CASE WHEN due THEN sha256(text || CASE WHEN changed THEN chr(10) || 'changed' ELSE '' END)
+                 ELSE content_hash END AS content_hash,
+               CASE WHEN due THEN 'indexed' ELSE status END AS status
+        FROM (SELECT *, enabled AND file_type IN ('text', 'code', 'pdf') AS due FROM known WHERE NOT (enabled AND gone))""",
+)
+def refresh_scope(spark, sf_dir):
+    """All documents are known; every third location is switched off. Of the others the toxic documents are gone and those
+    of poor quality have changed. What the scan did not look for stays as it was."""
+    where = locations(spark, sf_dir)
+    labels = inputs.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "file_id")
+    known = (
+        inputs.files(spark, sf_dir)
+        .withColumn("gist", F.lit(""))
+        .withColumn("indexed_at", F.lit(0.0))
+        .select(*FILES.fieldNames())
+    )
+    text = inputs.documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "text")
+    scan = (
+        known.join(where.filter("enabled").select("location_id"), "location_id", "left_semi")
+        .join(text, "file_id")
+        .join(labels, "file_id", "left")
+        .filter(F.coalesce("toxic", F.lit(0)) == 0)
+        .select(
+            "path", "mtime", "size_bytes",
+            F.when(F.col("quality") == 0, F.concat("text", F.lit("\nchanged"))).otherwise(F.col("text"))
+            .cast("binary").alias("content"),
+        )
+    )
+    files, _ = refresh(written(scan, "scan"), known, spark.createDataFrame([], CHUNKS), where, file_type_settings(spark), now=1.0)
+    return files.select("file_id", "path", "location_id", "content_hash", "status")
 
 
 def scanned(spark, sf_dir):

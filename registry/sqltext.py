@@ -108,7 +108,7 @@ kept AS (
 numbered AS (
   SELECT doc_id, generate_subscripts(c, 1) - 1 AS ord, unnest(c) AS k FROM {last}),
 chunks AS (
-  SELECT doc_id * 1000 + ord AS chunk_id, doc_id AS file_id, CAST(ord AS INTEGER) AS ord,
+  SELECT doc_id * 16777216 + ord AS chunk_id, doc_id AS file_id, CAST(ord AS INTEGER) AS ord,
          'text' AS chunk_type, k.snippet AS snippet, k.meta AS position_meta
   FROM numbered)"""
 

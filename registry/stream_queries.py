@@ -39,10 +39,20 @@ def change_feed(spark, sf_dir):
     return _as_changes(inputs.table(spark, sf_dir, "events"))
 
 
-def change_stream(spark, sf_dir):
-    schema = inputs.table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return _as_changes(reader.parquet(sf_dir))
+BATCHES = 3
+
+
+def change_stream(spark, sf_dir, folder):
+    """The events as a stream of ``BATCHES`` micro-batches, in the order of their ids."""
+    events = inputs.table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = ((high or 0) - (low or 0)) // BATCHES + 1
+    for i in range(BATCHES):
+        # One file for each batch; the source takes the oldest first.
+        part = events.filter(F.floor((F.col("event_id") - (low or 0)) / step) == i)
+        part.coalesce(1).write.parquet(f"{folder}/events/part={i}")
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return _as_changes(reader.parquet(f"{folder}/events/*"))
 
 
 JOBS = """
@@ -71,21 +81,12 @@ def change_events(spark, sf_dir):
     f"WITH {JOBS}, {_FIRST} SELECT event_id, path, file_type, priority FROM first_jobs",
 )
 def change_coalesce(spark, sf_dir):
-    """Run as a stream: every micro-batch is coalesced and appended."""
+    """Run as a stream of several micro-batches: a path that has a pending job gets no other."""
     folder = f"{shared_folder(spark)}/coalesce-{uuid.uuid4().hex}"
-    jobs = changes.change_jobs(change_stream(spark, sf_dir), file_type_settings(spark))
-
-    def append(batch, batch_id):
-        changes.coalesce_jobs(batch).write.mode("overwrite").parquet(f"{folder}/jobs/batch={batch_id}")
-
-    stream = (
-        jobs.writeStream.foreachBatch(append)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    stream.awaitTermination()
-    return spark.read.parquet(f"{folder}/jobs").select("event_id", "path", "file_type", "priority")
+    jobs = changes.change_jobs(change_stream(spark, sf_dir, folder), file_type_settings(spark))
+    changes.stream_pending(jobs, f"{folder}/jobs", f"{folder}/checkpoint").awaitTermination()
+    pending = changes.pending_jobs(spark, f"{folder}/jobs")
+    return pending.select("event_id", "path", "file_type", "priority")
 
 
 @query(
@@ -175,7 +176,7 @@ def stream_apply(spark, sf_dir):
     tables.create()
     tables.apply(index_batch(present.drop("doc_id"), tables.files(), where, home, now=0.0))
     changes.stream_apply(
-        change_stream(spark, sf_dir),
+        change_stream(spark, sf_dir, folder),
         tables,
         lambda: left,
         where,

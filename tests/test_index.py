@@ -1,13 +1,16 @@
+import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import fulltext
+from docloom.operators.chunking import explode_chunks
 from docloom.operators.maintenance import add_locations, set_attribute
-from docloom.plans.indexing import apply_batch, index_batch, refresh
+from docloom.plans.indexing import apply_batch, index_batch, refresh, retry_batch
 from docloom.plans.searching import search
 from docloom.schemas import CHUNKS, FILES, LOCATIONS
-from docloom.sources.files import enabled_roots, list_files, read_contents, scan_files
+from docloom.sources.files import enabled_roots, list_files, read_contents, read_hashes, scan_files
 from docloom.sources.index_tables import IndexTables
 from docloom.sources.seeds import file_type_settings
 
@@ -48,6 +51,7 @@ def test_scan(spark, tree, world):
     assert rows["b.py"].path == str(tree / "sub" / "b.py")
     assert rows["a.md"].size_bytes == os.path.getsize(tree / "a.md")
     assert abs(rows["a.md"].mtime - os.path.getmtime(tree / "a.md")) < 0.01
+    assert {r.error for r in rows.values()} == {None}
     large = rows_of(scan_files(spark, [str(tree)], max_bytes=10))
     assert set(large) == set(rows) and large["a.md"].content is None and large["bad.txt"].content
 
@@ -195,3 +199,100 @@ def test_locations_and_settings_on_disk(spark, tree, tmp_path):
     assert [r.path for r in tables.locations().collect()] == [str(tree)]
     tables.remove_locations([])
     assert tables.files().count() == 3
+
+
+def test_hash_of_a_file_beyond_the_limit(spark, tree):
+    """Files of any size are hashed; the limit is on what a row holds."""
+    listing = list_files(spark, [str(tree)])
+    hashes = rows_of(read_hashes(listing))
+    for name in ("a.md", "bad.txt", "empty.txt"):
+        assert hashes[name].content_hash == hashlib.sha256((tree / name).read_bytes()).hexdigest()
+    assert rows_of(read_contents(listing, max_bytes=3))["a.md"].error == "too_large"
+
+
+def test_contents_are_read_once_and_twice_if_due(spark, tree, world):
+    """A run reads every file for its hash, and those that are due again."""
+    found = list_files(spark, [str(tree)])
+    listing = spark.createDataFrame(found.collect(), found.schema)
+    log = tree.parent / "reads"
+
+    def counted(kind, reader):
+        def run(rows):
+            def note(batches):
+                for batch in batches:
+                    with open(log, "a") as f:
+                        f.writelines(f"{kind} {os.path.basename(p)}\n" for p in batch["path"].to_pylist())
+                    yield batch
+
+            return reader(rows.mapInArrow(note, rows.schema))
+
+        return run
+
+    options = {"read": counted("read", read_contents), "hashes": counted("hash", read_hashes)}
+    batch = index_batch(listing, spark.createDataFrame([], FILES), *world, now=1.0, **options)
+    stored = spark.createDataFrame(batch.files.collect(), FILES)
+    batch.chunks.collect()
+    names = set(rows_of(stored))
+    assert sorted(log.read_text().split("\n")[:-1]) == sorted(
+        [f"hash {n}" for n in names] + [f"read {n}" for n in names - {"c.pdf"}]  # pages come as a table
+    )
+    log.write_text("")
+    assert index_batch(listing, stored, *world, now=2.0, **options).files.count() == 0
+    assert sorted(log.read_text().split("\n")[:-1]) == sorted(f"hash {n}" for n in names)
+
+
+def test_failing_files_do_not_fail_the_others(spark, tree, world):
+    found = list_files(spark, [str(tree)])
+    listing = spark.createDataFrame(found.collect(), found.schema)
+    (tree / "a.md").unlink()
+    (tree / "b2.txt").symlink_to(tree / "nowhere")
+    listing = listing.unionByName(spark.createDataFrame([(str(tree), 0.0, 0, "read_failed")], listing.schema))
+    listing = listing.unionByName(spark.createDataFrame([(str(tree / "sub") + "/x.txt", 0.0, 1, None)], listing.schema))
+    os.mkdir(tree / "sub" / "x.txt")  # a folder under a file's name cannot be read
+    batch = index_batch(listing, spark.createDataFrame([], FILES), *world, now=1.0, read=read_contents, hashes=read_hashes)
+    files = rows_of(batch.files)
+    assert "a.md" not in files and files["b.py"].status == "indexed" and files["x.txt"].status == "error"
+    assert files["b.py"].file_id in {c.file_id for c in batch.chunks.collect()}
+    # Known files that have vanished are skipped, failed ones are tried again.
+    known = spark.createDataFrame(
+        [r for r in batch.files.collect()] + [(90, str(tree / "a.md"), 5, "text", "old", 0.0, 1, "", 0.0, "indexed")], FILES
+    )
+    again = rows_of(index_batch(listing, known, *world, now=2.0, read=read_contents, hashes=read_hashes).files)
+    assert again["a.md"].status == "skipped" and again["x.txt"].status == "error" and len(again) == 2
+    os.rmdir(tree / "sub" / "x.txt")
+    (tree / "sub" / "x.txt").write_text("now it can be read")
+    retried = rows_of(retry_batch(known, *world, now=3.0, read=read_contents, hashes=read_hashes).files)
+    assert {n: f.status for n, f in retried.items()} == {"x.txt": "indexed"}
+
+
+def test_refresh_keeps_what_was_not_looked_for(spark, tree, world):
+    """Files of a disabled location, and below a folder that could not be listed, are not missing."""
+    rows = [(i, p, 5, "text", "", 0.0, 0, "", 0.0, "indexed") for i, p in enumerate(
+        (str(tree / "gone.md"), "/off/kept.md", "/elsewhere/kept.md", str(tree / "closed" / "deep" / "kept.md")), 1)]
+    known = spark.createDataFrame(rows, FILES)
+    listing = list_files(spark, [str(tree)])
+    closed = spark.createDataFrame([(str(tree / "closed"), 0.0, 0, "read_failed: PermissionError")], listing.schema)
+    files, _ = refresh(
+        listing.unionByName(closed), known, spark.createDataFrame([], CHUNKS), *world, now=1.0, read=read_contents, hashes=read_hashes
+    )
+    paths = {r.path for r in files.collect()}
+    assert {r[1] for r in rows[1:]} <= paths and rows[0][1] not in paths
+
+
+def test_other_bucket_counts_are_refused(spark, tmp_path):
+    root = str(tmp_path / "index")
+    IndexTables(spark, root, 8, 4).create()
+    again = IndexTables(spark, root)
+    assert (again.buckets, again.term_buckets) == (8, 4)
+    IndexTables(spark, root, 8)
+    for other in ({"buckets": 16}, {"term_buckets": 16}):
+        with pytest.raises(ValueError, match="buckets"):
+            IndexTables(spark, root, **other)
+
+
+def test_many_chunks_of_a_file_keep_their_own_ids(spark):
+    many = spark.range(1, 3).withColumnRenamed("id", "file_id").withColumn(
+        "chunks", F.transform(F.sequence(F.lit(1), F.lit(1200)), lambda i: F.struct(
+            F.lit("text").alias("chunk_type"), i.cast("string").alias("snippet"), F.lit(None).cast("string").alias("position_meta"))))
+    chunks = explode_chunks(many)
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 2400

@@ -79,7 +79,8 @@ def test_remove_and_purge(spark):
     assert [r.location_id for r in loc.collect()] == [2]
     f, c, loc = m.remove_location(all_files, chunks, locations, [])
     assert (f.count(), c.count(), loc.count()) == (2, 3, 2)
-    f, c = m.purge_missing(all_files, chunks, spark.createDataFrame([("/a/x",)], "path string"))
+    everywhere = spark.createDataFrame([(9, "/", True, 0.0)], "location_id long, path string, enabled boolean, added_at double")
+    f, c = m.purge_missing(all_files, chunks, spark.createDataFrame([("/a/x",)], "path string"), everywhere)
     assert ([r.file_id for r in f.collect()], c.count()) == ([1], 2)
 
 
