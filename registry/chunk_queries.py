@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions.text import WORD
 from docloom.operators import chunking
 from registry import inputs, sqltext
 from registry.base import query
@@ -65,7 +64,7 @@ def text_gist(spark, sf_dir):
     )
 
 
-_DEF = rf"(?m)^{sqltext.WS}*(?:async{sqltext.WS}+)?def{sqltext.WS}+[{WORD}]+|^{sqltext.WS}*class{sqltext.WS}+[{WORD}]+"
+_DEF = rf"(?m)^{sqltext.WS}*(?:async{sqltext.WS}+)?def{sqltext.WS}+{sqltext.WORD}+|^{sqltext.WS}*class{sqltext.WS}+{sqltext.WORD}+"
 _CODE_TEXT = "('import x' || chr(10) || chr(10) || 'def ' || replace(text, chr(10), chr(10) || chr(10) || 'def '))"
 
 

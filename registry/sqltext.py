@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
-from docloom.functions.text import CATEGORY_EXTENSIONS, LANGUAGE_EXTENSIONS, WHITESPACE
-
-WS = f"[{WHITESPACE}]"
+# Stated here once more, so that the SQL does not follow the code that it judges.
+WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WORD = r"[\pL\pN_]"
+
+# File extensions per category and per programming language.
+_CATEGORIES = """
+text: txt md markdown rst text
+code: py pyw pyi js jsx mjs cjs ts tsx go rs java cpp cc cxx hpp h hxx cs rb php
+pdf: pdf
+office: docx doc odt
+image: jpg jpeg png gif bmp webp tiff
+video: mp4 mov avi mkv webm"""
+_LANGUAGES = """
+python: py pyw pyi
+javascript: js jsx mjs cjs
+typescript: ts tsx
+go: go
+rust: rs
+java: java
+cpp: cpp cc cxx hpp h hxx
+csharp: cs
+ruby: rb
+php: php"""
 
 
 def strip(x: str) -> str:
@@ -25,10 +45,10 @@ def truncate(x: str, n: int, var: str = "cut") -> str:
     )
 
 
-def lookup(ext: str, table: dict[str, tuple[str, ...]]) -> str:
+def lookup(ext: str, table: str) -> str:
+    rows = [line.split(": ") for line in table.strip().split("\n")]
     arms = " ".join(
-        f"WHEN {ext} IN ({', '.join(repr(e) for e in exts)}) THEN '{key}'"
-        for key, exts in table.items()
+        f"WHEN {ext} IN ({', '.join(repr(e) for e in names.split())}) THEN '{key}'" for key, names in rows
     )
     return f"CASE {arms} END"
 
@@ -38,11 +58,11 @@ def extension(path: str) -> str:
 
 
 def category(path: str) -> str:
-    return lookup(extension(path), CATEGORY_EXTENSIONS)
+    return lookup(extension(path), _CATEGORIES)
 
 
 def language(path: str) -> str:
-    return lookup(extension(path), LANGUAGE_EXTENSIONS)
+    return lookup(extension(path), _LANGUAGES)
 
 
 def tokens(x: str) -> str:

@@ -130,6 +130,9 @@ def _splitmix(state: str) -> str:
 _SEED = "CAST('0x' || " + " || ".join(f"substr(md5(snippet), {i}, 2)" for i in range(15, 0, -2)) + " AS UBIGINT)"
 
 
+_DIMS = (1, 2, 100, 383, 384)
+
+
 @query(
     "hash_embed",
     f"""WITH RECURSIVE {sqltext.chunks()},
@@ -138,28 +141,26 @@ _SEED = "CAST('0x' || " + " || ".join(f"substr(md5(snippet), {i}, 2)" for i in r
           SELECT snippet, 1 AS d, {_splitmix(_SEED)} AS x FROM texts
           UNION ALL
           SELECT snippet, d + 1, {_splitmix('x')} FROM draws WHERE d < 384),
-        signs AS (
-          SELECT snippet, CAST(count(*) AS INTEGER) AS n_dims,
-                 CAST(count(*) FILTER (x & 4294967295 > 2147483647) AS INTEGER) AS n_positive,
-                 CAST(sum(d) FILTER (x & 4294967295 > 2147483647) AS BIGINT) AS positive_dims
-          FROM draws GROUP BY snippet)
-        SELECT chunk_id, n_dims, n_positive, positive_dims, 1.0::DOUBLE AS norm
-        FROM chunks JOIN signs ON chunks.snippet = signs.snippet""",
+        raw AS (
+          SELECT snippet, d, CAST((x & 4294967295)::DOUBLE / 4294967295::DOUBLE * 2::DOUBLE - 1::DOUBLE AS FLOAT)::DOUBLE AS v
+          FROM draws),
+        lengths AS (SELECT snippet, sqrt(sum(v * v)) AS norm FROM raw GROUP BY snippet),
+        units AS (
+          SELECT snippet, d, CAST(v / norm AS FLOAT)::DOUBLE AS u FROM raw JOIN lengths USING (snippet)),
+        vectors AS (
+          SELECT snippet, CAST(count(*) AS INTEGER) AS n_dims, round(sum(u), 4) AS total,
+                 {", ".join(f"round(max(u) FILTER (d = {d}), 6) AS v{d}" for d in _DIMS)}
+          FROM units GROUP BY snippet)
+        SELECT chunk_id, n_dims, total, {", ".join(f"v{d}" for d in _DIMS)}
+        FROM chunks JOIN vectors ON chunks.snippet = vectors.snippet""",
 )
 def hash_embed(spark, sf_dir):
-    """The vector of every snippet, told by the signs of its 384 components and its length."""
+    """The vector of every snippet: some of its 384 components, and their sum."""
     embedded = embedding.embed(inputs.cut_chunks(spark, sf_dir).select("chunk_id", "snippet"))
-    # The number of a dimension where the vector is positive, else 0.
-    numbers = F.transform("embedding", lambda x, i: F.when(x > 0, i + 1).otherwise(0))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return embedded.select(
         "chunk_id",
         F.size("embedding").alias("n_dims"),
-        F.round(vec.l2_norm(F.col("embedding")), 4).alias("norm"),
-        numbers.alias("numbers"),
-    ).select(
-        "chunk_id",
-        "n_dims",
-        F.size(F.array_remove("numbers", 0)).alias("n_positive"),
-        F.aggregate("numbers", F.lit(0).cast("long"), lambda a, i: a + i).alias("positive_dims"),
-        "norm",
+        F.round(total, 4).alias("total"),
+        *[F.round(F.col("embedding")[d - 1].cast("double"), 6).alias(f"v{d}") for d in _DIMS],
     )
