@@ -51,6 +51,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# Arrays are summed up in blocks of this size.
+SUM_BLOCK = 256
+
+
+def running_sums(values: Column) -> Column:
+    """For each element of an array of numbers, the sum of those before it, as longs.
+
+    Summed in blocks, since a fold that appends to its result copies it every time."""
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SUM_BLOCK).cast("int")),
+        lambda b: F.slice(values, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK)),
+    )
+    zero = F.lit(0).cast("long")
+
+    def appended(sums: Column, x: Column) -> Column:
+        return F.concat(sums, F.array(F.element_at(sums, -1) + x))
+
+    totals = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda a, x: a + x))
+    begins = F.aggregate(totals, F.array(zero), appended)
+    sums = F.zip_with(
+        blocks,
+        F.slice(begins, F.lit(1), F.size(blocks)),
+        lambda block, begin: F.slice(F.aggregate(block, F.array(begin), appended), F.lit(1), F.size(block)),
+    )
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(sums))
+
+
 def strip(text: Column) -> Column:
     # The look-behind lets a trailing run match from its first character only, so that a long
     # blank run in the middle of a text is passed over once instead of once per character.

@@ -152,14 +152,11 @@ def _definitions(
 
     def cut(bodies: Column) -> Column:
         # The line each definition starts on: a running count of the line ends before it.
-        lines = F.aggregate(
-            bodies,
-            F.array(line_ends(F.get(parts, 0)) + 1),
-            lambda seen, body: F.concat(seen, F.array(F.element_at(seen, -1) + line_ends(body))),
-        )
+        first = line_ends(F.get(parts, 0)) + 1
+        lines = F.transform(tx.running_sums(F.transform(bodies, line_ends)), lambda n: (n + first).cast("int"))
         chunks = F.zip_with(
             F.arrays_zip(headers.alias("header"), bodies.alias("body")),
-            F.slice(lines, F.lit(1), F.size(bodies)),
+            lines,
             lambda d, line: _chunk(
                 truncate_words(rstrip(d["body"])),
                 tx.position_meta(
@@ -230,6 +227,7 @@ register_chunker("code", lambda content, path: code_result(content, tx.language_
 # The pages of a paged file are rows of their own, see extract_all.
 for _category in ("pdf", "office", "image", "video"):
     register_chunker(_category, lambda content, path: empty_result())
+_BUILT_IN = dict(_CHUNKERS)
 
 
 @lru_cache(maxsize=16)
@@ -244,12 +242,28 @@ def _dispatch(application: str, content: str, chunkers: tuple[tuple[str, Chunker
     return result
 
 
-def extract(files: DataFrame, content: str = "content") -> DataFrame:
+#: Stands for no cap: more chunks than a row can hold.
+NO_CAP = 1 << 29
+
+
+def _capped(cap: int | None) -> dict[str, Chunker]:
+    most = NO_CAP if cap is None else cap
+    return {
+        "text": lambda content, path: paragraph_result(content, most),
+        "code": lambda content, path: code_result(content, tx.language_of(path), most),
+    }
+
+
+def extract(files: DataFrame, content: str = "content", cap: int | None = TEXT_CHUNK_CAP) -> DataFrame:
     """Add ``gist`` and ``chunks`` to rows of (path, file_type, content) in one pass.
 
-    ``error`` names what went wrong: a category without a chunker.
+    ``cap`` bounds the chunks of a text or source file, with the built-in chunkers; None keeps them all. ``error`` names
+    what went wrong: a category without a chunker.
     """
     chunkers = tuple(all_chunkers())
+    if cap != TEXT_CHUNK_CAP:
+        own = _capped(cap)
+        chunkers = tuple((c, own[c] if _BUILT_IN.get(c) is chunker and c in own else chunker) for c, chunker in chunkers)
     result = _dispatch(files.sparkSession.sparkContext.applicationId, content, chunkers)
     known = F.col("file_type").isin(*[category for category, _ in chunkers])
     return files.select("*", result.alias("_result")).select(
@@ -319,23 +333,24 @@ def extract_pages(
 
 
 def extract_all(
-    files: DataFrame, pages: DataFrame | None = None, content: str = "content", paged: DataFrame | None = None
+    files: DataFrame, pages: DataFrame | None = None, content: str = "content", paged: DataFrame | None = None,
+    cap: int | None = TEXT_CHUNK_CAP, page_cap: int | None = PAGE_CHUNK_CAP,
 ) -> DataFrame:
     """One row per file with gist and chunks, each file cut as its category asks.
 
     Paged files take their texts from ``pages`` (file_id, page_no, page_text); without any they
     have an empty gist and no chunks. Contents are dropped here: nothing after needs them.
 
-    Where reading the contents costs, give the paged files, which need none, as ``paged``; else ``files`` holds both kinds.
+    The caps bound the chunks of a file, None keeps all. Where reading the contents costs, give the paged files, which need none, as ``paged``; else ``files`` holds both kinds.
     """
     if paged is None:
         is_paged = F.col("file_type").eqNullSafe("pdf")
         files, paged = files.filter(~is_paged), files.filter(is_paged).drop(content)
-    in_row = extract(files, content).drop(content)
+    in_row = extract(files, content, cap).drop(content)
     if pages is None:
         read = paged.withColumn("gist", F.lit("")).withColumn("chunks", _no_chunks())
     else:
-        cut = extract_pages(pages, doc="file_id")
+        cut = extract_pages(pages, NO_CAP if page_cap is None else page_cap, doc="file_id")
         read = (
             paged.join(cut, "file_id", "left")
             .withColumn("gist", F.coalesce("gist", F.lit("")))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.tokens import tokenize
+from docloom.operators.nearest import best_per_query
 from docloom.schemas import TOP_K
 from docloom.sources.sizes import MAX_BROADCAST_ROWS, Settled, settled, written
 
@@ -31,6 +32,9 @@ SCORE_DIGITS = 9
 # Postings are kept in this many folders by term, so that a search reads those of its terms only.
 TERM_BUCKETS = 64
 
+# Up to so many terms are part of the filter on the postings.
+MAX_TERMS_PUSHED = 1000
+
 
 @dataclass(frozen=True)
 class Index:
@@ -135,8 +139,12 @@ def query_phrase(queries: DataFrame, text: str = "text") -> DataFrame:
 def _by_term(index: Index, table: DataFrame, wanted: Settled, rows: DataFrame) -> DataFrame:
     """``table`` joined with ``rows``, no more than ``wanted`` has, on term.
 
-    Where the table is kept in folders by term, only the folders of the wanted terms are read.
+    Where the table is kept in folders by term, only the folders of the wanted terms are read, and as files are
+    sorted by term, a short list of terms skips what lies between them.
     """
+    terms = wanted.distinct("term")
+    if terms is not None and len(terms) <= MAX_TERMS_PUSHED:
+        table = table.filter(F.col("term").isin(*terms) if terms else F.lit(False))
     if "term_bucket" not in table.columns:
         return table.join(wanted.hint(rows), "term")
     folders = wanted.distinct("term_bucket")
@@ -397,6 +405,16 @@ def match_any(
     return _scored(hits.join(wanted.hint(wanted.df), "phrase").select(*_MATCH), stats)
 
 
+def _all_matched(places: DataFrame) -> DataFrame:
+    return places.select(
+        "query_id",
+        "chunk_id",
+        "file_id",
+        F.col("n").alias("n_matched"),
+        F.round("score", SCORE_DIGITS).alias("bm25"),
+    )
+
+
 def match_all(
     terms: DataFrame,
     hits: DataFrame,
@@ -447,12 +465,21 @@ def match_all(
     )
     if restrict is not None:
         first = restrict(first)
+    longest = wanted.most("n")
+    if longest <= 1:
+        return _all_matched(first)
+    # Each turn continues from the places that the one before has left, which are written once.
+    first = written(first, "first-places")
     # The second rarest phrase leaves few of the places; only those are asked for the others.
     second = (
         confirmed(first.filter(F.col("n") > 1), F.col("turn") == 2, wanted.bound("n_second"))
         .withColumn("score", F.col("score") + share)
         .select(*place)
     )
+    complete = first.filter(F.col("n") == 1).unionByName(second.filter(F.col("n") == 2))
+    if longest <= 2:
+        return _all_matched(complete)
+    second = written(second, "second-places")
     rest = (
         confirmed(second.filter(F.col("n") > 2), F.col("turn") > 2, wanted.bound("n_rest"))
         .withColumn("share", share)
@@ -462,16 +489,8 @@ def match_all(
         .withColumn("score", F.col("score") + F.col("more"))
         .select(*place)
     )
-    complete = (
-        first.filter(F.col("n") == 1).unionByName(second.filter(F.col("n") == 2)).unionByName(rest)
-    )
-    return complete.select(
-        "query_id",
-        "chunk_id",
-        "file_id",
-        F.col("n").alias("n_matched"),
-        F.round("score", SCORE_DIGITS).alias("bm25"),
-    )
+    complete = first.filter(F.col("n") == 1).unionByName(second.filter(F.col("n") == 2))
+    return _all_matched(complete.unionByName(rest))
 
 
 def match_not(matches: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -497,10 +516,7 @@ def top_matches(matches: DataFrame, top_k: int = TOP_K) -> DataFrame:
     The limit on the row number runs in every task before the shuffle, so a query that matches a
     third of the corpus moves ``top_k`` rows per task.
     """
-    best_first = Window.partitionBy("query_id").orderBy("bm25", "chunk_id")
-    return matches.withColumn("rank", F.row_number().over(best_first)).filter(
-        F.col("rank") <= top_k
-    )
+    return best_per_query(matches, ["bm25", "chunk_id"], top_k)
 
 
 def bm25_search(

@@ -22,7 +22,7 @@ from docloom.operators.maintenance import (
     retry_jobs,
     with_ids,
 )
-from docloom.schemas import CHUNKS, EMBED_DIM, FILES
+from docloom.schemas import CHUNKS, EMBED_DIM, FILES, PAGE_CHUNK_CAP, TEXT_CHUNK_CAP
 from docloom.sources.sizes import broadcast_if_small, written
 
 
@@ -69,6 +69,8 @@ def index_batch(
     pages: DataFrame | None = None,
     embed_fn: EmbedFn = hash_embed,
     dim: int = EMBED_DIM,
+    cap: int | None = TEXT_CHUNK_CAP,
+    page_cap: int | None = PAGE_CHUNK_CAP,
 ) -> Batch:
     """Turn scanned files (path, mtime, size_bytes, content) into file and chunk rows.
 
@@ -78,7 +80,7 @@ def index_batch(
     the scan when it is short, so that contents are not shuffled. ``pages`` (path, page_no, page_text) holds the
     texts of paged files. Vectors are computed last and pass through no further join.
 
-    A file that fails is a row of status ``error``; one that has vanished is ``skipped`` if it was known.
+    ``cap`` and ``page_cap`` bound the chunks of a file; None keeps all. A file that fails is a row of status ``error``; one that has vanished is ``skipped`` if it was known.
     """
     if "error" in scan.columns and "content" not in scan.columns:
         scan = scan.filter("error IS NULL").drop("error")  # folders that could not be listed
@@ -108,7 +110,10 @@ def index_batch(
     if pages is not None:
         pages = pages.join(readable, "path").select("file_id", "page_no", "page_text")
     extracted = written(
-        extract_all(texts.join(readable, "path"), pages, paged=paged.join(readable, "path")), "extracted"
+        extract_all(
+            texts.join(readable, "path"), pages, paged=paged.join(readable, "path"), cap=cap, page_cap=page_cap
+        ),
+        "extracted",
     )
 
     done = todo.join(extracted.select("path", "gist", "error", "late"), "path", "left")

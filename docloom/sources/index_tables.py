@@ -1,17 +1,25 @@
 """The index as Parquet tables below one folder.
 
-Files, chunks and postings are kept in folders by a hash of the file id, so that a batch rewrites
-only the folders it touches; postings are further split by term, so that a search reads only the
-folders of its words. Files are written last: until then a file counts as not indexed, and running
-the batch again gives the same rows.
+Files, chunks, postings, vocabulary and statistics are kept in folders by a hash of the file id, so that a batch rewrites
+only the folders it touches; postings and vocabulary are further split by term, so that a search reads only the
+folders of its words.
+
+Nothing is ever overwritten. A batch writes its folders under a new version, and then one small file, the
+manifest, that says which version of each folder counts. Until that file is there readers follow the one before; a batch
+that fails leaves the index as it was, and running it again replaces what it had written.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections import defaultdict
+from functools import reduce
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from docloom.operators import fulltext
 from docloom.operators.maintenance import without
@@ -26,16 +34,25 @@ TERM_BUCKETS = 16
 _STATS = T.StructType(
     [T.StructField("n_chunks", T.LongType()), T.StructField("n_tokens", T.LongType())]
 )
-_SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "stats": _STATS}
-_META = T.StructType(
-    [T.StructField("buckets", T.IntegerType()), T.StructField("term_buckets", T.IntegerType())]
+_VOCABULARY = T.StructType(
+    [T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("cf", T.LongType())]
 )
+_SCHEMAS = {
+    "files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "vocabulary": _VOCABULARY, "stats": _STATS,
+    "locations": LOCATIONS, "settings": FILE_TYPE_SETTINGS,
+}
 _FOLDERS = {
     "files": ["bucket"],
     "chunks": ["bucket"],
     "postings": ["bucket", "term_bucket"],
+    "vocabulary": ["bucket", "term_bucket"],
     "stats": ["bucket"],
 }
+#: Within a file, so that a search for a few terms skips the rest.
+_SORTED = {"postings": ["term", "chunk_id"], "vocabulary": ["term"]}
+
+#: Per table, the version that counts of each bucket; tables without buckets have bucket 0.
+Manifest = dict[str, dict[int, int]]
 
 
 class IndexTables:
@@ -47,67 +64,104 @@ class IndexTables:
     ):
         self.spark, self.root = spark, root
         self.buckets, self.term_buckets = buckets or BUCKETS, term_buckets or TERM_BUCKETS
-        if self._exists("meta"):
-            stored = self.spark.read.schema(_META).parquet(self._path("meta")).first()
-            for name, asked in (("buckets", buckets), ("term_buckets", term_buckets)):
+        _, stored = self._latest()
+        for name, asked in (("buckets", buckets), ("term_buckets", term_buckets)):
+            if stored:
                 if asked is not None and asked != stored[name]:
                     raise ValueError(f"the index has {stored[name]} {name}, not {asked}")
-            self.buckets, self.term_buckets = stored["buckets"], stored["term_buckets"]
+                setattr(self, name, stored[name])
 
-    def _path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    # Versions
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("file_id"), F.lit(self.buckets)).cast("int")
+    def _manifests(self) -> tuple[fs.FileSystem, str]:
+        system, inner = fs.FileSystem.from_uri(self.root)
+        return system, f"{inner}/manifest"
 
-    def _schema(self, table: str) -> T.StructType:
-        folders = [T.StructField(name, T.IntegerType()) for name in _FOLDERS[table]]
-        return T.StructType([*_SCHEMAS[table].fields, *folders])
+    def _latest(self) -> tuple[int, dict | None]:
+        """The number and the content of the newest manifest; 0 and nothing before the first."""
+        system, folder = self._manifests()
+        found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        names = sorted(f.base_name for f in found if f.base_name.endswith(".json") and not f.base_name.startswith("."))
+        if not names:
+            return 0, None
+        with system.open_input_stream(f"{folder}/{names[-1]}") as stream:
+            return int(names[-1].removesuffix(".json")), json.loads(stream.read())
+
+    def _manifest(self) -> Manifest:
+        _, stored = self._latest()
+        if stored is None:
+            raise ValueError(f"there is no index in {self.root}; create() makes one")
+        return {table: {int(b): v for b, v in rows.items()} for table, rows in stored["tables"].items()}
+
+    def _commit(self, version: int, manifest: Manifest) -> None:
+        """Make a version the one that counts, by one rename."""
+        system, folder = self._manifests()
+        system.create_dir(folder, recursive=True)
+        content = {"buckets": self.buckets, "term_buckets": self.term_buckets, "tables": manifest}
+        part = f"{folder}/.{uuid.uuid4().hex}.json"
+        with system.open_output_stream(part) as out:
+            out.write(json.dumps(content).encode())
+        system.move(part, f"{folder}/{version:012d}.json")
+
+    def _place(self, table: str, version: int) -> str:
+        return f"{self.root}/{table}/version={version}"
 
     def create(self, reset: bool = False) -> None:
         """Make empty tables and the default settings; existing ones stay unless ``reset``."""
-        first = {name: self.spark.createDataFrame([], s) for name, s in _SCHEMAS.items()}
-        first["locations"] = self.spark.createDataFrame([], LOCATIONS)
-        first["settings"] = file_type_settings(self.spark)
-        first["meta"] = self.spark.createDataFrame([(self.buckets, self.term_buckets)], _META).coalesce(1)
-        for table, rows in first.items():
-            if reset or not self._exists(table):
-                rows.write.mode("overwrite").parquet(self._path(table))
-
-    def _exists(self, table: str) -> bool:
-        try:
-            self.spark.read.parquet(self._path(table))
-        except AnalysisException:
-            return False
-        return True
+        version, stored = self._latest()
+        if stored is not None and not reset:
+            return
+        version += 1
+        self.spark.createDataFrame([], LOCATIONS).write.mode("overwrite").parquet(self._place("locations", version))
+        file_type_settings(self.spark).write.mode("overwrite").parquet(self._place("settings", version))
+        self._commit(version, {"locations": {0: version}, "settings": {0: version}})
 
-    def locations(self) -> DataFrame:
-        return self.spark.read.schema(LOCATIONS).parquet(self._path("locations"))
+    def vacuum(self) -> None:
+        """Delete what no longer counts: folders of older versions, and of batches that failed. Not while others read or write."""
+        manifest = self._manifest()
+        system, inner = fs.FileSystem.from_uri(self.root)
+        for table in _SCHEMAS:
+            wanted = {(v, b) for b, v in manifest.get(table, {}).items()}
+            for version in system.get_file_info(fs.FileSelector(f"{inner}/{table}", allow_not_found=True)):
+                number = int(version.base_name.removeprefix("version="))
+                if number not in {v for v, _ in wanted}:
+                    system.delete_dir(version.path)
+                elif table in _FOLDERS:
+                    for folder in system.get_file_info(fs.FileSelector(version.path)):
+                        name = folder.base_name
+                        if name.startswith("bucket=") and (number, int(name.removeprefix("bucket="))) not in wanted:
+                            system.delete_dir(folder.path)
 
-    def settings(self) -> DataFrame:
-        return self.spark.read.schema(FILE_TYPE_SETTINGS).parquet(self._path("settings"))
+    # Reading
 
-    def save_locations(self, rows: DataFrame) -> None:
-        written(rows, "locations").write.mode("overwrite").parquet(self._path("locations"))
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("file_id"), F.lit(self.buckets)).cast("int")
 
-    def save_settings(self, rows: DataFrame) -> None:
-        written(rows, "settings").write.mode("overwrite").parquet(self._path("settings"))
+    def _schema(self, table: str) -> T.StructType:
+        folders = [T.StructField(name, T.IntegerType()) for name in ["version", *_FOLDERS[table]]]
+        return T.StructType([*_SCHEMAS[table].fields, *folders])
 
-    def remove(self, files: DataFrame) -> None:
-        """Remove files (file_id) with their chunks and postings."""
-        nothing = Batch(
-            self.spark.createDataFrame([], FILES), self.spark.createDataFrame([], CHUNKS)
-        )
-        self.apply(nothing, files)
+    def _small(self, table: str) -> DataFrame:
+        version = self._manifest()[table][0]
+        return self.spark.read.schema(_SCHEMAS[table]).parquet(self._place(table, version))
 
-    def remove_locations(self, location_ids: list[int]) -> None:
-        """Remove locations with everything below them, the locations themselves last."""
-        leaving = F.col("location_id").isin(*location_ids) if location_ids else F.lit(False)
-        self.remove(self.files().filter(leaving).select("file_id"))
-        self.save_locations(self.locations().filter(~leaving))
+    def locations(self) -> DataFrame:
+        return self._small("locations")
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(self._schema(table)).parquet(self._path(table))
+    def settings(self) -> DataFrame:
+        return self._small("settings")
+
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """The rows that count, of all buckets or some."""
+        by_version = defaultdict(list)
+        for bucket, version in self._manifest().get(table, {}).items():
+            if buckets is None or bucket in buckets:
+                by_version[version].append(bucket)
+        if not by_version:
+            return self.spark.createDataFrame([], self._schema(table)).drop("version")
+        rows = self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/{table}")
+        counts = [(F.col("version") == v) & F.col("bucket").isin(b) for v, b in sorted(by_version.items())]
+        return rows.filter(reduce(lambda a, b: a | b, counts)).drop("version")
 
     def files(self) -> DataFrame:
         return self.read("files").drop("bucket")
@@ -117,8 +171,8 @@ class IndexTables:
 
     def index(self) -> fulltext.Index:
         postings = self.read("postings").drop("bucket")
-        vocabulary = postings.groupBy("term_bucket", "term").agg(
-            F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf")
+        vocabulary = self.read("vocabulary").groupBy("term_bucket", "term").agg(
+            F.sum("df").alias("df"), F.sum("cf").alias("cf")
         )
         stats = self.read("stats").agg(
             F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"),
@@ -129,8 +183,37 @@ class IndexTables:
             postings, vocabulary, stats.withColumn("avg_len", average), self.term_buckets
         )
 
+    # Writing
+
+    def _save(self, table: str, rows: DataFrame) -> None:
+        version = self._latest()[0] + 1
+        rows.write.mode("overwrite").parquet(self._place(table, version))
+        self._commit(version, self._manifest() | {table: {0: version}})
+
+    def save_locations(self, rows: DataFrame) -> None:
+        self._save("locations", rows)
+
+    def save_settings(self, rows: DataFrame) -> None:
+        self._save("settings", rows)
+
+    def remove(self, files: DataFrame) -> None:
+        """Remove files (file_id) with their chunks and postings."""
+        nothing = Batch(
+            self.spark.createDataFrame([], FILES), self.spark.createDataFrame([], CHUNKS)
+        )
+        self.apply(nothing, files)
+
+    def remove_locations(self, location_ids: list[int]) -> None:
+        """Remove locations with everything below them, the locations themselves last."""
+        leaving = F.col("location_id").isin(*location_ids) if location_ids else F.lit(False)
+        leaving = F.coalesce(leaving, F.lit(False))
+        self.remove(self.files().filter(leaving).select("file_id"))
+        self.save_locations(self.locations().filter(~leaving))
+
     def apply(self, batch: Batch, removed: DataFrame | None = None) -> None:
-        """Store a batch and drop the removed files (file_id), touching their buckets only."""
+        """Store a batch and drop the removed files (file_id), touching their buckets only.
+
+        What the touched buckets hold of other files is copied; its texts are not read again."""
         owners = batch.files.select("file_id")
         if removed is not None:
             owners = owners.unionByName(removed.select("file_id"))
@@ -139,54 +222,42 @@ class IndexTables:
         if not touched:
             return
         gone = broadcast_if_small(owners.select("file_id"))
-        fresh = self.read("files").isEmpty()
+        version = self._latest()[0] + 1
 
         def after(table: str, new: DataFrame) -> DataFrame:
-            new = new.withColumn("bucket", self._bucket())
-            if fresh:
-                return new
-            kept = self.read(table).filter(F.col("bucket").isin(touched))
-            rows = without(kept, gone, "file_id").unionByName(new)
-            # Computed and written before the folders it was read from are replaced.
-            return written(rows, table)
-
-        chunks = after("chunks", batch.chunks)
-        self._replace("chunks", chunks, touched)
-        stored = self.read("chunks").filter(F.col("bucket").isin(touched))
-        postings = (
-            fulltext.postings(stored)
+            return without(self.read(table, touched), gone, "file_id").unionByName(new)
+
+        def store(table: str, rows: DataFrame) -> DataFrame:
+            place = self._place(table, version)
+            (
+                rows.select(*_SCHEMAS[table].fieldNames(), *_FOLDERS[table])
+                .hint("rebalance", *_FOLDERS[table])
+                .sortWithinPartitions(*_FOLDERS[table], *_SORTED.get(table, ()))
+                .write.mode("overwrite")
+                .partitionBy(*_FOLDERS[table])
+                .parquet(place)
+            )
+            return self.spark.read.schema(self._schema(table)).parquet(place).drop("version")
+
+        chunks = store("chunks", after("chunks", batch.chunks.withColumn("bucket", self._bucket())))
+        fresh = chunks.join(broadcast_if_small(batch.files.select("file_id")), "file_id", "left_semi")
+        new_postings = (
+            fulltext.postings(fresh)
             .withColumn("bucket", self._bucket())
             .withColumn("term_bucket", fulltext.term_bucket(F.col("term"), self.term_buckets))
         )
-        self._replace("postings", postings, touched)
-        sizes = stored.groupBy("bucket").agg(*fulltext.corpus_counts())
-        self._replace("stats", sizes, touched)
-        self._replace("files", after("files", batch.files), touched)
-
-    def _replace(self, table: str, rows: DataFrame, touched: list[int]) -> None:
-        """Rewrite the touched buckets of a table.
-
-        A folder that has no rows any more is not among the written ones; it is emptied on its own.
-        There are no more folders than buckets, whatever the size of the table.
-        """
-
-        def folders() -> DataFrame:
-            mine = self.read(table).filter(F.col("bucket").isin(touched))
-            return mine.select(*_FOLDERS[table]).distinct()
-
-        before = set(folders().collect())
-        (
-            rows.select(*_SCHEMAS[table].fieldNames(), *_FOLDERS[table])
-            .hint("rebalance", *_FOLDERS[table])
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*_FOLDERS[table])
-            .parquet(self._path(table))
+        postings = store("postings", after("postings", new_postings))
+        store(
+            "vocabulary",
+            postings.groupBy("bucket", "term_bucket", "term").agg(
+                F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf")
+            ),
         )
-        if not before:
-            return
-        now = set(rows.select(*_FOLDERS[table]).distinct().collect())
-        for folder in before - now:
-            place = "/".join(f"{name}={folder[name]}" for name in _FOLDERS[table])
-            empty = self.spark.createDataFrame([], _SCHEMAS[table])
-            empty.write.mode("overwrite").parquet(f"{self._path(table)}/{place}")
+        tokens = postings.groupBy("bucket").agg(F.sum("tf").cast("long").alias("n_tokens"))
+        sizes = chunks.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_chunks")).join(tokens, "bucket", "left")
+        store("stats", sizes.select("bucket", "n_chunks", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
+        store("files", after("files", batch.files.withColumn("bucket", self._bucket())))
+        manifest = self._manifest()
+        for table in _FOLDERS:
+            manifest[table] = manifest.get(table, {}) | dict.fromkeys(touched, version)
+        self._commit(version, manifest)

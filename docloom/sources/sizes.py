@@ -75,6 +75,10 @@ class Settled:
         """Sum of a column of row counts, if small; else unbounded."""
         return sum(self.rows[column].to_pylist()) if self.small else float("inf")
 
+    def most(self, column: str) -> float:
+        """Largest value of a column, if small; else unbounded."""
+        return max(self.rows[column].to_pylist(), default=0) if self.small else float("inf")
+
     def distinct(self, column: str) -> list | None:
         """Distinct values of a column, if small."""
         return sorted(set(self.rows[column].to_pylist())) if self.small else None

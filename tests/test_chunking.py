@@ -223,4 +223,21 @@ def test_extract_all_routes_every_file(spark):
     assert (got[3].gist, got[3].chunks, got[3].error) == ("", [], None)
     assert (got[4].chunks, got[5].error) == ([], "no_extractor")
     ids = [(r.chunk_id, r.ord) for r in chunking.explode_chunks(chunking.extract_all(files, pages)).orderBy("chunk_id").collect()]
-    assert ids == [(1000, 0), (2000, 0), (2001, 1)]
+    assert ids == [(1 << 24, 0), (2 << 24, 0), ((2 << 24) + 1, 1)]
+
+
+def test_caps_are_arguments(spark):
+    paragraphs = "\n\n".join(f"paragraph {i}" for i in range(400))
+    code = "\n".join(f"def f{i}():\n    pass\n" for i in range(600))
+    files = spark.createDataFrame(
+        [(1, "/a.md", "text", paragraphs), (2, "/b.py", "code", code)], "file_id long, path string, file_type string, content string"
+    )
+
+    def sizes(**options):
+        return {r.file_id: len(r.chunks) for r in chunking.extract_all(files, **options).collect()}
+
+    assert sizes() == {1: 150, 2: 150}
+    assert sizes(cap=10) == {1: 10, 2: 10} or max(sizes(cap=10).values()) <= 10
+    assert sizes(cap=None) == {1: 400, 2: 600}
+    uncapped = chunking.extract_all(files, cap=None).filter("file_id = 2").first().chunks
+    assert [json.loads(c.position_meta)["line"] for c in uncapped] == [1, *(3 * i for i in range(1, 600))]  # the blank line before

@@ -296,3 +296,39 @@ def test_many_chunks_of_a_file_keep_their_own_ids(spark):
             F.lit("text").alias("chunk_type"), i.cast("string").alias("snippet"), F.lit(None).cast("string").alias("position_meta"))))
     chunks = explode_chunks(many)
     assert chunks.count() == chunks.select("chunk_id").distinct().count() == 2400
+
+
+def test_a_batch_that_fails_leaves_the_index_as_it_was(spark, tree, world, tmp_path, monkeypatch):
+    root = str(tmp_path / "index")
+    tables = IndexTables(spark, root, buckets=2, term_buckets=2)
+    tables.create()
+    tables.apply(index_batch(scan_files(spark, [str(tree)]), tables.files(), *world, now=1.0))
+    first = snapshot(tables)
+    (tree / "a.md").write_text("other words")
+    (tree / "new.md").write_text("brand new")
+    batch = index_batch(scan_files(spark, [str(tree)]), tables.files(), *world, now=2.0)
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # chunks are written by then, postings are not
+        m.setattr(fulltext, "postings", broken)
+        with pytest.raises(RuntimeError):
+            tables.apply(batch)
+    assert snapshot(tables) == first
+    with monkeypatch.context() as m:  # everything is written, but does not count yet
+        m.setattr(IndexTables, "_commit", broken)
+        with pytest.raises(RuntimeError):
+            tables.apply(batch)
+    assert snapshot(IndexTables(spark, root)) == first
+    tables.apply(batch)
+    second = snapshot(tables)
+    assert {s for _, s in second[1]} >= {"other words", "brand new"} and second != first
+    want = fulltext.build_index(tables.chunks())
+    assert second[2] == sorted((r.term, r.chunk_id, r.tf) for r in want.postings.collect())
+    terms = sorted(tuple(r) for r in tables.index().vocabulary.select("term", "df", "cf").collect())
+    assert terms == sorted(tuple(r) for r in want.vocabulary.select("term", "df", "cf").collect())
+    tables.vacuum()
+    assert snapshot(IndexTables(spark, root)) == second
+    versions = {d for t in ("files", "chunks", "postings") for d in os.listdir(f"{root}/{t}")}
+    assert len(versions) <= 2

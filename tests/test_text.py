@@ -101,3 +101,9 @@ def test_position_meta(spark):
     meta = column(spark, ['say "hi"'], lambda c: tx.position_meta(line=F.lit(3), header=c))
     assert column(spark, meta, lambda c: tx.position_field(c, "line")) == ["3"]
     assert column(spark, meta, lambda c: tx.position_field(c, "header")) == ['say "hi"']
+
+
+def test_running_sums(spark):
+    arrays = [[], [5], list(range(700)), [1] * 256, [2] * 257]
+    rows = spark.createDataFrame([(a,) for a in arrays], "a array<int>").select(tx.running_sums(F.col("a")).alias("s")).collect()
+    assert [r.s for r in rows] == [[sum(a[:i]) for i in range(len(a))] for a in arrays]
