@@ -31,6 +31,17 @@ def fingerprint(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
 
 
+def text_hash(text: Column) -> Column:
+    """With the id, the name of a row: rows of equal id and text are treated alike."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (_id, _h) names; texts stay in the JVM."""
+    same = docs[id_column].eqNullSafe(gone["_id"]) & (text_hash(docs[text_column]) == gone["_h"])
+    return docs.join(gone, same, "left_anti")
+
+
 def once(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, safe if executors go."""
     return written(df, name)

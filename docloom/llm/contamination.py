@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.columns import once, text_hash, without_rows
 from docloom.llm.textscan import LOWER, runs, slices
 
 WINDOW = 10
@@ -345,3 +346,15 @@ def n_hit(spans: Column) -> Column:
     return F.aggregate(
         F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda n, x: n + x
     )
+
+
+def keep_clean(
+    docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
+    """The rows of ``docs`` in which no unit of an item was found."""
+    keyed = docs.select(
+        F.col(id_column).alias("_id"), text_hash(F.col(text_column)).alias("_h"), F.col(text_column).alias("_t")
+    )
+    found = with_findings(keyed, items, "_t", keep=["_id", "_h"], **options)
+    leaks = once(found.filter(F.size("_found.spans") > 0).select("_id", "_h").distinct(), "leaks")
+    return without_rows(docs, leaks, id_column, text_column)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import vocab
-from docloom.llm.columns import once
+from docloom.llm.columns import once, text_hash, without_rows
 from docloom.llm.textscan import NOT_SPACE, coded, compact, per_text, runs, slices
 
 MIN_WORDS = 50
@@ -186,7 +186,11 @@ def judge(measured: DataFrame, group_column: str = "lang") -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, text_column: str = "text", group_column: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns."""
-    measured = once(with_measures(docs, text_column), "measured")
-    return judge(measured, group_column).filter("_kept").select(*docs.columns)
+def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group_column: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    keyed = docs.select(
+        F.col(id_column).alias("_id"), text_hash(F.col(text_column)).alias("_h"), F.col(group_column).alias("_lang"), F.col(text_column).alias("_t")
+    )
+    measured = once(with_measures(keyed, "_t", ["_id", "_h", "_lang"]), "measured")
+    rejected = judge(measured, "_lang").filter(~F.col("_kept")).select("_id", "_h").distinct()
+    return without_rows(docs, rejected, id_column, text_column)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.columns import once
+from docloom.llm.columns import once, text_hash
 from docloom.llm.textscan import slices
 
 SHINGLE = 3
@@ -393,18 +393,19 @@ def keep_one(
     """The rows of ``docs`` without all but one of each group of near-duplicates, by 128-bit fingerprints: the smallest id stays.
 
     Rows that repeat the id and the text of one that stays are repeats, too, and only one of them stays."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    keyed = docs.select(F.col(id_column).alias("_id"), text.alias("_t"), F.xxhash64(text).alias("_h"))
+    keyed = docs.select(
+        F.col(id_column).alias("_id"), F.col(text_column).alias("_t"), text_hash(F.col(text_column)).alias("_h")
+    )
     rows = once(with_fingerprints(keyed, "_t", size, 2, ["_id", "_h"]), "fingerprints")
     found = grouped(rows, "_id", 2, radius, 1, tile_rows=WIDE_TILE_ROWS, visitors=WIDE_VISITORS)
     # Ids that repeat with other texts: the smallest hash stays, so that one row is left of a group.
     best = found.filter(F.col("_id").eqNullSafe(F.col("component_id")))
     stay = once(best.groupBy("root", "_id").agg(F.min("_h").alias("_h"), F.count(F.lit(1)).alias("n")), "stay")
-    same = docs[id_column].eqNullSafe(stay["_id"]) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == stay["_h"])
+    same = docs[id_column].eqNullSafe(stay["_id"]) & (text_hash(docs[text_column]) == stay["_h"])
     kept = docs.join(stay, same, "left_semi")
     if stay.filter("n > 1").isEmpty():
         return kept
     # One row of each id: a struct with all columns, the first in order.
-    return kept.groupBy(F.col(id_column).alias("_id"), F.xxhash64(F.coalesce(text_column, F.lit(""))).alias("_h")).agg(
+    return kept.groupBy(F.col(id_column).alias("_id"), text_hash(F.col(text_column)).alias("_h")).agg(
         F.first(F.struct(*docs.columns)).alias("row")
     ).select("row.*")

@@ -19,36 +19,55 @@ from docloom.llm.textscan import LOWER, binary_array, coded, spread_out
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 1_000_000
-REMEMBERED_BYTES = 32 << 20
+#: Some 60 MB in each Python worker.
+REMEMBERED = 300_000
+REMEMBERED_BYTES = 16 << 20
+#: Joined texts that a tokeniser gets at a time.
+AT_ONCE = 16
 
 #: From distinct pieces to all their ids in a row and the number of ids of each.
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 class Memory:
-    """Ids of pieces, encoded when first seen; forgets everything when it is full."""
+    """Ids of pieces, encoded when first seen. When it is full it keeps those that slices had in common."""
 
-    def __init__(self, encode: Encode):
+    def __init__(self, encode: Encode, room: int | None = None):
         self.encode = encode
-        self.forget()
-
-    def forget(self) -> None:
+        self.room = room or REMEMBERED
         self.places: dict[bytes, int] = {}
         self.bytes = self.used = 0
         self.begins, self.lengths = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.seen = np.empty(1024, np.int64)
         self.flat = np.empty(4096, np.uint16)
 
+    def _forget(self) -> None:
+        """Keep the pieces of several slices, the commonest first, and at most half of what fits."""
+        n = len(self.places)
+        order = np.argsort(-self.seen[:n], kind="stable")[: self.room // 2]
+        order = order[self.seen[order] > 1]
+        words = list(self.places)
+        kept = [words[i] for i in order.tolist()]
+        if sum(map(len, kept)) > REMEMBERED_BYTES // 2:
+            kept, order = [], order[:0]
+        lengths = self.lengths[order]
+        self.flat = self.flat[spread_out(self.begins[order], lengths)]
+        self.begins, self.lengths, self.seen = np.cumsum(lengths) - lengths, lengths, np.ones(len(kept), np.int64)
+        self.places = dict(zip(kept, range(len(kept)), strict=True))
+        self.bytes, self.used = sum(map(len, kept)), len(self.flat)
+
     def look_up(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each piece begin in ``flat``, and how many it has."""
-        if len(self.places) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
-            self.forget()
+        if len(self.places) > self.room or self.bytes > REMEMBERED_BYTES:
+            self._forget()
         new = [p for p in pieces if p not in self.places]
         if new:
             ids, lengths = self.encode(new)
             first = len(self.places)
             self.begins = _room(self.begins, first, len(new))
             self.lengths = _room(self.lengths, first, len(new))
+            self.seen = _room(self.seen, first, len(new))
+            self.seen[first : first + len(new)] = 0
             self.flat = _room(self.flat, self.used, len(ids))
             self.begins[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
             self.lengths[first : first + len(new)] = lengths
@@ -57,6 +76,7 @@ class Memory:
             self.bytes += sum(map(len, new))
             self.places.update(zip(new, range(first, first + len(new)), strict=True))
         at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        self.seen[at] += 1  # the pieces of a slice are distinct
         return self.begins[at], self.lengths[at]
 
 
@@ -68,12 +88,12 @@ def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
     return larger
 
 
-def remembered(name: str, path: str, make: Callable[[str], Encode]) -> Memory:
-    """The worker's memory for one tokeniser."""
-    memories = worker_state().__dict__.setdefault("memories", {})
-    if (name, path) not in memories:
-        memories[name, path] = Memory(make(path))
-    return memories[name, path]
+def remembered(name: str, path: str, make: Callable[[str], Encode], room: int | None = None) -> Memory:
+    """The worker's memory for one tokeniser; it holds one at a time."""
+    state = worker_state()
+    if getattr(state, "memory", (None,))[0] != (name, path):
+        state.memory = (name, path), Memory(make(path), room)
+    return state.memory[1]
 
 
 def _flat(ids: list) -> tuple[np.ndarray, np.ndarray]:
@@ -88,51 +108,93 @@ def sentencepiece_words(path: str) -> Encode:
     return lambda words: _flat(model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1))
 
 
-def _marked(tokenizer, plain: re.Pattern[bytes], glue: bytes, many: int = 400) -> Encode:
-    """Encode many pieces at a time with a mark between them that no merge of the vocabulary contains."""
-    mark = tokenizer.encode("\0", add_special_tokens=False).ids
-    if len(mark) != 1:
-        raise ValueError("the vocabulary has no id for the mark")
+#: Letters that every definition of a letter has: ASCII, and the letters of U+00C0 to U+017F.
+LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+"
+#: Of these, ones that neither lower case nor composition changes.
+LOWER_LATIN = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
+LONGEST = 200
+
+
+class _Tier:
+    """Pieces of one kind, encoded many at a time, with a mark between them that no merge of the vocabulary contains."""
+
+    def __init__(self, tokenizer, pattern: bytes, glue: bytes, many: int = 200):
+        self.tokenizer, self.pattern, self.glue, self.many = tokenizer, re.compile(pattern), glue, many
+        self.mark = tokenizer.encode("\0", add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("the vocabulary has no id for the mark")
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [self.glue.join(words[k : k + self.many]).decode() for k in range(0, len(words), self.many)]
+        parts = [np.empty(0, np.uint16)]
+        for k in range(0, len(texts), AT_ONCE):  # an encoding is much larger than its ids
+            for encoded in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False):
+                parts.append(np.array(encoded.ids + self.mark, np.uint16))
+        flat = np.concatenate(parts)
+        cuts = np.flatnonzero(flat == self.mark[0])
+        return np.delete(flat, cuts), np.diff(cuts, prepend=-1) - 1
+
+
+def _in_tiers(tokenizer, tiers: list[_Tier]) -> Encode:
+    """Every piece goes to the first tier whose pattern it is; the others, and long ones, are encoded alone."""
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # Pieces on which the mark could have an influence, and long ones, go alone.
-        easy = [w for w in words if len(w) < 200 and plain.fullmatch(w)]
-        texts = [glue.join(easy[k : k + many]).decode() for k in range(0, len(easy), many)]
-        alone = set() if len(easy) == len(words) else {w for w in words if len(w) >= 200 or not plain.fullmatch(w)}
-        parts = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(chain(p, mark) for p in parts), np.uint16)
-        cuts = np.flatnonzero(flat == mark[0])
-        lengths = np.diff(cuts, prepend=-1) - 1
-        flat = np.delete(flat, cuts)
-        if not alone:
-            return flat, lengths
-        hard = [w for w in words if w in alone]
-        more, own = _flat([e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)])
-        # Back into the order of the words.
-        is_hard = np.fromiter((w in alone for w in words), bool, len(words))
-        begins, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        sizes[~is_hard], sizes[is_hard] = lengths, own
-        begins[~is_hard] = np.cumsum(lengths) - lengths
-        begins[is_hard] = len(flat) + np.cumsum(own) - own
-        return np.concatenate([flat, more])[spread_out(begins, sizes)], sizes
+        kind = np.full(len(words), len(tiers))
+        left = [i for i, w in enumerate(words) if len(w) < LONGEST]
+        for k, tier in enumerate(tiers):
+            mine = [i for i in left if tier.pattern.fullmatch(words[i])]
+            kind[mine] = k
+            left = [i for i in left if kind[i] > k]
+        begins, sizes, flats, used = np.empty(len(words), np.int64), np.empty(len(words), np.int64), [], 0
+        for k in range(len(tiers) + 1):
+            at = np.flatnonzero(kind == k)
+            if not len(at):
+                continue
+            own = [words[i] for i in at.tolist()]
+            if k < len(tiers):
+                flat, lengths = tiers[k](own)
+            else:
+                flat, lengths = _flat([e.ids for w in own for e in tokenizer.encode_batch_fast([w.decode()], add_special_tokens=False)])
+            begins[at], sizes[at] = used + np.cumsum(lengths) - lengths, lengths
+            flats.append(flat)
+            used += len(flat)
+        return (np.concatenate(flats) if flats else np.empty(0, np.uint16))[spread_out(begins, sizes)], sizes
 
     return encode
 
 
+def _simple(path: str):
+    """The tokeniser with nothing to look for in a text but marks: for pieces that are one word of letters each."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split("\0", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    if hasattr(tokenizer.model, "_resize_cache"):
+        tokenizer.model._resize_cache(0)  # pieces come once
+    return tokenizer
+
+
 def byte_bpe(path: str) -> Encode:
     """Pieces of a byte-level BPE, see ``pieces``."""
     from tokenizers import Tokenizer
 
-    # None of these can share a token with the mark: a mark before a stop or comma stays a token of its own, and
+    tokenizer = Tokenizer.from_file(path)
+    # None of the second kind can share a token with the mark: a mark before a stop or comma stays a token of its own, and
     # white space comes first and never last.
-    return _marked(Tokenizer.from_file(path), re.compile(rb"[.,]|[ \n.,][^\0]*(?:[!-~]|[\xc3-\xdf][\x80-\xbf])"), b"\0")
+    safe = rb"[.,]|[ \n.,][^\0]*(?:[!-~]|[\xc3-\xdf][\x80-\xbf])"
+    return _in_tiers(tokenizer, [_Tier(_simple(path), b" ?" + LATIN, b"\0"), _Tier(tokenizer, safe, b"\0")])
 
 
 def word_bpe(path: str) -> Encode:
-    """Words of a BPE with word ends that drops white space."""
-    from tokenizers import Tokenizer
+    """Pieces of a BPE with word ends that drops white space and case."""
+    from tokenizers import Tokenizer, normalizers
 
-    return _marked(Tokenizer.from_file(path), re.compile(rb"[^\0]+"), b" \0 ")
+    tokenizer = Tokenizer.from_file(path)
+    simple = _simple(path)
+    simple.normalizer = normalizers.Replace(" ", "")
+    return _in_tiers(tokenizer, [_Tier(simple, b" ?" + LOWER_LATIN, b"\0"), _Tier(tokenizer, rb"[^\0]+", b" \0 ")])
 
 
 def _safe_ends(data: np.ndarray) -> np.ndarray:
