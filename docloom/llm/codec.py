@@ -21,8 +21,8 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 1 << 20
-LANES = 4096
+BLOCK_IDS = 1 << 22
+LANES = 16384
 LEAST_STEPS = 64
 
 HEADER = "<6I"
@@ -34,6 +34,7 @@ SURE = 8  # levels of confidence
 TABLE_BITS = 18
 REBUILD = 16
 
+MIX1, MIX2 = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 TOP = np.uint64(1 << 48)
 BOTTOM = np.uint64(1 << 40)
 SHIFT = np.uint64(16)
@@ -46,13 +47,13 @@ class Model:
         # A cell holds a guess and, above its 16 bits, how sure it is.
         self.cells1, self.cells2 = np.zeros(1 << 16, np.int32), np.zeros(1 << TABLE_BITS, np.int32)
         states = SURE * SURE * 2
-        self.seen = np.full(states, 8)
-        self.won2, self.won1 = np.full(states, 2), np.full(states, 2)
-        self.won1[1::2] = 0  # both guesses agree: the first has it all
+        # By state: how often neither, guess 1 alone, or guess 2 was right. If both agree, guess 2 has it all.
+        self.outcomes = np.tile([4, 2, 2], (states, 1))
+        self.outcomes[1::2] = 6, 0, 2
         self.counts = np.ones(vocabulary, np.int64)
         self.waiting: list[np.ndarray] = []
         self.step = 0
-        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.before1, self.before2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self._rebuild()
 
     def _rebuild(self) -> None:
@@ -70,48 +71,48 @@ class Model:
     def predict(self) -> None:
         """The guesses of both orders, smaller first, and their weights."""
         self.at1 = self.before1
-        self.at2 = ((self.before2 * 0x9E3779B1 + self.before1 * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-        cell1, cell2 = self.cells1[self.at1], self.cells2[self.at2]
+        self.at2 = (self.before2 * MIX2 + self.before1 * MIX1) >> np.uint32(32 - TABLE_BITS)
+        cell1, cell2 = self.cells1.take(self.at1), self.cells2.take(self.at2)
         self.one, self.two = cell1 & 0xFFFF, cell2 & 0xFFFF
         self.k1, self.k2 = cell1 >> 16, cell2 >> 16
         self.state = (((self.k2 << 3) | self.k1) << 1) | (self.one == self.two)
-        weight1 = ((WHOLE - FLOOR) * self.won1 // self.seen).astype(np.uint64)
-        weight2 = ((WHOLE - FLOOR) * self.won2 // self.seen).astype(np.uint64)
-        w1, w2 = weight1[self.state], weight2[self.state]
-        self.w0 = np.uint64(WHOLE) - w1 - w2
-        less = self.one < self.two
+        weights = (WHOLE - FLOOR) * self.outcomes[:, 1:] // self.outcomes.sum(1)[:, None]
+        weights = np.column_stack([WHOLE - weights.sum(1), weights]).astype(np.uint64)
+        self.w0 = weights[:, 0].take(self.state)
+        masses = weights[:, 1:] * self.n
+        # The order of the guesses decides whose mass comes first; the larger one's is counted from above.
+        swap = self.one >= self.two
         self.a, self.b = np.minimum(self.one, self.two), np.maximum(self.one, self.two)
-        self.mass_a = np.where(less, w1, w2) * self.n
-        self.mass_b = np.where(less, w2, w1) * self.n
+        both = masses.reshape(-1)
+        at = self.state * 2
+        self.mass_a, self.mass_b = both.take(at + swap), both.take(at + 1 - swap)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids lie in the mixture: lower end and width, out of ``total``."""
-        low = self.w0 * self.cumulated[ids] + self.mass_a * (ids > self.a) + self.mass_b * (ids > self.b)
-        # If both guesses are one id, the second has no mass of its own left to find at b > a.
-        width = self.w0 * self.frequency[ids] + self.mass_a * (ids == self.a) + self.mass_b * (ids == self.b)
+        low = self.w0 * self.cumulated.take(ids) + self.mass_a * (ids > self.a) + self.mass_b * (ids > self.b)
+        width = self.w0 * self.frequency.take(ids) + self.mass_a * (ids == self.a) + self.mass_b * (ids == self.b)
         return low, width
 
     def search(self, place: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the places."""
-        low_a = self.w0 * self.cumulated[self.a]
-        high_a = low_a + self.w0 * self.frequency[self.a] + self.mass_a
+        high_a = self.w0 * self.cumulated.take(self.a + 1) + self.mass_a
         after_a = place >= high_a
         rest = place - self.mass_a * after_a
-        low_b = self.w0 * self.cumulated[self.b]
-        high_b = low_b + self.w0 * self.frequency[self.b] + self.mass_b
+        # Within a guess's own mass, its id; beyond it, the rest is order 0 alone.
+        high_b = self.w0 * self.cumulated.take(self.b + 1) + self.mass_b
         after_b = after_a & (rest >= high_b)
-        rest = rest - self.mass_b * after_b
-        is_a = (place >= low_a) & ~after_a
-        is_b = after_a & (rest >= low_b) & ~after_b
-        plain = np.minimum(rest // self.w0, self.n - np.uint64(1)).astype(np.int64)
-        return np.where(is_a, self.a, np.where(is_b, self.b, self.inverse[plain])).astype(np.int64)
+        rest -= self.mass_b * after_b
+        # What is left of a guess's mass counts as the last place of its id in order 0.
+        guess = np.where(after_a, self.b, self.a)
+        own = np.where(after_a, high_b - self.mass_b, high_a - self.mass_a)
+        inside = ~after_b & (rest >= own)
+        plain = self.inverse.take((rest // self.w0).astype(np.int64), mode="clip")
+        return np.where(inside, guess, plain)
 
     def learn(self, ids: np.ndarray) -> None:
         hit2, hit1 = ids == self.two, ids == self.one
-        states = len(self.seen)
-        self.seen += np.bincount(self.state, minlength=states)
-        self.won2 += np.bincount(self.state[hit2], minlength=states)
-        self.won1 += np.bincount(self.state[hit1 & ~hit2], minlength=states)
+        outcome = self.state * 3 + np.maximum(hit1, hit2 * np.int8(2))
+        self.outcomes += np.bincount(outcome, minlength=self.outcomes.size).reshape(-1, 3)
         for cells, at, was, k, hit in (
             (self.cells1, self.at1, self.one, self.k1, hit1), (self.cells2, self.at2, self.two, self.k2, hit2),
         ):
@@ -119,7 +120,7 @@ class Model:
             # the same cell; the last one counts, in both directions alike.
             missed = np.where(k <= 1, ids | (1 << 16), was | ((k >> 1) << 16))
             cells[at] = np.where(hit, was | (np.minimum(k + 1, SURE - 1) << 16), missed)
-        self.before1, self.before2 = ids, self.before1
+        self.before1, self.before2 = ids.astype(np.uint32), self.before1
         self.waiting.append(ids)
         self.step += 1
         if self.step % REBUILD == 0 or self.step in (1, 2, 4, 8):
@@ -131,33 +132,28 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def _unsettled(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the upper bits are settled, and whether there is anything to do."""
-    settled = (low ^ (low + width)) < TOP
-    return settled, settled | (width < BOTTOM)
-
-
 def _renew(low: np.ndarray, width: np.ndarray):
-    """Shift out settled bits until every lane is wide again; yields the lanes that shift by 16 bits, each time."""
-    settled, due = _unsettled(low, width)
-    at = np.flatnonzero(due)
-    settled = settled[at]
-    lows, widths = low[at], width[at]
+    """Shift out settled bits until every lane is wide again; yields the lanes that shift by 16 bits and their lows, each time."""
+    settled = (low ^ (low + width)) < TOP
+    at = np.flatnonzero(settled | (width < BOTTOM))
+    lows, widths, settled = low.take(at), width.take(at), settled.take(at)
     while len(at):
         yield at, lows
-        # Too narrow, but not settled: give up what lies beyond the next border.
-        widths = np.where(settled, widths, (np.uint64(0) - lows) & (BOTTOM - np.uint64(1))) << SHIFT
-        lows = lows << SHIFT
+        if not settled.all():
+            # Too narrow, but not settled: give up what lies beyond the next border.
+            widths = np.where(settled, widths, (np.uint64(0) - lows) & (BOTTOM - np.uint64(1)))
+        lows, widths = lows << SHIFT, widths << SHIFT
         low[at], width[at] = lows, widths
-        settled, due = _unsettled(lows, widths)
-        at, lows, widths, settled = at[due], lows[due], widths[due], settled[due]
+        settled = (lows ^ (lows + widths)) < TOP
+        again = np.flatnonzero(settled | (widths < BOTTOM))
+        at, lows, widths, settled = at.take(again), lows.take(again), widths.take(again), settled.take(again)
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """One block of at most ``BLOCK_IDS`` ids below ``vocabulary`` (at most 65536)."""
     n = len(ids)
     lanes, steps = _lanes(n) if n else (0, 0)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     room = 3 * steps + 8
@@ -214,7 +210,7 @@ def decode(block: bytes) -> np.ndarray:
     for _ in range(4):
         code = (code << SHIFT) | take(everyone)
     model = Model(vocabulary, lanes, True)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     for step in range(steps):
         model.predict()
         unit = width // model.total

@@ -38,6 +38,9 @@ from docloom.sources.sizes import shared_folder
 MAGIC = b"TOKENS1\n"
 END = 0
 FILE_IDS = 1 << 24
+#: Pieces that a worker remembers: some 130 MB.
+REMEMBERED = 800_000
+SLICE_BYTES = 4 << 20
 FOOTER = "<QII"  # where the documents begin, their bytes, their sum
 FOOTER_BYTES = 16
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("length", "<u8")])
@@ -145,7 +148,7 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        memory = vocab.remembered("byte_bpe", path, vocab.byte_bpe)
+        memory = vocab.remembered("byte_bpe", path, vocab.byte_bpe, REMEMBERED)
         size = Tokenizer.from_file(path).get_vocab_size()
         task, part, writer = TaskContext.get().partitionId(), 0, None
 
@@ -153,7 +156,7 @@ def write(
             return pa.RecordBatch.from_pylist([{"task": task, "part": part, **writer.close()}], schema=kinds)
 
         for batch in batches:
-            for piece, data, offsets in slices(batch, "_text"):
+            for piece, data, offsets in slices(batch, "_text", SLICE_BYTES):
                 ids, at = vocab.encode_texts(data, offsets, memory)
                 for doc_id, a, b in zip(piece["id"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     if writer is None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -60,8 +60,10 @@ class Memory:
         """Where the ids of each piece begin in ``flat``, and how many it has."""
         if len(self.places) > self.room or self.bytes > REMEMBERED_BYTES:
             self._forget()
-        new = [p for p in pieces if p not in self.places]
-        if new:
+        at = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new = [pieces[i] for i in unknown.tolist()]
             ids, lengths = self.encode(new)
             first = len(self.places)
             self.begins = _room(self.begins, first, len(new))
@@ -75,7 +77,7 @@ class Memory:
             self.used += len(ids)
             self.bytes += sum(map(len, new))
             self.places.update(zip(new, range(first, first + len(new)), strict=True))
-        at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+            at[unknown] = np.arange(first, first + len(new))
         self.seen[at] += 1  # the pieces of a slice are distinct
         return self.begins[at], self.lengths[at]
 
