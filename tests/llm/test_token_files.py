@@ -73,9 +73,9 @@ def test_long_document_spans_blocks(spark, monkeypatch):
     docs = samples.frame(spark, rows, 1)
     got = token_files.read(token_files.write(docs, token_files.new_folder(spark), file_ids=100)).collect()
     samples.same([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], [w[:3] for w in expected(rows)])
-    long = samples.frame(spark, [(i, "one two three " * 90_000, "en", "s") for i in range(9)], 1)
+    long = samples.frame(spark, [(i, "one two three " * 90_000, "en", "s") for i in range(17)], 1)
     got = token_files.read(token_files.write(long, token_files.new_folder(spark))).collect()
-    assert len({(r.n_tokens, r.ids_crc32) for r in got}) == 1 and len(got) == 9 and sum(r.n_tokens for r in got) > codec.BLOCK_IDS
+    assert len({(r.n_tokens, r.ids_crc32) for r in got}) == 1 and len(got) == 17 and sum(r.n_tokens for r in got) > codec.BLOCK_IDS
 
 
 def test_damaged_file(spark):
