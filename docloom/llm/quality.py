@@ -37,6 +37,9 @@ ENTROPY_BAND = (8.0, math.inf)
 BYTES_BAND = (math.inf, 30.0)
 #: A quartile range below this share of the median counts as this share.
 LEAST_SPREAD = 0.02
+#: The upper bound of the share of byte tokens is never below this: where most texts of a language have none, median and
+#: quartiles are 0, and a few characters outside the vocabulary (three or four tokens each) do not make a text bad.
+LEAST_BYTES_BOUND = 0.1
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -167,10 +170,11 @@ def bands(measured: DataFrame, group_column: str) -> DataFrame:
     for c in SHARES:
         low, middle, high = (F.col(c)[i] for i in range(3))
         spread = F.greatest((high - low) / 1.35, F.abs(middle) * LEAST_SPREAD, F.lit(1e-6))
-        bounds += [
-            (middle - (spread * widths[c][0] if math.isfinite(widths[c][0]) else F.lit(math.inf))).alias(f"_{c}_low"),
-            (middle + (spread * widths[c][1] if math.isfinite(widths[c][1]) else F.lit(math.inf))).alias(f"_{c}_high"),
-        ]
+        below, above = (spread * w if math.isfinite(w) else F.lit(math.inf) for w in widths[c])
+        upper = middle + above
+        if c == "byte_share":
+            upper = F.greatest(upper, F.lit(LEAST_BYTES_BOUND))
+        bounds += [(middle - below).alias(f"_{c}_low"), upper.alias(f"_{c}_high")]
     return quartiles.select("_group", *bounds)
 
 

@@ -68,6 +68,25 @@ def test_bands(spark):
     assert kept.columns == docs.columns and kept.count() == 80
 
 
+def test_few_characters_outside_the_vocabulary(spark):
+    """Among texts without byte tokens a few such characters are no fault; a text made of them is."""
+    import random
+
+    rng = random.Random(5)
+    words = "water stone letter morning garden winter silver table window summer paper river market number branch".split()
+    text = lambda n: [rng.choice(words) + rng.choice(["", "", "ing", "s", "ed"]) for _ in range(n)]
+    rows = [(i, " ".join(text(120)), "en", "s") for i in range(60)]
+    odd = ["\U0001f99c", "\u20bf", "\u9f98"]
+    rows += [(100 + i, " ".join([*text(60), c, *text(60)]), "en", "s") for i, c in enumerate(odd)]
+    rows += [(110, " ".join([*text(80), *odd]), "en", "s"), (111, " ".join([*text(4000), odd[0]]), "en", "s")]
+    rows += [(200, " ".join(w + odd[2] * 2 for w in text(120)), "en", "s")]
+    judged = quality.judge(once(quality.with_measures(samples.frame(spark, rows)), "m"))
+    got = {r.doc_id: r for r in judged.filter("doc_id >= 100").collect()}
+    assert all(r._quality.byte_share > 0 for r in got.values())
+    assert {i for i, r in got.items() if not r._kept} == {200}
+    assert quality.keep_good(samples.frame(spark, rows)).count() == 65
+
+
 def test_very_long_text_of_many_words(spark):
     """More distinct words than fit into packed windows go the other way."""
     import numpy as np
