@@ -11,6 +11,11 @@ tile pairs further apart are never formed. Inside a tile numpy compares all resi
 A tile of many residents is split, and its visitors too, from counts of a grid of at most 17^4 cells. A task
 reports only links that join something new within the tile, so links are fewer than the rows that it read.
 
+Where fingerprints only propose (``keep_one``), classes are texts of equal shingle sets, fingerprints are made of the sets, and a link
+joins only if the two sets have the asked Jaccard similarity, compared shingle by shingle. A refuted link may have stood for
+others of its tile; so the groups of refuted links are compared once more, and there every pair that the confirmed links do not
+join already is confirmed or refuted.
+
 Defined results: null and blank texts have fingerprint 0 and are linked like any other; repeated rows get the
 same result, one row each; ``component_id`` is the smallest id that can be reached, ignoring null ids; an empty table gives an empty result.
 """
@@ -37,9 +42,12 @@ LANES = 4
 WORDS_AT_ONCE = 500_000
 TILE_ROWS = 16_384
 VISITORS = 262_144
-#: Of 128 bits: texts that share 0.8 of their 5-word shingles are 15 bits apart, give or take 4, short ones more; of 10^14
-#: pairs of unrelated texts some ten are expected this near.
-WIDE_RADIUS = 24
+#: The pipeline's stage: texts are alike if their sets of 5-word shingles have this Jaccard similarity.
+WIDE_SHINGLE = 5
+SIMILAR = 0.8
+#: Of 128 bits: texts of similarity 0.8 with equally many shingles are 19.4 bits apart on average, give or take 4.1, so 0.4 % of them
+#: are further apart than this. Less similar ones come as near, too; the shingle sets refute them.
+WIDE_RADIUS = 30
 WIDE_TILE_ROWS = 262_144
 WIDE_VISITORS = 65_536
 
@@ -74,8 +82,16 @@ def _second(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, size: int, words: int = 1) -> np.ndarray:
-    """(texts, words) array of 64-bit words."""
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashes(text, size)]))
+
+
+def fingerprint_texts(
+    data: np.ndarray, offsets: np.ndarray, size: int, words: int = 1, names: np.ndarray | None = None
+) -> np.ndarray:
+    """(texts, words) array of 64-bit words. With ``names``, an array to fill with a hash of each text's shingle
+    set, the fingerprints are those of the sets: a shingle counts once."""
     raw, n = data.tobytes(), len(offsets) - 1
     counts, totals = np.zeros((n, 64 * words), np.int64), np.zeros(n, np.int64)
     waiting, owners, held = [], [], 0
@@ -92,8 +108,18 @@ def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, size: int, words: i
             np.add.at(totals, owners, lengths)
         waiting, owners, held = [], [], 0
 
+    def hashed(i: int) -> Iterator[np.ndarray]:
+        text = raw[offsets[i] : offsets[i + 1]]
+        if names is None:
+            yield from _hashes(text, size)
+            return
+        distinct = shingle_set(text, size)
+        names[i] = _second(distinct).sum(dtype=np.uint64)
+        for first in range(0, len(distinct), WORDS_AT_ONCE):
+            yield distinct[first : first + WORDS_AT_ONCE]
+
     for i in range(n):
-        for hashes in _hashes(raw[offsets[i] : offsets[i + 1]], size):
+        for hashes in hashed(i):
             waiting.append(hashes)
             owners.append(i)
             held += len(hashes)
@@ -108,20 +134,26 @@ def fp_columns(words: int) -> list[str]:
 
 
 def with_fingerprints(
-    docs: DataFrame, text_column: str = "text", size: int = SHINGLE, words: int = 1, keep: list[str] | None = None
+    docs: DataFrame, text_column: str = "text", size: int = SHINGLE, words: int = 1, keep: list[str] | None = None, sets: bool = False
 ) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) and _fp0, _fp1, ...: the fingerprint's words as signed longs."""
+    """The columns ``keep`` of ``docs`` (all by default) and _fp0, _fp1, ...: the fingerprint's words as signed longs.
+
+    With ``sets`` the fingerprints are those of the shingle sets, and _set is a hash of the set."""
     kept = docs.columns if keep is None else keep
     source = docs.select(*[F.col(c) for c in kept], F.col(text_column).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "_text"):
-                fps = fingerprint_texts(data, offsets, size, words).view(np.int64)
+                names = np.zeros(len(offsets) - 1, np.uint64) if sets else None
+                fps = fingerprint_texts(data, offsets, size, words, names).view(np.int64)
                 columns = [pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words)]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names=[*kept, *fp_columns(words)])
+                if sets:
+                    columns.append(pa.array(names.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names=[*kept, *new])
 
-    added = [T.StructField(c, T.LongType()) for c in fp_columns(words)]
+    new = [*fp_columns(words), *(["_set"] if sets else [])]
+    added = [T.StructField(c, T.LongType()) for c in new]
     return source.mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], *added]))
 
 
@@ -174,8 +206,8 @@ def _mix(values: np.ndarray, salt: int) -> np.ndarray:
     return (x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
 
 
-def _deal(counts: np.ndarray, side: int, words: int, lanes: int, radius: int, tile_rows: int, visitors: int):
-    """Batches of (node, cell, words) to rows (cell, part, share, visits, node, words)."""
+def _deal(counts: np.ndarray, side: int, carried: list[str], lanes: int, radius: int, tile_rows: int, visitors: int):
+    """Batches of (node, cell, carried columns) to rows (cell, part, share, visits, node, carried columns)."""
     parts, shares = _plan(counts, side, lanes, radius, tile_rows, visitors)
     powers = side ** np.arange(lanes - 1, -1, -1)
     steps = _neighbours(lanes, radius)
@@ -185,8 +217,8 @@ def _deal(counts: np.ndarray, side: int, words: int, lanes: int, radius: int, ti
         place = {"cell": cell, "part": part, "share": share}
         return pa.RecordBatch.from_arrays(
             [*[pa.array(x.astype(np.int32)) for x in place.values()], pa.array(np.full(len(who), visits)), chosen["node"],
-             *[chosen[c] for c in fp_columns(words)]],
-            names=[*place, "visits", "node", *fp_columns(words)],
+             *[chosen[c] for c in carried]],
+            names=[*place, "visits", "node", *carried],
         )
 
     def all_parts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +272,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return out_a, out_b
 
 
-Tile = tuple[np.ndarray, list[np.ndarray]]  # nodes, and the words of their fingerprints
+Tile = tuple[np.ndarray, list[np.ndarray]]  # nodes, and the words of their fingerprints (and their labels)
 
 
 def _near(a: list[np.ndarray], b: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,9 +290,10 @@ def _joined(tiles: list[Tile]) -> Tile:
     return np.concatenate([t[0] for t in tiles]), [np.concatenate(w) for w in zip(*[t[1] for t in tiles], strict=True)]
 
 
-def _compare(words: int, radius: int):
-    """Rows sorted by tile, residents first, to links."""
+def _compare(words: int, radius: int, labelled: bool = False):
+    """Rows sorted by tile, residents first, to links; if labelled, to all pairs of unequal labels."""
     high, wide = 256, 2048
+    carried = [*fp_columns(words), *(["label"] if labelled else [])]
 
     def links(residents: Tile, others: Tile, own: bool) -> Iterator[pa.RecordBatch]:
         found: tuple[list[int], list[int]] = ([], [])
@@ -268,11 +301,15 @@ def _compare(words: int, radius: int):
             nodes, fps = _part(residents, slice(i, i + high))
             for j in range(i // wide * wide if own else 0, len(others[0]), wide):
                 other_nodes, other_fps = _part(others, slice(j, j + wide))
-                k, m = _near(fps, other_fps, radius)
+                k, m = _near(fps[:words], other_fps[:words], radius)
                 if own:
                     later = i + k < j + m
                     k, m = k[later], m[later]
-                if len(k):
+                if labelled:
+                    apart = fps[words][k] != other_fps[words][m]
+                    if apart.any():
+                        yield pa.RecordBatch.from_pydict({"a": pa.array(nodes[k[apart]]), "b": pa.array(other_nodes[m[apart]])})
+                elif len(k):
                     a = np.concatenate([np.array(found[0], np.int64), nodes[k]])
                     found = _forest(a, np.concatenate([np.array(found[1], np.int64), other_nodes[m]]))
         if found[0]:
@@ -294,7 +331,7 @@ def _compare(words: int, radius: int):
             key = [batch[c].to_numpy() for c in ("cell", "part", "share")]
             visits = batch["visits"].to_numpy(zero_copy_only=False)
             # Unsigned, as numpy counts the bits of a negative number's absolute value.
-            tile = batch["node"].to_numpy(), [batch[c].to_numpy().view(np.uint64) for c in fp_columns(words)]
+            tile = batch["node"].to_numpy(), [batch[c].to_numpy().view(np.uint64) for c in carried]
             change = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
             bounds = [0, *change.tolist(), batch.num_rows]
             for lo, hi in zip(bounds, bounds[1:], strict=False):
@@ -320,22 +357,25 @@ def _compare(words: int, radius: int):
 
 
 def links(
-    classes: DataFrame, words: int = 1, radius: int = RADIUS, lanes: int = LANES, tile_rows: int = TILE_ROWS, visitors: int = VISITORS
+    classes: DataFrame, words: int = 1, radius: int = RADIUS, lanes: int = LANES, tile_rows: int = TILE_ROWS, visitors: int = VISITORS,
+    labelled: bool = False,
 ) -> DataFrame:
-    """Links (a, b) between nodes with distinct fingerprints that join all that lie within ``radius`` bits.
+    """Links (a, b) between nodes that join all that lie within ``radius`` bits.
 
-    The links are a part of all pairs, but connect exactly what all pairs connect."""
-    placed = classes.select("node", *fp_columns(words), _cell(words, lanes).alias("cell"))
+    The links are a part of all pairs, but connect exactly what all pairs connect. If ``labelled``, they are all
+    pairs within the radius whose column label differs."""
+    carried = [*fp_columns(words), *(["label"] if labelled else [])]
+    placed = classes.select("node", *carried, _cell(words, lanes).alias("cell"))
     side = _side(words, lanes)
     counts = np.zeros(side**lanes, np.int64)
     for row in placed.groupBy("cell").count().collect():  # 17^4 rows at most
         counts[row["cell"]] = row["count"]
-    fps = ", ".join(f"{c} long" for c in fp_columns(words))
+    fps = ", ".join(f"{c} long" for c in carried)
     dealt = placed.mapInArrow(
-        _deal(counts, side, words, lanes, radius, tile_rows, visitors), f"cell int, part int, share int, visits boolean, node long, {fps}"
+        _deal(counts, side, carried, lanes, radius, tile_rows, visitors), f"cell int, part int, share int, visits boolean, node long, {fps}"
     )
     tiles = dealt.repartition("cell", "part", "share").sortWithinPartitions("cell", "part", "share", "visits")
-    return tiles.mapInArrow(_compare(words, radius), "a long, b long")
+    return tiles.mapInArrow(_compare(words, radius, labelled), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -364,19 +404,76 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def grouped(rows: DataFrame, id_column: str, words: int = 1, radius: int = RADIUS, lanes: int = LANES, **tiles: int) -> DataFrame:
+def with_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, _s) from (node, _text): the hashes of each text's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "_text"):
+                raw = data.tobytes()
+                found = [shingle_set(raw[a:b], size).view(np.int64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "_s"])
+
+    return texts.select("node", "_text").mapInArrow(run, "node long, _s array<long>")
+
+
+def confirmed(
+    classes: DataFrame, texts: DataFrame, size: int, similar: float, words: int, radius: int, lanes: int, **tiles: int
+) -> DataFrame:
+    """Links (a, b) that connect what all pairs connect that are within ``radius`` bits and whose shingle sets have the Jaccard
+    similarity ``similar``. ``texts`` has (_key, _text), rows that repeat allowed; ``classes`` names a text of each node by its _key."""
+    proposed = once(links(classes, words, radius, lanes, **tiles).distinct(), "proposed")
+    linked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = texts.join(classes.join(linked, "node").select("node", "_key"), "_key").dropDuplicates(["node"])
+    sets = once(with_sets(chosen, size), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = [sets.select(F.col("node").alias(end), F.col("_s").alias(f"_{end}")) for end in ("a", "b")]
+        common = F.size(F.array_intersect("_a", "_b"))
+        whole = F.size("_a") + F.size("_b") - common
+        return pairs.join(sides[0], "a").join(sides[1], "b").filter(common >= whole * F.lit(similar)).select("a", "b")
+
+    joined = once(verified(proposed), "confirmed")
+    refuted = proposed.join(joined, ["a", "b"], "left_anti")
+    if refuted.isEmpty():
+        return joined
+    around = once(components(proposed).withColumnRenamed("node", "linked"), "around")
+    touched = refuted.join(around, refuted["a"] == around["linked"], "left").select(F.coalesce("root", "a").alias("whole")).distinct()
+    labels = components(joined).select(F.col("node").alias("named"), F.col("root").alias("to"))
+    again = (
+        classes.join(around, classes["node"] == around["linked"], "left")
+        .withColumn("whole", F.coalesce("root", "node"))
+        .join(touched, "whole", "left_semi")
+        .join(labels, F.col("node") == labels["named"], "left")
+        .select("node", *fp_columns(words), F.coalesce("to", "node").alias("label"))
+    )
+    others = links(once(again, "again"), words, radius, lanes, labelled=True, **tiles)
+    return joined.union(verified(once(others, "others")))
+
+
+def grouped(
+    rows: DataFrame, id_column: str, words: int = 1, radius: int = RADIUS, lanes: int = LANES,
+    texts: DataFrame | None = None, size: int = WIDE_SHINGLE, similar: float = SIMILAR, **tiles: int,
+) -> DataFrame:
     """``rows`` (written; with an id and fingerprint columns) with component_id, the smallest id that links reach, and root, which names
-    the group even if no id does."""
-    fps = fp_columns(words)
-    node = F.col(fps[0]) if words == 1 else F.xxhash64(*fps)
-    classes = once(rows.groupBy(*fps).agg(F.min(id_column).alias("low")).withColumn("node", node), "classes")
-    roots = components(links(classes, words, radius, lanes, **tiles)).withColumnRenamed("node", "linked")
+    the group even if no id does.
+
+    With ``texts`` (_key, _text) links are confirmed on the shingle sets; ``rows`` then has _set and _key, too."""
+    key = [*fp_columns(words), *([] if texts is None else ["_set"])]
+    node = F.col(key[0]) if len(key) == 1 else F.xxhash64(*key)
+    named = [] if texts is None else [F.min("_key").alias("_key")]
+    classes = once(rows.groupBy(*key).agg(F.min(id_column).alias("low"), *named).withColumn("node", node), "classes")
+    if texts is None:
+        edges = links(classes, words, radius, lanes, **tiles)
+    else:
+        edges = confirmed(classes, texts, size, similar, words, radius, lanes, **tiles)
+    roots = components(edges).withColumnRenamed("node", "linked")
     # A root is its own group; so is a class without links.
     named = classes.join(roots, classes["node"] == roots["linked"], "left").select(
-        *fps, "low", F.coalesce("root", "node").alias("root")
+        *key, "low", F.coalesce("root", "node").alias("root")
     )
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(named.join(lowest, "root").select(*fps, "component_id", "root"), fps)
+    return rows.join(named.join(lowest, "root").select(*key, "component_id", "root"), key)
 
 
 def near_duplicates(
@@ -388,16 +485,23 @@ def near_duplicates(
 
 
 def keep_one(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, radius: int = WIDE_RADIUS,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS,
+    similar: float = SIMILAR,
 ) -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of near-duplicates, by 128-bit fingerprints: the smallest id stays.
+    """The rows of ``docs`` without all but one of each group of near-duplicates: the smallest id stays. Fingerprints of 128 bits
+    propose links, and those join whose shingle sets have the Jaccard similarity ``similar``.
 
     Rows that repeat the id and the text of one that stays are repeats, too, and only one of them stays."""
     keyed = docs.select(
         F.col(id_column).alias("_id"), F.col(text_column).alias("_t"), text_hash(F.col(text_column)).alias("_h")
     )
-    rows = once(with_fingerprints(keyed, "_t", size, 2, ["_id", "_h"]), "fingerprints")
-    found = grouped(rows, "_id", 2, radius, 1, tile_rows=WIDE_TILE_ROWS, visitors=WIDE_VISITORS)
+    rows = once(with_fingerprints(keyed, "_t", size, 2, ["_id", "_h"], sets=True), "fingerprints")
+    # Which of a class's rows has its text read again: one by id and text, as texts alone can repeat without end.
+    key = F.xxhash64(F.col("_id").isNull(), "_id", "_h").alias("_key")
+    texts = keyed.select(key, F.col("_t").alias("_text"))
+    found = grouped(
+        rows.select("*", key), "_id", 2, radius, 1, texts, size, similar, tile_rows=WIDE_TILE_ROWS, visitors=WIDE_VISITORS
+    )
     # Ids that repeat with other texts: the smallest hash stays, so that one row is left of a group.
     best = found.filter(F.col("_id").eqNullSafe(F.col("component_id")))
     stay = once(best.groupBy("root", "_id").agg(F.min("_h").alias("_h"), F.count(F.lit(1)).alias("n")), "stay")

@@ -86,6 +86,47 @@ def test_keep_one(spark):
     samples.same([(r.doc_id,) for r in kept.collect()], [(i,) for i in range(20)] + [(None,)])
 
 
+def replaced(words, jaccard, rng, at=0, size=5):
+    """``words`` with one stretch of new ones, so that the shingle sets have about this similarity."""
+    n = len(words) - size + 1
+    gone = round(n * (1 - jaccard) / (1 + jaccard)) - size + 1
+    return [*words[:at], *[f"n{rng.integers(1 << 40)}" for _ in range(gone)], *words[at + gone :]]
+
+
+def jaccard(a, b, size=5):
+    x, y = ({tuple(t[i : i + size]) for i in range(len(t) - size + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_compares_sets(spark):
+    """Texts of similarity 0.8 and more are one group, texts below are not, however near their fingerprints."""
+    rng = np.random.default_rng(2)
+    rows, want = [], set()
+    for i, share in enumerate(np.repeat([0.82, 0.85, 0.9, 0.55, 0.6, 0.7, 0.75], 20)):
+        base = [f"w{rng.integers(1 << 40)}" for _ in range(400)]
+        other = replaced(base, share, rng, 150)
+        assert (jaccard(base, other) >= 0.8) == (share > 0.8)
+        rows += [(2 * i, " ".join(base), "en", "s"), (2 * i + 1, " ".join(other), "en", "s")]
+        want |= {2 * i} if share > 0.8 else {2 * i, 2 * i + 1}
+    # One shingle has most of the votes of all of these if it counts more than once.
+    for i in range(5):
+        rows.append((1000 + i, "again " * 100 + " ".join(f"v{rng.integers(1 << 40)}" for _ in range(60)), "en", "s"))
+        want.add(1000 + i)
+    assert {r.doc_id for r in simhash.keep_one(samples.frame(spark, rows)).collect()} == want
+
+
+def test_refuted_links_hide_none(spark):
+    """Two texts that are alike only by a third one: whichever link a tile reports, all three are one group."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.integers(1 << 40)}" for _ in range(400)]
+        ends = replaced(base, 0.88, rng, 40), replaced(base, 0.88, rng, 300)
+        assert jaccard(*ends) < 0.8 <= min(jaccard(base, e) for e in ends)
+        rows += [(3 * i + k, " ".join(t), "en", "s") for k, t in enumerate((*ends, base))]
+    assert {r.doc_id for r in simhash.keep_one(samples.frame(spark, rows)).collect()} == set(range(0, 120, 3))
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(samples.empty(spark)).count() == 0
     assert simhash.keep_one(samples.empty(spark)).count() == 0
