@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, contamination, line_dedup, maxent, packing, quality, secrets, simhash, token_files, url_filter
+from docloom.llm import bpe_automaton, chat, contamination, lexical, line_dedup, maxent, packing, quality, secrets, simhash, token_files, url_filter
 from docloom.llm.columns import once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,48 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
     )
+
+
+@query("op11_bpe_automaton")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_automaton.encode(table(spark, sf_dir, "documents"), add=("_n_tokens", "_id_text", "_decoded"), keep=["doc_id"])
+    return encoded.select(
+        "doc_id",
+        F.col("_n_tokens").alias("n_tokens"),
+        F.sha2(F.col("_id_text").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query(
+    "op12_ranked_search",
+    r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS row_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM words),
+occurrences AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(w) AS term FROM words) GROUP BY ALL),
+item_terms AS (
+  SELECT item_row, term, count(*) AS times FROM (
+    SELECT item_row, unnest(list_filter(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+    FROM (SELECT row_number() OVER () AS item_row, text FROM benchmark))
+  GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM occurrences, totals WHERE term IN (SELECT term FROM item_terms) GROUP BY term, N),
+lengths AS (SELECT row_id, doc_id, 100 - 75 + ((75 * len(w) * N) // L) AS m FROM words, totals WHERE len(w) > 0),
+scored AS (
+  SELECT item_row, row_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score, any_value(doc_id) AS doc_id
+  FROM item_terms JOIN weights USING (term) JOIN occurrences USING (term) JOIN lengths USING (row_id)
+  GROUP BY item_row, row_id),
+ranked AS (
+  SELECT item_row, doc_id, score, CAST(row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked
+JOIN (SELECT row_number() OVER () AS item_row, item_id FROM benchmark) USING (item_row) WHERE rank <= 10""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
