@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe_automaton, chat, contamination, lexical, line_dedup, maxent, packing, quality, secrets, simhash, token_files, url_filter
+from docloom.llm import bpe_automaton, chat, contamination, lexical, line_dedup, maxent, packing, quality, secrets, simhash, structure_repair, token_files, url_filter
 from docloom.llm.columns import once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,77 @@ JOIN (SELECT row_number() OVER () AS item_row, item_id FROM benchmark) USING (it
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_structure_repair",
+    """
+WITH RECURSIVE hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(
+      string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda c: CAST(ord(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])),
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20 AS damage
+  FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN damage = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE damage <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS initial, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place
+  FROM hurt),
+faults AS (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+      WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair
+  FROM placed),
+-- From the last turn to the first: for each state (1 none yet, 2 system, 3 user, 4 assistant) cost, edits and lines of the best end.
+ends AS (
+  SELECT conv_id, max(place) + 1 AS place, [
+      {'cost': 0, 'audit': '', 'lines': CAST([] AS VARCHAR[])}, {'cost': 4, 'audit': 'II', 'lines': ['user:', 'assistant:']},
+      {'cost': 2, 'audit': 'I', 'lines': ['assistant:']}, {'cost': 0, 'audit': '', 'lines': CAST([] AS VARCHAR[])}] AS best
+  FROM faults GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, place, list_transform([1, 2, 3, 4], lambda s: list_min([
+      turned[s],
+      {'cost': turned[CASE WHEN s = 3 THEN 4 ELSE 3 END].cost + 2, 'audit': 'I' || turned[CASE WHEN s = 3 THEN 4 ELSE 3 END].audit,
+       'lines': list_prepend(CASE WHEN s = 3 THEN 'assistant:' ELSE 'user:' END, turned[CASE WHEN s = 3 THEN 4 ELSE 3 END].lines)},
+      {'cost': turned[CASE WHEN s = 3 THEN 3 ELSE 4 END].cost + 4, 'audit': 'II' || turned[CASE WHEN s = 3 THEN 3 ELSE 4 END].audit,
+       'lines': list_concat(CASE WHEN s = 3 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END, turned[CASE WHEN s = 3 THEN 3 ELSE 4 END].lines)}]))
+  FROM (
+    SELECT f.conv_id, f.place, list_transform([1, 2, 3, 4], lambda s: list_min([
+        {'cost': best[s].cost + 3, 'audit': 'D' || best[s].audit, 'lines': best[s].lines},
+        CASE WHEN fault NOT IN ('blank', 'duplicate') AND (initial = 's' AND s = 1 OR initial = 'u' AND s <> 3 OR initial = 'a' AND s = 3) THEN
+          {'cost': best[CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].cost + CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END,
+           'audit': 'K' || best[CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].audit,
+           'lines': list_prepend(role || ':' || text, best[CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].lines)} END,
+        CASE WHEN fault NOT IN ('blank', 'duplicate') THEN
+          {'cost': best[CASE WHEN s = 3 THEN 4 ELSE 3 END].cost + 2 + CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END,
+           'audit': 'R' || best[CASE WHEN s = 3 THEN 4 ELSE 3 END].audit,
+           'lines': list_prepend(CASE WHEN s = 3 THEN 'assistant:' ELSE 'user:' END || text, best[CASE WHEN s = 3 THEN 4 ELSE 3 END].lines)} END])) AS turned
+    FROM ends e JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.place = e.place - 1)),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best[1].cost, 0) AS BIGINT) AS cost,
+  coalesce(best[1].audit, '') AS audit, sha256(coalesce(array_to_string(best[1].lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN (SELECT * FROM ends WHERE place = 1) e ON e.conv_id IS NOT DISTINCT FROM i.conv_id""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = structure_repair.summary(structure_repair.repair(structure_repair.damaged(conversations)))
+    every = conversations.select("conv_id").distinct().withColumn("_group", structure_repair.conversation_key(F.col("conv_id")))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, "_group", "left").select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
