@@ -9,7 +9,9 @@ two seconds and 92 MB, once in a Python worker. (Where u = v, ``uuu`` is ``uu u`
 
 A word is encoded by moving through the table: every prefix of a word has one encoding, so from the state in which a place
 is reached, each label that the text goes on with and the table allows reaches its end; the labels on the way to the end of the word
-are its tokens. Time is linear in the length of a word. Decoding emits the labels of the arcs.
+are its tokens. Time is linear in the length of a word. The labels that a text goes on with are found in a second table, a
+tree of all beginnings of labels by bytes. All words of one length, of letters that normalising leaves alone, move through both tables in step,
+as numpy arrays; other words move on their own. Decoding emits the labels of the arcs.
 
 Texts are normalised and cut into words as the vocabulary's file says; marks such as ``<|endoftext|>`` in a text are ids of their
 own. Words are encoded once for each slice of a batch, so no state beyond the bounded memory of a worker grows, and a lost task is run again with the
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 
 from docloom.llm import vocab
 from docloom.llm.columns import worker_state
-from docloom.llm.textscan import slices
+from docloom.llm.textscan import slices, spread_out
 
 #: The first place of a word: its state has every arc.
 ANYTHING = -1
@@ -63,10 +65,11 @@ class Automaton:
             states = self._gadget(arcs, u, v, begin + k, closed[begin + k], states)
         self.labels = labels
         # Bit ``bit[x]`` of byte ``8 * state + base[x]`` says whether the state has the arc x.
-        self.base = [(x >> 6) * arcs.shape[1] * 8 + ((x >> 3) & 7) for x in range(len(labels))]
-        self.bit = [x & 7 for x in range(len(labels))]
-        self.table = memoryview(np.ascontiguousarray(arcs.astype("<u8", copy=False))).cast("B")
-        self.row = [8 * self.state.get(label, 0) for label in labels]
+        number = np.arange(len(labels))
+        self.arcs = arcs.astype("<u8", copy=False).reshape(-1).view(np.uint8)
+        self.bases, self.bits = (number >> 6) * arcs.shape[1] * 8 + ((number >> 3) & 7), (number & 7).astype(np.uint8)
+        self.rows = np.array([8 * self.state.get(label, 0) for label in labels])
+        self.base, self.bit, self.row, self.table = self.bases.tolist(), self.bits.tolist(), self.rows.tolist(), memoryview(self.arcs)
         # Every beginning of a label, with the label's number if it is one.
         self.heads: dict[str, int] = {}
         for label, i in self.number.items():
@@ -124,6 +127,80 @@ class Automaton:
         return labels[::-1]
 
 
+class Tree:
+    """The beginnings of labels of bytes: from a node and a byte to a node, and the labels that end at a node."""
+
+    def __init__(self, automaton: Automaton, byte_of: dict[str, int], letters: bytes):
+        """``byte_of``: the byte of a symbol; ``letters``: the bytes of the words that are looked up here."""
+        column = {b: i for i, b in enumerate(letters)}
+        self.column = np.zeros(256, np.int64)
+        self.column[list(letters)] = range(len(letters))
+        nodes: dict[tuple[int, int], int] = {}
+        open_label, last_label = [-1], [-1]
+        for label, number in automaton.number.items():
+            last = bool(automaton.end) and label.endswith(automaton.end)
+            at = 0
+            for symbol in label.removesuffix(automaton.end) if last else label:
+                byte = column.get(byte_of[symbol])
+                if byte is None:
+                    break
+                following = nodes.get((at, byte))
+                if following is None:
+                    following = nodes[at, byte] = len(open_label)
+                    open_label.append(-1)
+                    last_label.append(-1)
+                at = following
+            else:
+                (last_label if last else open_label)[at] = number
+        self.inner, self.last = np.array(open_label), np.array(last_label if automaton.end else open_label)
+        self.child = np.zeros((len(open_label), len(letters)), np.int32)  # 0: no label goes on like that
+        if nodes:
+            pairs = np.array(list(nodes))
+            self.child[pairs[:, 0], pairs[:, 1]] = list(nodes.values())
+        self.automaton = automaton
+
+    def paths(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words of equal length, a row of bytes each: the label that ends at each place of a word's path, -1 for none; and how many."""
+        own, (n, length) = self.automaton, words.shape
+        words = self.column[words]
+        reached = np.full((n, length + 1), -1)
+        origin = np.zeros((n, length + 1), np.int64)
+        for i in range(length):
+            # All words go on from place i; a word leaves when no label goes on as it does.
+            word, node = np.arange(n), np.zeros(n, np.int64)
+            state = own.rows[reached[:, i]]
+            for j in range(i, length):
+                node = self.child[node, words[word, j]]
+                alive = node > 0
+                if not alive.all():
+                    word, node = word[alive], node[alive]
+                if not len(word):
+                    break
+                label = (self.last if j + 1 == length else self.inner)[node]
+                there = np.flatnonzero(label >= 0)
+                label, at = label[there], word[there]
+                if i:
+                    allowed = (own.arcs[state[at] + own.bases[label]] >> own.bits[label]) & 1
+                    allowed = np.flatnonzero(allowed)
+                    label, at = label[allowed], at[allowed]
+                reached[at, j + 1], origin[at, j + 1] = label, i
+        on_path = np.zeros((n, length + 1), bool)
+        at, word = np.full(n, length), np.arange(n)
+        while len(word):
+            on_path[word, at] = True
+            at = origin[word, at]
+            left = at > 0
+            word, at = word[left], at[left]
+        return np.where(on_path, reached, -1)[:, 1:], on_path.sum(1)
+
+
+#: Letters that lower-casing and composing leave alone: a-z and, as two bytes, the small ones of U+00DF to U+00FF.
+SMALL, LEAD = bytes(range(0x61, 0x7B)), 0xC3
+SECOND = bytes(b for b in range(0x9F, 0xC0) if b != 0xB7)
+#: Longer words move on their own, and this many at most move in step.
+LONGEST, IN_STEP = 40, 20_000
+
+
 class Codec:
     """A vocabulary file as an automaton, with the file's own rules of cutting texts into words."""
 
@@ -150,34 +227,89 @@ class Codec:
         names = {i: s for s, i in (model["vocab"] | self.marks).items()}
         self.names = [names.get(i) for i in range(max(names) + 1)]
         self.decimals = [str(i) for i in range(len(self.names))]
-        self.plain = re.compile(rb" ?([a-z]+)")
-
-    def _ids(self, word: str) -> list[int]:
-        return self.id_of[self.automaton.path(word)].tolist()
-
-    def encode(self, text: str) -> list[int]:
-        ids, at = [], 0
+        byte_of = _byte_level()
+        self.latin = {ord(c): b for c, b in byte_of.items() if ord(c) != b}
+        self.tree = Tree(self.automaton, byte_of, SMALL + bytes([LEAD]) + SECOND)
+        self.plain = np.zeros(256, bool)
+        self.plain[list(SMALL + bytes([LEAD]) + SECOND)] = True
+
+    def cut(self, text: str) -> list[str | int]:
+        """The words of a text, in the characters that stand for bytes, and the ids of its marks."""
+        words: list[str | int] = []
+        at = 0
         for found in [*self.mark.finditer(text), None]:
             part = text[at : found.start() if found else len(text)]
             if part:
                 normal = self.normalizer.normalize_str(part) if self.normalizer else part
-                for word, _ in self.cutter.pre_tokenize_str(normal):
-                    ids += self._ids(word)
+                words += [word for word, _ in self.cutter.pre_tokenize_str(normal)]
             if found:
-                ids.append(self.marks[found[0]])
+                words.append(self.marks[found[0]])
                 at = found.end()
+        return words
+
+    def encode(self, text: str) -> list[int]:
+        ids: list[int] = []
+        for word in self.cut(text):
+            ids += [word] if isinstance(word, int) else self.id_of[self.automaton.path(word)].tolist()
         return ids
 
+    def encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words ``data[start:end]``, those that can move in step: which, their ids one after the other, and how many each has."""
+        # A second byte that follows another lead belongs to another letter.
+        good = self.plain[data]
+        if len(data) > 1:
+            good[1:] &= (data[1:] < 0x80) | (data[1:] == LEAD) | (data[:-1] == LEAD)
+        bad = np.append(0, np.cumsum(~good))
+        length = ends - starts
+        simple = (length > 0) & (length <= LONGEST) & (bad[ends] == bad[starts])
+        which, ids, lengths = [np.empty(0, np.int64)], [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
+        for size in np.unique(length[simple]).tolist():
+            every = np.flatnonzero(simple & (length == size))
+            for k in range(0, len(every), IN_STEP):
+                some = every[k : k + IN_STEP]
+                labels, n = self.tree.paths(data[starts[some][:, None] + np.arange(size)])
+                which.append(some)
+                ids.append(self.id_of[labels[labels >= 0]])
+                lengths.append(n)
+        return np.concatenate(which), np.concatenate(ids), np.concatenate(lengths)
+
+    def encode_others(self, texts: list[str]) -> list[list[int]]:
+        """Texts that are not one simple word: cut first; their distinct words that can move in step do."""
+        cut = [self.cut(text) for text in texts]
+        words = list({w for own in cut for w in own if not isinstance(w, int)})
+        raw = [w.translate(self.latin).encode("latin-1") for w in words]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        which, ids, n = self.encode_words(np.frombuffer(b"".join(raw), np.uint8), np.append(0, ends)[:-1], ends)
+        known: dict[str | int, list[int]] = {i: [i] for i in self.marks.values()}
+        flat, at = ids.tolist(), np.cumsum(n).tolist()
+        for word, size, end in zip(which.tolist(), n.tolist(), at, strict=True):
+            known[words[word]] = flat[end - size : end]
+        for word in words:
+            if word not in known:
+                known[word] = self.id_of[self.automaton.path(word)].tolist()
+        return [[i for w in own for i in known[w]] for own in cut]
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after the other, and how many each has."""
-        flat: list[int] = []
-        lengths = np.empty(len(pieces), np.int64)
-        for k, piece in enumerate(pieces):
-            simple = self.plain.fullmatch(piece)
-            ids = self._ids(simple[1].decode()) if simple else self.encode(piece.decode())
-            flat += ids
-            lengths[k] = len(ids)
-        return np.array(flat, np.uint16), lengths
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        starts = np.append(0, ends)[:-1]
+        if len(data):
+            first = data[np.minimum(starts, len(data) - 1)]
+            starts = np.minimum(starts + ((first == 0x20) | (first == 0x0A)), ends)
+        which, ids, n = self.encode_words(data, starts, ends)
+        lengths = np.zeros(len(pieces), np.int64)
+        lengths[which] = n
+        simple = np.zeros(len(pieces), bool)
+        simple[which] = True
+        others = np.flatnonzero(~simple)
+        found = self.encode_others([pieces[i].decode() for i in others.tolist()])
+        lengths[others] = [len(own) for own in found]
+        flat = np.empty(int(lengths.sum()), np.uint16)
+        begins = np.cumsum(lengths) - lengths
+        flat[spread_out(begins[which], n)] = ids
+        flat[spread_out(begins[others], lengths[others])] = [i for own in found for i in own]
+        return flat, lengths
 
     def decode(self, ids: list[int]) -> str:
         if ids and min(ids) < 0:
@@ -188,6 +320,14 @@ class Codec:
         return " ".join(map(self.decimals.__getitem__, ids))
 
 
+def _byte_level() -> dict[str, int]:
+    """The byte of each character of byte-level vocabularies: printing characters of Latin-1 stand for themselves, the others
+    follow from U+0100 in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
 def codec(path: str) -> Codec:
     """The worker's automaton of a vocabulary, compiled when it is first asked for."""
     state = worker_state()
