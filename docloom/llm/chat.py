@@ -226,7 +226,8 @@ def repair(
         F.array_sort(F.collect_list(F.struct("_segment", "_table"))).alias("segments")
     )
     plan = per_conversation.select("segments").mapInArrow(_plan, "_segment long, _begin int, _end int, _last boolean, _cost long")
-    ready = cut.drop("_table").join(plan, "_segment").sortWithinPartitions("_segment", "_place")
+    # A segment may lie in several splits of what was written: its turns must meet again.
+    ready = cut.drop("_table").join(plan, "_segment").repartition("_segment").sortWithinPartitions("_segment", "_place")
     result = [T.StructField("_done", T.StringType()), T.StructField("_new_role", T.StringType()), T.StructField("_inserted", T.IntegerType()),
               T.StructField("_cost", T.LongType()), T.StructField("_piece", T.StringType())]
     return ready.mapInArrow(_repair(columns), T.StructType([*turns.schema.fields, *extra[:2], *result]))
