@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.tokens import tokenize
 from docloom.operators.nearest import best_per_query
+from docloom.operators.prefixes import in_intervals, prefix_pairs
 from docloom.schemas import TOP_K
 from docloom.sources.sizes import MAX_BROADCAST_ROWS, Settled, settled, written
 
@@ -44,6 +45,8 @@ class Index:
     vocabulary: DataFrame
     stats: DataFrame
     term_buckets: int = TERM_BUCKETS
+    #: The vocabulary once more, in files by ranges of terms; without it, prefixes are looked up in all buckets.
+    terms: DataFrame | None = None
 
 
 def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
@@ -111,13 +114,20 @@ def written_index(chunks: DataFrame) -> Index:
     """The index of a chunk table, written to the shared folder."""
     folders = ("term_bucket",)
     rows = written(in_folders(postings(chunks)), "postings", folders)
+    vocabulary = written(in_folders(term_stats(rows)), "vocabulary", folders)
     return Index(
         rows,
-        written(in_folders(term_stats(rows)), "vocabulary", folders),
+        vocabulary,
         written(corpus_stats(chunks), "stats"),
+        terms=written(in_ranges(vocabulary), "terms"),
     )
 
 
+def in_ranges(vocabulary: DataFrame) -> DataFrame:
+    """The vocabulary in files by ranges of terms, so that the terms of a prefix lie in one file, or a few."""
+    return vocabulary.select("term", "df").repartitionByRange("term").sortWithinPartitions("term")
+
+
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """Query strings to single-token phrases, all of which must match. Blank queries give none."""
     return (
@@ -159,6 +169,17 @@ def _wanted_terms(index: Index, terms: DataFrame, name: str) -> Settled:
     return settled(terms.withColumn("term_bucket", bucket), name)
 
 
+def terms_in(index: Index, table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """``table`` (term_bucket, term, ...) joined with ``rows`` on term and further keys; if the rows are few, only the folders of their terms are read."""
+    wanted = _wanted_terms(index, rows, "wanted-terms")
+    if wanted.small:
+        folders, terms = wanted.distinct("term_bucket"), wanted.distinct("term")
+        table = table.filter(F.col("term_bucket").isin(*folders) if folders else F.lit(False))
+        if len(terms) <= MAX_TERMS_PUSHED:
+            table = table.filter(F.col("term").isin(*terms) if terms else F.lit(False))
+    return table.join(wanted.hint(wanted.df), ["term_bucket", "term", *keys]).drop("term_bucket")
+
+
 _HIT = ["phrase", "chunk_id", "file_id", "chunk_len", "starts", "tf"]
 
 
@@ -262,18 +283,26 @@ def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
     return single.select(*_HIT).unionByName(confirmed.select(*_HIT))
 
 
-def prefix_hits(phrases: DataFrame, index: Index) -> DataFrame:
-    """Hits of token prefixes: the occurrences of every term that starts with one.
+def prefix_terms(prefixes: Settled, index: Index) -> DataFrame:
+    """(phrase, term): the terms that start with each prefix.
 
-    The vocabulary, not the postings, is expanded to its prefixes, and meets the wanted ones in an
-    equi-join; no term is compared with every prefix.
-    """
-    wanted = settled(phrases.select("phrase").distinct(), "prefixes")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n)
+    They are an interval of the vocabulary in its order. The intervals are a filter on the vocabulary, which skips the files and row
+    groups between them, and terms meet the prefixes in one pass over both in order."""
+    vocabulary = index.vocabulary if index.terms is None else index.terms
+    wanted = prefixes.distinct("phrase")
+    if wanted is not None and len(wanted) <= MAX_TERMS_PUSHED:
+        vocabulary = vocabulary.filter(in_intervals(F.col("term"), wanted))
+    pairs = prefix_pairs(
+        vocabulary.select(F.col("term").alias("_key"), F.col("term").alias("_string")),
+        prefixes.df.select(F.col("phrase").alias("_key"), F.col("phrase").alias("_string")),
     )
-    expanded = index.vocabulary.select("term", F.explode(prefixes).alias("phrase"))
-    matching = _wanted_terms(index, expanded.join(wanted.hint(wanted.df), "phrase"), "prefix-terms")
+    return pairs.select(F.col("_prefix").alias("phrase"), F.col("_key").alias("term"))
+
+
+def prefix_hits(phrases: DataFrame, index: Index) -> DataFrame:
+    """Hits of token prefixes: the occurrences of every term that starts with one."""
+    wanted = settled(phrases.select("phrase").distinct(), "prefixes")
+    matching = _wanted_terms(index, prefix_terms(wanted, index), "prefix-terms")
     return (
         _by_term(index, index.postings, matching, matching.df.select("phrase", "term"))
         .groupBy("phrase", "chunk_id", "file_id", "chunk_len")
@@ -372,14 +401,23 @@ def document_frequency(hits: DataFrame) -> DataFrame:
     return hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _phrase_score(stats: DataFrame) -> Column:
-    """A phrase's share of BM25, from columns n_times, df, tf and chunk_len."""
+def phrase_share(stats: DataFrame) -> Callable[[Column, Column, Column, Column], Column]:
+    """A phrase's share of BM25: a function of how often it is asked, its document frequency, its occurrences and the chunk's length."""
     corpus = stats.select("n_chunks", "avg_len").first()
     average = F.lit(corpus.avg_len).cast("double")
-    idf = F.log((corpus.n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF))
-    norm = K1 * ((1 - B) + B * F.col("chunk_len") / average)
-    return -F.col("n_times") * weight * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+
+    def share(n_times: Column, df: Column, tf: Column, chunk_len: Column) -> Column:
+        idf = F.log((corpus.n_chunks - df + 0.5) / (df + 0.5))
+        weight = F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF))
+        norm = K1 * ((1 - B) + B * chunk_len / average)
+        return -n_times * weight * tf * (K1 + 1) / (tf + norm)
+
+    return share
+
+
+def _phrase_score(stats: DataFrame) -> Column:
+    """A phrase's share of BM25, from columns n_times, df, tf and chunk_len."""
+    return phrase_share(stats)(*map(F.col, ("n_times", "df", "tf", "chunk_len")))
 
 
 _MATCH = ["query_id", "chunk_id", "file_id", "chunk_len", "n_times", "df", "tf"]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import CATEGORIES, is_supported
+from docloom.operators.prefixes import path_key, prefix_pairs
 from docloom.sources.sizes import broadcast_if_small
 
 # New ids are counted within this many groups of keys, by the first hex digits of their MD5.
@@ -79,22 +80,21 @@ MAX_LOCATIONS_IN_ROW = 200
 def assign_location(paths: DataFrame, locations: DataFrame) -> DataFrame:
     """Add the ``location_id`` of the innermost location a path lies under; NULL if none.
 
-    A path meets the locations through the list of its own ancestors. A few locations are a map in the
-    row and need no join; more are an equi-join, in which a location with a third of all files is no hot key.
+    A few locations are a map in the row, looked up for each of the path's own ancestors. More are joined in path order: one pass with a stack of
+    the locations that are open, so that no path is multiplied by its depth and a location with a third of all files is no hot key.
     """
     few = _roots(locations).limit(MAX_LOCATIONS_IN_ROW + 1).collect()
     if len(few) <= MAX_LOCATIONS_IN_ROW:
         return paths.drop("location_id").withColumn("location_id", _innermost(few))
-    roots = broadcast_if_small(_roots(locations))
-    owner = F.max_by("location_id", F.when(F.col("location_id").isNotNull(), F.length("_root")))
-    found = (
-        paths.select("path")
-        .withColumn("_root", F.explode(path_ancestors(F.col("path"))))
-        .join(roots, "_root", "left")
-        .groupBy("path")
-        .agg(owner.alias("location_id"))
-    )
-    return paths.drop("location_id").join(found, "path")
+    return assign_in_order(paths, locations)
+
+
+def assign_in_order(paths: DataFrame, locations: DataFrame) -> DataFrame:
+    """``assign_location`` for any number of locations."""
+    roots = _roots(locations).select(F.col("location_id").alias("_key"), path_key(F.col("_root")).alias("_string"))
+    strings = paths.select("path").distinct().select(F.col("path").alias("_key"), path_key(F.col("path")).alias("_string"))
+    found = prefix_pairs(strings, roots, innermost=True).select(F.col("_key").alias("path"), F.col("_prefix").alias("location_id"))
+    return paths.drop("location_id").join(found, "path", "left")
 
 
 def _innermost(roots: list) -> Column:

@@ -11,23 +11,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.vectors import DISTANCE_DIGITS
 from docloom.schemas import TOP_K
+from docloom.sources.sizes import written
 
 # Queries held by one task: with 384 dimensions in double, 12 MB.
 SALTS = 32
 MAX_QUERIES_PER_BLOCK = 4096
-CHUNKS_PER_BLOCK = 100_000
 # Distances computed at a time: 32 MB in double.
 PAIRS_AT_A_TIME = 4_000_000
 
-_OUT = "query_id long, chunk_id long, file_id long, distance double"
+#: Columns of what is found.
+OUT = "query_id long, chunk_id long, file_id long, distance double"
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
+def unit_matrix(vectors: pa.Array) -> np.ndarray:
     """An Arrow list column as a matrix of unit rows; rows of length zero become NaN."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
@@ -40,7 +41,7 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
 
 
-class _Best:
+class Best:
     """The ``k`` nearest chunks of each query of a block, over any number of batches."""
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -49,13 +50,18 @@ class _Best:
         self.limit = np.full(len(query_ids), np.inf)
         self.rows = (np.empty(0, int), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def add(self, chunk_ids: np.ndarray, file_ids: np.ndarray, chunks: np.ndarray) -> None:
-        step = max(1, PAIRS_AT_A_TIME // max(1, len(self.query_ids)))
+    def add(
+        self, chunk_ids: np.ndarray, file_ids: np.ndarray, chunks: np.ndarray, only: np.ndarray | None = None
+    ) -> None:
+        """Compare chunks with all queries, or with those at the places ``only``."""
+        queries = self.queries if only is None else self.queries[only]
+        step = max(1, PAIRS_AT_A_TIME // max(1, len(queries)))
         for start in range(0, len(chunk_ids), step):
             part = slice(start, start + step)
-            distance = np.round(1.0 - chunks[part] @ self.queries.T, DISTANCE_DIGITS)
-            chunk, query = np.nonzero(distance <= self.limit)
-            self._merge(query, distance[chunk, query], chunk_ids[part][chunk], file_ids[part][chunk])
+            distance = np.round(1.0 - chunks[part] @ queries.T, DISTANCE_DIGITS)
+            chunk, query = np.nonzero(distance <= (self.limit if only is None else self.limit[only]))
+            place = query if only is None else only[query]
+            self._merge(place, distance[chunk, query], chunk_ids[part][chunk], file_ids[part][chunk])
 
     def _merge(self, *new: np.ndarray) -> None:
         query, distance, chunk_id, file_id = (
@@ -82,74 +88,44 @@ class _Best:
         )
 
 
-def _ids(column: pa.Array) -> np.ndarray:
+def id_array(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _against_block(chunks: DataFrame, block: pa.Table, k: int) -> DataFrame:
     """Compare all chunks with one block of queries that every task holds."""
     shared = chunks.sparkSession.sparkContext.broadcast(
-        (_ids(block["query_id"].combine_chunks()), _matrix(block["embedding"]))
+        (id_array(block["query_id"].combine_chunks()), unit_matrix(block["embedding"]))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*shared.value, k)
+        best = Best(*shared.value, k)
         for batch in batches:
             if batch.num_rows:
                 best.add(
-                    _ids(batch["chunk_id"]), _ids(batch["file_id"]), _matrix(batch["embedding"])
+                    id_array(batch["chunk_id"]), id_array(batch["file_id"]), unit_matrix(batch["embedding"])
                 )
         yield best.table()
 
-    return chunks.mapInArrow(run, _OUT)
+    return chunks.mapInArrow(run, OUT)
 
 
-def _against_grid(queries: DataFrame, chunks: DataFrame, max_queries: int, k: int) -> DataFrame:
-    """More queries than a task should hold: blocks of chunks meet blocks of queries.
-
-    Both sides are hashed into blocks of bounded size and each chunk block is sent to every query
-    block, so the work is split both ways and no task sees more than one block of each.
-    """
+def query_blocks(queries: DataFrame, max_queries: int) -> Iterator[pa.Table]:
+    """The queries with a vector (query_id, embedding), in blocks of about ``max_queries`` at most."""
+    asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    # One more than a block may hold: enough to know whether all of them fit.
+    first = asked.limit(max_queries + 1).toArrow()
+    if first.num_rows <= max_queries:
+        if first.num_rows:
+            yield first
+        return
     # Twice as many blocks as needed, since hashing does not fill them evenly.
-    query_blocks = -(-2 * queries.count() // max_queries)
-    chunk_blocks = max(1, -(-chunks.count() // CHUNKS_PER_BLOCK))
-
-    def block(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n))
-
-    def every_block(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-
-    left = queries.select(
-        block("query_id", query_blocks).alias("query_block"),
-        every_block(chunk_blocks).alias("chunk_block"),
-        "query_id",
-        "embedding",
-    )
-    right = chunks.select(
-        every_block(query_blocks).alias("query_block"),
-        block("chunk_id", chunk_blocks).alias("chunk_block"),
-        "chunk_id",
-        "file_id",
-        "embedding",
-    )
-
-    def run(some_queries: pa.Table, some_chunks: pa.Table) -> pa.Table:
-        some_queries, some_chunks = some_queries.combine_chunks(), some_chunks.combine_chunks()
-        if not some_queries.num_rows or not some_chunks.num_rows:
-            return pa.Table.from_batches([_Best(np.empty(0, int), np.empty((0, 1)), k).table()])
-        best = _Best(
-            _ids(some_queries["query_id"].combine_chunks()), _matrix(some_queries["embedding"]), k
-        )
-        best.add(
-            _ids(some_chunks["chunk_id"].combine_chunks()),
-            _ids(some_chunks["file_id"].combine_chunks()),
-            _matrix(some_chunks["embedding"]),
-        )
-        return pa.Table.from_batches([best.table()])
-
-    keys = ["query_block", "chunk_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _OUT)
+    parts = -(-2 * asked.count() // max_queries)
+    by_part = written(asked.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")), "query-blocks", ("_part",))
+    for part in range(parts):
+        block = by_part.filter(F.col("_part") == part).drop("_part").toArrow()
+        if block.num_rows:
+            yield block
 
 
 def best_per_query(rows: DataFrame, order: list[str], top_k: int) -> DataFrame:
@@ -178,16 +154,14 @@ def vector_topk(
 
     Chunks and queries without a vector, or with a zero vector, take no part.
     """
-    asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     stored = chunks.select("chunk_id", "file_id", "embedding").filter(
         F.col("embedding").isNotNull()
     )
-    # One more than a block may hold: enough to know whether all of them fit.
-    block = asked.limit(max_queries + 1).toArrow()
-    if block.num_rows == 0:
-        nearest = chunks.sparkSession.createDataFrame([], _OUT)
-    elif block.num_rows <= max_queries:
-        nearest = _against_block(stored, block, top_k)
-    else:
-        nearest = _against_grid(asked, stored, max_queries, top_k)
+    nearest: DataFrame | None = None
+    for block in query_blocks(queries, max_queries):
+        # The vectors stay where they are: each block of queries is one more scan of them.
+        found = _against_block(stored, block, top_k)
+        nearest = found if nearest is None else nearest.unionByName(found)
+    if nearest is None:
+        nearest = chunks.sparkSession.createDataFrame([], OUT)
     return best_per_query(nearest, ["distance", "chunk_id"], top_k)

@@ -56,7 +56,9 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # With its schema, since a table in folders that has no rows has no file either.
+    order = [c for c in df.columns if c not in partition_by] + list(partition_by)
+    return df.sparkSession.read.schema(df.select(*order).schema if partition_by else df.schema).parquet(path)
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import filters, fulltext, hybrid
+from docloom.operators import blocks, filters, fulltext, hybrid
 from docloom.sources.sizes import written
 from docloom.sources.seeds import file_type_settings
 from registry import inputs, sqltext
@@ -152,6 +152,18 @@ def bm25_search_batch(spark, sf_dir):
     return _rounded(fulltext.bm25_search(inputs.segments(spark, sf_dir), index))
 
 
+@query(
+    "bm25_topk_pruned",
+    f"""WITH {_CHUNKS_AND_TOKENS}, {inputs.SEGMENTS}, {_terms('queries')}, {_TERM_HITS},
+        {_all_matches()} {_TOP}""",
+)
+def bm25_topk_pruned(spark, sf_dir):
+    """The same queries and results as bm25_search_batch, from blocks of postings that mostly stay unread."""
+    corpus = inputs.index(spark, sf_dir)
+    stored = blocks.store(corpus.text, corpus.files.count())
+    return _rounded(blocks.search(inputs.segments(spark, sf_dir), stored))
+
+
 @query(
     "match_any",
     f"""WITH {_CHUNKS_AND_TOKENS}, {SEARCH_ROWS}, {_terms('searches')}, {_TERM_HITS},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import vectors as vec
-from docloom.operators import embedding, nearest
+from docloom.operators import cells, embedding, nearest
 from docloom.sources.sizes import broadcast_if_small
 from registry import inputs, sqltext
 from registry.base import query
@@ -114,6 +114,25 @@ def vector_topk_batch(spark, sf_dir):
     )
 
 
+@query(
+    "vector_topk_pruned",
+    f"""WITH asked AS (
+          SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS centroid FROM embeddings WHERE vec_id % 50 = 0),
+        scored AS (
+          SELECT query_id, vec_id AS chunk_id, {_DISTANCE} AS distance FROM embeddings, asked)
+        SELECT query_id, chunk_id, round(distance, 6) AS distance,
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank
+        FROM scored QUALIFY rank <= 50""",
+)
+def vector_topk_pruned(spark, sf_dir):
+    """Every fiftieth vector against all of them, stored by cell: cells too far away are not read."""
+    stored = _chunks(inputs.table(spark, sf_dir, "embeddings"))
+    asked = stored.filter(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    return cells.vector_topk(asked, cells.store(stored)).select(
+        "query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank"
+    )
+
+
 def _splitmix(state: str) -> str:
     """One generator step over 64-bit states held as UBIGINT."""
     two64 = "18446744073709551616::UHUGEINT"

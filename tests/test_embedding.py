@@ -99,7 +99,6 @@ def test_topk_matches_brute_force(spark, max_queries, monkeypatch):
     chunks += [(1000 + i, v) for i, v in enumerate(vectors[:100])]  # exact copies tie
     chunks += [(2000, None), (2001, [0.0] * 8)]
     queries = [(i, rng.normal(size=8).tolist()) for i in range(10)] + [(10, vectors[5])]
-    monkeypatch.setattr(nearest, "CHUNKS_PER_BLOCK", 50)
     monkeypatch.setattr(nearest, "PAIRS_AT_A_TIME", 500)
     stored = spark.createDataFrame(
         [(c, c, v) for c, v in chunks], "chunk_id long, file_id long, embedding array<float>"
