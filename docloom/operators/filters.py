@@ -68,6 +68,15 @@ def findable_files(files: DataFrame, **conditions) -> DataFrame:
     return files.join(flagged.select("file_id"), "file_id", "left_semi")
 
 
+def with_indexable(scan: DataFrame, settings: DataFrame) -> DataFrame:
+    """``scan`` with file_type and obstacle: why a file is not indexed (unsupported or disabled), NULL where it is."""
+    enabled = settings.filter("enabled").select(F.col("category").alias("file_type"), F.lit(True).alias("_on"))
+    typed = scan.withColumn("file_type", category_of(F.col("path")))
+    supported = F.coalesce(is_supported(F.col("file_type")), F.lit(False))
+    obstacle = F.when(~supported, "unsupported").when(F.col("_on").isNull(), "disabled")
+    return typed.join(broadcast_if_small(enabled), "file_type", "left").withColumn("obstacle", obstacle).drop("_on")
+
+
 def indexable_files(scan: DataFrame, settings: DataFrame) -> DataFrame:
     """Files of a category that is supported and enabled."""
     enabled = settings.filter("enabled").select(F.col("category").alias("file_type"))

@@ -10,9 +10,10 @@ gathers more than one chunk's rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -396,6 +397,85 @@ def near_hits(pairs: DataFrame, hits: DataFrame, frequency: DataFrame | None = N
     )
 
 
+def near_sweep(starts: list[list[int]], lengths: list[int], distance: int) -> list[list[int]]:
+    """Of each phrase, the starts that take part in a clump: all phrases occur, and at most ``distance`` tokens lie between the end
+    of each and the start of the last.
+
+    One pass over the sorted starts: the phrase that lags too far behind the foremost moves on; when all are within reach they
+    are a clump, and the phrase whose next start is the smallest moves on."""
+    n = len(starts)
+    at, kept = [0] * n, [[] for _ in range(n)]
+    if not all(starts):
+        return kept
+    while True:
+        front, settled_ = starts[0][at[0]], False
+        while not settled_:
+            settled_ = True
+            for i in range(n):
+                reach = front - lengths[i] - distance
+                if not reach <= starts[i][at[i]] <= front:
+                    settled_ = False
+                    while starts[i][at[i]] < reach:
+                        at[i] += 1
+                        if at[i] == len(starts[i]):
+                            return kept
+                    front = max(front, starts[i][at[i]])
+        for i in range(n):
+            if not kept[i] or kept[i][-1] != starts[i][at[i]]:
+                kept[i].append(starts[i][at[i]])
+        ahead = [starts[i][at[i] + 1] if at[i] + 1 < len(starts[i]) else None for i in range(n)]
+        following = [(p, i) for i, p in enumerate(ahead) if p is not None]
+        if not following:
+            return kept
+        at[min(following)[1]] += 1
+
+
+_GROUP_HIT = "query_id long, chunk_id long, file_id long, chunk_len int, phrase string, starts array<int>"
+
+
+def _sweep_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each phrase of a group and chunk in which the group matches."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(6)]
+        for row in batch.to_pylist():
+            phrases = [p["phrase"] for p in row["phrases"]]
+            kept = near_sweep([p["starts"] for p in row["phrases"]], [p.count(" ") + 1 for p in phrases], row["distance"])
+            if kept[0]:
+                for phrase, own in zip(phrases, kept, strict=True):
+                    values = (row["query_id"], row["chunk_id"], row["file_id"], row["chunk_len"], phrase, own)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
+        names = ["query_id", "chunk_id", "file_id", "chunk_len", "phrase", "starts"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+
+def near_group_hits(groups: DataFrame, hits: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+    """NEAR of any number of phrases: ``groups`` has (query_id, phrases, distance).
+
+    A row per phrase of a group and chunk where all of them are near each other, with the starts that take part, as ``near_hits`` for two. The rarest
+    phrase of each group proposes the chunks; the others are looked up there by phrase and chunk."""
+    frequency = document_frequency(hits) if frequency is None else frequency
+    of_query = Window.partitionBy("query_id")
+    members = groups.select("query_id", "distance", F.size("phrases").alias("n"), F.posexplode("phrases").alias("i", "phrase"))
+    known = members.join(frequency, "phrase").withColumn("known", F.count(F.lit(1)).over(of_query)).filter(F.col("known") == F.col("n"))
+    turn = F.row_number().over(of_query.orderBy("df", "i"))
+    first = F.when(F.col("turn") == 1, F.col("df") * (F.col("n") - 1)).otherwise(0)
+    wanted = settled(known.withColumn("turn", turn).withColumn("n_open", first).drop("known"), "near-groups")
+    phrases = wanted.df.select("query_id", "distance", "n", "i", "phrase", "turn")
+    one = F.struct("i", "phrase", "starts")
+    place = ["query_id", "distance", "n", "chunk_id", "file_id", "chunk_len"]
+    opened = hits.join(wanted.hint(phrases.filter("turn = 1")), "phrase").select(*place, one.alias("own"))
+    asked = opened.select("query_id", "chunk_id").join(wanted.hint(phrases.filter("turn > 1")), "query_id")
+    found = _streamed(hits, asked, ["phrase", "chunk_id"], wanted.bound("n_open")).select(*place, one.alias("own"))
+    whole = (
+        opened.unionByName(found).groupBy(*place).agg(F.array_sort(F.collect_list("own")).alias("phrases"))
+        .filter(F.size("phrases") == F.col("n"))
+    )
+    near = whole.select("query_id", "chunk_id", "file_id", "chunk_len", "distance", "phrases").mapInArrow(_sweep_groups, _GROUP_HIT)
+    return near.withColumn("tf", F.size("starts"))
+
+
 def document_frequency(hits: DataFrame) -> DataFrame:
     """Number of chunks each phrase occurs in; the partial count runs before the shuffle."""
     return hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
@@ -548,6 +628,13 @@ def match_near(pairs: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame
     return _scored(near.join(frequency.hint(frequency.df), "phrase").select(*_MATCH), stats)
 
 
+def match_near_group(groups: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame:
+    """Chunks where all phrases of a group (query_id, phrases, distance) stand near each other, scored by BM25 as ``match_near`` does."""
+    frequency = settled(document_frequency(hits), "near-frequency")
+    near = near_group_hits(groups, hits, frequency.df).withColumn("n_times", F.lit(1))
+    return _scored(near.join(frequency.hint(frequency.df), "phrase").select(*_MATCH), stats)
+
+
 def top_matches(matches: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """The best ``top_k`` matches per query: lowest bm25, then lowest chunk id.
 

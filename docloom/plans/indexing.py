@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import category_of, content_hash, decode_text
 from docloom.operators.chunking import explode_chunks, extract_all
 from docloom.operators.embedding import EmbedFn, embed, hash_embed
-from docloom.operators.filters import indexable_files
+from docloom.operators.filters import indexable_files, with_indexable
 from docloom.operators.maintenance import (
     assign_location,
     detect_changes,
@@ -57,6 +57,14 @@ def _seen(indexable: DataFrame, read: ReadFn | None, hashes: ReadFn | None) -> D
     )
 
 
+def _passed_over(scan: DataFrame, files: DataFrame, settings: DataFrame) -> DataFrame:
+    """Files of categories that are not indexed, but those known to be skipped already."""
+    passed = with_indexable(scan.select("path", "mtime", "size_bytes"), settings).filter("obstacle IS NOT NULL")
+    known = files.select("path", "file_id", F.col("status").alias("_status"))
+    rows = passed.join(known, "path", "left").filter(~F.col("_status").eqNullSafe("skipped"))
+    return rows.withColumn("content_hash", F.lit("")).withColumnRenamed("obstacle", "failure")
+
+
 def index_batch(
     scan: DataFrame,
     files: DataFrame,
@@ -71,6 +79,7 @@ def index_batch(
     dim: int = EMBED_DIM,
     cap: int | None = TEXT_CHUNK_CAP,
     page_cap: int | None = PAGE_CHUNK_CAP,
+    record_skipped: bool = False,
 ) -> Batch:
     """Turn scanned files (path, mtime, size_bytes, content) into file and chunk rows.
 
@@ -81,6 +90,7 @@ def index_batch(
     texts of paged files. Vectors are computed last and pass through no further join.
 
     ``cap`` and ``page_cap`` bound the chunks of a file; None keeps all. A file that fails is a row of status ``error``; one that has vanished is ``skipped`` if it was known.
+    With ``record_skipped``, files of unsupported and disabled categories are rows of status ``skipped`` as well, whose contents are not read.
     """
     if "error" in scan.columns and "content" not in scan.columns:
         scan = scan.filter("error IS NULL").drop("error")  # folders that could not be listed
@@ -89,6 +99,8 @@ def index_batch(
     states = detect_changes(seen, files.select("path", "file_id", "content_hash", "mtime", "status"))
     vanished = F.col("failure").eqNullSafe("file_not_found")
     due = states.filter((F.col("state") != "unchanged") & ~(vanished & F.col("file_id").isNull())).drop("state")
+    if record_skipped:
+        due = due.unionByName(_passed_over(scan, files, settings).select(*due.columns))
     todo = written(
         assign_location(with_ids(due, files, "path", "file_id"), locations), "files-to-read"
     )
@@ -128,7 +140,7 @@ def index_batch(
         "size_bytes",
         "gist",
         F.lit(now).alias("indexed_at"),
-        index_status(~error.eqNullSafe("file_not_found"), F.col("file_type"), error).alias("status"),
+        index_status(~F.coalesce(error.isin("file_not_found", "disabled"), F.lit(False)), F.col("file_type"), error).alias("status"),
     )
     chunk_rows = embed(explode_chunks(extracted.filter("late IS NULL")), "snippet", embed_fn, dim)
     return Batch(file_rows.select(*FILES.fieldNames()), chunk_rows.select(*CHUNKS.fieldNames()))

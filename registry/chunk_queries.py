@@ -200,15 +200,8 @@ routed AS (SELECT file_id, path, file_type, replace(text, chr(10), chr(10) || ch
            FROM files JOIN documents ON file_id = doc_id)"""
 
 
-@query(
-    "extract_all",
-    rf"""WITH {sqltext.FILES}, {sqltext.chunks()}, {_EXTRACT_TEXT},
-    sliced AS (
-      SELECT file_id, list_filter(list_transform(range(0, length(content), 1000),
-               lambda o: substr(content, o + 1, 1000)), lambda p: {sqltext.strip('p')} <> '')[1:150] AS ps
-      FROM routed WHERE file_type = 'code'),
-    code_chunks AS (
-      SELECT file_id, generate_subscripts(ps, 1) - 1 AS ord, unnest(ps) AS body FROM sliced),
+# The paged files among the documents, a line being a page: their chunks and gists.
+SHEETS = rf"""
     sheets AS (
       SELECT file_id, list_filter(list_transform(string_split(text, chr(10)),
                lambda p: {sqltext.strip('p')}), lambda p: p <> '') AS ps
@@ -224,7 +217,19 @@ routed AS (SELECT file_id, path, file_type, replace(text, chr(10), chr(10) || ch
       SELECT file_id, array_to_string(list_transform(list_filter(
                list_transform(string_split(text, chr(10)), lambda p: {sqltext.strip('p')})[1:3],
                lambda p: length(p) > 50), lambda p: substr(p, 1, 500)), ' ') AS leads
-      FROM files JOIN documents ON file_id = doc_id WHERE file_type = 'pdf'),
+      FROM files JOIN documents ON file_id = doc_id WHERE file_type = 'pdf')"""
+
+
+@query(
+    "extract_all",
+    rf"""WITH {sqltext.FILES}, {sqltext.chunks()}, {_EXTRACT_TEXT},
+    sliced AS (
+      SELECT file_id, list_filter(list_transform(range(0, length(content), 1000),
+               lambda o: substr(content, o + 1, 1000)), lambda p: {sqltext.strip('p')} <> '')[1:150] AS ps
+      FROM routed WHERE file_type = 'code'),
+    code_chunks AS (
+      SELECT file_id, generate_subscripts(ps, 1) - 1 AS ord, unnest(ps) AS body FROM sliced),
+    {SHEETS},
     cut AS (
       SELECT file_id, CAST(ord AS INTEGER) AS ord, snippet FROM chunks
       WHERE file_id IN (SELECT file_id FROM files WHERE file_type = 'text')

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import chunking, fulltext
+from docloom.operators import chunking, embedding, fulltext
 from docloom.sources.sizes import spread, written
 from registry.sqltext import EXTENSIONS
 
@@ -106,15 +106,16 @@ class Corpus:
 
 
 def index(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The whole index, written: chunks (the first of a document carries the document's vector,
-    where there is one), files, postings, vocabulary and statistics. Once per session and folder."""
+    """The whole index, written: chunks (with the vector whose number is that of the document plus the chunk's, counted
+    round; some have none), files, postings, vocabulary and statistics. Once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CORPORA:
-        vectors = table(spark, sf_dir, "embeddings").select(
-            F.col("vec_id").alias("file_id"), F.lit(0).alias("ord"), "embedding"
-        )
+        vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        round_ = table(spark, sf_dir, "documents").agg(F.max("doc_id") + 1).scalar()
+        cut = cut_chunks(spark, sf_dir)
+        numbered = cut.withColumn("vec_id", (F.col("file_id") + F.col("ord")) % round_)
         chunks = written(
-            cut_chunks(spark, sf_dir).join(vectors, ["file_id", "ord"], "left"), "chunks"
+            numbered.join(vectors, "vec_id", "left").select(*cut.columns, "embedding"), "chunks"
         )
         _CORPORA[key] = Corpus(
             chunks,
@@ -124,6 +125,16 @@ def index(spark: SparkSession, sf_dir: str) -> Corpus:
     return _CORPORA[key]
 
 
+def embedded(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The index with a hashed vector of 384 dimensions on every chunk, written. Once per session and folder."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/embedded")
+    if key not in _CORPORA:
+        plain = index(spark, sf_dir)
+        chunks = written(embedding.embed(plain.chunks.drop("embedding")), "embedded-chunks")
+        _CORPORA[key] = Corpus(chunks, plain.files, plain.text)
+    return _CORPORA[key]
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: every clause of every benchmark item."""
     return (

@@ -9,9 +9,9 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from docloom.functions.text import category_of
-from docloom.operators import filters, maintenance
+from docloom.operators import filters, maintenance, trees
 from docloom.operators.chunking import chunk_id
-from docloom.plans.indexing import index_batch, refresh
+from docloom.plans.indexing import index_batch, refresh, retry_batch
 from docloom.schemas import CHUNKS, FILES
 from docloom.sources.files import list_files, read_contents, read_hashes
 from docloom.sources.index_tables import IndexTables
@@ -19,6 +19,7 @@ from docloom.sources.seeds import file_type_settings
 from docloom.sources.sizes import shared_folder, written
 from registry import inputs, sqltext
 from registry.base import query
+from registry.chunk_queries import SHEETS
 from registry.search_queries import LOCATIONS, locations
 
 FILE_COLUMNS = "file_id, path, location_id, file_type, content_hash, mtime, size_bytes, status"
@@ -68,6 +69,23 @@ def detect_changes(spark, sf_dir):
     return states.select("path", "file_id", "state")
 
 
+@query(
+    "detect_changes_tree",
+    f"""WITH {sqltext.FILES}, {OLD_FILES}, {_STATES}
+        SELECT path, file_id, state FROM states JOIN documents ON doc_id = scanned_id
+        WHERE state <> 'unchanged' AND lang <> 'es'
+        UNION ALL
+        SELECT path, file_id, 'gone' FROM old_files JOIN documents ON doc_id = file_id WHERE lang = 'es'""",
+)
+def detect_changes_tree(spark, sf_dir):
+    """The Spanish folders are gone; of the others, those whose digests are the known ones are not looked at."""
+    spanish = F.col("path").contains("/es/")
+    scan, known = _scan(spark, sf_dir).filter(~spanish), old_files(spark, sf_dir)
+    changes, gone = trees.detect_changes_tree(scan, known)
+    removed = known.join(gone, "path", "left_semi").select("path", "file_id", F.lit("gone").alias("state"))
+    return changes.select("path", "file_id", "state").unionByName(removed)
+
+
 def nested_locations(spark, sf_dir):
     """Every source as a location, and its English and French folders as locations inside it."""
     inner = (
@@ -262,15 +280,47 @@ def set_status(spark, sf_dir):
         FROM files LEFT JOIN labels ON doc_id = file_id""",
 )
 def index_status(spark, sf_dir):
-    """Labelled documents exist; those of poor quality failed."""
+    """All documents are known files, none indexed yet. Those with a label exist; those of poor quality cannot be read."""
+    known = inputs.files(spark, sf_dir).withColumn("status", F.lit("pending")).withColumn("content_hash", F.lit(""))
     labels = inputs.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "labelled")
-    rows = inputs.files(spark, sf_dir).join(labels, F.col("file_id") == F.col("labelled"), "left")
-    status = maintenance.index_status(
-        F.col("labelled").isNotNull(),
-        F.col("file_type"),
-        F.when(F.col("quality") == 0, F.lit("extraction_failed")),
+    texts = inputs.documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "text")
+    rows = known.join(texts, "file_id").join(labels, F.col("file_id") == F.col("labelled"), "left")
+    error = F.when(F.col("labelled").isNull(), "file_not_found").when(F.col("quality") == 0, "read_failed")
+    scan = rows.select("path", "mtime", "size_bytes", F.when(error.isNull(), F.col("text").cast("binary")).alias("content"), error.alias("error"))
+    batch = index_batch(
+        scan, known.withColumn("gist", F.lit("")).withColumn("indexed_at", F.lit(0.0)), locations(spark, sf_dir),
+        file_type_settings(spark), now=0.0, record_skipped=True,
+    )
+    return batch.files.select("file_id", "status")
+
+
+@query(
+    "retry_batch",
+    f"""WITH {sqltext.FILES}, {sqltext.chunks()}, {SHEETS},
+        texts AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents),
+        slices AS (
+          SELECT doc_id, len(list_filter(list_transform(range(0, length(content), 1000),
+                   lambda o: {sqltext.strip('substr(content, o + 1, 1000)')}),
+                   lambda p: p <> '')[1:150]) AS n FROM texts)
+        SELECT f.file_id, path, 'indexed' AS status, sha256(content) AS content_hash,
+               CASE file_type WHEN 'code' THEN n
+                 WHEN 'pdf' THEN (SELECT count(*) FROM sheet_chunks s WHERE s.file_id = f.file_id)
+                 ELSE (SELECT count(*) FROM chunks c WHERE c.file_id = f.file_id) END AS n_chunks
+        FROM files f JOIN texts ON texts.doc_id = f.file_id JOIN slices ON slices.doc_id = f.file_id
+        WHERE status = 'error' AND file_type IN ('text', 'code', 'pdf')""",
+)
+def retry_batch_query(spark, sf_dir):
+    """The files whose indexing failed are read and indexed again."""
+    known = inputs.files(spark, sf_dir).withColumn("gist", F.lit("")).withColumn("indexed_at", F.lit(0.0))
+    contents = scanned(spark, sf_dir).select("path", "content")
+    batch = retry_batch(
+        known, locations(spark, sf_dir), file_type_settings(spark), now=1.0,
+        read=lambda listing: listing.join(contents, "path"), pages=_pages(spark, sf_dir),
+    )
+    counts = maintenance.chunk_counts(batch.chunks)
+    return batch.files.join(counts, "file_id", "left").select(
+        "file_id", "path", "status", "content_hash", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks")
     )
-    return rows.select("file_id", status.alias("status"))
 
 
 @query(
@@ -422,9 +472,15 @@ def scanned(spark, sf_dir):
     return meta.join(texts, "file_id").drop("file_id")
 
 
+def _pages(spark, sf_dir):
+    """The pages of the paged files: (path, page_no, page_text)."""
+    paths = inputs.files(spark, sf_dir).select("file_id", "path")
+    return inputs.sheets(spark, sf_dir).join(paths, "file_id").drop("file_id")
+
+
 @query(
     "index_roundtrip",
-    f"""WITH {sqltext.FILES}, {sqltext.chunks()},
+    f"""WITH {sqltext.FILES}, {sqltext.chunks()}, {SHEETS},
         numbered_files AS (
           SELECT *, row_number() OVER (ORDER BY substr(md5(path), 1, 3), path) AS new_id
           FROM files WHERE file_type IN ('text', 'code', 'pdf')),
@@ -437,12 +493,16 @@ def scanned(spark, sf_dir):
                    lambda p: p <> '')[1:150]) AS n FROM texts)
         SELECT new_id AS file_id, path, file_type, sha256(content) AS content_hash,
                CASE file_type WHEN 'code' THEN {sqltext.truncate('content', 300)}
-                 WHEN 'pdf' THEN ''
+                 WHEN 'pdf' THEN coalesce(
+                   (SELECT CASE WHEN leads <> '' THEN {sqltext.truncate('leads', 300, 'h')} END
+                    FROM sheet_gists g WHERE g.file_id = f.file_id),
+                   (SELECT k.snippet FROM sheet_chunks s WHERE s.file_id = f.file_id AND s.ord = 0), '')
                  ELSE (SELECT {sqltext.truncate(
                    "coalesce(list_filter(ps, lambda p: length(p) > 50)[1], ps[1])", 300, 'g')}
                    FROM paras WHERE paras.doc_id = f.file_id) END AS gist,
                'indexed' AS status,
-               CASE file_type WHEN 'code' THEN n WHEN 'pdf' THEN 0
+               CASE file_type WHEN 'code' THEN n
+                 WHEN 'pdf' THEN (SELECT count(*) FROM sheet_chunks s WHERE s.file_id = f.file_id)
                  ELSE coalesce(n_chunks, 0) END AS n_chunks
         FROM numbered_files f JOIN texts ON texts.doc_id = f.file_id
         LEFT JOIN counted ON counted.file_id = f.file_id JOIN slices ON slices.doc_id = f.file_id""",
@@ -457,6 +517,7 @@ def index_roundtrip(spark, sf_dir):
         locations(spark, sf_dir),
         file_type_settings(spark),
         now=0.0,
+        pages=_pages(spark, sf_dir),
     )
     tables.apply(batch)
     return (

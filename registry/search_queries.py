@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions.tokens import tokenize
 from docloom.operators import blocks, filters, fulltext, hybrid
+from docloom.plans import searching
 from docloom.sources.sizes import written
 from docloom.sources.seeds import file_type_settings
 from registry import inputs, sqltext
@@ -303,6 +305,67 @@ def match_near(spark, sf_dir):
     return fulltext.match_near(pairs, hits, index.stats).withColumn("bm25", F.round("bm25", 6))
 
 
+def near_groups(spark, sf_dir):
+    """The first three or four words of every clause of every benchmark item, near each other."""
+    words = tokenize(F.col("text"))
+    size, reach = F.lit(3) + F.col("query_id") % 2, (F.col("query_id") % 4) * 3
+    return (
+        inputs.segments(spark, sf_dir)
+        .select("query_id", F.slice(words, F.lit(1), size.cast("int")).alias("phrases"), reach.cast("int").alias("distance"))
+        .filter(F.size("phrases") >= 3)
+    )
+
+
+@query(
+    "match_near_group",
+    f"""WITH RECURSIVE {_CHUNKS_AND_TOKENS}, {inputs.SEGMENTS},
+        near_queries AS (
+          SELECT query_id, {sqltext.tokens('text')}[1:3 + query_id % 2] AS ps, CAST(query_id % 4 * 3 AS INTEGER) AS distance FROM queries),
+        near_groups AS (SELECT * FROM near_queries WHERE len(ps) >= 3),
+        members AS (SELECT query_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS phrase FROM near_groups),
+        frequency AS (
+          SELECT term AS phrase, count(*) AS df FROM postings WHERE term IN (SELECT phrase FROM members) GROUP BY term),
+        places AS (
+          SELECT query_id, chunk_id, file_id, chunk_len, list(positions ORDER BY i) AS starts, count(*) AS n
+          FROM members JOIN postings ON term = phrase GROUP BY query_id, chunk_id, file_id, chunk_len),
+        -- One step of the pass over the sorted starts: look spot phrase i, or, past the last, take the clump or look again.
+        steps AS (
+          SELECT query_id, chunk_id, len(ps) AS n, distance, starts, list_transform(ps, lambda p: 1) AS spot, starts[1][1] AS front,
+                 1 AS i, true AS fits, false AS taken, false AS over
+          FROM places JOIN near_groups USING (query_id) WHERE n = len(ps)
+          UNION ALL
+          SELECT query_id, chunk_id, n, distance, starts,
+                 CASE WHEN i <= n AND here < front - 1 - distance THEN list_transform(spot, lambda a, j: CASE WHEN j = i THEN a + 1 ELSE a END)
+                      WHEN i > n AND fits AND following IS NOT NULL
+                        THEN list_transform(spot, lambda a, j: CASE WHEN j = following THEN a + 1 ELSE a END)
+                      ELSE spot END,
+                 CASE WHEN i <= n THEN CASE WHEN here > front THEN here ELSE front END
+                      WHEN fits THEN starts[1][spot[1] + CASE WHEN following = 1 THEN 1 ELSE 0 END] ELSE front END,
+                 CASE WHEN i > n THEN 1 WHEN here < front - 1 - distance THEN i ELSE i + 1 END,
+                 CASE WHEN i > n THEN true ELSE fits AND here BETWEEN front - 1 - distance AND front END,
+                 i = n AND fits AND here BETWEEN front - 1 - distance AND front,
+                 CASE WHEN i > n THEN fits AND following IS NULL
+                      ELSE here < front - 1 - distance AND spot[i] = len(starts[i]) END
+          FROM (
+            SELECT *, starts[least(i, n)][spot[least(i, n)]] AS here, CASE WHEN i > n THEN list_min(list_filter(list_transform(starts,
+                     lambda s, j: CASE WHEN spot[j] < len(s) THEN {{'p': s[spot[j] + 1], 'j': j}} END), lambda x: x IS NOT NULL)).j END AS following
+            FROM steps WHERE NOT over)),
+        taken AS (
+          SELECT DISTINCT query_id, chunk_id, unnest(range(1, n + 1)) AS i, unnest(list_transform(spot, lambda a, j: starts[j][a])) AS start
+          FROM steps WHERE taken),
+        near AS (
+          SELECT query_id, chunk_id, phrase, count(*) AS tf FROM taken JOIN members USING (query_id, i) GROUP BY query_id, chunk_id, phrase, i)
+        SELECT query_id, chunk_id, file_id, CAST(count(*) AS INTEGER) AS n_matched,
+               round(sum({sqltext.share('1', 'df', 'tf', 'chunk_len')}), 6) AS bm25
+        FROM near JOIN places USING (query_id, chunk_id) JOIN frequency USING (phrase), corpus GROUP BY ALL""",
+)
+def match_near_group(spark, sf_dir):
+    index = inputs.index(spark, sf_dir).text
+    groups = near_groups(spark, sf_dir)
+    hits = written(fulltext.term_hits(groups.select(F.explode("phrases").alias("phrase")), index), "near-group-hits")
+    return _rounded(fulltext.match_near_group(groups, hits, index.stats))
+
+
 LOCATION_IDS = list(range(12))
 CATEGORIES = ["text", "code", "office"]
 
@@ -363,21 +426,24 @@ _HIT_COLUMNS = """query_id, rank, chunk_id, file_id, path, file_type, snippet, m
        round(score, 6) AS score, round(distance, 6) AS distance, round(bm25, 6) AS bm25"""
 
 
-def _hybrid_sql(findable: str, vectors: bool, blank: bool, keyword_queries: str = "searches") -> str:
-    where = "AND file_id IN (SELECT file_id FROM findable)" if findable else ""
-    return f"""WITH {_CHUNKS_AND_TOKENS}, {sqltext.FILES}, {LOCATIONS}, {findable or ''}
-{SEARCH_ROWS}, {_terms('searches')}, {_TERM_HITS}, {_all_matches(where=where)}, {CENTROIDS},
+# The vector of a chunk is that of its document's number plus its own, counted round.
+_CHUNK_VECTORS = """
+vectors AS (
+  SELECT chunk_id, file_id, CAST(embedding AS DOUBLE[]) AS embedding FROM chunks JOIN embeddings
+    ON vec_id = (file_id + ord) % (SELECT max(doc_id) + 1 FROM documents))"""
+_LABEL_VECTORS = """
+query_vectors AS (SELECT query_id, centroid FROM centroids JOIN searches USING (query_id) WHERE {condition})"""
+
+
+def _fused(where: str) -> str:
+    """From vectors, query_vectors and matches to the ranked hits."""
+    return f"""
 keyword_leg AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS keyword_rank
   FROM matches QUALIFY keyword_rank <= 50),
-vectors AS (
-  SELECT chunk_id, file_id, embedding FROM chunks JOIN embeddings ON vec_id = file_id
-  WHERE ord = 0 {where}),
 distances AS (
-  SELECT query_id, chunk_id, file_id,
-         round(list_cosine_distance(CAST(embedding AS DOUBLE[]), centroid), 9) AS distance
-  FROM vectors, centroids JOIN searches USING (query_id)
-  WHERE {'true' if vectors else 'false'} {"AND trim(text) <> ''" if blank else ''}),
+  SELECT query_id, chunk_id, file_id, round(list_cosine_distance(embedding, centroid), 9) AS distance
+  FROM (SELECT * FROM vectors WHERE true {where}), query_vectors),
 vector_leg AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS vector_rank
   FROM distances QUALIFY vector_rank <= 50),
@@ -399,12 +465,21 @@ SELECT {_HIT_COLUMNS}
 FROM ranked JOIN chunks USING (chunk_id, file_id) JOIN files USING (file_id)"""
 
 
+def _hybrid_sql(findable: str, vectors: bool, blank: bool) -> str:
+    where = "AND file_id IN (SELECT file_id FROM findable)" if findable else ""
+    condition = f"{'true' if vectors else 'false'} {"AND trim(text) <> ''" if blank else ''}"
+    return f"""WITH {_CHUNKS_AND_TOKENS}, {sqltext.FILES}, {LOCATIONS}, {findable or ''}
+{SEARCH_ROWS}, {_terms('searches')}, {_TERM_HITS}, {_all_matches(where=where)}, {CENTROIDS},
+{_CHUNK_VECTORS}, {_LABEL_VECTORS.format(condition=condition)}, {_fused(where)}"""
+
+
 def _search(spark, sf_dir, queries, restrict=None):
     index = inputs.index(spark, sf_dir)
     extra = {"restrict": restrict} if restrict else {}
-    hits = hybrid.hybrid_search(
-        queries, index.chunks, index.files, index.text, **extra
-    )
+    return _shown(hybrid.hybrid_search(queries, index.chunks, index.files, index.text, **extra))
+
+
+def _shown(hits):
     return hits.select(
         "query_id", "rank", "chunk_id", "file_id", "path", "file_type", "snippet", "mtime",
         F.round("score", 6).alias("score"),
@@ -432,3 +507,32 @@ def hybrid_search_batch(spark, sf_dir):
 def keyword_only(spark, sf_dir):
     """Without query vectors the keyword leg answers alone."""
     return _search(spark, sf_dir, _hybrid_queries(spark, sf_dir, with_vectors=False))
+
+
+_SEARCHABLE = """
+findable AS (
+  SELECT file_id FROM files JOIN locations USING (location_id)
+  WHERE status = 'indexed' AND enabled AND file_type IN ('text', 'code', 'pdf'))"""
+
+
+@query(
+    "search_batch",
+    f"""WITH RECURSIVE {_CHUNKS_AND_TOKENS}, {sqltext.FILES}, {LOCATIONS}, {_SEARCHABLE},
+{inputs.SEGMENTS}, {_terms('queries')}, {_TERM_HITS},
+{_all_matches(where="AND file_id IN (SELECT file_id FROM findable)")},
+texts AS (SELECT snippet FROM chunks UNION SELECT text FROM queries),
+{sqltext.hashed_units()},
+whole AS (SELECT snippet, list(u ORDER BY d) AS embedding FROM units GROUP BY snippet),
+vectors AS (SELECT chunk_id, file_id, embedding FROM chunks JOIN whole USING (snippet)),
+query_vectors AS (SELECT query_id, embedding AS centroid FROM queries JOIN whole ON text = snippet),
+{_fused("AND file_id IN (SELECT file_id FROM findable)")}""",
+)
+def search_batch(spark, sf_dir):
+    """The whole search: every clause of every benchmark item, embedded, over all chunks of enabled locations and categories."""
+    corpus = inputs.embedded(spark, sf_dir)
+    return _shown(
+        searching.search(
+            inputs.segments(spark, sf_dir), corpus.files, corpus.chunks, corpus.text,
+            locations(spark, sf_dir), file_type_settings(spark),
+        )
+    )

@@ -155,3 +155,39 @@ def share(n_times: str, df: str, tf: str, chunk_len: str) -> str:
         f"-({n_times}) * (CASE WHEN {idf} > 0 THEN {idf} ELSE 1e-6 END) * {tf} * 2.2::DOUBLE "
         f"/ ({tf} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * {chunk_len} / avg_len))"
     )
+
+
+# Fixed values of the splitmix64 generator.
+_STEP = 0x9E3779B97F4A7C15
+_MIX_1 = 0xBF58476D1CE4E5B9
+_MIX_2 = 0x94D049BB133111EB
+
+
+def _splitmix(state: str) -> str:
+    """One generator step over 64-bit states held as UBIGINT."""
+    two64 = "18446744073709551616::UHUGEINT"
+
+    def times(x: str, factor: int) -> str:
+        return f"CAST((({x})::UHUGEINT * {factor}::UHUGEINT) % {two64} AS UBIGINT)"
+
+    added = f"CAST((({state})::UHUGEINT + {_STEP}::UHUGEINT) % {two64} AS UBIGINT)"
+    first = f"list_transform([{added}], lambda a: {times('xor(a, a >> 30)', _MIX_1)})[1]"
+    second = f"list_transform([{first}], lambda b: {times('xor(b, b >> 27)', _MIX_2)})[1]"
+    return f"list_transform([{second}], lambda c: xor(c, c >> 31))[1]"
+
+
+_SEED = "CAST('0x' || " + " || ".join(f"substr(md5(snippet), {i}, 2)" for i in range(15, 0, -2)) + " AS UBIGINT)"
+
+
+def hashed_units() -> str:
+    """units(snippet, d, u): the components of the hashed vectors of texts(snippet); WITH must be RECURSIVE."""
+    return f"""draws AS (
+          SELECT snippet, 1 AS d, {_splitmix(_SEED)} AS x FROM texts
+          UNION ALL
+          SELECT snippet, d + 1, {_splitmix('x')} FROM draws WHERE d < 384),
+        raw AS (
+          SELECT snippet, d, CAST((x & 4294967295)::DOUBLE / 4294967295::DOUBLE * 2::DOUBLE - 1::DOUBLE AS FLOAT)::DOUBLE AS v
+          FROM draws),
+        lengths AS (SELECT snippet, sqrt(sum(v * v)) AS norm FROM raw GROUP BY snippet),
+        units AS (
+          SELECT snippet, d, CAST(v / norm AS FLOAT)::DOUBLE AS u FROM raw JOIN lengths USING (snippet))"""

@@ -11,7 +11,7 @@ from docloom.operators import maintenance
 from docloom.sources.index_tables import IndexTables
 from docloom.sources.seeds import file_type_settings
 from docloom.sources.sizes import shared_folder
-from docloom.streaming import changes
+from docloom.streaming import changes, pending
 from registry import inputs, sqltext
 from registry.base import query
 from registry.search_queries import locations
@@ -39,20 +39,27 @@ def change_feed(spark, sf_dir):
     return _as_changes(inputs.table(spark, sf_dir, "events"))
 
 
+#: Micro-batches at least, and the events that one is meant to hold.
 BATCHES = 3
+BATCH_EVENTS = 1_000_000
 
 
-def change_stream(spark, sf_dir, folder):
-    """The events as a stream of ``BATCHES`` micro-batches, in the order of their ids."""
+def event_parts(spark, sf_dir, at_least=BATCHES):
+    """The events and how to tell the part of one: consecutive ranges of ids, as many as the events ask for; those without an id come first."""
     events = inputs.table(spark, sf_dir, "events")
-    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
-    step = ((high or 0) - (low or 0)) // BATCHES + 1
-    for i in range(BATCHES):
-        # One file for each batch; the source takes the oldest first.
-        part = events.filter(F.floor((F.col("event_id") - (low or 0)) / step) == i)
-        part.coalesce(1).write.parquet(f"{folder}/events/part={i}")
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-    return _as_changes(reader.parquet(f"{folder}/events/*"))
+    low, high, n = events.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
+    parts = max(at_least, -(-n // BATCH_EVENTS))
+    step = ((high or 0) - (low or 0)) // parts + 1
+    part = F.coalesce(F.floor((F.col("event_id") - F.lit(low or 0)) / step), F.lit(0))
+    return events, part, parts
+
+
+def change_streams(spark, sf_dir, folder, at_least=BATCHES):
+    """The events as a stream that grows: each part is written, by as many tasks as it takes, and what is yielded then finds it."""
+    events, part, parts = event_parts(spark, sf_dir, at_least)
+    for i in range(parts):
+        events.filter(part == i).write.parquet(f"{folder}/events/part={i}")
+        yield _as_changes(spark.readStream.schema(events.schema).parquet(f"{folder}/events/*"))
 
 
 JOBS = """
@@ -83,12 +90,39 @@ def change_events(spark, sf_dir):
 def change_coalesce(spark, sf_dir):
     """Run as a stream of several micro-batches: a path that has a pending job gets no other."""
     folder = f"{shared_folder(spark)}/coalesce-{uuid.uuid4().hex}"
-    jobs = changes.change_jobs(change_stream(spark, sf_dir, folder), file_type_settings(spark))
-    changes.stream_pending(jobs, f"{folder}/jobs", f"{folder}/checkpoint").awaitTermination()
+    for feed in change_streams(spark, sf_dir, folder):
+        jobs = changes.change_jobs(feed, file_type_settings(spark))
+        changes.stream_pending(jobs, f"{folder}/jobs", f"{folder}/checkpoint").awaitTermination()
     pending = changes.pending_jobs(spark, f"{folder}/jobs")
     return pending.select("event_id", "path", "file_type", "priority")
 
 
+STATE_BATCHES = 6
+
+
+@query(
+    "change_coalesce_state",
+    f"""WITH {JOBS},
+        span AS (SELECT min(event_id) AS low, (max(event_id) - min(event_id)) // {STATE_BATCHES} + 1 AS step FROM events),
+        parts AS (SELECT event_id, '/u/' || user_id || '.md' AS gone, event_type, (event_id - low) // step AS part FROM events, span),
+        done AS (SELECT DISTINCT gone AS path, part FROM parts WHERE event_type = 'error'),
+        turns AS (
+          SELECT jobs.*, (SELECT count(*) FROM done d WHERE d.path = jobs.path AND d.part <= p.part) AS turn
+          FROM jobs JOIN parts p USING (event_id))
+        SELECT event_id, ts, path, file_type, priority FROM turns
+        QUALIFY row_number() OVER (PARTITION BY path, turn ORDER BY event_id) = 1""",
+)
+def change_coalesce_state(spark, sf_dir):
+    """Several micro-batches, each a restart from the checkpoint; a deleted file's job is finished with the micro-batch that says so."""
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    for feed in change_streams(spark, sf_dir, folder, STATE_BATCHES):
+        jobs = changes.change_jobs(feed, file_type_settings(spark))
+        done = feed.filter("action = 'deleted'").select("path")
+        first = pending.coalesce_state(jobs, done)
+        pending.write_pending(first, f"{folder}/jobs", f"{folder}/checkpoint").awaitTermination()
+    return pending.read_pending(spark, f"{folder}/jobs", jobs.schema["ts"].dataType.simpleString())
+
+
 @query(
     "change_order",
     f"""WITH {JOBS}, {_FIRST}
@@ -175,15 +209,10 @@ def stream_apply(spark, sf_dir):
     tables = IndexTables(spark, f"{folder}/index", 8, 4)
     tables.create()
     tables.apply(index_batch(present.drop("doc_id"), tables.files(), where, home, now=0.0))
-    changes.stream_apply(
-        change_stream(spark, sf_dir, folder),
-        tables,
-        lambda: left,
-        where,
-        home,
-        f"{folder}/checkpoint",
-        now=lambda: 1.0,
-    ).awaitTermination()
+    for feed in change_streams(spark, sf_dir, folder):
+        changes.stream_apply(
+            feed, tables, lambda: left, where, home, f"{folder}/checkpoint", now=lambda: 1.0
+        ).awaitTermination()
     counts = maintenance.chunk_counts(tables.chunks())
     return (
         tables.files()

@@ -133,22 +133,6 @@ def vector_topk_pruned(spark, sf_dir):
     )
 
 
-def _splitmix(state: str) -> str:
-    """One generator step over 64-bit states held as UBIGINT."""
-    two64 = "18446744073709551616::UHUGEINT"
-
-    def times(x: str, factor: int) -> str:
-        return f"CAST((({x})::UHUGEINT * {factor}::UHUGEINT) % {two64} AS UBIGINT)"
-
-    added = f"CAST((({state})::UHUGEINT + {embedding.SPLITMIX_STEP}::UHUGEINT) % {two64} AS UBIGINT)"
-    first = f"list_transform([{added}], lambda a: {times('xor(a, a >> 30)', embedding.SPLITMIX_MIX_1)})[1]"
-    second = f"list_transform([{first}], lambda b: {times('xor(b, b >> 27)', embedding.SPLITMIX_MIX_2)})[1]"
-    return f"list_transform([{second}], lambda c: xor(c, c >> 31))[1]"
-
-
-_SEED = "CAST('0x' || " + " || ".join(f"substr(md5(snippet), {i}, 2)" for i in range(15, 0, -2)) + " AS UBIGINT)"
-
-
 _DIMS = (1, 2, 100, 383, 384)
 
 
@@ -156,16 +140,7 @@ _DIMS = (1, 2, 100, 383, 384)
     "hash_embed",
     f"""WITH RECURSIVE {sqltext.chunks()},
         texts AS (SELECT DISTINCT snippet FROM chunks),
-        draws AS (
-          SELECT snippet, 1 AS d, {_splitmix(_SEED)} AS x FROM texts
-          UNION ALL
-          SELECT snippet, d + 1, {_splitmix('x')} FROM draws WHERE d < 384),
-        raw AS (
-          SELECT snippet, d, CAST((x & 4294967295)::DOUBLE / 4294967295::DOUBLE * 2::DOUBLE - 1::DOUBLE AS FLOAT)::DOUBLE AS v
-          FROM draws),
-        lengths AS (SELECT snippet, sqrt(sum(v * v)) AS norm FROM raw GROUP BY snippet),
-        units AS (
-          SELECT snippet, d, CAST(v / norm AS FLOAT)::DOUBLE AS u FROM raw JOIN lengths USING (snippet)),
+        {sqltext.hashed_units()},
         vectors AS (
           SELECT snippet, CAST(count(*) AS INTEGER) AS n_dims, round(sum(u), 4) AS total,
                  {", ".join(f"round(max(u) FILTER (d = {d}), 6) AS v{d}" for d in _DIMS)}

@@ -199,3 +199,36 @@ def test_restriction_leaves_frequencies_alone(spark, index, fts):
 
     got = by_query(fulltext.bm25_search(queries(spark, ["hello the"]), index, 1000, restrict))
     close(got[0], {c: b for c, b in fts("hello the").items() if c // 3 < 50})
+
+
+GROUPS = [
+    (["the", "of", "cat"], 3), (["dog", "the", "of", "cat"], 5), (["hello", "the", "the"], 2), (["of cat", "the", "dog"], 4),
+    (["the of", "cat dog", "hello"], 10), (["elan", "uber", "naive"], 6), (["the", "nowhere", "of"], 9), (["cat", "dog"], 0),
+    (["the", "the", "the", "the"], 1), (["x1", "a b", "zoo", "world"], 20),
+]
+
+
+def test_near_of_many_phrases(spark, index, fts):
+    groups = spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(GROUPS)], "query_id long, phrases array<string>, distance int")
+    phrases = groups.select(F.explode("phrases").alias("phrase")).distinct()
+    hits = fulltext.phrase_hits(phrases, index)
+    got = by_query(fulltext.match_near_group(groups, hits, index.stats))
+    for i, (group, distance) in enumerate(GROUPS):
+        quoted = " ".join(f'"{p}"' for p in group)
+        assert got.get(i, {}) == fts(f"NEAR({quoted}, {distance})"), group
+    assert sum(len(v) > 0 for v in got.values()) >= 7
+
+
+def test_near_sweep_is_the_pair_rule_for_two():
+    rng = random.Random(2)
+    for _ in range(500):
+        a, b = (sorted(rng.sample(range(30), rng.randint(1, 8))) for _ in range(2))
+        distance = rng.randint(0, 5)
+        kept = fulltext.near_sweep([a, b], [1, 1], distance)
+        for own, other, got in ((a, b, kept[0]), (b, a, kept[1])):
+            want = []
+            for i, p in enumerate(own):
+                earliest = max(p - distance - 1, own[i - 1] if i else 0)
+                if any(earliest <= q <= p + 1 + distance for q in other):
+                    want.append(p)
+            assert set(got) <= set(want)
