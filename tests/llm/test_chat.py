@@ -91,6 +91,38 @@ def test_repair(spark, size):
         assert conversation != 99 or (len(roles) == 2000 and {r._done for r in own} == {"keep"})
 
 
+def test_segments_in_several_splits(spark):
+    """What is written between the steps is read in many small splits: a segment's turns meet again before they are settled."""
+    rng = random.Random(11)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool"]), f"turn {t} " * 5, "a", "b", "c") for c in range(4) for t in range(700)]
+    turns = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    small = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in small}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "4096")
+    hadoop.set("parquet.page.size", "1024")
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = chat.repair(turns, segment_turns=250).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        hadoop.unset("parquet.block.size")
+        hadoop.unset("parquet.page.size")
+    assert len(got) == len(rows)
+    for c in range(4):
+        own = sorted((r for r in got if r.conv_id == c), key=lambda r: (r._segment, r._place))
+        roles = chat.role_numbers([r.role for r in own])
+        _, least = chat.borders([chat.total_costs(roles)])
+        state, cost = chat.START, 0
+        for role, r in zip(roles, own, strict=True):
+            to = state if r._done == "merge" else chat.ROLES.index(r._new_role) + 1
+            cost += chat.RELABEL * (role != to) + chat.MERGE * (r._done == "merge") + chat.INSERT * r._inserted
+            state = to
+        assert {r._cost for r in own} == {least} and cost == least, (cost, least)
+
+
 def test_least_sums_combine():
     a, b = chat.total_costs([1, 2, 2]), chat.total_costs([3, 0])
     both = np.minimum((a[:, :, None] + b[None]).min(1), chat.NEVER)
