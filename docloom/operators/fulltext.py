@@ -322,81 +322,6 @@ def first_token_hits(hits: DataFrame) -> DataFrame:
     )
 
 
-def near_hits(pairs: DataFrame, hits: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
-    """NEAR: chunks where two phrases occur with at most ``distance`` tokens between them.
-
-    ``pairs`` has (query_id, left, right, distance); the rarer phrase of each proposes the chunks.
-    Returns two rows per query and chunk, one per
-    phrase, whose ``starts`` are its occurrences that take part. An occurrence takes part when the
-    other phrase occurs within reach, not before the preceding occurrence of its own phrase.
-    """
-
-    def length(phrase: str) -> Column:
-        return F.size(F.split(phrase, " "))
-
-    def taking_part(own: str, own_len: Column, other: str, other_len: Column) -> Column:
-        def within(p: Column, i: Column) -> Column:
-            earliest = F.greatest(
-                p - F.col("distance") - other_len,
-                F.coalesce(F.get(F.col(own), i - 1), F.lit(0)),
-            )
-            latest = p + own_len + F.col("distance")
-            return F.exists(other, lambda q: (q >= earliest) & (q <= latest))
-
-        return F.filter(own, within)
-
-    frequency = document_frequency(hits) if frequency is None else frequency
-
-    def of_side(side: str) -> DataFrame:
-        return frequency.select(F.col("phrase").alias(side), F.col("df").alias(f"{side}_df"))
-
-    swap = F.col("right_df") < F.col("left_df")
-    wanted = settled(
-        pairs.join(of_side("left"), "left")
-        .join(of_side("right"), "right")
-        .select(
-            "query_id",
-            "distance",
-            F.when(swap, F.col("right")).otherwise(F.col("left")).alias("left"),
-            F.when(swap, F.col("left")).otherwise(F.col("right")).alias("right"),
-            F.least("left_df", "right_df").alias("n_open"),
-        ),
-        "near-pairs",
-    )
-    left = hits.select(
-        F.col("phrase").alias("left"),
-        "chunk_id",
-        "file_id",
-        "chunk_len",
-        F.col("starts").alias("left_starts"),
-    )
-    right = hits.select(
-        F.col("phrase").alias("right"), "chunk_id", F.col("starts").alias("right_starts")
-    )
-    both = (
-        _streamed(
-            right,
-            left.join(wanted.hint(wanted.df.drop("n_open")), "left"),
-            ["right", "chunk_id"],
-            wanted.bound("n_open"),
-        )
-        .withColumn(
-            "left_kept", taking_part("left_starts", length("left"), "right_starts", length("right"))
-        )
-        .withColumn(
-            "right_kept", taking_part("right_starts", length("right"), "left_starts", length("left"))
-        )
-        .filter(F.size("left_kept") > 0)
-    )
-    sides = F.array(
-        F.struct(F.col("left").alias("phrase"), F.col("left_kept").alias("starts")),
-        F.struct(F.col("right").alias("phrase"), F.col("right_kept").alias("starts")),
-    )
-    return both.select("query_id", "chunk_id", "file_id", "chunk_len", F.inline(sides)).withColumn(
-        "tf", F.size("starts")
-    )
-
-
 def near_sweep(starts: list[list[int]], lengths: list[int], distance: int) -> list[list[int]]:
     """Of each phrase, the starts that take part in a clump: all phrases occur, and at most ``distance`` tokens lie between the end
     of each and the start of the last.
@@ -453,7 +378,7 @@ def _sweep_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def near_group_hits(groups: DataFrame, hits: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
     """NEAR of any number of phrases: ``groups`` has (query_id, phrases, distance).
 
-    A row per phrase of a group and chunk where all of them are near each other, with the starts that take part, as ``near_hits`` for two. The rarest
+    A row per phrase of a group and chunk where all of them are near each other, with the starts that take part. The rarest
     phrase of each group proposes the chunks; the others are looked up there by phrase and chunk."""
     frequency = document_frequency(hits) if frequency is None else frequency
     of_query = Window.partitionBy("query_id")
@@ -619,17 +544,15 @@ def match_not(matches: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def match_near(pairs: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame:
-    """Chunks where both phrases of a pair stand near each other, scored by BM25.
-
-    Occurrences taking part are counted, but a phrase is as frequent as it is on its own.
-    """
-    frequency = settled(document_frequency(hits), "near-frequency")
-    near = near_hits(pairs, hits, frequency.df).withColumn("n_times", F.lit(1))
-    return _scored(near.join(frequency.hint(frequency.df), "phrase").select(*_MATCH), stats)
+    """Chunks where both phrases of a pair (query_id, left, right, distance) stand near each other, scored by BM25."""
+    return match_near_group(pairs.select("query_id", F.array("left", "right").alias("phrases"), "distance"), hits, stats)
 
 
 def match_near_group(groups: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame:
-    """Chunks where all phrases of a group (query_id, phrases, distance) stand near each other, scored by BM25 as ``match_near`` does."""
+    """Chunks where all phrases of a group (query_id, phrases, distance) stand near each other, scored by BM25.
+
+    Occurrences taking part are counted, but a phrase is as frequent as it is on its own.
+    """
     frequency = settled(document_frequency(hits), "near-frequency")
     near = near_group_hits(groups, hits, frequency.df).withColumn("n_times", F.lit(1))
     return _scored(near.join(frequency.hint(frequency.df), "phrase").select(*_MATCH), stats)

@@ -261,38 +261,53 @@ def match_prefix(spark, sf_dir):
     return _rounded(fulltext.match_any(prefixes, hits, index.stats))
 
 
-def _taking_part(own: str, own_len: str, other: str, other_len: str) -> str:
-    return (
-        f"list_filter({own}, lambda p, i: len(list_filter({other}, lambda q: "
-        f"q >= p - distance - {other_len} AND q <= p + {own_len} + distance "
-        f"AND q >= coalesce({own}[i - 1], 0))) > 0)"
-    )
+# From near_groups (query_id, ps, distance), hits and frequency: one pass over the sorted starts of a group's phrases in a chunk.
+_NEAR = f"""
+        members AS (SELECT query_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS phrase FROM near_groups),
+        near_places AS (
+          SELECT query_id, chunk_id, file_id, chunk_len, list(hits.starts ORDER BY i) AS starts, count(*) AS n
+          FROM members JOIN hits USING (phrase) GROUP BY query_id, chunk_id, file_id, chunk_len),
+        -- One step of the pass over the sorted starts: look spot phrase i, or, past the last, take the clump or look again.
+        steps AS (
+          SELECT query_id, chunk_id, len(ps) AS n, distance, starts, list_transform(ps, lambda p: len(string_split(p, ' '))) AS lens, list_transform(ps, lambda p: 1) AS spot, starts[1][1] AS front,
+                 1 AS i, true AS fits, false AS taken, false AS over
+          FROM near_places JOIN near_groups USING (query_id) WHERE n = len(ps)
+          UNION ALL
+          SELECT query_id, chunk_id, n, distance, starts, lens,
+                 CASE WHEN i <= n AND here < front - lens[i] - distance THEN list_transform(spot, lambda a, j: CASE WHEN j = i THEN a + 1 ELSE a END)
+                      WHEN i > n AND fits AND following IS NOT NULL
+                        THEN list_transform(spot, lambda a, j: CASE WHEN j = following THEN a + 1 ELSE a END)
+                      ELSE spot END,
+                 CASE WHEN i <= n THEN CASE WHEN here > front THEN here ELSE front END
+                      WHEN fits THEN starts[1][spot[1] + CASE WHEN following = 1 THEN 1 ELSE 0 END] ELSE front END,
+                 CASE WHEN i > n THEN 1 WHEN here < front - lens[i] - distance THEN i ELSE i + 1 END,
+                 CASE WHEN i > n THEN true ELSE fits AND here BETWEEN front - lens[i] - distance AND front END,
+                 i = n AND fits AND here BETWEEN front - lens[i] - distance AND front,
+                 CASE WHEN i > n THEN fits AND following IS NULL
+                      ELSE here < front - lens[i] - distance AND spot[i] = len(starts[i]) END
+          FROM (
+            SELECT *, starts[least(i, n)][spot[least(i, n)]] AS here, CASE WHEN i > n THEN list_min(list_filter(list_transform(starts,
+                     lambda s, j: CASE WHEN spot[j] < len(s) THEN {{'p': s[spot[j] + 1], 'j': j}} END), lambda x: x IS NOT NULL)).j END AS following
+            FROM steps WHERE NOT over)),
+        taken AS (
+          SELECT DISTINCT query_id, chunk_id, unnest(range(1, n + 1)) AS i, unnest(list_transform(spot, lambda a, j: starts[j][a])) AS start
+          FROM steps WHERE taken),
+        near AS (
+          SELECT query_id, chunk_id, phrase, count(*) AS tf FROM taken JOIN members USING (query_id, i) GROUP BY query_id, chunk_id, phrase, i)
+        SELECT query_id, chunk_id, file_id, CAST(count(*) AS INTEGER) AS n_matched,
+               round(sum({sqltext.share('1', 'df', 'tf', 'chunk_len')}), 6) AS bm25
+        FROM near JOIN near_places USING (query_id, chunk_id) JOIN frequency USING (phrase), corpus GROUP BY ALL"""
 
 
 @query(
     "match_near",
-    f"""WITH {_CHUNKS_AND_TOKENS},
-        pairs AS (SELECT CAST(query_id AS BIGINT) AS query_id, l, r, distance,
-                         len(string_split(l, ' ')) AS l_len, len(string_split(r, ' ')) AS r_len
-                  FROM (VALUES {_values((i, *p) for i, p in enumerate(NEAR_PAIRS))})
-                       AS t(query_id, l, r, distance)),
-        terms AS (SELECT query_id, l AS phrase, 1 AS n_times FROM pairs
-                  UNION ALL SELECT query_id, r, 1 FROM pairs),
+    f"""WITH RECURSIVE {_CHUNKS_AND_TOKENS},
+        near_groups AS (
+          SELECT CAST(query_id AS BIGINT) AS query_id, [l, r] AS ps, distance
+          FROM (VALUES {_values((i, *p) for i, p in enumerate(NEAR_PAIRS))}) AS t(query_id, l, r, distance)),
+        terms AS (SELECT unnest(ps) AS phrase FROM near_groups),
         {_PHRASE_HITS},
-        both_sides AS (
-          SELECT query_id, l, r, a.chunk_id, a.file_id, a.chunk_len,
-                 {_taking_part('a.starts', 'l_len', 'b.starts', 'r_len')} AS l_kept,
-                 {_taking_part('b.starts', 'r_len', 'a.starts', 'l_len')} AS r_kept
-          FROM pairs JOIN hits a ON a.phrase = l JOIN hits b ON b.phrase = r AND b.chunk_id = a.chunk_id),
-        near AS (
-          SELECT query_id AS near_id, l AS phrase, chunk_id, file_id, chunk_len, len(l_kept) AS tf
-          FROM both_sides WHERE len(l_kept) > 0
-          UNION ALL
-          SELECT query_id, r, chunk_id, file_id, chunk_len, len(r_kept)
-          FROM both_sides WHERE len(l_kept) > 0)
-        SELECT near_id AS query_id, chunk_id, file_id, CAST(count(*) AS INTEGER) AS n_matched,
-               round(sum({sqltext.share('1', 'df', 'tf', 'chunk_len')}), 6) AS bm25
-        FROM near JOIN frequency USING (phrase), corpus GROUP BY ALL""",
+        {_NEAR}""",
 )
 def match_near(spark, sf_dir):
     index = inputs.index(spark, sf_dir).text
@@ -322,42 +337,10 @@ def near_groups(spark, sf_dir):
         near_queries AS (
           SELECT query_id, {sqltext.tokens('text')}[1:3 + query_id % 2] AS ps, CAST(query_id % 4 * 3 AS INTEGER) AS distance FROM queries),
         near_groups AS (SELECT * FROM near_queries WHERE len(ps) >= 3),
-        members AS (SELECT query_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS phrase FROM near_groups),
-        frequency AS (
-          SELECT term AS phrase, count(*) AS df FROM postings WHERE term IN (SELECT phrase FROM members) GROUP BY term),
-        places AS (
-          SELECT query_id, chunk_id, file_id, chunk_len, list(positions ORDER BY i) AS starts, count(*) AS n
-          FROM members JOIN postings ON term = phrase GROUP BY query_id, chunk_id, file_id, chunk_len),
-        -- One step of the pass over the sorted starts: look spot phrase i, or, past the last, take the clump or look again.
-        steps AS (
-          SELECT query_id, chunk_id, len(ps) AS n, distance, starts, list_transform(ps, lambda p: 1) AS spot, starts[1][1] AS front,
-                 1 AS i, true AS fits, false AS taken, false AS over
-          FROM places JOIN near_groups USING (query_id) WHERE n = len(ps)
-          UNION ALL
-          SELECT query_id, chunk_id, n, distance, starts,
-                 CASE WHEN i <= n AND here < front - 1 - distance THEN list_transform(spot, lambda a, j: CASE WHEN j = i THEN a + 1 ELSE a END)
-                      WHEN i > n AND fits AND following IS NOT NULL
-                        THEN list_transform(spot, lambda a, j: CASE WHEN j = following THEN a + 1 ELSE a END)
-                      ELSE spot END,
-                 CASE WHEN i <= n THEN CASE WHEN here > front THEN here ELSE front END
-                      WHEN fits THEN starts[1][spot[1] + CASE WHEN following = 1 THEN 1 ELSE 0 END] ELSE front END,
-                 CASE WHEN i > n THEN 1 WHEN here < front - 1 - distance THEN i ELSE i + 1 END,
-                 CASE WHEN i > n THEN true ELSE fits AND here BETWEEN front - 1 - distance AND front END,
-                 i = n AND fits AND here BETWEEN front - 1 - distance AND front,
-                 CASE WHEN i > n THEN fits AND following IS NULL
-                      ELSE here < front - 1 - distance AND spot[i] = len(starts[i]) END
-          FROM (
-            SELECT *, starts[least(i, n)][spot[least(i, n)]] AS here, CASE WHEN i > n THEN list_min(list_filter(list_transform(starts,
-                     lambda s, j: CASE WHEN spot[j] < len(s) THEN {{'p': s[spot[j] + 1], 'j': j}} END), lambda x: x IS NOT NULL)).j END AS following
-            FROM steps WHERE NOT over)),
-        taken AS (
-          SELECT DISTINCT query_id, chunk_id, unnest(range(1, n + 1)) AS i, unnest(list_transform(spot, lambda a, j: starts[j][a])) AS start
-          FROM steps WHERE taken),
-        near AS (
-          SELECT query_id, chunk_id, phrase, count(*) AS tf FROM taken JOIN members USING (query_id, i) GROUP BY query_id, chunk_id, phrase, i)
-        SELECT query_id, chunk_id, file_id, CAST(count(*) AS INTEGER) AS n_matched,
-               round(sum({sqltext.share('1', 'df', 'tf', 'chunk_len')}), 6) AS bm25
-        FROM near JOIN places USING (query_id, chunk_id) JOIN frequency USING (phrase), corpus GROUP BY ALL""",
+        hits AS (SELECT term AS phrase, chunk_id, file_id, chunk_len, positions AS starts FROM postings
+                 WHERE term IN (SELECT unnest(ps) FROM near_groups)),
+        frequency AS (SELECT phrase, count(*) AS df FROM hits GROUP BY phrase),
+        {_NEAR}""",
 )
 def match_near_group(spark, sf_dir):
     index = inputs.index(spark, sf_dir).text

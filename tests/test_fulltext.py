@@ -219,16 +219,24 @@ def test_near_of_many_phrases(spark, index, fts):
     assert sum(len(v) > 0 for v in got.values()) >= 7
 
 
-def test_near_sweep_is_the_pair_rule_for_two():
+def test_occurrences_that_take_part():
+    """Those that FTS5 highlights."""
     rng = random.Random(2)
-    for _ in range(500):
-        a, b = (sorted(rng.sample(range(30), rng.randint(1, 8))) for _ in range(2))
-        distance = rng.randint(0, 5)
-        kept = fulltext.near_sweep([a, b], [1, 1], distance)
-        for own, other, got in ((a, b, kept[0]), (b, a, kept[1])):
-            want = []
-            for i, p in enumerate(own):
-                earliest = max(p - distance - 1, own[i - 1] if i else 0)
-                if any(earliest <= q <= p + 1 + distance for q in other):
-                    want.append(p)
-            assert set(got) <= set(want)
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(s)")
+    for _ in range(600):
+        phrases, distance = "abcd"[: rng.choice([2, 2, 3, 4])], rng.randint(0, 4)
+        words = [rng.choice("abcdx") for _ in range(rng.randint(1, 25))]
+        con.execute("DELETE FROM t")
+        con.execute("INSERT INTO t VALUES (?)", (" ".join(words),))
+        match = f"NEAR({' '.join(phrases)}, {distance})"
+        row = con.execute("SELECT highlight(t, 0, '<', '>') FROM t WHERE t MATCH ?", (match,)).fetchone()
+        want, inside = [], False
+        for i, word in enumerate(row[0].split() if row else []):
+            inside = inside or word.startswith("<")
+            if inside:
+                want.append(i)
+            inside = inside and not word.endswith(">")
+        starts = [[i for i, w in enumerate(words) if w == p] for p in phrases]
+        kept = fulltext.near_sweep(starts, [1] * len(phrases), distance)
+        assert sorted({i for own in kept for i in own}) == want, (words, match)
