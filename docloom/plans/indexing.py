@@ -23,8 +23,11 @@ from docloom.operators.maintenance import (
     with_ids,
 )
 from docloom.schemas import CHUNKS, EMBED_DIM, FILES, PAGE_CHUNK_CAP, TEXT_CHUNK_CAP
+from docloom.sources.large_files import cut_files
 from docloom.sources.sizes import broadcast_if_small, written
 
+#: Files of more bytes are not held whole.
+LARGE_BYTES = 64 << 20
 
 #: From listed files to the same with contents, or with hashes.
 ReadFn = Callable[[DataFrame], DataFrame]
@@ -80,6 +83,7 @@ def index_batch(
     cap: int | None = TEXT_CHUNK_CAP,
     page_cap: int | None = PAGE_CHUNK_CAP,
     record_skipped: bool = False,
+    large_bytes: int = LARGE_BYTES,
 ) -> Batch:
     """Turn scanned files (path, mtime, size_bytes, content) into file and chunk rows.
 
@@ -89,6 +93,8 @@ def index_batch(
     the scan when it is short, so that contents are not shuffled. ``pages`` (path, page_no, page_text) holds the
     texts of paged files. Vectors are computed last and pass through no further join.
 
+    Files of more than ``large_bytes`` that ``read`` would have to hold whole are read in pieces and cut as they pass, to the same result.
+
     ``cap`` and ``page_cap`` bound the chunks of a file; None keeps all. A file that fails is a row of status ``error``; one that has vanished is ``skipped`` if it was known.
     With ``record_skipped``, files of unsupported and disabled categories are rows of status ``skipped`` as well, whose contents are not read.
     """
@@ -109,8 +115,10 @@ def index_batch(
     is_paged = category_of(F.col("path")).eqNullSafe("pdf")
     paged = due_files.filter(is_paged).select("path", category_of(F.col("path")).alias("file_type"), F.lit(None).cast("string").alias("late"))
     due_files = due_files.filter(~is_paged)
+    large: DataFrame | None = None
     if read is not None:
-        due_files = read(due_files)
+        large = cut_files(due_files.filter(F.col("size_bytes") > large_bytes), cap).join(readable, "path")
+        due_files = read(due_files.filter(F.col("size_bytes") <= large_bytes))
     unreadable = F.col("content").isNull()
     late = F.col("error") if "error" in due_files.columns else F.lit(None).cast("string")
     texts = due_files.select(
@@ -121,12 +129,11 @@ def index_batch(
     )
     if pages is not None:
         pages = pages.join(readable, "path").select("file_id", "page_no", "page_text")
-    extracted = written(
-        extract_all(
-            texts.join(readable, "path"), pages, paged=paged.join(readable, "path"), cap=cap, page_cap=page_cap
-        ),
-        "extracted",
-    )
+    cut = extract_all(texts.join(readable, "path"), pages, paged=paged.join(readable, "path"), cap=cap, page_cap=page_cap)
+    if large is not None:
+        late = large.withColumnRenamed("error", "late").withColumn("error", F.lit(None).cast("string"))
+        cut = cut.unionByName(late.select(*cut.columns))
+    extracted = written(cut, "extracted")
 
     done = todo.join(extracted.select("path", "gist", "error", "late"), "path", "left")
     error = F.coalesce("failure", "late", "error")
