@@ -112,7 +112,10 @@ SELECT doc_id * 16777216 + ord, doc_id, CAST(ord AS INTEGER), 'text', {sqltext.t
        '{{"language":"python","offset":' || s.o || '}}' FROM fixed"""
 
 
-@query("chunk_code", _code_sql())
+CODE_CHUNKS = _code_sql()
+
+
+@query("chunk_code", CODE_CHUNKS)
 def chunk_code(spark, sf_dir):
     return chunking.explode_chunks(chunking.extract(inputs.code(spark, sf_dir)))
 

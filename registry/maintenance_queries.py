@@ -15,11 +15,12 @@ from docloom.plans.indexing import index_batch, refresh, retry_batch
 from docloom.schemas import CHUNKS, FILES
 from docloom.sources.files import list_files, read_contents, read_hashes
 from docloom.sources.index_tables import IndexTables
+from docloom.sources.large_files import cut_files
 from docloom.sources.seeds import file_type_settings
 from docloom.sources.sizes import shared_folder, written
 from registry import inputs, sqltext
 from registry.base import query
-from registry.chunk_queries import SHEETS
+from registry.chunk_queries import CODE_CHUNKS, SHEETS
 from registry.search_queries import LOCATIONS, locations
 
 FILE_COLUMNS = "file_id, path, location_id, file_type, content_hash, mtime, size_bytes, status"
@@ -462,6 +463,28 @@ def refresh_scope(spark, sf_dir):
     return files.select("file_id", "path", "location_id", "content_hash", "status")
 
 
+@query(
+    "cut_in_pieces",
+    f"""SELECT 'text' AS kind, file_id, ord, snippet, position_meta
+        FROM (WITH {sqltext.chunks()} SELECT file_id, ord, snippet, position_meta FROM chunks)
+        UNION ALL
+        SELECT 'code', file_id, ord, snippet, position_meta FROM ({CODE_CHUNKS})""",
+)
+def cut_in_pieces(spark, sf_dir):
+    """Every document as a text file and as a source file, read a thousand bytes at a time."""
+    folder = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    for kind, rows in (("text", inputs.paragraphs(spark, sf_dir)), ("code", inputs.code(spark, sf_dir))):
+        planted = rows.select("path", F.col("content").cast("binary").alias("content"))
+        planted.mapInArrow(_plant(f"{folder}/{kind}"), "path string").write.format("noop").mode("overwrite").save()
+    cut = cut_files(list_files(spark, [folder]), piece_bytes=1000)
+    return cut.select(
+        F.regexp_extract("path", "/(text|code)/d[0-9]+[.][a-z]+$", 1).alias("kind"),
+        F.regexp_extract("path", "/d([0-9]+)[.][a-z]+$", 1).cast("long").alias("file_id"),
+        F.posexplode("chunks").alias("ord", "c"),
+    ).select("kind", "file_id", "ord", "c.snippet", "c.position_meta")
+
+
 def scanned(spark, sf_dir):
     """Documents as a scan of files with contents, lines set apart by blank lines."""
     content = F.replace("text", F.lit("\n"), F.lit("\n\n"))
