@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions.tokens import tokenize
-from docloom.operators import blocks, filters, fulltext, hybrid
+from docloom.operators import bitmaps, blocks, deltas, filters, fulltext, hybrid
 from docloom.plans import searching
-from docloom.sources.sizes import written
+from docloom.sources.sizes import fits, shared_folder, written
 from docloom.sources.seeds import file_type_settings
 from registry import inputs, sqltext
 from registry.base import query
@@ -133,6 +135,30 @@ def bm25_stats(spark, sf_dir):
     )
 
 
+@query(
+    "bm25_stats_incremental",
+    f"""WITH {_CHUNKS_AND_TOKENS}
+        SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, n_chunks, n_tokens,
+               round(avg_len, 6) AS avg_len
+        FROM postings, corpus GROUP BY ALL""",
+)
+def bm25_stats_incremental(spark, sf_dir):
+    """The Spanish documents are missing at first and those of poor quality are different; a batch of signed changes mends both."""
+    chunks = inputs.index(spark, sf_dir).chunks.select("chunk_id", "file_id", "snippet")
+    marks = inputs.table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("file_id"), F.lit(True).alias("poor"))
+    docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), (F.col("lang") == "es").alias("late"))
+    known = chunks.join(docs, "file_id").join(marks, "file_id", "left").select(*chunks.columns, "late", F.coalesce("poor", F.lit(False)).alias("poor"))
+    early = known.filter(~F.col("late")).withColumn("snippet", F.when(F.col("poor"), F.concat("snippet", F.lit(" edited"))).otherwise(F.col("snippet")))
+    stats = deltas.Statistics(spark, f"{shared_folder(spark)}/statistics-{uuid.uuid4().hex}")
+    stats.append(early, early.limit(0))
+    stats.append(known.filter("late OR poor"), early.filter("poor"))
+    corpus = stats.corpus()
+    return stats.terms().select(
+        "term", "df", "cf", corpus.select("n_chunks").scalar().alias("n_chunks"), corpus.select("n_tokens").scalar().alias("n_tokens"),
+        F.round(corpus.select("avg_len").scalar(), 6).alias("avg_len"),
+    )
+
+
 @query(
     "bm25_search",
     f"""WITH {_CHUNKS_AND_TOKENS}, {SEARCH_ROWS}, {_terms('searches')}, {_TERM_HITS},
@@ -398,6 +424,23 @@ def search_filters(spark, sf_dir):
     return _flagged(spark, sf_dir, inputs.files(spark, sf_dir))
 
 
+@query(
+    "search_filters_bitmap",
+    f"""WITH {sqltext.FILES}, {LOCATIONS}, {_FINDABLE}
+        SELECT file_id, file_id IN (SELECT file_id FROM findable) AS findable FROM files""",
+)
+def search_filters_bitmap(spark, sf_dir):
+    """The same through bitmaps: no file is joined with a list of files."""
+    files = inputs.files(spark, sf_dir)
+    found = bitmaps.scope(
+        bitmaps.file_bitmaps(files), location_ids=LOCATION_IDS, categories=CATEGORIES,
+        locations=locations(spark, sf_dir), settings=file_type_settings(spark),
+    )
+    named = found.select(F.col("bucket").alias("_bucket"), "bits")
+    looked_up = files.withColumn("_bucket", bitmaps.bucket_of(F.col("file_id"))).join(F.broadcast(named) if fits(named, bitmaps.MAX_BROADCAST_BITMAPS) else named, "_bucket", "left")
+    return looked_up.select("file_id", F.coalesce(bitmaps.has_file(F.col("bits"), F.col("file_id")), F.lit(False)).alias("findable"))
+
+
 def _hybrid_queries(spark, sf_dir, with_vectors: bool = True):
     asked = searches(spark)
     if not with_vectors:
@@ -480,6 +523,17 @@ def hybrid_search(spark, sf_dir):
     )
 
 
+@query("hybrid_search_bitmap", _hybrid_sql(_FINDABLE + ",", vectors=True, blank=False))
+def hybrid_search_bitmap(spark, sf_dir):
+    """hybrid_search, both legs restricted by bitmaps."""
+    corpus = inputs.index(spark, sf_dir)
+    stored = written(bitmaps.file_bitmaps(corpus.files), "file-bitmaps")
+    found = written(
+        bitmaps.scope(stored, LOCATION_IDS, CATEGORIES, locations(spark, sf_dir), file_type_settings(spark)), "scope"
+    )
+    return _search(spark, sf_dir, _hybrid_queries(spark, sf_dir), bitmaps.restriction(found))
+
+
 @query("hybrid_search_batch", _hybrid_sql("", vectors=True, blank=True))
 def hybrid_search_batch(spark, sf_dir):
     """Unfiltered; blank queries have no hits."""
