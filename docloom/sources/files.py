@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from docloom.operators.maintenance import list_locations
 from docloom.sources.sizes import written
 
-# A row holds a whole file, and Spark's rows end at two gigabytes. A larger file is hashed like any other, block by block, but
-# not read: it gets the error ``too_large`` and is not indexed.
+# Here a row holds a whole file, and Spark's rows end at two gigabytes: a larger one gets the error ``too_large``. Indexing a listing reads
+# large files in pieces instead, see ``large_files``; hashes are taken block by block, whatever the size.
 MAX_FILE_BYTES = 1 << 30
 HASH_BYTES = 1 << 20
 # Contents handed over at a time.
