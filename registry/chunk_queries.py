@@ -68,17 +68,17 @@ _DEF = rf"(?m)^{sqltext.WS}*(?:async{sqltext.WS}+)?def{sqltext.WS}+{sqltext.WORD
 _CODE_TEXT = "('import x' || chr(10) || chr(10) || 'def ' || replace(text, chr(10), chr(10) || chr(10) || 'def '))"
 
 
-def _code_sql() -> str:
+def _code_sql(language: str = "python", text: str = _CODE_TEXT, pattern: str = _DEF, documents: str = "documents") -> str:
     steps, last = [], "cut_code"
     for r in range(4):
         steps.append(
             f"round{r} AS MATERIALIZED (SELECT doc_id, {sqltext.merge_round('c', 150)} AS c FROM {last})"
         )
         last = f"round{r}"
-    return rf"""WITH code AS (SELECT doc_id, {_CODE_TEXT} AS content FROM documents),
+    return rf"""WITH code AS (SELECT doc_id, {text} AS content FROM {documents}),
 found AS (
-  SELECT doc_id, content, regexp_extract_all(content, '{_DEF}') AS headers,
-         string_split_regex(content, '{_DEF}') AS parts
+  SELECT doc_id, content, regexp_extract_all(content, '{pattern}') AS headers,
+         string_split_regex(content, '{pattern}') AS parts
   FROM code),
 bodies AS (
   SELECT doc_id, headers, parts[1] AS lead,
@@ -92,7 +92,7 @@ lines AS (
 cut_code AS (
   SELECT doc_id, list_transform(bs, lambda b, i: {{
            'snippet': {sqltext.truncate('list_transform([b], lambda w: ' + sqltext.rstrip('w') + ')[1]', 150)},
-           'meta': '{{"language":"python","line":' || ls[i] || ',"header":"'
+           'meta': '{{"language":"{language}","line":' || ls[i] || ',"header":"'
                    || substr({sqltext.strip('headers[i]')}, 1, 80) || '"}}'}}) AS c
   FROM lines),
 {", ".join(steps)},
@@ -109,7 +109,7 @@ SELECT doc_id * 16777216 + ord AS chunk_id, doc_id AS file_id, CAST(ord AS INTEG
        'text' AS chunk_type, k.snippet AS snippet, k.meta AS position_meta FROM numbered
 UNION ALL
 SELECT doc_id * 16777216 + ord, doc_id, CAST(ord AS INTEGER), 'text', {sqltext.truncate('s.b', 150)},
-       '{{"language":"python","offset":' || s.o || '}}' FROM fixed"""
+       '{{"language":"{language}","offset":' || s.o || '}}' FROM fixed"""
 
 
 CODE_CHUNKS = _code_sql()
@@ -120,6 +120,38 @@ def chunk_code(spark, sf_dir):
     return chunking.explode_chunks(chunking.extract(inputs.code(spark, sf_dir)))
 
 
+# Languages by document, with the word that makes a definition of each of its lines.
+_KEYWORDS = (
+    ("python", "py", "def"), ("javascript", "js", "function"), ("typescript", "ts", "interface"), ("go", "go", "func"), ("rust", "rs", "fn"),
+    ("java", "java", "class"), ("cpp", "cpp", "struct"), ("csharp", "cs", "enum"), ("ruby", "rb", "module"), ("php", "php", "trait"),
+)
+
+
+def _languages_sql() -> str:
+    parts = []
+    for i, (language, _, word) in enumerate(_KEYWORDS):
+        spelt = chunking.DEFINITION_PATTERNS[language].replace(r"\s", sqltext.WS).replace(r"\w", sqltext.WORD)
+        text = f"('import x' || chr(10) || chr(10) || '{word} ' || replace(text, chr(10), chr(10) || chr(10) || '{word} '))"
+        rows = f"(SELECT * FROM documents WHERE doc_id % {len(_KEYWORDS)} = {i})"
+        parts.append(f"SELECT * FROM ({_code_sql(language, text, '(?m)' + spelt, rows)})")
+    return " UNION ALL ".join(parts)
+
+
+@query("chunk_languages", _languages_sql())
+def chunk_languages(spark, sf_dir):
+    """All documents as source code, each in one of ten languages."""
+    kind = (F.col("doc_id") % len(_KEYWORDS)).cast("int")
+    suffix = F.get(F.array(*[F.lit(f".{ext}") for _, ext, _ in _KEYWORDS]), kind)
+    word = F.concat(F.get(F.array(*[F.lit(word) for _, _, word in _KEYWORDS]), kind), F.lit(" "))
+    code = inputs.documents(spark, sf_dir).select(
+        F.col("doc_id").alias("file_id"),
+        F.concat(F.lit("/d"), F.col("doc_id").cast("string"), suffix).alias("path"),
+        F.lit("code").alias("file_type"),
+        F.concat(F.lit("import x\n\n"), word, F.replace("text", F.lit("\n"), F.concat(F.lit("\n\n"), word))).alias("content"),
+    )
+    return chunking.explode_chunks(chunking.extract(code))
+
+
 @query(
     "code_gist",
     f"""SELECT doc_id AS file_id, {sqltext.truncate(f"substr({_CODE_TEXT}, 1, 900)", 300)} AS gist
