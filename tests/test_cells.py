@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -79,3 +81,34 @@ def test_pivots():
     pivots = cells.choose_pivots(unit, 25)
     assert pivots.shape == (25, 16) and np.allclose(np.linalg.norm(pivots, axis=1), 1)
     assert len(cells.choose_pivots(np.ones((9, 1)), 4)) == 1
+
+
+def test_memory_of_many_queries_follows_what_is_kept():
+    """The first vectors, when nothing is known to be too far yet, are not all held as candidates."""
+    rng = np.random.default_rng(3)
+    queries = rng.normal(size=(2048, 16))
+    stored = rng.normal(size=(2000, 16))
+    ids = np.arange(len(stored))
+    best = nearest.Best(np.arange(len(queries)), queries, 50)
+    tracemalloc.start()
+    best.add(ids, ids, stored)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    distance = np.round(1.0 - stored @ queries[7], 9)
+    order = np.lexsort((ids, distance))[:50]
+    own = best.rows[0] == 7
+    assert best.rows[2][own].tolist() == order.tolist()
+
+
+def test_ties_and_vectors_without_direction():
+    """More ties than are kept go by chunk id, and rows without a distance take no part."""
+    stored = np.vstack([np.full((30, 4), np.nan), np.tile([1.0, 0, 0, 0], (400, 1)), np.tile([0, 1.0, 0, 0], (3, 1))])
+    ids = np.arange(len(stored))[::-1].copy()
+    best = nearest.Best(np.array([5]), np.array([[1.0, 0, 0, 0]]), 3)
+    best.add(ids, ids, stored)
+    assert best.rows[2].tolist() == [3, 4, 5] and best.rows[1].tolist() == [0.0] * 3
+    alone = nearest.Best(np.array([5]), np.array([[1.0, 0, 0, 0]]), 7)
+    few = np.vstack([stored[:30], stored[-3:]])
+    alone.add(ids[:33], ids[:33], few)
+    assert len(alone.rows[2]) == 3
