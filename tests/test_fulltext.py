@@ -240,3 +240,13 @@ def test_occurrences_that_take_part():
         starts = [[i for i, w in enumerate(words) if w == p] for p in phrases]
         kept = fulltext.near_sweep(starts, [1] * len(phrases), distance)
         assert sorted({i for own in kept for i in own}) == want, (words, match)
+
+
+def test_corpus_stats_from_the_postings(spark):
+    """Summed up in the postings they are those of the chunks, of which some have no tokens."""
+    schema = "chunk_id long, file_id long, snippet string"
+    rows = [(1, 1, "the cat and the dog"), (2, 1, "..."), (3, 2, ""), (4, 2, "x1 \u00fcber")]
+    for some in (rows, rows[1:3], []):
+        chunks = spark.createDataFrame(some, schema)
+        got = fulltext.corpus_stats(chunks, fulltext.postings(chunks))
+        assert got.collect() == fulltext.corpus_stats(chunks).collect()
