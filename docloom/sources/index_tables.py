@@ -7,6 +7,10 @@ folders of its words.
 Nothing is ever overwritten. A batch writes its folders under a new version, and then one small file, the
 manifest, that says which version of each folder counts. Until that file is there readers follow the one before; a batch
 that fails leaves the index as it was, and running it again replaces what it had written.
+
+Chunks and postings, which are nearly all of the index, are not copied for a batch: a folder of theirs is the sum of several versions, and
+the files that a batch replaces or removes are listed as gone, which leaves out their rows of earlier versions. Once much of
+a folder is gone, or it has many versions, a batch that touches it writes it whole.
 """
 
 from __future__ import annotations
@@ -37,8 +41,9 @@ _STATS = T.StructType(
 _VOCABULARY = T.StructType(
     [T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("cf", T.LongType())]
 )
+_GONE = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("since", T.LongType())])
 _SCHEMAS = {
-    "files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "vocabulary": _VOCABULARY, "stats": _STATS,
+    "files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "vocabulary": _VOCABULARY, "stats": _STATS, "gone": _GONE,
     "locations": LOCATIONS, "settings": FILE_TYPE_SETTINGS,
 }
 _FOLDERS = {
@@ -47,12 +52,20 @@ _FOLDERS = {
     "postings": ["bucket", "term_bucket"],
     "vocabulary": ["bucket", "term_bucket"],
     "stats": ["bucket"],
+    "gone": ["bucket"],
 }
+#: Tables of which a bucket has several versions that count.
+_GROWING = ("chunks", "postings")
+#: A bucket of more versions is written whole, and so is one of which more files are gone than this share of those it holds.
+MAX_VERSIONS = 16
+MAX_GONE_SHARE = 0.5
+#: Files that are listed as gone, altogether: rows of two numbers, which readers broadcast.
+MAX_GONE = 1_000_000
 #: Within a file, so that a search for a few terms skips the rest.
 _SORTED = {"postings": ["term", "chunk_id"], "vocabulary": ["term"]}
 
-#: Per table, the version that counts of each bucket; tables without buckets have bucket 0.
-Manifest = dict[str, dict[int, int]]
+#: Per table, the versions that count of each bucket; tables without buckets have bucket 0.
+Manifest = dict[str, dict[int, list[int]]]
 
 
 class IndexTables:
@@ -91,7 +104,11 @@ class IndexTables:
         _, stored = self._latest()
         if stored is None:
             raise ValueError(f"there is no index in {self.root}; create() makes one")
-        return {table: {int(b): v for b, v in rows.items()} for table, rows in stored["tables"].items()}
+        # One version may stand alone, as in indexes written when there was no more than one.
+        return {
+            table: {int(b): v if isinstance(v, list) else [v] for b, v in rows.items()}
+            for table, rows in stored["tables"].items()
+        }
 
     def _commit(self, version: int, manifest: Manifest) -> None:
         """Make a version the one that counts, by one rename."""
@@ -114,14 +131,14 @@ class IndexTables:
         version += 1
         self.spark.createDataFrame([], LOCATIONS).write.mode("overwrite").parquet(self._place("locations", version))
         file_type_settings(self.spark).write.mode("overwrite").parquet(self._place("settings", version))
-        self._commit(version, {"locations": {0: version}, "settings": {0: version}})
+        self._commit(version, {"locations": {0: [version]}, "settings": {0: [version]}})
 
     def vacuum(self) -> None:
         """Delete what no longer counts: folders of older versions, and of batches that failed. Not while others read or write."""
         manifest = self._manifest()
         system, inner = fs.FileSystem.from_uri(self.root)
         for table in _SCHEMAS:
-            wanted = {(v, b) for b, v in manifest.get(table, {}).items()}
+            wanted = {(v, b) for b, versions in manifest.get(table, {}).items() for v in versions}
             for version in system.get_file_info(fs.FileSelector(f"{inner}/{table}", allow_not_found=True)):
                 number = int(version.base_name.removeprefix("version="))
                 if number not in {v for v, _ in wanted}:
@@ -142,7 +159,7 @@ class IndexTables:
         return T.StructType([*_SCHEMAS[table].fields, *folders])
 
     def _small(self, table: str) -> DataFrame:
-        version = self._manifest()[table][0]
+        version = self._manifest()[table][0][0]
         return self.spark.read.schema(_SCHEMAS[table]).parquet(self._place(table, version))
 
     def locations(self) -> DataFrame:
@@ -151,17 +168,31 @@ class IndexTables:
     def settings(self) -> DataFrame:
         return self._small("settings")
 
-    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
-        """The rows that count, of all buckets or some."""
+    def _versions(self, manifest: Manifest, table: str, buckets: list[int] | None) -> DataFrame | None:
+        """The rows of the versions that count, with their version; None if there are none."""
         by_version = defaultdict(list)
-        for bucket, version in self._manifest().get(table, {}).items():
+        for bucket, versions in manifest.get(table, {}).items():
             if buckets is None or bucket in buckets:
-                by_version[version].append(bucket)
+                for version in versions:
+                    by_version[version].append(bucket)
         if not by_version:
-            return self.spark.createDataFrame([], self._schema(table)).drop("version")
+            return None
         rows = self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/{table}")
         counts = [(F.col("version") == v) & F.col("bucket").isin(b) for v, b in sorted(by_version.items())]
-        return rows.filter(reduce(lambda a, b: a | b, counts)).drop("version")
+        return rows.filter(reduce(lambda a, b: a | b, counts))
+
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """The rows that count, of all buckets or some."""
+        manifest = self._manifest()
+        rows = self._versions(manifest, table, buckets)
+        if rows is None:
+            return self.spark.createDataFrame([], self._schema(table)).drop("version")
+        gone = self._versions(manifest, "gone", buckets) if table in _GROWING else None
+        if gone is not None:
+            # Bounded by MAX_GONE, however large the index is.
+            gone = F.broadcast(gone.select("file_id", "since"))
+            rows = rows.join(gone, (rows["file_id"] == gone["file_id"]) & (rows["version"] < gone["since"]), "left_anti")
+        return rows.drop("version")
 
     def files(self) -> DataFrame:
         return self.read("files").drop("bucket")
@@ -188,7 +219,7 @@ class IndexTables:
     def _save(self, table: str, rows: DataFrame) -> None:
         version = self._latest()[0] + 1
         rows.write.mode("overwrite").parquet(self._place(table, version))
-        self._commit(version, self._manifest() | {table: {0: version}})
+        self._commit(version, self._manifest() | {table: {0: [version]}})
 
     def save_locations(self, rows: DataFrame) -> None:
         self._save("locations", rows)
@@ -213,19 +244,27 @@ class IndexTables:
     def apply(self, batch: Batch, removed: DataFrame | None = None) -> None:
         """Store a batch and drop the removed files (file_id), touching their buckets only.
 
-        What the touched buckets hold of other files is copied; its texts are not read again."""
-        owners = batch.files.select("file_id")
+        Chunks and postings of other files stay where they are, but in buckets that are due to be written whole."""
+        owners = batch.files.select("file_id", F.lit(True).alias("added"))
         if removed is not None:
-            owners = owners.unionByName(removed.select("file_id"))
-        owners = written(owners.distinct().withColumn("bucket", self._bucket()), "owners")
-        touched = [row.bucket for row in owners.select("bucket").distinct().collect()]
+            owners = owners.unionByName(removed.select("file_id", F.lit(False).alias("added")))
+        owners = written(
+            owners.groupBy("file_id").agg(F.max("added").alias("added")).withColumn("bucket", self._bucket()), "owners"
+        )
+        added = {row.bucket: row.added for row in owners.groupBy("bucket").agg(F.max("added").alias("added")).collect()}
+        touched = list(added)
         if not touched:
             return
-        gone = broadcast_if_small(owners.select("file_id"))
+        leaving = broadcast_if_small(owners.select("file_id"))
         version = self._latest()[0] + 1
+        manifest = self._manifest()
+        known = self.read("files", touched).select("file_id", "bucket")
+        replaced = known.join(leaving, "file_id", "left_semi")
+        whole = self._due(manifest, added, known, replaced)
+        grown = [b for b in touched if b not in whole]
 
-        def after(table: str, new: DataFrame) -> DataFrame:
-            return without(self.read(table, touched), gone, "file_id").unionByName(new)
+        def kept(table: str, buckets: list[int]) -> DataFrame:
+            return without(self.read(table, buckets), leaving, "file_id")
 
         def store(table: str, rows: DataFrame) -> DataFrame:
             place = self._place(table, version)
@@ -239,14 +278,19 @@ class IndexTables:
             )
             return self.spark.read.schema(self._schema(table)).parquet(place).drop("version")
 
-        chunks = store("chunks", after("chunks", batch.chunks.withColumn("bucket", self._bucket())))
-        fresh = chunks.join(broadcast_if_small(batch.files.select("file_id")), "file_id", "left_semi")
+        def after(table: str, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """What is stored, and with what stays in place all that the touched buckets hold from now on."""
+            stored = store(table, kept(table, whole).unionByName(new))
+            return stored, stored.unionByName(kept(table, grown)) if grown else stored
+
+        stored, chunks = after("chunks", batch.chunks.withColumn("bucket", self._bucket()))
+        fresh = stored.join(broadcast_if_small(batch.files.select("file_id")), "file_id", "left_semi")
         new_postings = (
             fulltext.postings(fresh)
             .withColumn("bucket", self._bucket())
             .withColumn("term_bucket", fulltext.term_bucket(F.col("term"), self.term_buckets))
         )
-        postings = store("postings", after("postings", new_postings))
+        _, postings = after("postings", new_postings)
         store(
             "vocabulary",
             postings.groupBy("bucket", "term_bucket", "term").agg(
@@ -256,8 +300,31 @@ class IndexTables:
         tokens = postings.groupBy("bucket").agg(F.sum("tf").cast("long").alias("n_tokens"))
         sizes = chunks.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_chunks")).join(tokens, "bucket", "left")
         store("stats", sizes.select("bucket", "n_chunks", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
-        store("files", after("files", batch.files.withColumn("bucket", self._bucket())))
-        manifest = self._manifest()
+        if grown:
+            now_gone = replaced.withColumn("since", F.lit(version).cast("long")).filter(F.col("bucket").isin(grown))
+            listed = self.read("gone", grown).unionByName(now_gone)
+            store("gone", listed.groupBy("file_id", "bucket").agg(F.max("since").alias("since")))
+        store("files", kept("files", touched).unionByName(batch.files.withColumn("bucket", self._bucket())))
         for table in _FOLDERS:
-            manifest[table] = manifest.get(table, {}) | dict.fromkeys(touched, version)
+            rows = manifest.setdefault(table, {})
+            for bucket in touched:
+                if table in _GROWING and bucket in grown:
+                    rows[bucket] = [*rows[bucket], version] if added[bucket] else rows[bucket]
+                elif table == "gone" and bucket in whole:
+                    rows[bucket] = []  # nothing of what was gone is left in it
+                else:
+                    rows[bucket] = [version]
         self._commit(version, manifest)
+
+    def _due(self, manifest: Manifest, added: dict[int, bool], known: DataFrame, replaced: DataFrame) -> list[int]:
+        """The touched buckets that a batch writes whole: those that hold nothing, have many versions, or of which much is gone."""
+        touched = list(added)
+        counted = known.withColumn("n", F.lit(1)).unionByName(replaced.withColumn("n", F.lit(0)))
+        gone = self._versions(manifest, "gone", touched)
+        if gone is not None:
+            counted = counted.unionByName(gone.select("file_id", "bucket", F.lit(0).alias("n")))
+        # A row for each bucket.
+        rows = counted.groupBy("bucket").agg(F.sum("n").alias("held"), F.count_if(F.col("n") == 0).alias("gone")).collect()
+        limits = {r.bucket: r.gone > min(MAX_GONE_SHARE * r.held, MAX_GONE / self.buckets) for r in rows}
+        versions = manifest.get("chunks", {})
+        return [b for b in touched if b not in versions or len(versions[b]) >= MAX_VERSIONS or limits.get(b, False)]

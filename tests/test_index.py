@@ -10,6 +10,7 @@ from docloom.operators.maintenance import add_locations, set_attribute
 from docloom.plans.indexing import apply_batch, index_batch, refresh, retry_batch
 from docloom.plans.searching import search
 from docloom.schemas import CHUNKS, FILES, LOCATIONS
+from docloom.sources import index_tables
 from docloom.sources.files import enabled_roots, list_files, read_contents, read_hashes, scan_files
 from docloom.sources.index_tables import IndexTables
 from docloom.sources.seeds import file_type_settings
@@ -332,3 +333,50 @@ def test_a_batch_that_fails_leaves_the_index_as_it_was(spark, tree, world, tmp_p
     assert snapshot(IndexTables(spark, root)) == second
     versions = {d for t in ("files", "chunks", "postings") for d in os.listdir(f"{root}/{t}")}
     assert len(versions) <= 2
+
+
+def test_a_batch_does_not_copy_what_it_leaves(spark, tmp_path, world, monkeypatch):
+    """Chunks and postings stay in their versions; what is gone is left out, until a bucket is written whole."""
+    root = tmp_path / "index"
+    tables = IndexTables(spark, str(root), buckets=2, term_buckets=2)
+    tables.create()
+
+    def scan(numbers, word):
+        rows = [(f"/in/f{i}.md", float(i), 10, f"{word} number{i}\n\nsecond {word}".encode()) for i in numbers]
+        return spark.createDataFrame(rows, "path string, mtime double, size_bytes long, content binary")
+
+    def same_as_new():
+        want = fulltext.build_index(tables.chunks())
+        files, chunks, postings, stats = snapshot(tables)
+        assert postings == sorted((r.term, r.chunk_id, r.tf) for r in want.postings.collect())
+        assert stats == tuple(want.stats.first())
+        terms = sorted(tuple(r) for r in tables.index().vocabulary.select("term", "df", "cf").collect())
+        assert terms == sorted(tuple(r) for r in want.vocabulary.select("term", "df", "cf").collect())
+        return len(files), sorted(s for _, s in chunks)
+
+    def stored(version):
+        return sum(spark.read.parquet(str(f)).count() for f in (root / "chunks" / f"version={version}").rglob("*.parquet"))
+
+    def apply(numbers, word, paths=()):
+        gone = tables.files().filter(F.col("path").isin([f"/in/f{i}.md" for i in paths])).select("file_id")
+        tables.apply(index_batch(scan(numbers, word), tables.files(), *world, now=1.0), gone)
+        return tables._latest()[0]
+
+    assert stored(apply(range(40), "old")) == 80
+    # One file is replaced, one removed, one new.
+    assert stored(apply([3, 50], "new", [7])) == 4
+    n, texts = same_as_new()
+    assert n == 40 and "old number3" not in texts and "new number3" in texts and "old number7" not in texts and len(texts) == 80
+    # The replaced file once more, and a removed one again.
+    assert stored(apply([3, 7], "last")) == 4
+    n, texts = same_as_new()
+    assert n == 41 and "new number3" not in texts and {"last number3", "last number7"} <= set(texts) and len(texts) == 82
+    tables.vacuum()
+    assert same_as_new() == (n, texts)
+    # Of most files gone, and of many versions, the rest is written whole.
+    rest = stored(apply([], "none", range(10, 40)))
+    n, texts = same_as_new()
+    assert n == 11 and rest == 22 and not any(tables._manifest()["gone"].values())
+    monkeypatch.setattr(index_tables, "MAX_VERSIONS", 1)
+    assert stored(apply([60, 61, 62, 63], "late")) >= 8
+    assert same_as_new()[0] == 15
