@@ -2,6 +2,7 @@
 
 import random
 import sqlite3
+import time
 import unicodedata
 
 import pytest
@@ -95,6 +96,21 @@ def test_postings(spark):
 SEARCHES = ["the", "hello world", "the the of", "cat", "naive uber", "zoo the", "missing", "the missing", "  ", "ELAN", "the of cat dog"]
 
 
+def test_postings_of_a_long_snippet(spark):
+    """What a snippet costs follows its length: comparing each of its words with all others would take minutes."""
+    words = [f"w{i}" for i in range(40_000)]
+    text = " ".join([*words, *words[:1000]])
+    chunks = spark.createDataFrame(
+        [(1, 7, text), (2, 7, None), (3, 8, ""), (4, 8, "b a b")], "chunk_id long, file_id long, snippet string"
+    ).coalesce(1)
+    began = time.monotonic()
+    got = {(r.chunk_id, r.term): (r.file_id, r.chunk_len, r.positions, r.tf) for r in fulltext.postings(chunks).collect()}
+    assert time.monotonic() - began < 30
+    expected = {(1, w): (7, 41_000, [i, 40_000 + i] if i < 1000 else [i], 1 + (i < 1000)) for i, w in enumerate(words)}
+    assert got == expected | {(4, "a"): (8, 3, [1], 1), (4, "b"): (8, 3, [0, 2], 2)}
+    assert fulltext.postings(chunks.limit(0)).count() == 0
+
+
 def test_all_words(spark, index, fts):
     got = by_query(fulltext.bm25_search(queries(spark, SEARCHES), index, top_k=1000))
     for i, text in enumerate(SEARCHES):
