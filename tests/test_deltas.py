@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from docloom.operators import deltas, fulltext
 
 CHUNKS = "chunk_id long, file_id long, snippet string"
@@ -52,3 +54,19 @@ def test_what_a_batch_leaves_is_not_written(spark):
     old, new = frame(spark, {1: "same words here"}), frame(spark, {1: "same words there"})
     assert sorted(map(tuple, deltas.term_changes(new, old).collect())) == [("here", -1, -1), ("there", 1, 1)]
     assert tuple(deltas.corpus_changes(new, old).first()) == (0, 0)
+
+
+def test_a_batch_is_cut_into_tokens_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string", useArrow=False)
+    def counted(text):
+        seen.add(1)
+        return text
+
+    counted = counted.asNondeterministic()
+    chunks = frame(spark, {i: "a b a" for i in range(50)}).withColumn("snippet", counted("snippet"))
+    stats = deltas.Statistics(spark, str(tmp_path / "a"))
+    stats.append(chunks, frame(spark, {0: "a"}))
+    assert seen.value == 50
+    assert tuple(stats.corpus().first()) == (49, 149, 149 / 49)
