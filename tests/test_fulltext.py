@@ -5,6 +5,7 @@ import sqlite3
 import time
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,29 @@ def test_corpus_stats_from_the_postings(spark):
         chunks = spark.createDataFrame(some, schema)
         got = fulltext.corpus_stats(chunks, fulltext.postings(chunks))
         assert got.collect() == fulltext.corpus_stats(chunks).collect()
+
+
+def test_only_groups_within_reach_are_swept(monkeypatch):
+    """The sweep of a whole batch gives what sweeping each of its groups does, and sweeps those that the ends of the starts leave open."""
+    rng = random.Random(9)
+    groups = []
+    for n in range(600):
+        phrases = [rng.choice(["the", "of the", "a b c", "cat"]) for _ in range(rng.randint(1, 4))]
+        starts = [sorted(rng.sample(range(60), rng.choice([1, 1, 1, 2, 5]))) for _ in phrases]
+        if n % 50 == 0:
+            starts[-1] = []
+        members = [{"i": i, "phrase": p, "starts": s} for i, (p, s) in enumerate(zip(phrases, starts))]
+        groups.append({"query_id": n, "chunk_id": n % 7, "file_id": 1, "chunk_len": 60, "distance": rng.randint(0, 9), "phrases": members})
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("phrase", pa.string()), ("starts", pa.list_(pa.int32()))]))
+    columns = {k: pa.array([g[k] for g in groups], kind if k == "phrases" else pa.int64()) for k in groups[0]}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    sweep, swept = fulltext.near_sweep, []
+    expected = []
+    for g in groups:
+        phrases, starts = [p["phrase"] for p in g["phrases"]], [p["starts"] for p in g["phrases"]]
+        kept = sweep(starts, [p.count(" ") + 1 for p in phrases], g["distance"])
+        expected += [(g["query_id"], p, k) for p, k in zip(phrases, kept) if kept[0]]
+    monkeypatch.setattr(fulltext, "near_sweep", lambda starts, *rest: swept.append(starts) or sweep(starts, *rest))
+    got = [r for part in fulltext._sweep_groups(iter([batch.slice(0, 0), batch.slice(0, 100), batch.slice(100)])) for r in part.to_pylist()]
+    assert [(r["query_id"], r["phrase"], r["starts"]) for r in got] == expected
+    assert 0 < len(swept) < 300 and all(any(len(s) > 1 for s in starts) for starts in swept)
