@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+
 from docloom.streaming import pending
 
 JOBS = "event_id long, ts timestamp, path string, file_type string, priority int"
@@ -73,3 +75,45 @@ def test_nothing_new_costs_nothing(spark, tmp_path):
     again.awaitTermination()
     assert len(again.recentProgress) == 0 or sum(p["numInputRows"] for p in again.recentProgress) == 0
     assert pending.read_pending(spark, f"{folder}/out2").count() == 1
+
+
+class Counted(dict):
+    """A state's map that counts how often it is asked."""
+
+    calls = 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+def test_a_call_handles_many_paths():
+    """A shard's paths are handled by one call, each with two looks at the state at most; the result is that of single paths."""
+    rng = random.Random(6)
+    state = Counted()
+    processor = pending.FirstPending()
+    processor.init(type("Handle", (), {"getMapState": lambda self, *_: state})())
+    held = set()
+    for turn in range(6):
+        marks = [(f"/p{rng.randint(0, 99)}", rng.randint(0, 9), rng.random() < 0.2, f"{i}") for i in range(200)]
+        frame = pd.DataFrame(marks, columns=["path", "place", "finished", "job"])
+        held -= {m[0] for m in marks if m[2]}
+        first = {}
+        for path, place, finished, job in marks:
+            if not finished:
+                first[path] = min(first.get(path, (place, job)), (place, job))
+        before = state.calls
+        out = list(processor.handleInputRows((0,), iter([frame[:50], frame[50:]]), None))
+        expected = {path: job for path, (_, job) in first.items() if path not in held}
+        assert {r.path: r.job for part in out for r in part.itertuples()} == expected and len(out) <= 1
+        assert state.calls - before <= 2 * frame["path"].nunique()
+        held |= set(expected)
+        assert {path for path, in state} == held
