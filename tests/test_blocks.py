@@ -62,6 +62,23 @@ def test_blocks_are_bounded_and_whole(spark):
     assert "entries" not in head._jdf.queryExecution().executedPlan().toString()
 
 
+def test_postings_are_dealt_once(spark, monkeypatch):
+    index = fulltext.written_index(spark.createDataFrame(corpus(2, 100), CHUNKS).repartition(4))
+    plans, write = [], blocks.written
+
+    def watched(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *rest)
+
+    monkeypatch.setattr(blocks, "written", watched)
+    whole = blocks.store(index, 101, 32).blocks
+    monkeypatch.setattr(blocks, "PART_CHUNKS", 100)
+    parted = blocks.store(index, 101, 32).blocks
+    assert [plan.count("Exchange") for plan in plans] == [1, 1]
+    heads = ["term_bucket", "term", "block", "n", "most_tf", "least_len"]
+    assert whole.select(*heads).exceptAll(parted.select(*heads)).isEmpty() and whole.count() == parted.count()
+
+
 def test_empty(spark):
     index = fulltext.written_index(spark.createDataFrame(corpus(3, 20), CHUNKS))
     none = spark.createDataFrame([], "query_id long, text string")
