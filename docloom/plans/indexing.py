@@ -24,11 +24,14 @@ from docloom.operators.maintenance import (
 )
 from docloom.schemas import CHUNKS, EMBED_DIM, FILES, PAGE_CHUNK_CAP, TEXT_CHUNK_CAP
 from docloom.sources.large_files import cut_files
-from docloom.sources.sizes import broadcast_if_small, written
+from docloom.sources.sizes import MAX_BROADCAST_ROWS, written
 
 #: Files of more bytes are not held whole.
 LARGE_BYTES = 64 << 20
 
+#: Contents that a scan holds are cut before their files are looked up, if the list of those due is long and holds at least this share of the scan.
+MOSTLY_DUE = 0.9
+
 #: From listed files to the same with contents, or with hashes.
 ReadFn = Callable[[DataFrame], DataFrame]
 
@@ -39,6 +42,9 @@ class Batch:
 
     files: DataFrame
     chunks: DataFrame
+    #: The chunks without their vectors, and what adds these: who moves chunks can move them without.
+    cut: DataFrame | None = None
+    add_vectors: Callable[[DataFrame], DataFrame] | None = None
 
 
 def _seen(indexable: DataFrame, read: ReadFn | None, hashes: ReadFn | None) -> DataFrame:
@@ -90,7 +96,8 @@ def index_batch(
     ``read`` adds the contents where the scan is a mere listing, ``hashes`` their hashes alone. Every file is hashed
     once, and what came of it is written; only new, changed and unfinished files are read again, cut and embedded.
     What decides that is a join of paths and hashes; the list of files due is written, and sent to
-    the scan when it is short, so that contents are not shuffled. ``pages`` (path, page_no, page_text) holds the
+    the scan when it is short, so that contents are not shuffled. When it is long, and nearly all of a scan with contents is due, these are cut
+    where they are and only what was cut is shuffled. ``pages`` (path, page_no, page_text) holds the
     texts of paged files. Vectors are computed last and pass through no further join.
 
     Files of more than ``large_bytes`` that ``read`` would have to hold whole are read in pieces and cut as they pass, to the same result.
@@ -110,8 +117,12 @@ def index_batch(
     todo = written(
         assign_location(with_ids(due, files, "path", "file_id"), locations), "files-to-read"
     )
-    readable = broadcast_if_small(todo.filter(F.col("failure").isNull()).select("path", "file_id"))
-    due_files = indexable.join(readable.select("path"), "path", "left_semi")
+    readable = todo.filter(F.col("failure").isNull()).select("path", "file_id")
+    n_readable = readable.count()
+    if n_readable <= MAX_BROADCAST_ROWS:
+        readable = F.broadcast(readable)
+    cut_first = read is None and n_readable > max(MAX_BROADCAST_ROWS, MOSTLY_DUE * seen.count())
+    due_files = indexable if cut_first else indexable.join(readable.select("path"), "path", "left_semi")
     is_paged = category_of(F.col("path")).eqNullSafe("pdf")
     paged = due_files.filter(is_paged).select("path", category_of(F.col("path")).alias("file_type"), F.lit(None).cast("string").alias("late"))
     due_files = due_files.filter(~is_paged)
@@ -129,7 +140,10 @@ def index_batch(
     )
     if pages is not None:
         pages = pages.join(readable, "path").select("file_id", "page_no", "page_text")
-    cut = extract_all(texts.join(readable, "path"), pages, paged=paged.join(readable, "path"), cap=cap, page_cap=page_cap)
+    owned = texts if cut_first else texts.join(readable, "path")
+    cut = extract_all(
+        owned, pages, paged=paged.join(readable, "path"), cap=cap, page_cap=page_cap, owners=readable if cut_first else None
+    )
     if large is not None:
         late = large.withColumnRenamed("error", "late").withColumn("error", F.lit(None).cast("string"))
         cut = cut.unionByName(late.select(*cut.columns))
@@ -149,8 +163,14 @@ def index_batch(
         F.lit(now).alias("indexed_at"),
         index_status(~F.coalesce(error.isin("file_not_found", "disabled"), F.lit(False)), F.col("file_type"), error).alias("status"),
     )
-    chunk_rows = embed(explode_chunks(extracted.filter("late IS NULL")), "snippet", embed_fn, dim)
-    return Batch(file_rows.select(*FILES.fieldNames()), chunk_rows.select(*CHUNKS.fieldNames()))
+    chunk_rows = explode_chunks(extracted.filter("late IS NULL"))
+
+    def add_vectors(rows: DataFrame) -> DataFrame:
+        return embed(rows, "snippet", embed_fn, dim)
+
+    return Batch(
+        file_rows.select(*FILES.fieldNames()), add_vectors(chunk_rows).select(*CHUNKS.fieldNames()), chunk_rows, add_vectors
+    )
 
 
 def retry_batch(files: DataFrame, locations: DataFrame, settings: DataFrame, **options) -> Batch:

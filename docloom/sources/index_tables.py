@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
 from functools import reduce
 
 from pyarrow import fs
@@ -64,6 +65,9 @@ MAX_GONE = 1_000_000
 #: Within a file, so that a search for a few terms skips the rest.
 _SORTED = {"postings": ["term", "chunk_id"], "vocabulary": ["term"]}
 
+#: What adds columns to rows that have been moved to their buckets.
+Finish = Callable[[DataFrame], DataFrame]
+
 #: Per table, the versions that count of each bucket; tables without buckets have bucket 0.
 Manifest = dict[str, dict[int, list[int]]]
 
@@ -216,6 +220,11 @@ class IndexTables:
 
     # Writing
 
+    def _pieces(self, table: str) -> int:
+        """Parts that a folder's rows are dealt to when they are moved, so that a few folders occupy all cores."""
+        folders = self.buckets * (self.term_buckets if "term_bucket" in _FOLDERS[table] else 1)
+        return -(-2 * self.spark.sparkContext.defaultParallelism // folders) if table in _GROWING else 1
+
     def _save(self, table: str, rows: DataFrame) -> None:
         version = self._latest()[0] + 1
         rows.write.mode("overwrite").parquet(self._place(table, version))
@@ -263,34 +272,45 @@ class IndexTables:
         whole = self._due(manifest, added, known, replaced)
         grown = [b for b in touched if b not in whole]
 
-        def kept(table: str, buckets: list[int]) -> DataFrame:
+        def kept(table: str, buckets: list[int]) -> DataFrame | None:
+            """What stays of some buckets; None if they hold nothing."""
+            if not any(manifest.get(table, {}).get(bucket) for bucket in buckets):
+                return None
             return without(self.read(table, buckets), leaving, "file_id")
 
-        def store(table: str, rows: DataFrame) -> DataFrame:
+        def store(table: str, rows: DataFrame, finish: Finish | None = None, mode: str = "overwrite") -> DataFrame:
+            """Write rows in folders; ``finish`` adds columns once they have been moved and sorted."""
             place = self._place(table, version)
+            pieces = self._pieces(table)
+            if pieces > 1:
+                rows = rows.withColumn("_piece", F.pmod(F.xxhash64("file_id", F.lit(1)), F.lit(pieces)))
+            moved = rows.hint("rebalance", *_FOLDERS[table], *["_piece"][: pieces > 1])
+            ordered = moved.sortWithinPartitions(*_FOLDERS[table], *_SORTED.get(table, ()))
             (
-                rows.select(*_SCHEMAS[table].fieldNames(), *_FOLDERS[table])
-                .hint("rebalance", *_FOLDERS[table])
-                .sortWithinPartitions(*_FOLDERS[table], *_SORTED.get(table, ()))
-                .write.mode("overwrite")
+                (finish(ordered) if finish else ordered)
+                .select(*_SCHEMAS[table].fieldNames(), *_FOLDERS[table])
+                .write.mode(mode)
                 .partitionBy(*_FOLDERS[table])
                 .parquet(place)
             )
             return self.spark.read.schema(self._schema(table)).parquet(place).drop("version")
 
-        def after(table: str, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-            """What is stored, and with what stays in place all that the touched buckets hold from now on."""
-            stored = store(table, kept(table, whole).unionByName(new))
-            return stored, stored.unionByName(kept(table, grown)) if grown else stored
+        def after(table: str, new: DataFrame, finish: Finish | None = None) -> DataFrame:
+            """Store new rows, and with what stays all that the touched buckets hold from now on."""
+            stored = store(table, new, finish)
+            rewritten, staying = kept(table, whole), kept(table, grown)
+            if rewritten is not None:
+                stored = store(table, rewritten, mode="append")
+            return stored if staying is None else stored.unionByName(staying)
 
-        stored, chunks = after("chunks", batch.chunks.withColumn("bucket", self._bucket()))
-        fresh = stored.join(broadcast_if_small(batch.files.select("file_id")), "file_id", "left_semi")
+        bare = batch.chunks if batch.cut is None else batch.cut
+        chunks = after("chunks", bare.withColumn("bucket", self._bucket()), None if batch.cut is None else batch.add_vectors)
         new_postings = (
-            fulltext.postings(fresh)
+            fulltext.postings(bare)
             .withColumn("bucket", self._bucket())
             .withColumn("term_bucket", fulltext.term_bucket(F.col("term"), self.term_buckets))
         )
-        _, postings = after("postings", new_postings)
+        postings = after("postings", new_postings)
         store(
             "vocabulary",
             postings.groupBy("bucket", "term_bucket", "term").agg(
@@ -304,7 +324,8 @@ class IndexTables:
             now_gone = replaced.withColumn("since", F.lit(version).cast("long")).filter(F.col("bucket").isin(grown))
             listed = self.read("gone", grown).unionByName(now_gone)
             store("gone", listed.groupBy("file_id", "bucket").agg(F.max("since").alias("since")))
-        store("files", kept("files", touched).unionByName(batch.files.withColumn("bucket", self._bucket())))
+        added_files, other_files = batch.files.withColumn("bucket", self._bucket()), kept("files", touched)
+        store("files", added_files if other_files is None else other_files.unionByName(added_files))
         for table in _FOLDERS:
             rows = manifest.setdefault(table, {})
             for bucket in touched:

@@ -2,11 +2,13 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from docloom.operators import fulltext
 from docloom.operators.chunking import explode_chunks
 from docloom.operators.maintenance import add_locations, set_attribute
+from docloom.plans import indexing
 from docloom.plans.indexing import apply_batch, index_batch, refresh, retry_batch
 from docloom.plans.searching import search
 from docloom.schemas import CHUNKS, FILES, LOCATIONS
@@ -380,3 +382,51 @@ def test_a_batch_does_not_copy_what_it_leaves(spark, tmp_path, world, monkeypatc
     monkeypatch.setattr(index_tables, "MAX_VERSIONS", 1)
     assert stored(apply([60, 61, 62, 63], "late")) >= 8
     assert same_as_new()[0] == 15
+
+
+def held(spark, n=20):
+    """A scan with contents, one of which is missing, and pages for its paged files."""
+    kinds = ("md", "py", "pdf")
+    rows = [(f"/in/f{i}.{kinds[i % 3]}", float(i), 10, f"one {i}\n\ndef two{i}():\n  pass".encode()) for i in range(n)]
+    scan = spark.createDataFrame([*rows, ("/in/none.md", 0.0, 10, None)], "path string, mtime double, size_bytes long, content binary")
+    pages = [(path, k, f"page {k} of {path}") for path, *_ in rows if path.endswith("pdf") for k in (1, 2)]
+    return scan, spark.createDataFrame(pages, "path string, page_no int, page_text string")
+
+
+def test_vectors_are_not_moved(spark, tmp_path, world, monkeypatch):
+    tables = IndexTables(spark, str(tmp_path / "index"), buckets=2, term_buckets=2)
+    tables.create()
+    scan, pages = held(spark)
+    batch = index_batch(scan, tables.files(), *world, now=1.0, pages=pages)
+    plans, write = {}, DataFrameWriter.parquet
+
+    def watched(self, path, *rest, **more):
+        plans[path.split("/")[-2]] = self._df._jdf.queryExecution().optimizedPlan().toString()
+        write(self, path, *rest, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    tables.apply(batch)
+    assert 0 <= plans["chunks"].find("ArrowEvalPython") < plans["chunks"].index("RebalancePartitions")
+    assert "ArrowEvalPython" not in plans["postings"] and "Join" not in plans["postings"]
+    want = {r.chunk_id: r.embedding for r in batch.chunks.collect()}
+    assert {r.chunk_id: r.embedding for r in tables.chunks().collect()} == want and len(want) > 20
+
+
+def test_contents_are_cut_where_they_are(spark, world, monkeypatch):
+    """When the list of files due is too long to be sent to the contents."""
+    scan, pages = held(spark)
+    empty = spark.createDataFrame([], FILES)
+
+    def rows():
+        batch = index_batch(scan, empty, *world, now=1.0, pages=pages)
+        return [sorted(map(str, df.collect())) for df in (batch.files, batch.chunks)]
+
+    want, given, cut = rows(), [], indexing.extract_all
+    monkeypatch.setattr(indexing, "extract_all", lambda texts, *rest, **more: given.append(texts.columns) or cut(texts, *rest, **more))
+    monkeypatch.setattr(indexing, "MAX_BROADCAST_ROWS", 2)
+    assert rows() == want and len(want[0]) == 21
+    assert len(given) == 1 and "file_id" not in given[0]
+    # Of a scan that is mostly known, the others stay out.
+    known = index_batch(scan, empty, *world, now=1.0, pages=pages).files.filter("file_id % 2 = 0")
+    batch = index_batch(scan, known.localCheckpoint(), *world, now=1.0, pages=pages)
+    assert "file_id" in given[-1] and batch.files.count() == 21 - known.count()

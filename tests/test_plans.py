@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import registry
 from docloom.operators import chunking, fulltext, nearest
 from docloom.operators.maintenance import detect_changes
-from registry import inputs
+from registry import inputs, maintenance_queries
 
 FOLDER = "/root/testdata/sf0.001"
 SHUFFLE = re.compile(r"\bExchange (hash|range|Single|RoundRobin)")
@@ -41,6 +41,17 @@ def test_cutting_and_indexing_do_not_shuffle(spark):
     assert "n_chars" not in text
 
 
+def test_the_scan_of_documents_joins_nothing(spark):
+    for df in (maintenance_queries.scanned(spark, FOLDER), maintenance_queries._pages(spark, FOLDER), inputs.sheets(spark, FOLDER)):
+        assert "Join" not in plan(df) and df.count() > 0
+
+
+def test_postings_leave_in_the_order_of_their_terms(spark):
+    chunks = chunking.explode_chunks(chunking.extract(texts(spark))).limit(500).coalesce(1)
+    rows = [(r.term.encode(), r.chunk_id) for r in fulltext.postings(chunks).collect()]
+    assert len(rows) > 500 and [term for term, _ in rows] == sorted(term for term, _ in rows)
+
+
 def test_row_number_limits_run_before_the_shuffle(spark):
     pages = texts(spark).select("file_id", F.lit(1).alias("page_no"), F.col("content").alias("page_text"))
     for df in (
