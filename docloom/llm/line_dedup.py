@@ -2,9 +2,10 @@
 
 The key of a line is the line without ASCII white space at its ends and with A-Z in lower case. Every
 line whose key is long enough gives a row of hashes, document and position. These rows are
-range-partitioned by hash and sorted by document (largest first) and position within, so that
-each task streams through its hashes and marks the first row of every document. A hash is salted
-by document before that: a line that a third of all documents hold is spread over many partitions, and its
+partitioned by ranges of hashes and sorted by document (largest first) and position within, so that
+each task streams through its hashes and marks the first row of every document. As hashes are even, so are
+ranges of equal width: nothing is sampled, which would cut and hash all lines once more. A hash is salted
+by document before that: a line that a third of all documents hold is spread over many ranges, and its
 marks are summed per task before they meet. The result is not text but one keep bitmap for each document
 that loses lines: bit ``i`` of the bitmap (byte ``i / 8``, lowest bit first) is 0 where line ``i`` goes. Bitmaps end
 at the document's last line, documents that lose nothing have none, and a document of more lines than
@@ -25,6 +26,8 @@ from docloom.llm.columns import ASCII_SPACE, ascii_lower, fingerprint, once
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
 SALTS = 64
+#: Ranges of hashes for each partition: they are dealt by number, and many of them come out even.
+RANGES = 16
 BITMAP_BITS = 32768
 
 
@@ -53,11 +56,15 @@ def drop_positions(docs: DataFrame, id_column: str, text_column: str, min_chars:
         h1.alias("h1"), h2.alias("h2"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"),
         "doc", "t1", "t2", "pos",
     )
-    within = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("doc").desc_nulls_last(), "pos")
-    stream = rows.repartitionByRange("h1", "h2", "salt").withColumn(
+    # The salt turns the hash's first six bits, so that the rows of a line lie in up to 64 ranges.
+    turned = F.col("h1").bitwiseXOR(F.shiftleft(F.col("salt").cast("long"), 58))
+    n_ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.shiftright(F.shiftrightunsigned(turned, 33) * n_ranges, 31).cast("int")
+    within = Window.partitionBy("_range", "h1", "h2", "salt").orderBy(F.col("doc").desc_nulls_last(), "pos")
+    stream = rows.withColumn("_range", place).repartition("_range").withColumn(
         "first", (F.row_number().over(within) == 1) | ~F.col("doc").eqNullSafe(F.lag("doc").over(within))
     )
-    stream = once(stream, "line-stream")
+    stream = once(stream.drop("_range"), "line-stream")
     # Written, so that both sides of the join are plain shuffles, whose hot partitions Spark can split.
     shared = once(
         stream.groupBy("h1", "h2")

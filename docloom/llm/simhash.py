@@ -12,7 +12,9 @@ A tile of many residents is split, and its visitors too, from counts of a grid o
 reports only links that join something new within the tile, so links are fewer than the rows that it read.
 
 Where fingerprints only propose (``keep_one``), classes are texts of equal shingle sets, fingerprints are made of the sets, and a link
-joins only if the two sets have the asked Jaccard similarity, compared shingle by shingle. A refuted link may have stood for
+joins only if the two sets have the asked Jaccard similarity, compared shingle by shingle. Such sets are of similar size, too: the
+smaller has at least that share of the larger one's shingles. So these classes are dealt to tiles by the logarithms of their sizes, and sizes
+further apart are never compared. A refuted link may have stood for
 others of its tile; so the groups of refuted links are compared once more, and there every pair that the confirmed links do not
 join already is confirmed or refuted.
 
@@ -22,6 +24,7 @@ same result, one row each; ``component_id`` is the smallest id that can be reach
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -48,8 +51,15 @@ SIMILAR = 0.8
 #: Of 128 bits: texts of similarity 0.8 with equally many shingles are 19.4 bits apart on average, give or take 4.1, so 0.4 % of them
 #: are further apart than this. Less similar ones come as near, too; the shingle sets refute them.
 WIDE_RADIUS = 30
-WIDE_TILE_ROWS = 262_144
+WIDE_TILE_ROWS = 65_536
 WIDE_VISITORS = 65_536
+#: Cells of set sizes for the factor of 1 / SIMILAR between two sizes; cells in all, enough for any set.
+SIZE_STEPS = 4
+SIZE_CELLS = 1024
+#: Fingerprints compared at once: what lies between stays in the processor's caches.
+HIGH, WIDE = 32, 1024
+#: Tasks that tiles of sizes are dealt to.
+MOST_TASKS = 10_000
 
 
 def _hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
@@ -90,7 +100,7 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
 def fingerprint_texts(
     data: np.ndarray, offsets: np.ndarray, size: int, words: int = 1, names: np.ndarray | None = None
 ) -> np.ndarray:
-    """(texts, words) array of 64-bit words. With ``names``, an array to fill with a hash of each text's shingle
+    """(texts, words) array of 64-bit words. With ``names``, a (2, texts) array to fill with a hash and the size of each text's shingle
     set, the fingerprints are those of the sets: a shingle counts once."""
     raw, n = data.tobytes(), len(offsets) - 1
     counts, totals = np.zeros((n, 64 * words), np.int64), np.zeros(n, np.int64)
@@ -114,7 +124,7 @@ def fingerprint_texts(
             yield from _hashes(text, size)
             return
         distinct = shingle_set(text, size)
-        names[i] = _second(distinct).sum(dtype=np.uint64)
+        names[:, i] = _second(distinct).sum(dtype=np.uint64), len(distinct)
         for first in range(0, len(distinct), WORDS_AT_ONCE):
             yield distinct[first : first + WORDS_AT_ONCE]
 
@@ -138,21 +148,21 @@ def with_fingerprints(
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and _fp0, _fp1, ...: the fingerprint's words as signed longs.
 
-    With ``sets`` the fingerprints are those of the shingle sets, and _set is a hash of the set."""
+    With ``sets`` the fingerprints are those of the shingle sets, _set is a hash of the set and _size how many it holds."""
     kept = docs.columns if keep is None else keep
     source = docs.select(*[F.col(c) for c in kept], F.col(text_column).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "_text"):
-                names = np.zeros(len(offsets) - 1, np.uint64) if sets else None
+                names = np.zeros((2, len(offsets) - 1), np.uint64) if sets else None
                 fps = fingerprint_texts(data, offsets, size, words, names).view(np.int64)
                 columns = [pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words)]
                 if sets:
-                    columns.append(pa.array(names.view(np.int64)))
+                    columns += [pa.array(row.view(np.int64)) for row in names]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names=[*kept, *new])
 
-    new = [*fp_columns(words), *(["_set"] if sets else [])]
+    new = [*fp_columns(words), *(["_set", "_size"] if sets else [])]
     added = [T.StructField(c, T.LongType()) for c in new]
     return source.mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], *added]))
 
@@ -171,6 +181,11 @@ def _cell(words: int, lanes: int) -> Column:
     return cell
 
 
+def _size_cell(size: Column, similar: float) -> Column:
+    """Sets of the similarity lie ``SIZE_STEPS`` cells apart at most."""
+    return F.least(F.floor(F.log(F.greatest(size, F.lit(1))) * (SIZE_STEPS / -math.log(similar))), F.lit(SIZE_CELLS - 1)).cast("int")
+
+
 def _side(words: int, lanes: int) -> int:
     """How many population counts a lane can have."""
     return 64 * words + 1 if lanes == 1 else 64 // lanes + 1
@@ -206,9 +221,8 @@ def _mix(values: np.ndarray, salt: int) -> np.ndarray:
     return (x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
 
 
-def _deal(counts: np.ndarray, side: int, carried: list[str], lanes: int, radius: int, tile_rows: int, visitors: int):
+def _deal(parts: np.ndarray, shares: np.ndarray, side: int, carried: list[str], lanes: int, radius: int):
     """Batches of (node, cell, carried columns) to rows (cell, part, share, visits, node, carried columns)."""
-    parts, shares = _plan(counts, side, lanes, radius, tile_rows, visitors)
     powers = side ** np.arange(lanes - 1, -1, -1)
     steps = _neighbours(lanes, radius)
 
@@ -275,11 +289,14 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
 Tile = tuple[np.ndarray, list[np.ndarray]]  # nodes, and the words of their fingerprints (and their labels)
 
 
-def _near(a: list[np.ndarray], b: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    apart = np.bitwise_count(a[0][:, None] ^ b[0][None, :])
+def _near(a: list[np.ndarray], b: list[np.ndarray], radius: int, room: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within ``radius`` bits; ``room`` is that of ``HIGH`` times ``WIDE`` pairs, used again and again."""
+    differ, apart, more, near = (r[: len(a[0]), : len(b[0])] for r in room)
+    np.bitwise_count(np.bitwise_xor(a[0][:, None], b[0], out=differ), out=apart)
     for x, y in zip(a[1:], b[1:], strict=True):
-        apart += np.bitwise_count(x[:, None] ^ y[None, :])
-    return np.nonzero(apart <= radius)
+        np.bitwise_count(np.bitwise_xor(x[:, None], y, out=differ), out=more)
+        np.add(apart, more, out=apart)
+    return np.nonzero(np.less_equal(apart, radius, out=near)) if near.size else ((none := np.empty(0, np.int64)), none)
 
 
 def _part(tile: Tile, at: slice) -> Tile:
@@ -292,16 +309,18 @@ def _joined(tiles: list[Tile]) -> Tile:
 
 def _compare(words: int, radius: int, labelled: bool = False):
     """Rows sorted by tile, residents first, to links; if labelled, to all pairs of unequal labels."""
-    high, wide = 256, 2048
     carried = [*fp_columns(words), *(["label"] if labelled else [])]
 
     def links(residents: Tile, others: Tile, own: bool) -> Iterator[pa.RecordBatch]:
         found: tuple[list[int], list[int]] = ([], [])
-        for i in range(0, len(residents[0]), high):
-            nodes, fps = _part(residents, slice(i, i + high))
-            for j in range(i // wide * wide if own else 0, len(others[0]), wide):
-                other_nodes, other_fps = _part(others, slice(j, j + wide))
-                k, m = _near(fps[:words], other_fps[:words], radius)
+        room = [np.empty((HIGH, WIDE), kind) for kind in (np.uint64, np.uint8, np.uint8, bool)]
+        for i in range(0, len(residents[0]), HIGH):
+            nodes, fps = _part(residents, slice(i, i + HIGH))
+            for j in range(i // WIDE * WIDE if own else 0, len(others[0]), WIDE):
+                other_nodes, other_fps = _part(others, slice(j, j + WIDE))
+                k, m = _near(fps[:words], other_fps[:words], radius, room)
+                if not len(k):
+                    continue
                 if own:
                     later = i + k < j + m
                     k, m = k[later], m[later]
@@ -309,7 +328,7 @@ def _compare(words: int, radius: int, labelled: bool = False):
                     apart = fps[words][k] != other_fps[words][m]
                     if apart.any():
                         yield pa.RecordBatch.from_pydict({"a": pa.array(nodes[k[apart]]), "b": pa.array(other_nodes[m[apart]])})
-                elif len(k):
+                else:
                     a = np.concatenate([np.array(found[0], np.int64), nodes[k]])
                     found = _forest(a, np.concatenate([np.array(found[1], np.int64), other_nodes[m]]))
         if found[0]:
@@ -358,23 +377,30 @@ def _compare(words: int, radius: int, labelled: bool = False):
 
 def links(
     classes: DataFrame, words: int = 1, radius: int = RADIUS, lanes: int = LANES, tile_rows: int = TILE_ROWS, visitors: int = VISITORS,
-    labelled: bool = False,
+    labelled: bool = False, similar: float | None = None,
 ) -> DataFrame:
     """Links (a, b) between nodes that join all that lie within ``radius`` bits.
 
     The links are a part of all pairs, but connect exactly what all pairs connect. If ``labelled``, they are all
-    pairs within the radius whose column label differs."""
+    pairs within the radius whose column label differs. With ``similar``, pairs count only if their sets' sizes (column _size) may go
+    with that similarity; some that don't are linked, too."""
     carried = [*fp_columns(words), *(["label"] if labelled else [])]
-    placed = classes.select("node", *carried, _cell(words, lanes).alias("cell"))
-    side = _side(words, lanes)
+    if similar is None:
+        cell, side, reach = _cell(words, lanes), _side(words, lanes), radius
+    else:
+        cell, side, lanes, reach = _size_cell(F.col("_size"), similar), SIZE_CELLS, 1, SIZE_STEPS
+    placed = classes.select("node", *carried, cell.alias("cell"))
     counts = np.zeros(side**lanes, np.int64)
     for row in placed.groupBy("cell").count().collect():  # 17^4 rows at most
         counts[row["cell"]] = row["count"]
+    parts, shares = _plan(counts, side, lanes, reach, tile_rows, visitors)
     fps = ", ".join(f"{c} long" for c in carried)
     dealt = placed.mapInArrow(
-        _deal(counts, side, carried, lanes, radius, tile_rows, visitors), f"cell int, part int, share int, visits boolean, node long, {fps}"
+        _deal(parts, shares, side, carried, lanes, reach), f"cell int, part int, share int, visits boolean, node long, {fps}"
     )
-    tiles = dealt.repartition("cell", "part", "share").sortWithinPartitions("cell", "part", "share", "visits")
+    # Tiles of sizes are few and small, but take long: as many tasks as tiles, not as few as their bytes ask for.
+    n_tiles = [] if similar is None else [max(1, min(int((parts * shares).sum()), MOST_TASKS))]
+    tiles = dealt.repartition(*n_tiles, "cell", "part", "share").sortWithinPartitions("cell", "part", "share", "visits")
     return tiles.mapInArrow(_compare(words, radius, labelled), "a long, b long")
 
 
@@ -421,8 +447,9 @@ def confirmed(
     classes: DataFrame, texts: DataFrame, size: int, similar: float, words: int, radius: int, lanes: int, **tiles: int
 ) -> DataFrame:
     """Links (a, b) that connect what all pairs connect that are within ``radius`` bits and whose shingle sets have the Jaccard
-    similarity ``similar``. ``texts`` has (_key, _text), rows that repeat allowed; ``classes`` names a text of each node by its _key."""
-    proposed = once(links(classes, words, radius, lanes, **tiles).distinct(), "proposed")
+    similarity ``similar``. ``texts`` has (_key, _text), rows that repeat allowed; ``classes`` names a text of each node by its _key, and
+    _size is that of its set."""
+    proposed = once(links(classes, words, radius, lanes, similar=similar, **tiles).distinct(), "proposed")
     linked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = texts.join(classes.join(linked, "node").select("node", "_key"), "_key").dropDuplicates(["node"])
     sets = once(with_sets(chosen, size), "sets")
@@ -445,9 +472,9 @@ def confirmed(
         .withColumn("whole", F.coalesce("root", "node"))
         .join(touched, "whole", "left_semi")
         .join(labels, F.col("node") == labels["named"], "left")
-        .select("node", *fp_columns(words), F.coalesce("to", "node").alias("label"))
+        .select("node", *fp_columns(words), "_size", F.coalesce("to", "node").alias("label"))
     )
-    others = links(once(again, "again"), words, radius, lanes, labelled=True, **tiles)
+    others = links(once(again, "again"), words, radius, lanes, labelled=True, similar=similar, **tiles)
     return joined.union(verified(once(others, "others")))
 
 
@@ -458,10 +485,10 @@ def grouped(
     """``rows`` (written; with an id and fingerprint columns) with component_id, the smallest id that links reach, and root, which names
     the group even if no id does.
 
-    With ``texts`` (_key, _text) links are confirmed on the shingle sets; ``rows`` then has _set and _key, too."""
+    With ``texts`` (_key, _text) links are confirmed on the shingle sets; ``rows`` then has _set, _size and _key, too."""
     key = [*fp_columns(words), *([] if texts is None else ["_set"])]
     node = F.col(key[0]) if len(key) == 1 else F.xxhash64(*key)
-    named = [] if texts is None else [F.min("_key").alias("_key")]
+    named = [] if texts is None else [F.min("_key").alias("_key"), F.max("_size").alias("_size")]
     classes = once(rows.groupBy(*key).agg(F.min(id_column).alias("low"), *named).withColumn("node", node), "classes")
     if texts is None:
         edges = links(classes, words, radius, lanes, **tiles)

@@ -59,5 +59,21 @@ def test_hot_line(spark):
     assert hashlib.sha256(b"").hexdigest() != kept.select(F.sha2("_kept", 256)).first()[0]
 
 
+def test_lines_are_cut_once(spark):
+    """Ranges of hashes are known beforehand, so that no sample of the lines is taken."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"{samples.SHARED}\nown line of document {i}, and long", "en", "s") for i in range(40)]
+    docs = samples.frame(spark, rows, 8).withColumn("text", passed("text"))
+    gone = line_dedup.drop_positions(docs, "doc_id", "text", line_dedup.MIN_CHARS, line_dedup.MIN_DOCUMENTS)
+    assert sorted(r.doc for r in gone.collect()) == list(range(39))
+    assert read.value == 40
+
+
 def test_empty(spark):
     assert line_dedup.with_kept_text(samples.empty(spark)).count() == 0

@@ -127,6 +127,19 @@ def test_refuted_links_hide_none(spark):
     assert {r.doc_id for r in simhash.keep_one(samples.frame(spark, rows)).collect()} == set(range(0, 120, 3))
 
 
+def test_sizes_too_far_apart_are_not_compared(spark):
+    """Every two sets whose sizes may go with the similarity are compared, split tiles or not, and few of the others."""
+    sizes = [0, 1, 2, 4, 5, 8, 10, 11, 80, 99, 100, 125, 126, 400, 500, 501, 10_000, 12_500, 1 << 40]
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(sizes)]
+    classes = spark.createDataFrame(rows, "node long, _fp0 long, _fp1 long, _size long, label long")
+    may = {(i, j) for i, a in enumerate(sizes) for j, b in enumerate(sizes) if i < j and 5 * a >= 4 * b}
+    for tile_rows, visitors in ((1000, 1000), (1, 1)):
+        found = simhash.links(classes, 2, 30, 1, tile_rows, visitors, labelled=True, similar=0.8)
+        got = {(min(r), max(r)) for r in found.collect()}
+        assert may <= got
+        assert all(a == 0 or 1.6 * a >= b for a, b in ((sizes[i], sizes[j]) for i, j in got))
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(samples.empty(spark)).count() == 0
     assert simhash.keep_one(samples.empty(spark)).count() == 0
