@@ -147,7 +147,7 @@ def index_batch(
     if large is not None:
         late = large.withColumnRenamed("error", "late").withColumn("error", F.lit(None).cast("string"))
         cut = cut.unionByName(late.select(*cut.columns))
-    extracted = written(cut, "extracted")
+    extracted = written(cut, "extracted", compression="zstd")
 
     done = todo.join(extracted.select("path", "gist", "error", "late"), "path", "left")
     error = F.coalesce("failure", "late", "error")

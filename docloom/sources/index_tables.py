@@ -8,9 +8,10 @@ Nothing is ever overwritten. A batch writes its folders under a new version, and
 manifest, that says which version of each folder counts. Until that file is there readers follow the one before; a batch
 that fails leaves the index as it was, and running it again replaces what it had written.
 
-Chunks and postings, which are nearly all of the index, are not copied for a batch: a folder of theirs is the sum of several versions, and
-the files that a batch replaces or removes are listed as gone, which leaves out their rows of earlier versions. Once much of
-a folder is gone, or it has many versions, a batch that touches it writes it whole.
+Nothing is copied for a batch, however much of the index it leaves. A folder of files, chunks or postings is the sum of several versions, and
+the files that a batch replaces or removes are listed as gone, which leaves out their rows of earlier versions. Vocabulary and statistics
+are sums: a batch adds rows that count with signs what it adds and removes. Once much of a folder is gone, or it has many versions, a batch that
+touches it writes it whole.
 """
 
 from __future__ import annotations
@@ -55,13 +56,19 @@ _FOLDERS = {
     "stats": ["bucket"],
     "gone": ["bucket"],
 }
-#: Tables of which a bucket has several versions that count.
-_GROWING = ("chunks", "postings")
+#: Tables of which a bucket has several versions that count, each with rows of its own, and those whose versions are added up.
+_GROWING = ("files", "chunks", "postings")
+_SUMMED = ("vocabulary", "stats")
+#: Nearly all of the index: their rows are dealt to several tasks a folder, and compressed more.
+_LARGE = ("chunks", "postings")
 #: A bucket of more versions is written whole, and so is one of which more files are gone than this share of those it holds.
 MAX_VERSIONS = 16
 MAX_GONE_SHARE = 0.5
 #: Files that are listed as gone, altogether: rows of two numbers, which readers broadcast.
 MAX_GONE = 1_000_000
+#: Chunks whose postings one task sorts, some two million; so few chunks that buckets share a task.
+CHUNKS_AT_ONCE = 100_000
+FEW_CHUNKS = 10_000
 #: Within a file, so that a search for a few terms skips the rest.
 _SORTED = {"postings": ["term", "chunk_id"], "vocabulary": ["term"]}
 
@@ -72,6 +79,10 @@ Finish = Callable[[DataFrame], DataFrame]
 Manifest = dict[str, dict[int, list[int]]]
 
 
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 class IndexTables:
     """The tables below ``root``. The numbers of buckets are chosen when the tables are created and kept with
     them; opening an index with other numbers than its own is an error."""
@@ -206,9 +217,7 @@ class IndexTables:
 
     def index(self) -> fulltext.Index:
         postings = self.read("postings").drop("bucket")
-        vocabulary = self.read("vocabulary").groupBy("term_bucket", "term").agg(
-            F.sum("df").alias("df"), F.sum("cf").alias("cf")
-        )
+        vocabulary = _counted(self.read("vocabulary"), "term_bucket", "term").filter("df > 0")
         stats = self.read("stats").agg(
             F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"),
             F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
@@ -223,7 +232,18 @@ class IndexTables:
     def _pieces(self, table: str) -> int:
         """Parts that a folder's rows are dealt to when they are moved, so that a few folders occupy all cores."""
         folders = self.buckets * (self.term_buckets if "term_bucket" in _FOLDERS[table] else 1)
-        return -(-2 * self.spark.sparkContext.defaultParallelism // folders) if table in _GROWING else 1
+        return -(-2 * self.spark.sparkContext.defaultParallelism // folders) if table in _LARGE else 1
+
+    def _piece(self, pieces: int) -> Column:
+        return F.pmod(F.xxhash64("file_id", F.lit(1)), F.lit(pieces)).cast("int")
+
+    def _dealt(self, chunks: DataFrame, n: int) -> DataFrame:
+        """New chunks of this number by bucket, in parts whose postings can be sorted in memory."""
+        placed = chunks.withColumn("bucket", self._bucket())
+        if n <= FEW_CHUNKS:
+            return placed.hint("rebalance", "bucket")
+        pieces = max(self._pieces("chunks"), -(-n // (self.buckets * CHUNKS_AT_ONCE)))
+        return placed.repartitionById(self.buckets * pieces, F.col("bucket") * pieces + self._piece(pieces))
 
     def _save(self, table: str, rows: DataFrame) -> None:
         version = self._latest()[0] + 1
@@ -278,59 +298,79 @@ class IndexTables:
                 return None
             return without(self.read(table, buckets), leaving, "file_id")
 
-        def store(table: str, rows: DataFrame, finish: Finish | None = None, mode: str = "overwrite") -> DataFrame:
-            """Write rows in folders; ``finish`` adds columns once they have been moved and sorted."""
+        def store(
+            table: str, rows: DataFrame, finish: Finish | None = None, mode: str = "overwrite", moved: bool = False
+        ) -> DataFrame:
+            """Write rows in folders; ``finish`` adds columns once they have been moved, if they are not yet, and sorted."""
             place = self._place(table, version)
-            pieces = self._pieces(table)
-            if pieces > 1:
-                rows = rows.withColumn("_piece", F.pmod(F.xxhash64("file_id", F.lit(1)), F.lit(pieces)))
-            moved = rows.hint("rebalance", *_FOLDERS[table], *["_piece"][: pieces > 1])
-            ordered = moved.sortWithinPartitions(*_FOLDERS[table], *_SORTED.get(table, ()))
+            if not moved:
+                pieces = self._pieces(table)
+                if pieces > 1:
+                    rows = rows.withColumn("_piece", self._piece(pieces))
+                rows = rows.hint("rebalance", *_FOLDERS[table], *["_piece"][: pieces > 1])
+            ordered = rows.sortWithinPartitions(*_FOLDERS[table], *_SORTED.get(table, ()))
             (
                 (finish(ordered) if finish else ordered)
                 .select(*_SCHEMAS[table].fieldNames(), *_FOLDERS[table])
                 .write.mode(mode)
+                .option("compression", "zstd" if table in _LARGE else "snappy")
                 .partitionBy(*_FOLDERS[table])
                 .parquet(place)
             )
             return self.spark.read.schema(self._schema(table)).parquet(place).drop("version")
 
-        def after(table: str, new: DataFrame, finish: Finish | None = None) -> DataFrame:
-            """Store new rows, and with what stays all that the touched buckets hold from now on."""
-            stored = store(table, new, finish)
-            rewritten, staying = kept(table, whole), kept(table, grown)
-            if rewritten is not None:
-                stored = store(table, rewritten, mode="append")
-            return stored if staying is None else stored.unionByName(staying)
+        def after(table: str, new: DataFrame, finish: Finish | None = None, moved: bool = False) -> DataFrame:
+            """Store new rows, and what stays of the buckets that are written whole: all rows of this version."""
+            stored, staying = store(table, new, finish, moved=moved), kept(table, whole)
+            return stored if staying is None else store(table, staying, mode="append")
 
         bare = batch.chunks if batch.cut is None else batch.cut
         chunks = after("chunks", bare.withColumn("bucket", self._bucket()), None if batch.cut is None else batch.add_vectors)
+        # Texts are moved to their buckets, not the postings of their words, which are several times as large.
+        texts = self._dealt(bare.select("chunk_id", "file_id", "snippet"), chunks.count())
         new_postings = (
-            fulltext.postings(bare)
+            fulltext.postings(texts)
             .withColumn("bucket", self._bucket())
             .withColumn("term_bucket", fulltext.term_bucket(F.col("term"), self.term_buckets))
         )
-        postings = after("postings", new_postings)
-        store(
-            "vocabulary",
-            postings.groupBy("bucket", "term_bucket", "term").agg(
-                F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf")
-            ),
-        )
-        tokens = postings.groupBy("bucket").agg(F.sum("tf").cast("long").alias("n_tokens"))
-        sizes = chunks.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_chunks")).join(tokens, "bucket", "left")
-        store("stats", sizes.select("bucket", "n_chunks", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
+        postings = after("postings", new_postings, moved=True)
+        after("files", batch.files.withColumn("bucket", self._bucket()))
+
+        # What was added and what has gone, by sign. Sums of many versions are added up once more, which looks at no chunk.
+        folded = [b for b in grown if any(len(manifest.get(t, {}).get(b, [])) >= MAX_VERSIONS for t in _SUMMED)]
+        plus, minus = F.lit(1).cast("long"), F.lit(-1).cast("long")
+        keys = ["bucket", "term_bucket", "term"]
+        words = postings.select(*keys, plus.alias("df"), F.col("tf").cast("long").alias("cf"))
+        n_chunks = chunks.select("bucket", plus.alias("n_chunks"))
+        if grown:
+            left = self.read("chunks", grown).join(leaving, "file_id", "left_semi").select("chunk_id", "file_id", "snippet")
+            lost = (
+                fulltext.postings(left).withColumn("bucket", self._bucket())
+                .withColumn("term_bucket", fulltext.term_bucket(F.col("term"), self.term_buckets))
+            )
+            words = words.unionByName(lost.select(*keys, minus.alias("df"), (-F.col("tf")).cast("long").alias("cf")))
+            n_chunks = n_chunks.unionByName(left.select(self._bucket().alias("bucket"), minus.alias("n_chunks")))
+        changes = _counted(words, *keys).filter("df <> 0 OR cf <> 0")
+        if folded:
+            changes = _counted(changes.unionByName(self.read("vocabulary", folded)), *keys).filter("df <> 0 OR cf <> 0")
+        changes = store("vocabulary", changes)
+        tokens = changes.select("bucket", F.lit(0).cast("long").alias("n_chunks"), F.col("cf").alias("n_tokens"))
+        if folded:  # their tokens are all in the vocabulary, their chunks in the statistics
+            known_sizes = self.read("stats", folded).select("bucket", "n_chunks")
+            n_chunks = n_chunks.unionByName(known_sizes)
+        sizes = n_chunks.withColumn("n_tokens", F.lit(0).cast("long")).unionByName(tokens)
+        store("stats", sizes.groupBy("bucket").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")))
         if grown:
             now_gone = replaced.withColumn("since", F.lit(version).cast("long")).filter(F.col("bucket").isin(grown))
             listed = self.read("gone", grown).unionByName(now_gone)
             store("gone", listed.groupBy("file_id", "bucket").agg(F.max("since").alias("since")))
-        added_files, other_files = batch.files.withColumn("bucket", self._bucket()), kept("files", touched)
-        store("files", added_files if other_files is None else other_files.unionByName(added_files))
         for table in _FOLDERS:
             rows = manifest.setdefault(table, {})
             for bucket in touched:
                 if table in _GROWING and bucket in grown:
-                    rows[bucket] = [*rows[bucket], version] if added[bucket] else rows[bucket]
+                    rows[bucket] = [*rows.get(bucket, []), version] if added[bucket] else rows.get(bucket, [])
+                elif table in _SUMMED and bucket in grown and bucket not in folded:
+                    rows[bucket] = [*rows.get(bucket, []), version]
                 elif table == "gone" and bucket in whole:
                     rows[bucket] = []  # nothing of what was gone is left in it
                 else:

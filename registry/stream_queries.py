@@ -10,7 +10,7 @@ from docloom.plans.indexing import index_batch
 from docloom.operators import maintenance
 from docloom.sources.index_tables import IndexTables
 from docloom.sources.seeds import file_type_settings
-from docloom.sources.sizes import shared_folder
+from docloom.sources.sizes import broadcast_if_small, shared_folder
 from docloom.streaming import changes, pending
 from registry import inputs, sqltext
 from registry.base import query
@@ -204,7 +204,8 @@ def stream_apply(spark, sf_dir):
         F.replace("text", F.lit("\n"), F.lit("\n\n")).cast("binary").alias("content"),
     )
     toxic = inputs.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    left = present.join(toxic, "doc_id", "left_anti").drop("doc_id")
+    # A short list is sent to the documents, whose contents are then not moved for each micro-batch.
+    left = present.join(broadcast_if_small(toxic), "doc_id", "left_anti").drop("doc_id")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     tables = IndexTables(spark, f"{folder}/index", 8, 4)
     tables.create()

@@ -384,6 +384,34 @@ def test_a_batch_does_not_copy_what_it_leaves(spark, tmp_path, world, monkeypatc
     assert same_as_new()[0] == 15
 
 
+def test_a_batch_adds_only_what_it_changes(spark, tmp_path, world, monkeypatch):
+    """Files, vocabulary and statistics follow a batch, too; sums of many versions are folded without looking at the chunks."""
+    root = tmp_path / "index"
+    tables = IndexTables(spark, str(root), buckets=2, term_buckets=2)
+    tables.create()
+    rows = [(f"/in/f{i}.md", float(i), 10, f"common number{i}\n\nsecond common".encode()) for i in range(60)]
+    scan = spark.createDataFrame(rows, "path string, mtime double, size_bytes long, content binary")
+    tables.apply(index_batch(scan, tables.files(), *world, now=1.0))
+
+    def stored(table):
+        place = root / table / f"version={tables._latest()[0]}"
+        return sum(spark.read.parquet(str(f)).count() for f in place.rglob("*.parquet")) if place.exists() else 0
+
+    monkeypatch.setattr(index_tables, "MAX_VERSIONS", 3)
+    for i in range(8):
+        gone = tables.files().filter(F.col("path") == f"/in/f{i}.md").select("file_id")
+        tables.apply(indexing.Batch(spark.createDataFrame([], FILES), spark.createDataFrame([], CHUNKS)), gone)
+        assert stored("files") == stored("chunks") == stored("postings") == 0
+        assert stored("stats") == 1
+        assert stored("vocabulary") == 3 or i >= 2  # common, second and the file's number
+        want = fulltext.build_index(tables.chunks())
+        assert tables.files().count() == 59 - i and tuple(tables.index().stats.first()) == tuple(want.stats.first())
+        terms = sorted(tuple(r) for r in tables.index().vocabulary.select("term", "df", "cf").collect())
+        assert terms == sorted(tuple(r) for r in want.vocabulary.select("term", "df", "cf").collect())
+    for table in ("vocabulary", "stats"):
+        assert max(map(len, tables._manifest()[table].values())) <= 3
+
+
 def held(spark, n=20):
     """A scan with contents, one of which is missing, and pages for its paged files."""
     kinds = ("md", "py", "pdf")
@@ -412,6 +440,27 @@ def test_vectors_are_not_moved(spark, tmp_path, world, monkeypatch):
     assert {r.chunk_id: r.embedding for r in tables.chunks().collect()} == want and len(want) > 20
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_postings_are_not_moved(spark, tmp_path, world, monkeypatch, few):
+    """Texts are dealt to their buckets before they become postings, in parts of so many chunks."""
+    monkeypatch.setattr(index_tables, "FEW_CHUNKS", few)
+    monkeypatch.setattr(index_tables, "CHUNKS_AT_ONCE", 5)
+    tables = IndexTables(spark, str(tmp_path / "index"), buckets=2, term_buckets=2)
+    tables.create()
+    scan, pages = held(spark)
+    plans, write = {}, DataFrameWriter.parquet
+
+    def watched(self, path, *rest, **more):
+        plans[path.split("/")[-2]] = self._df._jdf.queryExecution().optimizedPlan().toString()
+        write(self, path, *rest, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    tables.apply(index_batch(scan, tables.files(), *world, now=1.0, pages=pages))
+    assert 0 <= plans["postings"].find("MapInArrow") < plans["postings"].index("Repartition" if not few else "RebalancePartitions")
+    want = fulltext.build_index(tables.chunks()).postings
+    assert sorted(map(str, tables.read("postings").drop("bucket", "term_bucket").collect())) == sorted(map(str, want.collect()))
+
+
 def test_contents_are_cut_where_they_are(spark, world, monkeypatch):
     """When the list of files due is too long to be sent to the contents."""
     scan, pages = held(spark)
