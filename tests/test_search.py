@@ -126,6 +126,30 @@ def test_search_plan(spark):
     assert best.path == "/docs/a.md" and best.score == pytest.approx(1.0, abs=1e-6)
 
 
+def test_chunks_without_stored_vectors(spark, monkeypatch, tmp_path):
+    """They are embedded where they are compared, once and behind the restriction: the same hits as with vectors that are kept."""
+    rows = [(f"/{i}.md", i, "text", [f"hello number {i}", f"bye {i}", None]) for i in range(6)]
+    files, chunks = corpus(spark, rows)
+    locations = spark.createDataFrame([(i, f"/{i}", i < 4, 0.0) for i in range(6)], LOCATIONS)
+    queries = spark.createDataFrame([(1, "hello number"), (2, "bye 3"), (3, "hello 5")], "query_id long, text string")
+    made = spark.sparkContext.accumulator(0)
+
+    def counting(texts, dim):
+        made.add(len(texts))
+        return hash_embed(texts, dim)
+
+    def hits(given):
+        found = search(queries, files, given, fulltext.build_index(given), locations, file_type_settings(spark), embed_fn=counting)
+        return sorted(map(str, found.drop("embedder").collect()))
+
+    stored = embed(chunks.drop("embedding", "embedder"), fn=counting)
+    bare = spark.createDataFrame(chunks.drop("embedding", "embedder").collect(), chunks.drop("embedding", "embedder").schema)
+    want = hits(stored)
+    before = made.value
+    assert hits(bare) == want and len(want) > 8
+    assert made.value - before <= 3 * 4 + 2 * len(queries.collect())
+
+
 def test_look_ups(spark):
     files, _ = corpus(spark, TWO + [("/docs/0.md", 1, "text", [])])
     assert [r.path for r in filters.files_by_location(files, 1).collect()] == ["/docs/0.md", "/docs/a.md"]
